@@ -51,26 +51,25 @@ def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, *extra.values()], names=[*batch.schema.names, *extra])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most_rows: dict[int, int]) -> list:
-    """At most most_rows[value] labelled rows for each label value, as rows (text, label), for fitting.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most_rows: dict[int, int]) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """([(text, label)], {label: training rows}): at most most_rows[value] labelled texts of each value, for fitting.
 
-    Chosen by a hash of the id, so the choice is the same on every run and cluster; labelled
-    ids that docs lacks are passed over. Only ids and labels are ranked; the chosen ids are
-    bounded by most_rows, which is what allows them to be broadcast.
+    label: SQL for the label of a row of labels; null labels and ids are passed over. Rows are
+    chosen by a hash of the id, so the choice is the same on every run and cluster; an id that
+    docs lacks gives no row. Only ids and labels are ranked, and the chosen ids are bounded by
+    most_rows, which is what allows them to be broadcast and their texts to be collected.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    known = known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    chosen = None
+    known = labels.where(train).select("doc_id", F.expr(label).cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ids = {}
     for value, most in most_rows.items():
-        part = known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    ids = {r["doc_id"]: r["y"] for r in chosen.collect()}
+        for r in known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect():
+            ids[r["doc_id"]] = r["y"]
     if not ids:
-        return []
-    spark = docs.sparkSession
-    small = spark.createDataFrame(list(ids.items()), "doc_id long, y int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id").toArrow().to_pylist()
+        return [], totals
+    small = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
     first = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-        first.setdefault(r["doc_id"], r)
-    return list(first.values())
+    for r in sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"])):
+        first.setdefault(r["doc_id"], (r["text"], r["y"]))
+    return list(first.values()), totals

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import quality_rules
+from lumenfold.llm import quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op8_quality_classifier": quality_model.op8_quality_classifier,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
