@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import quality_model, quality_rules, toxicity
+from lumenfold.llm import quality_model, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op5_simhash": simhash.op5_simhash,
     "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_toxicity": toxicity.op9_toxicity,
 }
