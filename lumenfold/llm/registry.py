@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import quality_model, quality_rules, simhash, toxicity
+from lumenfold.llm import chat, quality_model, quality_rules, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op5_simhash": simhash.op5_simhash,
+    "op7_exact_topk": topk.op7_exact_topk,
     "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_exact_topk": topk.SQL,
+    "op10_chat_formatting": chat.SQL,
 }
