@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import chat, html_extract, quality_model, quality_rules, simhash, topk, toxicity
+from lumenfold.llm import chat, html_extract, pieces, quality_model, quality_rules, simhash, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_html_extraction": html_extract.op2_html_extraction,
     "op5_simhash": simhash.op5_simhash,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_toxicity": toxicity.op9_toxicity,
