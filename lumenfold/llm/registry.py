@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import chat, html_extract, pieces, quality_model, quality_rules, simhash, topk, toxicity
+from lumenfold.llm import chat, html_extract, mixing, pieces, quality_model, quality_rules, simhash, token_output, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_html_extraction": html_extract.op2_html_extraction,
+    "op3_token_output": token_output.op3_token_output,
+    "op4_mixing": mixing.op4_mixing,
     "op5_simhash": simhash.op5_simhash,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_exact_topk": topk.op7_exact_topk,
