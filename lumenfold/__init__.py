@@ -1 +1,8 @@
 """lumenfold: semantic matching and candidate-set analytics as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions that run on executors travel with their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
