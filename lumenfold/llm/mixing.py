@@ -108,14 +108,14 @@ def rate_column(history: list[list[float]], scale: list[float]) -> Column:
     return w
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, rounds: int = 40, tolerance: float = 1e-4) -> tuple[Column, list[dict]]:
+def fit_rates(members: DataFrame, targets: dict[str, float], epochs: float = 1.0, rounds: int = 40, tolerance: float = 1e-4) -> tuple[Column, list[dict]]:
     """(the rate of a row, the domain totals after each step).
 
     Least squares of the relative miss of each domain, started from rate 1, in the metric that
     weighs a document by its tokens; domains are scaled by their present totals, which makes a unit
     step stable and quick. A step is one aggregation of as many sums as there are domains; rates
     follow from the residuals so far, so no per-document state is kept between steps. Targets are
-    shares and are normalised; total: tokens wanted (None: as many as there are). A domain without
+    shares and are normalised; epochs: tokens wanted, as a multiple of those there are. A domain without
     any mass cannot be met and is left as it is.
     """
     if any(v < 0 for v in targets.values()) or sum(targets.values()) <= 0:
@@ -124,7 +124,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
     start = members.agg(*mass).first()
     now = [float(start[d] or 0.0) for d in DOMAINS]
     whole = sum(now)
-    wanted = [(total if total is not None else whole) * targets.get(d, 0.0) / sum(targets.values()) for d in DOMAINS]
+    wanted = [epochs * whole * targets.get(d, 0.0) / sum(targets.values()) for d in DOMAINS]
     scale = [1.0 / v if v > 0 else 0.0 for v in now]
     history: list[list[float]] = []
     seen = [dict(zip(DOMAINS, now, strict=True))]
@@ -135,12 +135,14 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
         history.append(miss)
         w = rate_column(history, scale)
         got = members.select("tokens", *[f"p_{d}" for d in DOMAINS], w.alias("w")).agg(*[F.sum(F.col("w") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-        now = [float(got[d] or 0.0) for d in DOMAINS]
+        was, now = now, [float(got[d] or 0.0) for d in DOMAINS]
         seen.append(dict(zip(DOMAINS, now, strict=True)))
+        if max(abs(a - b) for a, b in zip(now, was, strict=True)) <= tolerance * whole:
+            break  # what is still missed cannot be met with rates of 0 and more
     return rate_column(history, scale), seen
 
 
-def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], total: float | None = None, text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], epochs: float = 1.0, text: str = "text") -> DataFrame:
     """One row per row of docs: its columns but the text, tokens, posteriors and rate.
 
     Repeated rows get equal rates; a text without words has rate by its posteriors and moves no
@@ -149,7 +151,7 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], total: f
     own = ["tokens", "rate", *(f"p_{d}" for d in DOMAINS)]
     keep = [c for c in docs.columns if c.lower() not in own]
     members = durable(memberships(docs.select(*[F.col(f"`{c}`") for c in keep]), model, text))
-    rate, _ = fit_rates(members, targets, total)
+    rate, _ = fit_rates(members, targets, epochs)
     return members.withColumn("rate", rate)
 
 
@@ -169,14 +171,14 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix_stage(spark, docs, sf_dir, targets: dict[str, float] | None = None):
-    """Pipeline stage: the documents that the fitted rates take, for a corpus that is good text alone.
+def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
+    """Pipeline stage: the documents that the fitted rates take, for a corpus of good text alone over one and a half epochs.
 
-    A rate above 1 keeps the document once: this stage leaves copies to the trainer's epochs, since
-    near duplicates have just been taken out.
+    A text is left out if its rate gives it no copy. One that gets several stays once: near
+    duplicates have just been taken out, and repeats are left to the trainer's epochs.
     """
     model = fit_tables(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     members = durable(memberships(docs.select("doc_id", "text"), model))
-    rate, _ = fit_rates(members, targets or {"good": 1.0})
+    rate, _ = fit_rates(members, {"good": 1.0}, epochs)
     out = members.where(copies(rate, F.col("doc_id")) < 1).select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
