@@ -1,7 +1,7 @@
 """Dense word statistics of texts, per document and per passage.
 
-Each distinct word is looked at once and kept in a bounded table; a text is then a row of table
-numbers, and every feature is a NumPy reduction over them.
+Each distinct word is looked at once and kept in a bounded table; a text is then a row of word
+numbers, and every feature is a NumPy reduction over their statistics.
 """
 
 from __future__ import annotations
@@ -29,66 +29,91 @@ class Lexicon:
 
     def __init__(self, words: dict[str, float] | None = None, prefixes: dict[str, float] | None = None):
         self.words, self.prefixes = words or {}, prefixes or {}
+        self.heads = {p[: PREFIXES[0]] for p in self.prefixes}
 
     def weight(self, core: str) -> float:
         w = self.words.get(core, 0.0)
-        if self.prefixes and len(core) >= PREFIXES[0]:
-            get = self.prefixes.get
-            for k in PREFIXES:
-                if len(core) >= k and (p := get(core[:k], 0.0)) > w:
-                    w = p
+        if core[: PREFIXES[0]] in self.heads:
+            w = max(w, *(self.prefixes.get(core[:k], 0.0) for k in PREFIXES if len(core) >= k))
         return w
 
 
-class WordTable(dict):
-    """word -> row of .rows; made again from nothing when it holds most_words."""
+class WordTable:
+    """word -> its number; made again from nothing when it holds most_words.
 
-    def __init__(self, lexicon: Lexicon | None = None, most_words: int = 150_000):
-        super().__init__()
-        self.lexicon, self.most_words, self.rows = lexicon or Lexicon(), most_words, []
+    Words with the same statistics share a kind: .kind_of gives a word's kind, .rows a kind's statistics.
+    """
 
-    def __missing__(self, word: str) -> int:
-        n = len(word)
+    def __init__(self, lexicon: Lexicon | None = None, most_words: int = 300_000):
+        self.lexicon, self.most_words = lexicon or Lexicon(), most_words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows: dict[tuple, int] = {}
+        self.kind_of: list[int] = []
+        self.plain: dict[tuple, int] = {}
+        self._kinds = np.zeros(0, np.int64)
+
+    def _meet(self, word: str) -> int:
+        found = self.number.get(word)
+        if found is not None:
+            return found  # met earlier in the same text
         low = word.lower()
         core = low.strip(EDGES)
-        second = 1.0 if core in SECOND_PERSON else 0.0
         weight = self.lexicon.weight(core)
-        if word.isalpha():
-            up = 0 if word == low else sum(map(str.isupper, word))
-            row = (n, up, n, 0, 0, 0, 0, 0.0, 1.0 if up == n > 1 else 0.0, weight, 0.0, 0.0, second, 0)
+        body = word if len(core) == len(word) else word[:-1]
+        # Most words are letters in lower or title case, perhaps with one mark after them: these share a kind by length and mark.
+        if weight == 0.0 and len(core) == len(body) and body.isalpha() and (low == word or body.istitle()) and low.startswith(core) and core not in SECOND_PERSON:
+            key = (len(word), word[len(body) :], low != word)
+            kind = self.plain.get(key)
+            if kind is None:
+                kind = self.plain[key] = self.rows.setdefault(self._statistics(word, core, weight), len(self.rows))
         else:
-            up, letters, digits = sum(map(str.isupper, word)), sum(map(str.isalpha, word)), sum(map(str.isdigit, word))
-            symbols, punct = sum(c in SYMBOL_SET for c in word), sum(c in PUNCT_SET for c in word)
-            hidden, obf = 0.0, 0.0
-            if letters and OBFUSCATED.search(core):
-                obf = 1.0
-                plain = "".join(c for c in core.translate(LEET) if c.isalpha())
-                hidden = self.lexicon.weight(plain)
-            row = (n, up, letters, digits, word.count("!"), symbols, punct, 0.0 if letters or digits else 1.0, 1.0 if up == letters > 1 else 0.0, weight, hidden, obf, second, word.count("?"))
-        self[word] = at = len(self.rows)
-        self.rows.append(row)
+            kind = self.rows.setdefault(self._statistics(word, core, weight), len(self.rows))
+        self.number[word] = at = len(self.kind_of)
+        self.kind_of.append(kind)
         return at
 
+    def _statistics(self, word: str, core: str, weight: float) -> tuple:
+        n = len(word)
+        second = 1.0 if core in SECOND_PERSON else 0.0
+        up = sum(map(str.isupper, word))
+        if word.isalpha():
+            return (n, up, n, 0, 0, 0, 0, 0.0, 1.0 if up == n > 1 else 0.0, weight, 0.0, 0.0, second, 0)
+        letters, digits = sum(map(str.isalpha, word)), sum(map(str.isdigit, word))
+        symbols, punct = sum(c in SYMBOL_SET for c in word), sum(c in PUNCT_SET for c in word)
+        hidden, obf = 0.0, 0.0
+        if letters < len(core) and OBFUSCATED.search(core):
+            obf = 1.0
+            hidden = self.lexicon.weight("".join(c for c in core.translate(LEET) if c.isalpha()))
+        return (n, up, letters, digits, word.count("!"), symbols, punct, 0.0 if letters or digits else 1.0, 1.0 if up == letters > 1 else 0.0, weight, hidden, obf, second, word.count("?"))
+
     def look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(table number of each word of each text, first word of each text and the end, the table)."""
-        if len(self) > self.most_words:
-            self.clear()
-            self.rows = []
-            self._seen = None
-        ids, starts = [], [0]
+        """(number of each word of each text, first word of each text and the end, statistics of each word)."""
+        if len(self.number) > self.most_words:
+            self._forget()
+        ids, starts, get, meet = [], [0], self.number.get, self._meet
         for t in texts:
-            ids.extend([self[w] for w in t.split()])
+            words = t.split()
+            found = list(map(get, words))
+            if None in found:
+                found = [meet(w) if k is None else k for w, k in zip(words, found, strict=True)]
+            ids += found
             starts.append(len(ids))
-        seen = getattr(self, "_seen", None)
-        fresh = np.array(self.rows[0 if seen is None else len(seen) :], dtype=np.float32).reshape(-1, len(COLUMNS))
-        self._seen = fresh if seen is None else np.concatenate([seen, fresh])
-        return np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64), self._seen
+        self._kinds = np.concatenate([self._kinds, np.array(self.kind_of[len(self._kinds) :], np.int64)])
+        ids = np.array(ids, dtype=np.int64)
+        rows = np.array(list(self.rows), dtype=np.float32).reshape(-1, len(COLUMNS))
+        return ids, np.array(starts, dtype=np.int64), rows[self._kinds[ids]]
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of values over [starts[i], starts[i + 1]); 0 over nothing."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[starts[1:]] - total[starts[:-1]]
+    out = np.zeros((len(starts) - 1, *values.shape[1:]))
+    full = starts[1:] > starts[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, starts[:-1][full], axis=0)
+    return out
 
 
 def maxima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -107,9 +132,8 @@ def passage_starts(starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([np.repeat(starts[:-1], count) + nth * words, starts[-1:]]), bags
 
 
-def shape_features(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """One row of form statistics for each span of words; no lexicon is used."""
-    v = table[ids] if len(ids) else np.zeros((0, len(COLUMNS)), np.float32)
+def shape_features(ids: np.ndarray, starts: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """One row of form statistics for each span of words (v: statistics of each word); no lexicon is used."""
     n = np.diff(starts).astype(np.float64)
     s, some = sums(v, starts), np.maximum(n, 1)
     chars, letters = np.maximum(s[:, LENGTH], 1), np.maximum(s[:, LETTERS], 1)
@@ -127,9 +151,8 @@ def shape_features(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np
     ])
 
 
-def abuse_features(ids: np.ndarray, starts: np.ndarray, table: np.ndarray, near: int = 5) -> np.ndarray:
+def abuse_features(ids: np.ndarray, starts: np.ndarray, v: np.ndarray, near: int = 5) -> np.ndarray:
     """One row for each text: lexicon densities, second-person proximity, capitals, punctuation and obfuscation rates."""
-    v = table[ids] if len(ids) else np.zeros((0, len(COLUMNS)), np.float32)
     n = np.diff(starts).astype(np.float64)
     s, some = sums(v, starts), np.maximum(n, 1)
     hit = np.maximum(v[:, WEIGHT], v[:, HIDDEN])
