@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenfold.plans import q_matching
+from lumenfold.plans import q_distribution, q_matching
 
-MODULES = [q_matching]
+MODULES = [q_matching, q_distribution]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
