@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenfold.plans import q_distribution, q_matching
+from lumenfold.plans import q_distribution, q_labels, q_matching, q_text
 
-MODULES = [q_matching, q_distribution]
+MODULES = [q_matching, q_distribution, q_labels, q_text]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
