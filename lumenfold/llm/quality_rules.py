@@ -83,13 +83,13 @@ def default_rules(text: str = "text") -> list[Rule]:
     """Production rules; ratios are per word unless said otherwise."""
     t, n = F.coalesce(F.col(text), F.lit("")), F.col("n_words")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, GAPS, "") != "")
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
         Rule("exclamations", 2 * count_of(t, "!") > n),
         Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.size(lines)),
-        Rule("capitals", 2 * F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) > letters),
+        Rule("capitals", 2 * F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) > letters),
         Rule("letters", 2 * letters < F.col("word_chars")),
         Rule("bullets", 10 * F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^[-*•]"))) > 9 * F.size(lines)),
         Rule("ellipses", 10 * F.size(F.filter(lines, lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))) > 3 * F.size(lines)),
