@@ -1,9 +1,11 @@
 """Training-order token shards.
 
 Every document becomes fixed-stride sequences of token ids. A keyed Feistel permutation with
-cycle-walking gives each of the N sequences a global slot; the slots 0..N-1 are cut into ranges,
-and each range is one shard file whose record i belongs to slot first + i. A reader in training
-order is therefore sequential and resumes at any slot by arithmetic.
+cycle-walking maps each sequence's number (document, part) to a place in the same domain; the
+places are uniform, so equal ranges of them are partitions of equal size, and a sequence's global
+slot is the rank of its place. Each range is one shard file whose record i belongs to slot
+first + i. A reader in training order is therefore sequential and resumes at any slot by
+arithmetic. The order depends on ids and key alone, not on how the input was split.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import durable, read, rows_of
@@ -78,17 +79,8 @@ def tokenizer(ranks_file: str = RANKS_FILE):
     return tiktoken.Encoding("lumenfold", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_TOKENIZERS: dict = {}
-
-
-def _encoder(ranks_file: str):
-    if ranks_file not in _TOKENIZERS:
-        _TOKENIZERS[ranks_file] = tokenizer(ranks_file)
-    return _TOKENIZERS[ranks_file]
-
-
-def _ids(encoding, text: str, piece: int = 1 << 20) -> np.ndarray:
-    """Token ids of a whole text and END_ID; a very long text is encoded line by line group, which the pattern's white-space rule allows after a newline that letters follow."""
+def token_ids(encoding, text: str, piece: int = 1 << 20) -> np.ndarray:
+    """Token ids of a whole text and END_ID. A very long text is encoded in pieces that end before a space after a letter or digit, where the pattern always starts anew."""
     if len(text) <= piece:
         return np.array([*encoding.encode_ordinary(text), END_ID], np.uint16)
     out, at = [], 0
@@ -124,86 +116,77 @@ def _rename(old: str, new: str) -> None:
         store.move(fs.FileSystem.from_uri(old)[1], name)
 
 
-def write_shards(docs: DataFrame, folder: str, stride: int = 256, shard_records: int = 32768, key: int = 20240, ranks_file: str = RANKS_FILE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+#: Parts of a document, and ids, that have numbers of their own; beyond them numbers are shared and the record decides.
+PARTS, IDS = 1 << 20, 1 << 42
+
+
+def write_shards(docs: DataFrame, folder: str, stride: int = 256, shards: int | None = None, key: int = 20240, ranks_file: str = RANKS_FILE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Writes the shards to folder, which every executor must reach; returns the manifest (shard, path, first_slot, records, digest).
 
     Each document gives its tokens and END_ID in records of `stride` tokens; null and empty texts
-    give one record with END_ID alone, and rows without an id carry id -1. Repeated rows are
-    sequences of their own. An empty table gives an empty manifest. The sequence number of a record
-    is its place in the partitions of docs: docs has to come straight from files or a checkpoint, so
-    that a second reading finds the same partitions (a difference is noticed and raises). Texts are
-    tokenized twice, first to count, so that no copy of them is kept; a shard is written under a
-    temporary name and renamed, so a repeated task leaves one whole file.
+    give one record with END_ID alone, and rows without an id carry id -1. Sequences of equal
+    number (repeated ids) follow each other by record. An empty table gives an empty manifest.
+    shards: how many (None: one for each input partition). A text is tokenized once, and its
+    records cross one shuffle. A shard is written under a temporary name and renamed, so a
+    repeated task leaves one whole file.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-
-    def count(batches):
-        encoding, n = _encoder(ranks_file), 0
-        for big in batches:
-            for batch in rows_of(big, 256):
-                n += sum(-(-(len(encoding.encode_ordinary(t)) + 1 if len(t) <= 1 << 20 else len(_ids(encoding, t))) // stride) for t in batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
-
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part int, n long").collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part] = total
-        total += counts[part]
-    shards = max(1, -(-total // shard_records))
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    domain = min(high - low + 1, IDS) * PARTS
+    shards = shards or max(1, rows.rdd.getNumPartitions())
+    width = -(-domain // shards)
     kind = record_type(stride)
 
     def sequences(batches):
-        encoding, order, part = _encoder(ranks_file), Feistel(total, key), TaskContext.get().partitionId()
-        at = before.get(part, 0)
+        encoding, order = tokenizer(ranks_file), Feistel(domain, key)
         for big in batches:
             for batch in rows_of(big, 256):
-                records = []
+                records, numbers = [], []
                 for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = _ids(encoding, t)
+                    ids = token_ids(encoding, t)
                     n = -(-len(ids) // stride)
                     own = np.zeros(n, kind)
                     own["doc_id"], own["part"], own["length"] = doc, np.arange(n), np.minimum(stride, len(ids) - stride * np.arange(n))
-                    own["tokens"] = np.pad(ids, (0, n * stride - len(ids))).reshape(n, stride)
+                    flat = np.zeros(n * stride, np.uint16)
+                    flat[: len(ids)] = ids
+                    own["tokens"] = flat.reshape(n, stride)
                     records.append(own)
+                    numbers.append((doc - low) % IDS * PARTS + np.arange(n) % PARTS)
                 if not records:
                     continue
                 records = np.concatenate(records)
-                slots = order.slot(np.arange(at, at + len(records)))
-                at += len(records)
-                if at > before.get(part, 0) + counts.get(part, 0):
-                    raise RuntimeError("the partitions of docs changed between two readings; checkpoint docs first")
+                places = order.slot(np.concatenate(numbers))
                 data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize), len(records), [None, pa.py_buffer(records.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(slots // shard_records, pa.int32()), pa.array(slots), data.cast(pa.binary())], names=["shard", "slot", "record"])
-        if at != before.get(part, 0) + counts.get(part, 0):
-            raise RuntimeError("the partitions of docs changed between two readings; checkpoint docs first")
+                yield pa.RecordBatch.from_arrays([pa.array(places // width, pa.int32()), pa.array(places), data.cast(pa.binary())], names=["shard", "place", "record"])
 
     def write(batches):
-        shard, stream, first, n, digest, temporary = None, None, 0, 0, None, ""
+        shard, stream, n, digest, temporary = None, None, 0, None, ""
 
         def close():
             stream.close()
             path = f"{folder}/shard-{shard:07d}.bin"
             _rename(temporary, path)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([first]), pa.array([n]), pa.array([digest.hexdigest()])], names=["shard", "path", "first_slot", "records", "digest"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([n]), pa.array([digest.hexdigest()])], names=["shard", "path", "records", "digest"])
 
         for batch in batches:
-            for own, slot, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for own, record in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if own != shard:
                     if stream:
                         yield close()
-                    shard, first, n, digest = own, slot, 0, xxhash.xxh64()
+                    shard, n, digest = own, 0, xxhash.xxh64()
                     temporary = f"{folder}/.shard-{shard:07d}-{uuid.uuid4().hex}"
                     stream = _open(temporary, "wb")
-                if slot != first + n:
-                    raise RuntimeError(f"slot {first + n} is missing")
                 stream.write(record)
                 digest.update(record)
                 n += 1
         if stream:
             yield close()
 
-    dealt = rows.mapInArrow(sequences, "shard int, slot long, record binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
-    return durable(dealt.mapInArrow(write, "shard int, path string, first_slot long, records long, digest string"))
+    dealt = rows.mapInArrow(sequences, "shard int, place long, record binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "record")
+    written = durable(dealt.mapInArrow(write, "shard int, path string, records long, digest string"))
+    before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row for each shard
+    return written.select("shard", "path", F.coalesce(before, F.lit(0)).alias("first_slot"), "records", "digest")
 
 
 def read_shards(manifest: DataFrame, stride: int = 256, from_slot: int = 0, to_slot: int | None = None, chunk: int = 4096) -> DataFrame:
