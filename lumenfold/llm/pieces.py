@@ -158,19 +158,28 @@ def best_path(vocab: Vocabulary, text: str, start: list[int], last: list[int]) -
 
 
 def nbest_chunk(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]]:
-    """The n best (score, ids) of one lattice, best first, by backward A* over the forward scores; equal scores by fewer, then smaller pieces from the end."""
+    """The n best (score, ids) of one lattice, best first, by backward A* over the forward scores.
+
+    Of equal scores the path that is further along comes first, then the one met first. A position
+    is left n times at most: a later path through it has n before it that end no worse.
+    """
     best = forward(vocab, text)[0]
     out: list[tuple[float, list[int]]] = []
-    heap = [(-best[len(text)], 0, (), len(text), 0.0)]
+    left, met = [0] * (len(text) + 1), 0
+    heap = [(-best[-1], len(text), 0, 0.0, None)]  # the path is a chain from its first piece to its last
     while heap and len(out) < n:
-        _, count, path, at, done = heappop(heap)
+        _, at, _, done, path = heappop(heap)
         if not at:
-            pieces, end = [], 0
-            for length, k in reversed(path):
-                pieces.extend(_ids(vocab, text, end, end + length, k))
-                end += length
+            pieces: list[int] = []
+            while path:
+                length, k, path = path
+                pieces.extend(_ids(vocab, text, at, at + length, k))
+                at += length
             out.append((done, pieces))
             continue
+        if left[at] == n:
+            continue
+        left[at] += 1
         for i in range(max(0, at - vocab.longest), at):
             k, w = vocab.edges.get(text[i:at], (-1, 0.0))
             if k < 0:
@@ -178,7 +187,8 @@ def nbest_chunk(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, list[
                     continue
                 w = vocab.unknown
             if best[i] > LOW:
-                heappush(heap, (-(done + w + best[i]), count + 1, (*path, (at - i, k)), i, done + w))
+                met += 1
+                heappush(heap, (-(done + w + best[i]), i, met, done + w, (at - i, k, path)))
     return out
 
 
