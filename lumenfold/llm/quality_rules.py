@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import WORD_GAP, drop_clashing, read
 
-#: The symbols that count, and white space as translate() takes it.
-SYMBOLS = "#*$%&|<>"
-GAPS = " \t\n\x0b\x0c\r"
+#: The symbols that count, and a character of a word.
+SYMBOLS = r"[#*$%&|<>]+"
+WORD_CHAR = r"[^\x20\x09-\x0D]"
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -30,9 +30,9 @@ class Rule:
     reject: Column
 
 
-def count_of(text: Column, chars: str) -> Column:
-    """Characters of text that are in chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def worded_lines(text: Column) -> Column:
+    """The lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHAR))
 
 
 def words_of(text: Column) -> Column:
@@ -61,15 +61,15 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     n_repeat_words compares windows by a 64-bit hash of their words.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    df = drop_clashing(df, [*BASE, "_w", "_g", "_l"]).withColumn("_w", words_of(t)).withColumn("_l", F.filter(F.split(t, "\n"), lambda x: F.translate(x, GAPS, "") != ""))
+    df = drop_clashing(df, [*BASE, "_w", "_g", "_l"]).withColumn("_w", words_of(t)).withColumn("_l", worded_lines(t))
     index = F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>"))
     window = F.transform(index, lambda i: F.struct(F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)).alias("h"), i.alias("i")))
     df = df.withColumn("_g", F.sort_array(window))
     return df.select(
         *[c for c in df.columns if c not in ("_w", "_l", "_g")],
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate(t, GAPS, "")).cast("long").alias("word_chars"),
-        count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _repeat_positions(F.col("_w"), F.col("_g")).cast("long").alias("n_repeat_words"),
     )
@@ -82,12 +82,12 @@ def base_failed() -> Column:
 def default_rules(text: str = "text") -> list[Rule]:
     """Production rules; ratios are per word unless said otherwise."""
     t, n = F.coalesce(F.col(text), F.lit("")), F.col("n_words")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, GAPS, "") != "")
+    lines = worded_lines(t)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
-        Rule("exclamations", 2 * count_of(t, "!") > n),
+        Rule("exclamations", 2 * (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) > n),
         Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.size(lines)),
         Rule("capitals", 2 * F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) > letters),
         Rule("letters", 2 * letters < F.col("word_chars")),
