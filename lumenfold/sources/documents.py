@@ -30,8 +30,15 @@ def json_list(spark: SparkSession, path: str, record: T.StructType, field: str =
 
 
 def csv_windows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A semicolon-separated file in windows-1252 with a header."""
-    return spark.read.schema(schema).csv(path, sep=";", encoding="windows-1252", header=True)
+    """A semicolon-separated file in windows-1252 with a header.
+
+    Spark's CSV reader doesn't take that charset: the file is read as ISO-8859-1, which differs in
+    the control range alone, and that range is then translated.
+    """
+    here = "".join(chr(b) for b in range(0x80, 0xA0))
+    there = "".join(bytes([b]).decode("windows-1252", "replace") for b in range(0x80, 0xA0))
+    df = spark.read.schema(schema).csv(path, sep=";", encoding="iso-8859-1", header=True)
+    return df.select(*[F.translate(c, here, there).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str) -> DataFrame:
