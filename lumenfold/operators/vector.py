@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.config import MatchConfig
 
@@ -66,6 +69,64 @@ def select_matches(scored: DataFrame, cfg: MatchConfig, keys: tuple[str, ...] =
     return out if cfg.top_k is None else out.where(F.col("rank") <= cfg.top_k)
 
 
-def match(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """The matching pipeline; one shuffle, on the source key."""
-    return select_matches(relative_scores(score_pairs(sources, targets, cfg), cfg.power), cfg)
+def match_rows(sources: DataFrame, targets: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """The whole matching inside one pass over the sources, without a shuffle.
+
+    The target matrix, whose size the caller has checked, is broadcast; every batch of sources is
+    one matrix product, and since a source then has all its scores in one row, its maximum,
+    threshold and ranks need no other row. Sources without a vector, or with one of another
+    length, match nothing.
+    """
+    spark = sources.sparkSession
+    known = targets.select("target_id", "target_ord", "vector").orderBy("target_ord", "target_id").toArrow()
+    rows = [v for v in known.column("vector").to_pylist()]
+    dims = len(rows[0]) if rows and rows[0] is not None else 0
+    matrix = np.array(rows, dtype=np.float64).reshape(len(rows), dims)
+    if not cfg.assume_normalized:
+        matrix = _unit(matrix)
+    shared = spark.sparkContext.broadcast((matrix, known.column("target_id").combine_chunks(), known.column("target_ord").combine_chunks()))
+    keep = sources.select("source_id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == dims)
+
+    def run(batches):
+        matrix, ids, ords = shared.value
+        step = max(1, 4_000_000 // max(1, len(matrix)))
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(matrix) else 0, step):
+                batch = whole.slice(at, step)
+                x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, dims)
+                raw = (x if cfg.assume_normalized else _unit(x)) @ matrix.T
+                sharp = np.maximum(raw, 0.0) ** cfg.power
+                top = sharp.max(axis=1, keepdims=True)
+                score = np.divide(sharp, top, out=np.zeros_like(sharp), where=top > 0)
+                row, col = np.nonzero((score >= cfg.threshold) & (score > 0))
+                order = np.lexsort((col, -score[row, col], row))  # the matrix is in target order
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                if cfg.top_k is not None:
+                    first = rank <= cfg.top_k
+                    row, col, rank = row[first], col[first], rank[first]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids.take(pa.array(col)), ords.take(pa.array(col)), pa.array(raw[row, col]), pa.array(score[row, col]), pa.array(rank, pa.int32())], names=NAMES)
+
+    kind = {f.name: f.dataType for f in [*sources.schema.fields, *targets.schema.fields]}
+    schema = T.StructType([T.StructField(n, kind.get(n) or (T.IntegerType() if n == "rank" else T.DoubleType())) for n in NAMES])
+    return keep.mapInArrow(run, schema)
+
+
+NAMES = ["source_id", "target_id", "target_ord", "raw_cosine", "relative_score", "rank"]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def match(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = MatchConfig(), engine: str = "arrow") -> DataFrame:
+    """The matching pipeline: source_id, target_id, target_ord, raw_cosine, relative_score, rank.
+
+    engine "arrow": matrix products without a shuffle, while the targets are within
+    cfg.max_broadcast_values; beyond that, and with engine "sql", JVM expressions and one shuffle
+    on the source key.
+    """
+    if engine == "arrow" and targets.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] <= cfg.max_broadcast_values:
+        return match_rows(sources, targets, cfg)
+    return select_matches(relative_scores(score_pairs(sources, targets, cfg), cfg.power), cfg).select(*NAMES)

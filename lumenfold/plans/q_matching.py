@@ -17,9 +17,9 @@ def vectors(spark, sf_dir):
     return sources, targets
 
 
-def match_topk(spark, sf_dir, cfg=MatchConfig()):
+def match_topk(spark, sf_dir, cfg=MatchConfig(), engine="arrow"):
     s, t = vectors(spark, sf_dir)
-    return vector.match(s, t, cfg).select("source_id", "target_id", "rank", F.round("raw_cosine", 6).alias("raw_cosine"), F.round("relative_score", 6).alias("relative_score"))
+    return vector.match(s, t, cfg, engine).select("source_id", "target_id", "rank", F.round("raw_cosine", 6).alias("raw_cosine"), F.round("relative_score", 6).alias("relative_score"))
 
 
 def match_sql(power=5.5, threshold=0.68, k=10):
@@ -37,5 +37,6 @@ WIDE = MatchConfig(power=1.0, threshold=0.30)
 QUERIES = {
     "match_topk": match_topk,
     "match_topk_wide": lambda spark, d: match_topk(spark, d, WIDE),
+    "match_topk_sql": lambda spark, d: match_topk(spark, d, engine="sql"),
 }
-ORACLE_SQL = {"match_topk": match_sql(), "match_topk_wide": match_sql(1.0, 0.30)}
+ORACLE_SQL = {"match_topk": match_sql(), "match_topk_wide": match_sql(1.0, 0.30), "match_topk_sql": match_sql()}

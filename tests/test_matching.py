@@ -52,10 +52,22 @@ def test_cosine_of_raw_vectors_and_blocks_beyond_the_broadcast_bound(spark):
 
 def test_one_shuffle_and_group_limit(spark):
     s, t = frames(spark, [[1.0, 0.0]] * 3, [[1.0, 0.0]] * 3)
-    vector_plan = vector.match(s, t)._jdf.queryExecution().executedPlan().toString()
+    vector_plan = vector.match(s, t, engine="sql")._jdf.queryExecution().executedPlan().toString()
     assert vector_plan.count("hashpartitioning(source_id") == 1 and "WindowGroupLimit" in vector_plan
 
 
+def test_both_engines_agree(spark):
+    import random
+
+    r = random.Random(4)
+    s, t = frames(spark, [[r.gauss(0, 1) for _ in range(8)] for _ in range(60)] + [[0.0] * 8], [[r.gauss(0, 1) for _ in range(8)] for _ in range(30)])
+    for cfg in (MatchConfig(assume_normalized=False), MatchConfig(1.0, 0.3, 4, False), MatchConfig(2.0, 0.0, None, False)):
+        a, b = (sorted((x["source_id"], x["rank"], x["target_id"], round(x["raw_cosine"], 9), round(x["relative_score"], 9)) for x in vector.match(s, t, cfg, e).collect()) for e in ("arrow", "sql"))
+        assert a == b and a
+    assert vector.match(s, t.where("false")).count() == 0 and vector.match(s.where("false"), t).count() == 0
+    assert vector.match(s.withColumn("vector", F.lit(None).cast("array<float>")), t).count() == 0
+
+
 @pytest.mark.parametrize("bad", [{"power": 0}, {"threshold": 1.5}, {"top_k": 0}])
 def test_bad_parameters(bad):
     with pytest.raises(ValueError):
