@@ -129,3 +129,16 @@ def test_preflight_and_sets(spark):
     df = spark.range(3)
     assert B.preflight({"low": (df, F.col("id") > 1), "fine": (df, F.col("id") > 5)}) == ["low"]
     assert J.same_set(df, spark.range(3), ["id"]) and not J.same_set(df, spark.range(4), ["id"])
+
+
+def test_encoder_hook_and_forbidden_names(spark):
+    import numpy as np
+
+    from lumenfold.operators import encode as E
+
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "id int, t string")
+    got = {r["id"]: list(r["embedding"]) for r in E.encode(df, "id", "t", lambda: lambda texts: np.array([[len(t), 0.0, len(t)] for t in texts])).collect()}
+    assert got[2] == [0, 0, 0] and got[1] == pytest.approx([0.5**0.5, 0, 0.5**0.5])
+    nested = spark.sql("select named_struct('a', array(named_struct('human_label', 1))) x, map('k', named_struct('b', 2)) m")
+    assert E.forbidden_fields(nested, ["human_label", "b"]) == ["x.a.human_label", "m.b"]
+    assert E.forbidden_keys('{"a": [{"b": {"c": 1}}], "c": 2}', ["c"]) == ["c", "c"]
