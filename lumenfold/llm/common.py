@@ -51,6 +51,26 @@ def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, *extra.values()], names=[*batch.schema.names, *extra])
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left with right's columns by key (inner), where right has each key once with n, the number of its rows in left, and left has total rows.
+
+    At most 1,000 keys can hold a thousandth of left's rows each: those of right are broadcast, so a
+    hot key's rows stay where they are; what is left has no hot key and is shuffled.
+    """
+    least = max(total, 1000)
+    value = [c for c in right.columns if c not in (key, "n")]
+    hot = right.where(F.col("n") * 1000 >= least).select(key, *value, F.lit(True).alias("_hot"))
+    cold = right.where(F.col("n") * 1000 < least).select(key, *value)
+    met = left.join(F.broadcast(hot), key, "left")
+    return met.where("_hot").drop("_hot").unionByName(met.where("_hot is null").select(*left.columns).join(cold, key))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs less the rows whose doc_id is in ids (which has each once). Up to broadcast_rows ids go to the rows; more meet them in a shuffle."""
+    ids = durable(ids.select("doc_id"))
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most_rows: dict[int, int]) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """([(text, label)], {label: training rows}): at most most_rows[value] labelled texts of each value, for fitting.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import durable, labelled_sample, read, rows_of
+from lumenfold.llm.common import durable, labelled_sample, read, rows_of, without_ids
 from lumenfold.llm.features import Lexicon, WordTable, abuse_features, shape_features
 from lumenfold.llm.toxicity import induce
 
@@ -180,5 +180,4 @@ def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
     model = fit_tables(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     members = durable(memberships(docs.select("doc_id", "text"), model))
     rate, _ = fit_rates(members, {"good": 1.0}, epochs)
-    out = members.where(copies(rate, F.col("doc_id")) < 1).select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, members.where(copies(rate, F.col("doc_id")) < 1).select("doc_id").distinct())

@@ -15,11 +15,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lumenfold.llm.common import drop_clashing, durable, read
+from lumenfold.llm.common import durable, join_hot, read, without_ids
 
 BITS = 64
 SEED = 42
@@ -96,9 +95,10 @@ class Forest:
             r = above
 
 
-def link_bucket(fp: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) of a spanning forest of the links among the distinct fingerprints of one bucket."""
-    fp = fp[np.argsort(np.bitwise_count(fp), kind="stable")]
+def link_bucket(fp: np.ndarray, ids: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, id of its root) of a spanning forest of the links among the distinct fingerprints of one bucket."""
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    fp, ids = fp[order], ids[order]
     pop = np.bitwise_count(fp).astype(np.int64)
     forest, n = Forest(len(fp)), len(fp)
     for i in range(0, n, tile):
@@ -111,88 +111,87 @@ def link_bucket(fp: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarra
             forest.join(x[x < y], y[x < y])
     roots = forest.roots(np.arange(n))
     own = np.flatnonzero(roots != np.arange(n))
-    return fp[own], fp[roots[own]]
+    return ids[own], ids[roots[own]]
 
 
-def link_small(fp: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def link_small(fp: np.ndarray, ids: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of many small buckets at once: one exclusive or for each distance between neighbours in bucket order."""
-    out_a, out_b = [], []
+    out_a, out_b = [ids[:0]], [ids[:0]]
     k = 1
     while k < len(fp):
-        same = bucket[k:] == bucket[:-k]
-        if not same.any():
+        at = np.flatnonzero(bucket[k:] == bucket[:-k])
+        if not len(at):
             break
-        at = np.flatnonzero(same)
         at = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= radius]
-        out_a.append(fp[at + k])
-        out_b.append(fp[at])
+        out_a.append(ids[at + k])
+        out_b.append(ids[at])
         k += 1
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (fp[:0], fp[:0])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def links(distinct: DataFrame, radius: int, blocks: int, small: int = 24) -> DataFrame:
-    """(a, b) edges whose components are the components of all links among the distinct fingerprints of column fp.
+    """(a, b) edges between ids whose components are the components of all links among distinct's rows (id, fp), each fp once.
 
     One shuffle deals the buckets out; sorted partitions are then streamed, so that a task holds
     one bucket at a time. A bucket of u members gives at most u - 1 edges, or, up to `small`
     members, its linked pairs.
     """
     masks = block_masks(radius, blocks)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks])).alias("mask", "part"))
-    keyed = keyed.select("fp", F.xxhash64("mask", "part").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    keyed = distinct.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks])).alias("mask", "part"))
+    keyed = keyed.select("fp", "id", F.xxhash64("mask", "part").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
-        held_fp, held_bucket = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fp, ids, bucket = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def linked(fp, bucket):
+        def linked(fp, ids, bucket):
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(fp)]]))
             few = np.repeat(sizes <= small, sizes)
-            yield link_small(fp[few], bucket[few], radius)
+            yield link_small(fp[few], ids[few], bucket[few], radius)
             for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-                yield link_bucket(np.unique(fp[s : s + n]), radius)
+                yield link_bucket(fp[s : s + n], ids[s : s + n], radius)
 
         def out(pairs):
             for a, b in pairs:
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            fp = np.concatenate([held_fp, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            bucket = np.concatenate([held_bucket, batch.column(1).to_numpy(zero_copy_only=False)])
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            fp, ids, bucket = np.concatenate([fp, new[0].view(np.uint64)]), np.concatenate([ids, new[1]]), np.concatenate([bucket, new[2]])
             if not len(fp):
                 continue
             last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on
-            held_fp, held_bucket = fp[last:], bucket[last:]
             if last:
-                yield from out(linked(fp[:last], bucket[:last]))
-        if len(held_fp):
-            yield from out(linked(held_fp, held_bucket))
+                yield from out(linked(fp[:last], ids[:last], bucket[:last]))
+            fp, ids, bucket = fp[last:], ids[last:], bucket[last:]
+        if len(fp):
+            yield from out(linked(fp, ids, bucket))
 
     return keyed.mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), root being the smallest node of its component (as signed longs).
+    """(node, root) for every node of the edges (a, b), root being the smallest node of its component.
 
-    Alternates large-star and small-star steps; each is a shuffle of the edges alone, and a
-    round's edges are checkpointed, so a lost executor costs one round. Stops when a round
-    changes nothing.
+    Alternates large-star and small-star steps; each is a shuffle of the edges alone, a node with
+    very many edges is not gathered anywhere, and a round's edges are checkpointed, so a lost
+    executor costs one round. Stops when a round changes nothing.
     """
     e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
+        if not state[0]:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = durable(small)
-        state = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = durable(join_hot(both, low, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = join_hot(large, low, "u", large.count())
+        e = durable(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        was, state = state, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == was:
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
@@ -206,19 +205,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, text: st
     other; repeated ids keep their rows; an empty table gives no rows. Other columns are ignored.
     """
     prints = durable(fingerprints(docs, shingle, text, doc_id))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     total, count = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    roots = components(links(distinct.select("fp"), radius, blocks_for(total, radius)))
-    # The smallest id of each component, then of each fingerprint.
-    lowest = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    ids = lowest.groupBy("root").agg(F.min("least").alias("component_id"))
-    lowest = durable(lowest.select("fp", "n", "root").join(ids, "root").select("fp", "n", "component_id"))
-    # At most 1,000 fingerprints hold a thousandth of the rows each: those are broadcast, and what is left has no hot key.
-    hot = lowest.where(F.col("n") * 1000 >= max(count, 1000)).select("fp", "component_id")
-    cold = lowest.where(F.col("n") * 1000 < max(count, 1000)).select("fp", "component_id")
-    known = prints.join(F.broadcast(hot), "fp", "left")
-    found = known.where("component_id is not null").unionByName(known.where("component_id is null").drop("component_id").join(cold, "fp"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # A fingerprint's least id stands for it, so that a component's root is its smallest id.
+    roots = components(links(distinct.select("id", "fp"), radius, blocks_for(total, radius)))
+    found = durable(distinct.join(roots, distinct["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")))
+    out = join_hot(prints, found, "fp", count)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark, sf_dir):
@@ -227,5 +220,4 @@ def op5_simhash(spark, sf_dir):
 
 def keep_one(spark, docs, sf_dir):
     """Pipeline stage: of each component the document with the smallest id stays; rows without an id stay, as nothing is known to equal them."""
-    near = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(near, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())

@@ -39,10 +39,10 @@ def clusters(rng, n):
 def test_links_and_components_against_brute_force(spark, blocks, small):
     fp = list(dict.fromkeys(clusters(np.random.default_rng(blocks), 400)))
     signed = [x - (1 << 64) if x >> 63 else x for x in fp]
-    edges = S.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, blocks, small)
+    edges = S.links(spark.createDataFrame([(x, 3 * i) for i, x in enumerate(signed)], "fp long, id long"), 4, blocks, small)
     roots = {r["node"]: r["root"] for r in S.components(edges).collect()}
-    got = {x: roots.get(x, x) for x in signed}
-    assert got == brute_components(fp, signed, 4)
+    ids = [3 * i for i in range(len(fp))]
+    assert {i: roots.get(i, i) for i in ids} == brute_components(fp, ids, 4)
 
 
 def test_every_link_shares_a_mask():
@@ -57,14 +57,14 @@ def test_every_link_shares_a_mask():
 def test_tiles_skip_nothing_that_links():
     fp = np.array(clusters(np.random.default_rng(9), 1200), np.uint64)
     fp = np.unique(fp)
-    a, b = S.link_bucket(fp, 4, tile=32)
-    x, y = S.link_bucket(fp, 4, tile=4096)
+    a, b = S.link_bucket(fp, np.arange(len(fp)), 4, tile=32)
+    x, y = S.link_bucket(fp, np.arange(len(fp)), 4, tile=4096)
     assert len(a) == len(x)
 
 
 def test_chain_is_one_component(spark):
     fp = [(1 << k) - 1 for k in range(0, 62, 2)]
-    edges = S.links(spark.createDataFrame([(x,) for x in fp], "fp long"), 4, 5)
+    edges = S.links(spark.createDataFrame([(x, i) for i, x in enumerate(fp)], "fp long, id long"), 4, 5)
     assert {r["root"] for r in S.components(edges).collect()} == {0}
 
 
