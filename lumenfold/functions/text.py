@@ -17,6 +17,11 @@ SPACE = r"(?U)\s+"
 TRIM = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once although the body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(t: Column) -> Column:
     return F.regexp_replace(t, TRIM, "")
 
@@ -128,8 +133,8 @@ def strip_scored(t: Column) -> Column:
 
 def paired_tags(t: Column, separator: str = ",") -> Column:
     """Tokens of a separated list, two by two, each pair joined by a space; a last odd one stands alone."""
-    a = F.transform(F.split(t, re.escape(separator)), F.trim)
-    return F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(2)), lambda i: F.concat_ws(" ", F.slice(a, i + 1, 2)))
+    tokens = F.transform(F.split(t, re.escape(separator)), F.trim)
+    return let(tokens, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(2)), lambda i: F.concat_ws(" ", F.slice(a, i + 1, 2))))
 
 
 def sha256(t: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import let
+
 
 def fold_contained(texts: Column) -> Column:
     """Representatives in order of arrival: a text that contains, or is contained in, one already held is passed over."""
@@ -26,7 +28,7 @@ def drop_contained(texts: Column) -> Column:
     """Distinct texts, longest first, without those that a longer one contains."""
     d = F.array_distinct(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""))
     d = F.transform(F.array_sort(F.transform(d, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: s["t"])
-    return F.filter(d, lambda t: ~F.exists(d, lambda o: (F.length(o) > F.length(t)) & F.contains(o, t)))
+    return let(d, lambda d: F.filter(d, lambda t: ~F.exists(d, lambda o: (F.length(o) > F.length(t)) & F.contains(o, t))))
 
 
 def consolidate(rows: DataFrame, key: str, title: str, text: str, block: str, pages: str, extra: list[Column] | None = None) -> DataFrame:
