@@ -65,14 +65,18 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     index = F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>"))
     window = F.transform(index, lambda i: F.struct(F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)).alias("h"), i.alias("i")))
     df = df.withColumn("_g", F.sort_array(window))
-    return df.select(
-        *[c for c in df.columns if c not in ("_w", "_l", "_g")],
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _repeat_positions(F.col("_w"), F.col("_g")).cast("long").alias("n_repeat_words"),
-    )
+    counts = {
+        "n_words": F.size("_w"),
+        "word_chars": F.length(F.array_join("_w", "")),
+        "n_symbols": F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, "")),
+        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "n_repeat_words": _repeat_positions(F.col("_w"), F.col("_g")),
+    }
+    # A filter over the counts must not be pushed below them: it would put the arrays' expressions
+    # in place of their columns, inside lambdas that run for each word. An expression that isn't
+    # deterministic, though it always holds, keeps it above.
+    here = F.spark_partition_id() >= 0
+    return df.select(*[c for c in df.columns if c not in ("_w", "_l", "_g")], *[F.when(here, c.cast("long")).alias(n) for n, c in counts.items()])
 
 
 def base_failed() -> Column:
@@ -88,7 +92,7 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
         Rule("exclamations", 2 * (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) > n),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.size(lines)),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size(lines)),
         Rule("capitals", 2 * F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) > letters),
         Rule("letters", 2 * letters < F.col("word_chars")),
         Rule("bullets", 10 * F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^[-*•]"))) > 9 * F.size(lines)),
@@ -168,7 +172,7 @@ c AS (SELECT w.doc_id, len(ws)::BIGINT n_words, len(regexp_replace(t, '[\x20\x09
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * bangs > n_words
-            OR 10 * n_dup_lines > 3 * len(ls) OR 2 * caps > letters OR 2 * letters < word_chars
+            OR 2 * n_dup_lines > len(ls) OR 2 * caps > letters OR 2 * letters < word_chars
             OR 10 * len(list_filter(ls, lambda x: regexp_matches(ltrim(x), '^[-*•]'))) > 9 * len(ls)
             OR 10 * len(list_filter(ls, lambda x: regexp_matches(rtrim(x), '(\.\.\.|…)$'))) > 3 * len(ls)) kept
 FROM b"""

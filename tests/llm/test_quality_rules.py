@@ -49,3 +49,10 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(out) == 10 and not any(r["kept"] for r in out if r["doc_id"] in (1, 2, 3, 4))
     assert {r["n_words"] for r in out if r["doc_id"] in (1, 2, 3)} == {0}
     assert Q.apply_rules(no_docs).count() == 0
+
+
+def test_a_filter_stays_above_the_counts(spark):
+    df = Q.apply_rules(spark.createDataFrame([(1, "a b c " * 3000)], "doc_id int, text string")).where("kept or n_words > 5").select("doc_id")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1 and plan.index("Filter") < plan.index("sort_array")
+    assert df.count() == 1
