@@ -11,13 +11,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.session import durable
+
 
 def pair_manifest(pairs: DataFrame, order: Sequence[str], partitions: int = 32) -> DataFrame:
     """pairs with their index, from 0, in a total order.
 
     Ranges of the order are numbered apart and their sizes added up, so no task sorts everything.
+    The ranges are checkpointed: were they dealt again, they might be cut elsewhere.
     """
-    by = pairs.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    by = durable(pairs.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id()))
     n = by.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return by.withColumn("_i", own).join(F.broadcast(n.select("_p", "_before")), "_p").withColumn("index", (F.col("_i") + F.col("_before")).cast("long")).drop("_p", "_i", "_before")

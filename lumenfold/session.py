@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,3 +29,15 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables; any Hadoop path or URI works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint: computed once, lineage cut, kept where every executor can read it.
+
+    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one
+    machine) a temporary one is made.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenfold-"))
+    return df.checkpoint(eager=True)
