@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters read as letters in disguise, and what surrounds a word.
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -141,7 +143,8 @@ def shape_features(ids: np.ndarray, starts: np.ndarray, v: np.ndarray) -> np.nda
     same = [np.zeros(len(ids)) for _ in range(2)]
     for k in (1, 2):
         same[k - 1][k:] = (ids[k:] == ids[:-k]) & (span[k:] == span[:-k])
-    distinct = np.bincount(np.unique(span * (int(ids.max()) + 1 if len(ids) else 1) + ids) // (int(ids.max()) + 1 if len(ids) else 1), minlength=len(n)) if len(ids) else np.zeros(len(n))
+    most = int(ids.max(initial=0)) + 1
+    distinct = np.bincount(pc.unique(pa.array(span * most + ids)).to_numpy() // most, minlength=len(n))
     square = sums(v[:, LENGTH].astype(np.float64) ** 2, starts)
     mean = s[:, LENGTH] / some
     return np.column_stack([
