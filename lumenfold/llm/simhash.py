@@ -218,6 +218,157 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: For similar texts: words of 64 bits in a fingerprint, rows of a tile, ratio of the lengths that a bucket spans.
+WORDS, TILE, RATIO = 4, 16384, 1.25
+
+
+def wide_fingerprint(text: str, shingle: int) -> tuple[np.ndarray, int]:
+    """(WORDS * 64 majority bits of the XXH3 hashes of all word shingles, number of shingles); words as in fingerprint()."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(WORDS, np.uint64), 0
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(shingle, len(words))
+    starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+    ones = np.zeros((WORDS // 2, 128), np.int64)
+    for at in range(0, len(starts), CHUNK):
+        part = [joined[a:b] for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)]
+        for seed in range(WORDS // 2):
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part, repeat(seed))), np.uint8).reshape(-1, 16)
+            ones[seed] += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones.ravel() > len(starts), bitorder="little").view(np.uint64), len(starts)
+
+
+def radius_for(similarity: float, margin: float = 1.2) -> int:
+    """Differing bits expected at this Jaccard similarity of equally long texts (cosine 2s / (1 + s)), and `margin` standard deviations more, so that few similar pairs are lost to chance."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = WORDS * 64
+    return int(n * p + margin * np.sqrt(n * p * (1 - p)))
+
+
+def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (as positions in a then b) of the links within a tile (b None) or between two tiles of wide fingerprints."""
+    whole = a if b is None else np.concatenate([a, b])
+    pop = np.bitwise_count(whole).sum(axis=1, dtype=np.int64)
+    forest = Forest(len(whole))
+    x = np.argsort(pop[: len(a)], kind="stable")
+    y = x if b is None else len(a) + np.argsort(pop[len(a) :], kind="stable")
+    for i in range(0, len(x), block):
+        p = x[i : i + block]
+        for j in range(i if b is None else 0, len(y), block):
+            q = y[j : j + block]
+            if pop[q[0]] - pop[p[-1]] > radius:
+                break
+            if pop[p[0]] - pop[q[-1]] > radius:
+                continue
+            d = np.zeros((len(p), len(q)), np.uint16)
+            for w in range(WORDS):
+                d += np.bitwise_count(whole[p, w][:, None] ^ whole[q, w][None, :])
+            u, v = np.nonzero(d <= radius)
+            forest.join(p[u], q[v])
+    roots = forest.roots(np.arange(len(whole)))
+    own = np.flatnonzero(roots != np.arange(len(whole)))
+    return own, roots[own]
+
+
+def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
+    """(a, b) edges between ids whose components are those of all links among distinct's rows (id, shingles, f0..): fingerprints within the radius whose lengths differ by less than two buckets.
+
+    Texts as similar as RATIO asks for differ in length by at most that ratio, so they lie in one
+    bucket of lengths or in neighbouring ones. A bucket's rows are dealt into tiles, and every pair
+    of tiles of one bucket or of neighbours is a unit of work that some task holds alone. A unit
+    gives a spanning forest of its links.
+    """
+    b = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.lit(float(np.log(RATIO)))).cast("int")
+    rows = distinct.select("id", *[f"f{w}" for w in range(WORDS)], b.alias("b"))
+    tiles = {r["b"]: -(-r["n"] // TILE) for r in rows.groupBy("b").agg(F.count("*").alias("n")).collect()}  # a row for each bucket: some hundred at most
+    names = ["unit", "side", "id", *(f"f{w}" for w in range(WORDS))]
+
+    def deal(batches):
+        for batch in batches:
+            ids, bucket = batch.column(0).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            at, unit, side = [], [], []
+            for c in np.unique(bucket).tolist():
+                own = np.flatnonzero(bucket == c)
+                mine = (ids[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles[c]
+                for j in range(tiles[c]):
+                    at.append(own)
+                    unit.append(((2 * c) << 40) + (np.minimum(mine, j) << 20) + np.maximum(mine, j))
+                    side.append((mine > j).astype(np.int32))
+                for j in range(tiles.get(c + 1, 0)):
+                    at.append(own)
+                    unit.append(((2 * c + 1) << 40) + (mine << 20) + j)
+                    side.append(np.zeros(len(own), np.int32))
+                for j in range(tiles.get(c - 1, 0)):
+                    at.append(own)
+                    unit.append(((2 * c - 1) << 40) + (j << 20) + mine)
+                    side.append(np.ones(len(own), np.int32))
+            if at:
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(unit)), pa.array(np.concatenate(side)), *(batch.column(k).take(take) for k in range(WORDS + 1))], names=names)
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def linked(columns):
+            side, ids, fp = columns[1], columns[2], np.column_stack(columns[3:]).view(np.uint64)
+            first = side == 0
+            if columns[0][0] >> 40 & 1 or columns[0][0] >> 20 & 0xFFFFF != columns[0][0] & 0xFFFFF:
+                u, v = link_tiles(fp[first], fp[~first], radius) if first.any() and not first.all() else (ids[:0], ids[:0])
+            else:
+                u, v = link_tiles(fp, None, radius)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["a", "b"])
+
+        def close():
+            yield from linked([np.concatenate(c) for c in zip(*held, strict=True)])
+            held.clear()
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+            for a, z in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a < z:
+                    if held and held[-1][0][0] != columns[0][a]:
+                        yield from close()
+                    held.append([c[a:z] for c in columns])
+        if held:
+            yield from close()
+
+    kinds = "unit long, side int, id long, " + ", ".join(f"f{w} long" for w in range(WORDS))
+    return rows.mapInArrow(deal, kinds).repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) for every row of docs that has an id: the smallest id reachable over links of estimated shingle similarity.
+
+    64 bits cannot tell 0.8 from chance at a radius that keeps most such pairs, so fingerprints are
+    WORDS * 64 bits wide and the radius follows from the similarity (see radius_for). The comparison
+    is quadratic in the distinct texts of like length, as the tiled method is. Cases as in
+    near_duplicates.
+    """
+    if not RATIO ** -1 <= similarity <= 1:
+        raise ValueError(f"the length buckets hold for similarities from {1 / RATIO}")
+    kinds = ", ".join(f"f{w} long" for w in range(WORDS))
+
+    def run(batches):
+        for batch in batches:
+            found = [wide_fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()]
+            fp = np.array([f for f, _ in found], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in found], pa.int64()), *(pa.array(fp[:, w]) for w in range(WORDS))], names=["doc_id", "shingles", *(f"f{w}" for w in range(WORDS))])
+
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    words = [f"f{w}" for w in range(WORDS)]
+    prints = durable(rows.mapInArrow(run, f"doc_id long, shingles long, {kinds}").withColumn("fp", F.xxhash64(*words)))
+    distinct = durable(prints.groupBy("fp", *words).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min("shingles").alias("shingles")))
+    count = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components(similar_links(distinct, radius_for(similarity)))
+    found = durable(distinct.join(roots, distinct["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")))
+    return join_hot(prints.select("doc_id", "fp"), found, "fp", count).select("doc_id", "component_id")
+
+
 def keep_one(spark, docs, sf_dir):
-    """Pipeline stage: of each component the document with the smallest id stays; rows without an id stay, as nothing is known to equal them."""
-    return without_ids(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    """Pipeline stage: of each component of similar documents (five words, 0.8) the one with the smallest id stays; rows without an id stay, as nothing is known to equal them."""
+    return without_ids(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct())

@@ -82,3 +82,47 @@ def test_contract_cases(spark, odd_docs, no_docs):
 def test_stage_keeps_the_least_id(spark):
     docs = spark.createDataFrame([(5, "t w o s e n"), (3, "t w o s e n"), (9, "another text with nothing in common"), (None, "t w o s e n")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in S.keep_one(spark, docs, "").collect()) == [0, 3, 9]
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for i in rng.integers(0, len(w), n):
+        w[i] = f"new{rng.integers(0, 1 << 30)}"
+    return w
+
+
+@pytest.mark.parametrize("tile", [16384, 7])
+def test_similar_documents_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(S, "TILE", tile)
+    rng = np.random.default_rng(11)
+    docs = []
+    for length in (30, 60, 200, 260, 320, 1000):
+        base = [f"w{x}" for x in rng.integers(0, 5000, length)]
+        docs += [base, base, *(edited(rng, base, max(1, length // 100)) for _ in range(4)), edited(rng, base, length // 2), base[: int(length * 0.9)]]
+    texts = [" ".join(d) for d in docs] + ["", " "]
+    ids = [100 - i for i in range(len(texts))]
+    fps = [S.wide_fingerprint(t, 5) for t in texts]
+    up = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            near = abs(np.floor(np.log(max(fps[i][1], 1)) / np.log(S.RATIO)) - np.floor(np.log(max(fps[j][1], 1)) / np.log(S.RATIO))) <= 1
+            if near and np.bitwise_count(fps[i][0] ^ fps[j][0]).sum() <= S.radius_for(0.8):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    want = {d: min(ids[k] for k in range(len(ids)) if up[k] == up[i]) for i, d in enumerate(ids)}
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(df).collect()}
+    assert got == want
+    # Copies with few edits belong together (the short texts are below 0.8), a half-rewritten text does not.
+    for k in range(16, 48, 8):
+        assert len({got[ids[k + i]] for i in range(6)}) == 1 and got[ids[k + 6]] != got[ids[k]]
+
+
+def test_similar_documents_odd_rows(odd_docs, no_docs):
+    got = {}
+    for r in S.similar_documents(odd_docs).collect():
+        got.setdefault(r["doc_id"], []).append(r["component_id"])
+    assert got == {1: [1], 2: [1], 3: [1], 4: [4], 5: [5], 6: [6, 6], 8: [8], 9: [9]}
+    assert S.similar_documents(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        S.similar_documents(no_docs, similarity=0.5)
