@@ -56,9 +56,9 @@ def relative_scores(pairs: DataFrame, power: float, keys: tuple[str, ...] = ("so
     return scored.withColumn("relative_score", F.when(F.col("_top") > 0, F.col("_sharp") / F.col("_top")).otherwise(F.lit(0.0))).drop("_sharp", "_top")
 
 
-def ranked(pairs: DataFrame, power: float, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
-    """Full ranking: relative score descending, then the frozen target order."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("relative_score"), F.asc("target_ord"))
+def ranked(pairs: DataFrame, power: float, keys: tuple[str, ...] = ("source_id",), last_first: bool = False) -> DataFrame:
+    """Full ranking: relative score descending, then the frozen target order (its reverse with last_first)."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("relative_score"), F.desc("target_ord") if last_first else F.asc("target_ord"))
     return relative_scores(pairs, power, keys).withColumn("rank", F.row_number().over(w))
 
 

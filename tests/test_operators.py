@@ -142,3 +142,23 @@ def test_encoder_hook_and_forbidden_names(spark):
     nested = spark.sql("select named_struct('a', array(named_struct('human_label', 1))) x, map('k', named_struct('b', 2)) m")
     assert E.forbidden_fields(nested, ["human_label", "b"]) == ["x.a.human_label", "m.b"]
     assert E.forbidden_keys('{"a": [{"b": {"c": 1}}], "c": 2}', ["c"]) == ["c", "c"]
+
+
+def test_results_match_one_to_one(spark):
+    from lumenfold.operators import requirements as R
+
+    rec, res = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "YES"), (2, "NO")], "k int, verdict string")
+    assert {r["k"]: r["llm_verdict"] for r in R.merge_results(rec, res, "k", ["verdict"]).collect()} == {1: "YES", 2: "NO"}
+    for bad in (res.where("k = 1"), res.union(res.where("k = 1")), res.unionByName(spark.createDataFrame([(9, "NO")], "k int, verdict string"))):
+        with pytest.raises(Exception, match="one to one"):
+            R.merge_results(rec, bad, "k", ["verdict"]).collect()
+
+
+def test_rationales_are_joined_over_their_overlaps(spark):
+    from lumenfold.operators import requirements as R
+
+    words = [f"word{i}" for i in range(60)]
+    a, b = " ".join(words[:40]), " ".join(words[20:])
+    rows = spark.createDataFrame([("x", b, 2, [3, 2], 0.5), ("x", a, 1, [2, 1], 1.0), ("x", " ".join(words[5:15]), 3, [9], 0.0)], "id string, text string, block_id int, source_pages array<int>, confidence double")
+    r = R.consolidate_rationales(rows).first()
+    assert r["text"] == " ".join(words) and r["source_pages"] == [1, 2, 3, 9] and r["mean_confidence"] == 0.5 and r["occurrences"] == 3
