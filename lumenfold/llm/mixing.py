@@ -171,13 +171,17 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+#: Shares of the tokens that the pipeline's corpus may have: a classifier that cannot be sure keeps some mass in each domain, so none is 0.
+CORPUS = {"poor": 0.01, "good": 0.98, "toxic": 0.01}
+
+
 def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
-    """Pipeline stage: the documents that the fitted rates take, for a corpus of good text alone over one and a half epochs.
+    """Pipeline stage: the documents that the fitted rates take for CORPUS over one and a half epochs.
 
     A text is left out if its rate gives it no copy. One that gets several stays once: near
     duplicates have just been taken out, and repeats are left to the trainer's epochs.
     """
     model = fit_tables(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     members = durable(memberships(docs.select("doc_id", "text"), model))
-    rate, _ = fit_rates(members, {"good": 1.0}, epochs)
+    rate, _ = fit_rates(members, CORPUS, epochs)
     return without_ids(docs, members.where(copies(rate, F.col("doc_id")) < 1).select("doc_id").distinct())
