@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import hierarchy as h
 from lumenfold.functions import text as t
+from lumenfold.operators import consolidate as C
 from lumenfold.operators import joins as J
 from lumenfold.plans.standins import CTE, candidates, rules, targets
 from lumenfold.session import table
@@ -69,12 +70,17 @@ def full_association(spark, sf_dir):
     return out.select("source_id", "target_id", "rank", "target_type", "lang", F.sha2("rationale", 256).alias("rationale"), t.filled(F.col("rationale")).alias("available"))
 
 
+def passages():
+    x = F.col("text")
+    return F.array(F.substring(x, 1, 40), F.substring(x, 1, 80), F.substring(x, 20, 30), F.substring(x, 60, 60), F.lit(""))
+
+
 def drop_contained(spark, sf_dir):
-    from lumenfold.operators import consolidate as C
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(C.drop_contained(passages()), "¦").alias("kept"))
 
-    x = F.col("text")
-    parts = F.array(F.substring(x, 1, 40), F.substring(x, 1, 80), F.substring(x, 20, 30), F.substring(x, 60, 60), F.lit(""))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(C.drop_contained(parts), "¦").alias("kept"), C.merge_texts(parts).alias("merged"))
+
+def merge_texts(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", C.merge_texts(passages()).alias("merged"))
 
 
 def fenced_json(spark, sf_dir):
@@ -110,7 +116,7 @@ def display(spark, sf_dir):
 
 QUERIES = {
     "page_previews": page_previews, "alias_coalescing": aliased, "id_order": id_order, "verdict_order": verdict_order, "heading_categories": headings, "plain_texts": plain_texts, "top_gaps": gaps,
-    "full_association": full_association, "drop_contained": drop_contained, "fenced_json": fenced_json, "source_split": source_split, "union_columns": union_columns, "rule_overlap": rule_overlap,
+    "full_association": full_association, "drop_contained": drop_contained, "merge_texts": merge_texts, "fenced_json": fenced_json, "source_split": source_split, "union_columns": union_columns, "rule_overlap": rule_overlap,
     "ordered_digest": ordered_digest, "display_rows": display,
     "canonical_json": lambda s, p: K.canonical_json(table(s, p, "nation").select("n_nationkey", "n_name", "n_regionkey", F.lit(None).cast("string").alias("a")), "n_nationkey"),
 }
@@ -129,6 +135,9 @@ SELECT id, CAST(row_number() OVER (ORDER BY a, b, c) AS INT) AS numeric, CAST(ro
 SELECT source, source_id, round(coalesce(gap, -1), 6) gap, CASE WHEN gap IS NULL THEN 'no_gap' WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' ELSE 'high_gap' END sampler_bin,
 CASE WHEN gap IS NULL THEN '' WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' ELSE 'high_gap' END audit_bin FROM g""",
     "full_association": CTE + "SELECT c.source_id, c.target_id, c.rank, c.target_type, d.lang, sha256(CASE WHEN c.target_type = 'SR' THEN coalesce(b.text, '') ELSE '' END) rationale, c.target_type = 'SR' AND coalesce(b.text, '') <> '' available FROM cand c JOIN documents d ON d.doc_id = c.source_id LEFT JOIN benchmark b ON b.item_id = c.target_id",
+    "drop_contained": """WITH p AS (SELECT item_id, list_distinct(list_filter([substr(text, 1, 40), substr(text, 1, 80), substr(text, 20, 30), substr(text, 60, 60)], lambda x: x <> '')) d FROM benchmark)
+SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_filter(d, lambda t: len(list_filter(d, lambda o: len(o) > len(t) AND contains(o, t))) = 0), lambda t: {'n': -len(t), 't': t})), lambda s: s.t), '¦') kept FROM p""",
+    "merge_texts": """SELECT item_id, CASE WHEN len(d) > 0 THEN d END merged FROM (SELECT item_id, CASE WHEN contains(substr(text, 1, 40), substr(text, 60, 60)) OR len(substr(text, 60, 60)) <= len(substr(text, 1, 40)) THEN substr(text, 1, 40) ELSE substr(text, 60, 60) END d FROM benchmark)""",
     "fenced_json": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'YES' ELSE 'NO' END verdict, (o_orderkey % 5 + 1)::INT confidence FROM orders",
     "source_split": CTE + "SELECT source, count(*) n, count(DISTINCT source_id) distinct_rules FROM rules GROUP BY 1",
     "union_columns": "SELECT n_name AS name, n_nationkey::VARCHAR nation, '' region FROM nation UNION ALL SELECT r_name, '', r_regionkey::VARCHAR FROM region",
