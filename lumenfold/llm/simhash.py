@@ -370,5 +370,5 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
 
 def keep_one(spark, docs, sf_dir):
-    """Pipeline stage: of each component of similar documents (five words, 0.8) the one with the smallest id stays; rows without an id stay, as nothing is known to equal them."""
+    """Pipeline stage: of each component of similar documents (five words, 0.8) the one with the smallest id stays. Rows without an id stay, as nothing is known to equal them; rows that share an id stay or go together."""
     return without_ids(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct())
