@@ -269,7 +269,7 @@ def decode(vocab: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocab.spelled.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, n_best: int = 4, text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, n_best: int = 4, text: str = "text", most_chunks: int = 300_000) -> DataFrame:
     """docs with ids, score, nbest_scores and round_trip (whether decoding gives the text again) appended.
 
     Whole texts; null and empty texts have no pieces, score 0 and one segmentation, the empty one.
@@ -283,7 +283,7 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, n_best: i
     kinds = [pa.list_(pa.int32()), pa.float64(), pa.list_(pa.float64()), pa.bool_()]
 
     def run(batches):
-        encoder = Encoder(vocab, n_best)
+        encoder = Encoder(vocab, n_best, most_chunks)
         for big in batches:
             for batch in rows_of(big, 128):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
@@ -304,5 +304,5 @@ def op6_sentencepiece(spark, sf_dir):
 
 
 def encode_stage(spark, docs, sf_dir):
-    """Pipeline stage: the piece ids of every document, and its two best scores."""
-    return encode_documents(docs, n_best=2).select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "ids", "score", "nbest_scores", "round_trip")
+    """Pipeline stage: the piece ids of every document, and its two best scores. Executors have run other stages by now, so fewer chunks are kept."""
+    return encode_documents(docs, n_best=2, most_chunks=120_000).select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "ids", "score", "nbest_scores", "round_trip")
