@@ -195,7 +195,7 @@ def nbest_chunk(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, list[
 class Encoder:
     """Encodes whole texts; chunks' best paths are kept, up to most_chunks of them."""
 
-    def __init__(self, vocab: Vocabulary, n_best: int = 4, most_chunks: int = 300_000):
+    def __init__(self, vocab: Vocabulary, n_best: int = 4, most_chunks: int = 600_000):
         self.vocab, self.n_best, self.most_chunks = vocab, n_best, most_chunks
         self.cache, self.paths, self.find = vocab.cache, {}, re.compile(vocab.chunk).findall
 
@@ -269,7 +269,7 @@ def decode(vocab: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocab.spelled.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, n_best: int = 4, text: str = "text", most_chunks: int = 300_000) -> DataFrame:
+def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, n_best: int = 4, text: str = "text", most_chunks: int = 600_000) -> DataFrame:
     """docs with ids, score, nbest_scores and round_trip (whether decoding gives the text again) appended.
 
     Whole texts; null and empty texts have no pieces, score 0 and one segmentation, the empty one.
