@@ -222,23 +222,41 @@ def op5_simhash(spark, sf_dir):
 WORDS, TILE, RATIO = 4, 16384, 1.25
 
 
-def wide_fingerprint(text: str, shingle: int) -> tuple[np.ndarray, int]:
-    """(WORDS * 64 majority bits of the XXH3 hashes of all word shingles, number of shingles); words as in fingerprint()."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The WORDS / 2 XXH3 hashes (16 bytes each, side by side) of every distinct word shingle, in order of the first 8 bytes; words as in fingerprint()."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return np.zeros(WORDS, np.uint64), 0
+        return np.zeros((0, 8 * WORDS), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    ones = np.zeros((WORDS // 2, 128), np.int64)
+    out = np.empty((len(starts), 8 * WORDS), np.uint8)
     for at in range(0, len(starts), CHUNK):
         part = [joined[a:b] for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)]
         for seed in range(WORDS // 2):
-            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part, repeat(seed))), np.uint8).reshape(-1, 16)
-            ones[seed] += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones.ravel() > len(starts), bitorder="little").view(np.uint64), len(starts)
+            out[at : at + CHUNK, 16 * seed : 16 * seed + 16] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part, repeat(seed))), np.uint8).reshape(-1, 16)
+    return out[np.unique(np.ascontiguousarray(out[:, :8]).view(np.uint64).ravel(), return_index=True)[1]]
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """WORDS * 64 majority bits of the rows of shingle_hashes()."""
+    ones = np.zeros(WORDS * 64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """A text's set of shingles: the first 8 bytes of each one's hash, ascending."""
+    return np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel()
+
+
+def wide_fingerprint(text: str, shingle: int) -> tuple[np.ndarray, int]:
+    """(WORDS * 64 majority bits of the hashes of all distinct word shingles, number of those); how often a shingle is repeated says nothing, as in Jaccard similarity."""
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes), len(hashes)
 
 
 def radius_for(similarity: float, margin: float = 1.2) -> int:
@@ -276,8 +294,8 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 51
 def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b) edges between ids whose components are those of all links among distinct's rows (id, shingles, f0..): fingerprints within the radius whose lengths differ by less than two buckets.
 
-    Texts as similar as RATIO asks for differ in length by at most that ratio, so they lie in one
-    bucket of lengths or in neighbouring ones. A bucket's rows are dealt into tiles, and every pair
+    Sets of shingles as similar as RATIO asks for differ in size by at most that ratio, so they lie
+    in one bucket of sizes or in neighbouring ones. A bucket's rows are dealt into tiles, and every pair
     of tiles of one bucket or of neighbours is a unit of work that some task holds alone. A unit
     gives a spanning forest of its links.
     """
@@ -355,14 +373,20 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     def run(batches):
         for batch in batches:
-            found = [wide_fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()]
-            fp = np.array([f for f, _ in found], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in found], pa.int64()), *(pa.array(fp[:, w]) for w in range(WORDS))], names=["doc_id", "shingles", *(f"f{w}" for w in range(WORDS))])
+            n, fp, sets = [], np.zeros((batch.num_rows, WORDS), np.uint64), []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                hashes = shingle_hashes(t or "", shingle)
+                n.append(len(hashes))
+                fp[i] = majority(hashes)
+                sets.append(xxhash.xxh3_64_intdigest(shingle_set(hashes).tobytes()))
+            fp = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(n, pa.int64()), *(pa.array(fp[:, w]) for w in range(WORDS))], names=["doc_id", "fp", "shingles", *(f"f{w}" for w in range(WORDS))])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     words = [f"f{w}" for w in range(WORDS)]
-    prints = durable(rows.mapInArrow(run, f"doc_id long, shingles long, {kinds}").withColumn("fp", F.xxhash64(*words)))
-    distinct = durable(prints.groupBy("fp", *words).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min("shingles").alias("shingles")))
+    prints = durable(rows.mapInArrow(run, f"doc_id long, fp long, shingles long, {kinds}"))
+    # A row for each set of shingles (fp is its hash): equal fingerprints of other sets are other rows.
+    distinct = durable(prints.groupBy("fp", "shingles", *words).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     count = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = components(similar_links(distinct, radius_for(similarity)))
     found = durable(distinct.join(roots, distinct["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")))

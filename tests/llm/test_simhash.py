@@ -126,3 +126,14 @@ def test_similar_documents_odd_rows(odd_docs, no_docs):
     assert S.similar_documents(no_docs).count() == 0
     with pytest.raises(ValueError):
         S.similar_documents(no_docs, similarity=0.5)
+
+
+def test_repeats_do_not_part_texts(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = ([f"w{x}" for x in rng.integers(0, 5000, n)] for n in (400, 60, 300))
+    texts = [a, a + a, a * 5, b + c, b * 20 + c, c * 3 + b]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = [[len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets]
+    assert near == [[i // 3 == j // 3 for j in range(6)] for i in range(6)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in S.similar_documents(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
