@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import durable, join_hot, read, without_ids
+from lumenfold.llm.common import durable, join_hot, read, rows_of, without_ids
 
 BITS = 64
 SEED = 42
@@ -218,8 +218,10 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: For similar texts: words of 64 bits in a fingerprint, rows of a tile, ratio of the lengths that a bucket spans.
+#: For similar texts: words of 64 bits in a fingerprint, most rows of a tile, ratio of the sizes that a bucket spans.
 WORDS, TILE, RATIO = 4, 16384, 1.25
+#: Shingles of a tile's sets in all.
+MASS = 4_000_000
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -291,18 +293,19 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 51
     return own, roots[own]
 
 
-def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """(a, b) edges between ids whose components are those of all links among distinct's rows (id, shingles, f0..): fingerprints within the radius whose lengths differ by less than two buckets.
+def candidate_groups(distinct: DataFrame, radius: int, few_radius: int, few: int = 8) -> DataFrame:
+    """(unit, a, b): per unit of work the spanning forest of the candidates among distinct's rows (id, shingles, f0..): fingerprints within the radius (few_radius where sets may have fewer than `few` shingles) whose sizes differ by less than two buckets.
 
     Sets of shingles as similar as RATIO asks for differ in size by at most that ratio, so they lie
     in one bucket of sizes or in neighbouring ones. A bucket's rows are dealt into tiles, and every pair
-    of tiles of one bucket or of neighbours is a unit of work that some task holds alone. A unit
-    gives a spanning forest of its links.
+    of tiles of one bucket or of neighbours is a unit of work that some task holds alone. The more
+    shingles a bucket's sets have, the fewer rows its tiles hold, as the sets are compared later.
     """
     b = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.lit(float(np.log(RATIO)))).cast("int")
     rows = distinct.select("id", *[f"f{w}" for w in range(WORDS)], b.alias("b"))
-    tiles = {r["b"]: -(-r["n"] // TILE) for r in rows.groupBy("b").agg(F.count("*").alias("n")).collect()}  # a row for each bucket: some hundred at most
+    tiles = {r["b"]: -(-r["n"] // max(1, min(TILE, int(MASS / RATIO ** (r["b"] + 1))))) for r in rows.groupBy("b").agg(F.count("*").alias("n")).collect()}  # a row for each bucket: some hundred at most
     names = ["unit", "side", "id", *(f"f{w}" for w in range(WORDS))]
+    last_few = int(np.log(few) / np.log(RATIO))
 
     def deal(batches):
         for batch in batches:
@@ -332,13 +335,13 @@ def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
 
         def linked(columns):
             side, ids, fp = columns[1], columns[2], np.column_stack(columns[3:]).view(np.uint64)
-            first = side == 0
+            first, reach = side == 0, few_radius if columns[0][0] >> 41 <= last_few else radius
             if columns[0][0] >> 40 & 1 or columns[0][0] >> 20 & 0xFFFFF != columns[0][0] & 0xFFFFF:
-                u, v = link_tiles(fp[first], fp[~first], radius) if first.any() and not first.all() else (ids[:0], ids[:0])
+                u, v = link_tiles(fp[first], fp[~first], reach) if first.any() and not first.all() else (ids[:0], ids[:0])
             else:
-                u, v = link_tiles(fp, None, radius)
+                u, v = link_tiles(fp, None, reach)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), columns[0][0])), pa.array(ids[u]), pa.array(ids[v])], names=["unit", "a", "b"])
 
         def close():
             yield from linked([np.concatenate(c) for c in zip(*held, strict=True)])
@@ -356,15 +359,86 @@ def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
             yield from close()
 
     kinds = "unit long, side int, id long, " + ", ".join(f"f{w} long" for w in range(WORDS))
-    return rows.mapInArrow(deal, kinds).repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(deal, kinds).repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "unit long, a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) for every row of docs that has an id: the smallest id reachable over links of estimated shingle similarity.
+def verify(sets: list[np.ndarray], similarity: float, block: int = 256) -> tuple[list[int], list[int]]:
+    """A spanning forest (as positions) of the pairs of sets (ascending hashes) whose Jaccard similarity is at least `similarity`.
 
-    64 bits cannot tell 0.8 from chance at a radius that keeps most such pairs, so fingerprints are
-    WORDS * 64 bits wide and the radius follows from the similarity (see radius_for). The comparison
-    is quadratic in the distinct texts of like length, as the tiled method is. Cases as in
+    Pairs that are in one component already need no look; all others whose sizes allow it are counted exactly.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets])
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    words, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes, mark, forest = codes.astype(np.int32), np.zeros(len(words), np.int32), Forest(len(sets))
+    ends = np.searchsorted(sizes * similarity, sizes + 1e-6, side="right")
+    out_a, out_b = [], []
+    for i in np.flatnonzero(sizes > 0).tolist():
+        own = codes[cuts[i] : cuts[i + 1]]
+        mark[own] = 1
+        for at in range(i + 1, ends[i], block):
+            rest = np.arange(at, min(at + block, ends[i]))
+            rest = rest[forest.roots(rest) != forest.roots(np.array([i]))]
+            if len(rest):
+                both = np.add.reduceat(mark[np.concatenate([codes[cuts[j] : cuts[j + 1]] for j in rest.tolist()])], np.concatenate([[0], np.cumsum(sizes[rest])[:-1]]))
+                rest = rest[both / (sizes[i] + sizes[rest] - both) >= similarity]
+                forest.join(np.full(len(rest), i), rest)
+                out_a += order[rest].tolist()
+                out_b += [int(order[i])] * len(rest)
+        mark[own] = 0
+    return out_a, out_b
+
+
+def verified_links(rows: DataFrame, distinct: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) edges between ids: of the candidates in groups (unit, a, b: fp of distinct's rows) those whose texts' shingle sets are really as similar.
+
+    A unit's candidates are gathered by the components they have there, and only their texts are cut into shingles again.
+    """
+    nodes = durable(groups.select("unit", F.col("b").alias("tree"), F.col("a").alias("fp")).union(groups.select("unit", F.col("b").alias("tree"), F.col("b").alias("fp"))).distinct())
+    wanted = durable(nodes.select("fp").distinct().join(distinct.select("fp", "id"), "fp"))
+    ids = durable(wanted.select(F.col("id").alias("doc_id")).distinct())
+    met = rows.join(F.broadcast(ids) if ids.count() <= 500_000 else ids, "doc_id", "left_semi")
+
+    def cut(batches):
+        for big in batches:
+            for batch in rows_of(big):
+                sets = [shingle_set(shingle_hashes(t or "", shingle)) for t in batch.column(1).to_pylist()]
+                keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "fp", "set"])
+
+    # Rows that share an id have that id's sets; a set is taken once.
+    sets = met.select("doc_id", "text").mapInArrow(cut, "id long, fp long, set binary").join(wanted, ["id", "fp"]).groupBy("fp").agg(F.min("id").alias("id"), F.first("set").alias("set"))
+
+    def run(batches):
+        key, ids, held = None, [], []
+
+        def close():
+            a, b = verify(held, similarity) if len(held) > 1 else ([], [])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a], pa.int64()), pa.array([ids[i] for i in b], pa.int64())], names=["a", "b"])
+
+        for big in batches:
+            for batch in rows_of(big):
+                for unit, tree, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (unit, tree) != key:
+                        yield from close()
+                        key, ids, held = (unit, tree), [], []
+                    ids.append(i)
+                    held.append(np.frombuffer(x, np.uint64))
+        yield from close()
+
+    return nodes.join(sets, "fp").select("unit", "tree", "id", "set").repartition("unit", "tree").sortWithinPartitions("unit", "tree").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", exact: bool = False) -> DataFrame:
+    """(doc_id, component_id) for every row of docs that has an id: the smallest id reachable over links of estimated shingle similarity or, if exact, of texts whose sets of shingles have at least this Jaccard similarity.
+
+    64 bits cannot tell 0.8 from chance at a radius that keeps such pairs, so fingerprints are
+    WORDS * 64 bits wide and the radius follows from the similarity (see radius_for). If exact,
+    they only name candidates, with a margin of 4 standard deviations, and each link is then
+    counted on the two sets. Finding candidates is quadratic in the distinct texts of like length, as the tiled method is. Cases as in
     near_duplicates.
     """
     if not RATIO ** -1 <= similarity <= 1:
@@ -388,11 +462,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     # A row for each set of shingles (fp is its hash): equal fingerprints of other sets are other rows.
     distinct = durable(prints.groupBy("fp", "shingles", *words).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     count = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = components(similar_links(distinct, radius_for(similarity)))
+    if exact:
+        radius = radius_for(similarity, 4.0)
+        # The majority bits of a handful of shingles differ by more than the angle says: at most 3 in 16 on average, for 4 of 5.
+        few_radius = max(radius, int(WORDS * 64 * 3 / 16 + 4 * np.sqrt(WORDS * 64 * 39 / 256)))
+        groups = candidate_groups(distinct.select(F.col("fp").alias("id"), "shingles", *words), radius, few_radius)
+        edges = verified_links(rows, distinct, groups, shingle, similarity)
+    else:
+        edges = candidate_groups(distinct, radius_for(similarity), radius_for(similarity)).select("a", "b")
+    roots = components(edges)
     found = durable(distinct.join(roots, distinct["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")))
     return join_hot(prints.select("doc_id", "fp"), found, "fp", count).select("doc_id", "component_id")
 
 
 def keep_one(spark, docs, sf_dir):
-    """Pipeline stage: of each component of similar documents (five words, 0.8) the one with the smallest id stays. Rows without an id stay, as nothing is known to equal them; rows that share an id stay or go together."""
-    return without_ids(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    """Pipeline stage: of each component of similar documents (five words, exact similarity of 0.8 or more) the one with the smallest id stays. Rows without an id stay, as nothing is known to equal them; rows that share an id stay or go together."""
+    return without_ids(docs, similar_documents(docs, exact=True).where("doc_id <> component_id").select("doc_id").distinct())

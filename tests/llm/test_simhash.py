@@ -137,3 +137,31 @@ def test_repeats_do_not_part_texts(spark):
     assert near == [[i // 3 == j // 3 for j in range(6)] for i in range(6)]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in S.similar_documents(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
+@pytest.mark.parametrize("tile", [16384, 7])
+def test_links_are_of_exact_similarity(spark, monkeypatch, tile):
+    monkeypatch.setattr(S, "TILE", tile)
+    rng = np.random.default_rng(8)
+    texts = []
+    for length in (8, 9, 12, 40, 150, 400):
+        for share in (0.0, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08):
+            base = [f"w{x}" for x in rng.integers(0, 50_000, length)]
+            texts += [base, edited(rng, base, int(length * share)), [*base, *base[:3]], base[1:]]
+    sets = [frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in S.similar_documents(df, exact=True).collect()} == dict(enumerate(up))
+    assert sorted(r["doc_id"] for r in S.keep_one(spark, df, "").collect()) == sorted(set(up))
+
+
+def test_exact_odd_rows(odd_docs, no_docs):
+    got = {}
+    for r in S.similar_documents(odd_docs, exact=True).collect():
+        got.setdefault(r["doc_id"], []).append(r["component_id"])
+    assert got == {1: [1], 2: [1], 3: [1], 4: [4], 5: [5], 6: [6, 6], 8: [8], 9: [9]}
+    assert S.similar_documents(no_docs, exact=True).count() == 0
