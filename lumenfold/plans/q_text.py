@@ -61,10 +61,11 @@ def coercion(spark, sf_dir):
 
 
 def consolidated(spark, sf_dir):
-    rows = lines(spark, sf_dir).where("trim(text) <> '' and length(text) < 400 and line < 6").withColumn("pages", F.array((F.col("doc_id") % 5).cast("int"), (F.col("doc_id") % 3).cast("int")))
-    rows = rows.where("doc_id < 400").withColumn("title", F.left("text", F.lit(20))).withColumn("block", F.col("doc_id") * 100 + F.col("line"))
-    out = c.consolidate(rows, "source", "title", "text", "block", "pages")
-    return out.select("source", "title", "text", F.size("blocks").alias("blocks"), F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"), "occurrences")
+    """The lines of each document as its blocks; a source's documents would be a hot key that no task can hold."""
+    rows = lines(spark, sf_dir).where("trim(text) <> ''").withColumn("pages", F.array((F.col("line") % 5).cast("int"), (F.col("line") % 3).cast("int")))
+    rows = rows.withColumn("title", F.left("text", F.lit(20)))
+    out = c.consolidate(rows, "doc_id", "title", "text", "line", "pages", [F.min("source").alias("source")])
+    return out.select("doc_id", "source", "title", "text", F.size("blocks").alias("blocks"), F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"), "occurrences")
 
 
 def grep(spark, sf_dir):
