@@ -107,8 +107,10 @@ def match_forms(spark, sf_dir):
 
 
 def overlap_merge(spark, sf_dir):
+    """Each whole text in parts of 60 words, a part every 30, and merged again."""
     w = F.split(t.collapse(F.col("text")), " ")
-    parts = docs(spark, sf_dir).select("doc_id", w.alias("w")).select("doc_id", F.array(F.array_join(F.slice("w", 1, 60), " "), F.array_join(F.slice("w", 31, 60), " ")).alias("parts"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 30), F.lit(30))
+    parts = docs(spark, sf_dir).select("doc_id", w.alias("w")).select("doc_id", F.transform(starts, lambda i: F.array_join(F.slice("w", i, 60), " ")).alias("parts"))
     return parts.select("doc_id", F.length(t.merge_overlaps(F.col("parts"))).alias("n"))
 
 

@@ -26,3 +26,8 @@ def test_consolidated_texts_against_brute_force(spark, folder):
             want[d] = ("s", max((t[:20] for _, t in rows), key=len), max(held, key=len), len(rows), ",".join(map(str, pages)), len(rows))
     got = {r["doc_id"]: tuple(r)[1:] for r in Q.consolidated(spark, folder[0]).collect()}
     assert got == want
+
+
+def test_overlap_merge_takes_whole_texts(spark, folder):
+    got = {r["doc_id"]: r["n"] for r in Q.overlap_merge(spark, folder[0]).collect()}
+    assert {d: got[d] for d in (900, 901, 902, 903)} == {d: len(" ".join(folder[1][d].split())) for d in (900, 901, 902, 903)}
