@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import durable, labelled_sample, read, rows_of, without_ids
+from lumenfold.llm.common import durable, labelled_sample, read, rows_of
 from lumenfold.llm.features import Lexicon, WordTable, abuse_features, shape_features
 from lumenfold.llm.toxicity import induce
 
@@ -176,12 +176,18 @@ CORPUS = {"poor": 0.01, "good": 0.98, "toxic": 0.01}
 
 
 def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
-    """Pipeline stage: the documents that the fitted rates take for CORPUS over one and a half epochs.
+    """Pipeline stage: the rows that the fitted rates take for CORPUS over one and a half epochs, each as often as its rate says.
 
-    A text is left out if its rate gives it no copy. One that gets several stays once: near
-    duplicates have just been taken out, and repeats are left to the trainer's epochs.
+    A row whose rate gives it no copy is left out, one that gets several is written as often, so
+    the expected token totals are those that were fitted.
     """
     model = fit_tables(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    members = durable(memberships(docs.select("doc_id", "text"), model))
-    rate, _ = fit_rates(members, CORPUS, epochs)
-    return without_ids(docs, members.where(copies(rate, F.col("doc_id")) < 1).select("doc_id").distinct())
+    own = ["tokens", *(f"p_{d}" for d in DOMAINS)]
+    # The stage's rows travel under names that no output of the model has.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("_text"))
+    members = durable(memberships(rows, model, "_text"))
+    rate, _ = fit_rates(members.select(*own), CORPUS, epochs)
+    names = {c.lower(): f"_c{i}" for i, c in enumerate(docs.columns)}
+    key = F.when(F.col(names["doc_id"]).isNull(), F.xxhash64(names["text"])).otherwise(F.col(names["doc_id"]).cast("long"))
+    times = members.withColumn("_n", copies(rate, key)).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return times.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -59,3 +59,21 @@ def test_mix_and_stage(spark, odd_docs, no_docs, tmp_path):
     ids = {r["doc_id"] for r in kept.collect()}
     assert np.mean([(i in ids) == (labels[i] == (1, 0)) for i in docs]) > 0.95
     assert len(M.fit_domains([], {}).posteriors(WordTable(), ["a"])[1]) == 1
+
+
+def test_stage_meets_the_corpus_both_ways(spark, tmp_path):
+    docs, labels = corpus.write(spark, str(tmp_path), 1500)
+    # Hardly any poor or toxic text is left, so that both domains are to be raised.
+    few = {i for i in docs if labels[i] == (1, 0)} | set([i for i in docs if labels[i][0] == 0][:1]) | set([i for i in docs if labels[i] == (1, 1)][:1])
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").where(M.F.col("doc_id").isin(list(few)))
+    kept = M.mix_stage(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    model = M.fit_tables(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+
+    def totals(x):
+        r = M.memberships(x.select("doc_id", "text"), model).agg(*[M.F.sum(M.F.expr(f"tokens * p_{d}")).alias(d) for d in M.DOMAINS]).first()
+        return np.array([r[d] for d in M.DOMAINS])
+
+    before, after = totals(df), totals(kept)
+    assert abs(after.sum() / before.sum() - 1.5) < 0.05
+    assert np.allclose(after / after.sum(), [0.01, 0.98, 0.01], atol=0.004) and not np.allclose(before / before.sum(), [0.01, 0.98, 0.01], atol=0.004)
