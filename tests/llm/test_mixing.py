@@ -77,3 +77,21 @@ def test_stage_meets_the_corpus_both_ways(spark, tmp_path):
     before, after = totals(df), totals(kept)
     assert abs(after.sum() / before.sum() - 1.5) < 0.05
     assert np.allclose(after / after.sum(), [0.01, 0.98, 0.01], atol=0.004) and not np.allclose(before / before.sum(), [0.01, 0.98, 0.01], atol=0.004)
+
+
+@pytest.mark.parametrize("soft, least", [(1.0, 0.12), (0.25, 0.162)])
+def test_overlapping_posteriors_meet_targets(spark, soft, least):
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([0.3, 1.0, 0.3], 3000) * soft + (1 - soft) * np.array([0.2, 0.6, 0.2])
+    df = spark.createDataFrame([(i, int(n), *map(float, q)) for i, (n, q) in enumerate(zip(rng.integers(1, 500, 3000), p, strict=True))], "doc_id long, tokens long, p_poor double, p_good double, p_toxic double").coalesce(2).cache()
+    targets = {"poor": least, "good": 1 - 2 * least, "toxic": least}
+    rate, seen = M.fit_rates(df, targets)
+    pdf = df.withColumn("rate", rate).toPandas()
+    assert (pdf.rate >= 0).all()
+    got = [(pdf.rate * pdf.tokens * pdf[f"p_{d}"]).sum() / pdf.tokens.sum() for d in M.DOMAINS]
+    assert np.allclose(got, list(targets.values()), atol=2e-4) and np.allclose(got, np.array(list(seen[-1].values())) / pdf.tokens.sum(), atol=1e-6)
+
+
+def test_a_miss_is_reported(members):
+    with pytest.warns(RuntimeWarning, match="targets are not met"):
+        M.fit_rates(members, {"poor": 1.0})
