@@ -18,6 +18,12 @@ from lumenfold.llm.common import read
 #: Rows of a candidate group, least and most.
 GROUP = (4096, 65536)
 EXACT = float(1 << 53)
+#: The ends of a long, at which scores are held.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _held(score: int) -> int:
+    return min(max(score, LEAST), MOST)
 
 
 class SortedLists:
@@ -29,12 +35,20 @@ class SortedLists:
         self.sorted = np.take_along_axis(np.ascontiguousarray(x.T), self.order, axis=1)
         self.largest = float(np.abs(x).max()) if x.size else 0.0
 
+    def _exact(self, q: np.ndarray) -> bool:
+        return self.largest * float(np.abs(q).max(initial=0)) * max(1, len(q)) < EXACT
+
     def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.largest * float(np.abs(q).max(initial=0)) * max(1, len(q)) < EXACT:
+        if self._exact(q):
             return self.x[rows] @ q  # integers below 2**53 are exact in double
         whole = [int(v) for v in q]
-        exact = [sum(int(a) * b for a, b in zip(r, whole, strict=True)) for r in self.x[rows]]
-        return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], dtype=object)
+        return np.array([_held(sum(int(a) * b for a, b in zip(r, whole, strict=True))) for r in self.x[rows]], dtype=object)
+
+    def _bound(self, heads: np.ndarray, q: np.ndarray) -> float | int:
+        """The highest score that a row below the list heads can have, in the arithmetic of _scores."""
+        if self._exact(q):
+            return float(heads @ q)
+        return _held(sum(int(a) * int(b) for a, b in zip(heads, q, strict=True)))
 
     def search(self, own: int, q: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows for q whose id is not own; ties to the smaller id."""
@@ -63,7 +77,7 @@ class SortedLists:
                 break
             if len(ids) >= k:
                 heads = np.where(up, self.sorted[dims, depth - 1], self.sorted[dims, n - depth])
-                if float(heads @ q[dims]) * (1 + 1e-12) + 1e-6 < float(scores.min()):
+                if self._bound(heads, q[dims]) < scores.min():
                     break  # nothing unseen can reach the kth score, nor tie with it
             step *= 2
         best = np.lexsort((ids, -scores))[:k]

@@ -25,6 +25,20 @@ def test_threshold_algorithm_against_brute_force(seed, scale):
             assert got == want
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 30, 1 << 45])
+def test_ties_at_a_negative_kth_score(scale):
+    ids, x = np.random.default_rng(4).permutation(1000), np.full((1000, 2), -2000.0) * scale
+    lists = K.SortedLists(ids, x)
+    for q in (np.array([2000.0, 1.0]) * scale, np.array([2000.0, 0.0]) * scale):
+        assert lists.search(-1, q, 10)[0].tolist() == list(range(10))
+    rng = np.random.default_rng(5)
+    x = -np.floor(rng.uniform(1, 4, (2000, 3))) * scale
+    lists = K.SortedLists(np.arange(2000), x)
+    for q in np.floor(rng.uniform(1, 4, (20, 3))) * scale:
+        got = lists.search(7, q, 10)
+        assert list(zip(got[0].tolist(), map(int, got[1]))) == brute(np.arange(2000), x, 7, q, 10)
+
+
 def test_stops_early_where_it_can():
     x = np.zeros((5000, 2))
     x[:, 0], x[:, 1] = np.arange(5000), 1
