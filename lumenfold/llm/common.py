@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.session import durable
@@ -59,13 +59,15 @@ def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000)
     return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most_rows: dict[int, int]) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """([(text, label)], {label: training rows}): at most most_rows[value] labelled texts of each value, for fitting.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most_rows: dict[int, int], most_chars: int = 64_000_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """([(text, label)], {label: training rows}): at most most_rows[value] labelled texts of each value, of most_chars characters in all, for fitting.
 
     label: SQL for the label of a row of labels; null labels and ids are passed over. Rows are
     chosen by a hash of the id, so the choice is the same on every run and cluster; an id that
-    docs lacks gives no row. Only ids and labels are ranked, and the chosen ids are bounded by
-    most_rows, which is what allows them to be broadcast and their texts to be collected.
+    docs lacks gives no row, and one that it has repeatedly gives its least text, found where the
+    rows are. Only ids and labels are ranked; the chosen ids are bounded by most_rows, which is
+    what allows them to be broadcast, and their texts are collected in the order of the hash
+    until the next would pass most_chars.
     """
     known = labels.where(train).select("doc_id", F.expr(label).cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -76,8 +78,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     if not ids:
         return [], totals
     small = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
-    first = {}
-    for r in sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"])):
-        first.setdefault(r["doc_id"], (r["text"], r["y"]))
-    return list(first.values()), totals
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
+    one = durable(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
+    before = F.sum(F.length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most most_rows of each value
+    fits = one.select("doc_id", before.alias("chars")).where(F.col("chars") <= most_chars).select("doc_id")
+    held = one.join(F.broadcast(fits), "doc_id").toArrow().sort_by("doc_id")
+    return list(zip(held["text"].to_pylist(), held["y"].to_pylist(), strict=True)), totals

@@ -229,7 +229,10 @@ def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
     """Pipeline stage: the rows that the fitted rates take for CORPUS over one and a half epochs, each as often as its rate says.
 
     A row whose rate gives it no copy is left out, one that gets several is written as often, so
-    the expected token totals are those that were fitted.
+    the expected token totals are those that were fitted. The draw for a rate's broken part is by a
+    hash of the row's id and text: rows that share an id are drawn apart unless they are equal.
+    Null and empty texts have a rate as any other and count no tokens; an empty table gives no
+    rows; columns pass through whatever their names are.
     """
     model = fit_tables(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     own = ["tokens", *(f"p_{d}" for d in DOMAINS)]
@@ -238,6 +241,5 @@ def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
     members = durable(memberships(rows, model, "_text"))
     rate, _ = fit_rates(members.select(*own), CORPUS, epochs)
     names = {c.lower(): f"_c{i}" for i, c in enumerate(docs.columns)}
-    key = F.when(F.col(names["doc_id"]).isNull(), F.xxhash64(names["text"])).otherwise(F.col(names["doc_id"]).cast("long"))
-    times = members.withColumn("_n", copies(rate, key)).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    times = members.withColumn("_n", copies(rate, F.struct(names["doc_id"], names["text"]))).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return times.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import WORD_GAP, drop_clashing, read
+from lumenfold.llm.common import WORD_GAP, drop_clashing, durable, read
 
 #: The symbols that count, and a character of a word.
 SYMBOLS = r"[#*$%&|<>]+"
@@ -55,38 +55,51 @@ def _repeat_positions(words: Column, hashes: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(found)))
 
 
-def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def base_counts(df: DataFrame, text: str = "text", lines: str | None = None) -> DataFrame:
     """Adds the base counts of the whole text, each long; a null or empty text counts 0 throughout.
 
-    n_repeat_words compares windows by a 64-bit hash of their words.
+    n_repeat_words compares windows by a 64-bit hash of their words. Input columns that carry the
+    name of a count are replaced, all others pass through. lines: also adds the lines that hold a
+    word, as a column of that name.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    df = drop_clashing(df, [*BASE, "_w", "_g", "_l"]).withColumn("_w", words_of(t)).withColumn("_l", worded_lines(t))
-    index = F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>"))
-    window = F.transform(index, lambda i: F.struct(F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)).alias("h"), i.alias("i")))
-    df = df.withColumn("_g", F.sort_array(window))
+    df = drop_clashing(df, BASE)
+    names = df.columns
+    w, g, own = _free(df, "_words"), _free(df, "_windows"), lines or _free(df, "_lines")
+    df = df.withColumn(w, words_of(t)).withColumn(own, worded_lines(t))
+    index = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
+    window = F.transform(index, lambda i: F.struct(F.xxhash64(F.get(F.col(w), i), F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)).alias("h"), i.alias("i")))
+    df = df.withColumn(g, F.sort_array(window))
     counts = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.array_join("_w", "")),
+        "n_words": F.size(w),
+        "word_chars": F.length(F.regexp_replace(t, WORD_GAP, "")),
         "n_symbols": F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, "")),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": _repeat_positions(F.col("_w"), F.col("_g")),
+        "n_dup_lines": F.size(own) - F.size(F.array_distinct(own)),
+        "n_repeat_words": _repeat_positions(F.col(w), F.col(g)),
     }
     # A filter over the counts must not be pushed below them: it would put the arrays' expressions
     # in place of their columns, inside lambdas that run for each word. An expression that isn't
     # deterministic, though it always holds, keeps it above.
     here = F.spark_partition_id() >= 0
-    return df.select(*[c for c in df.columns if c not in ("_w", "_l", "_g")], *[F.when(here, c.cast("long")).alias(n) for n, c in counts.items()])
+    return df.select(*[F.col(f"`{c}`") for c in names], *[F.when(here, c.cast("long")).alias(n) for n, c in counts.items()], *([own] if lines else []))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def default_rules(text: str = "text") -> list[Rule]:
-    """Production rules; ratios are per word unless said otherwise."""
+def default_rules(text: str = "text", lines: Column | None = None) -> list[Rule]:
+    """Production rules; ratios are per word unless said otherwise. lines: the lines that hold a word, if a column has them."""
     t, n = F.coalesce(F.col(text), F.lit("")), F.col("n_words")
-    lines = worded_lines(t)
+    lines = worded_lines(t) if lines is None else lines
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
@@ -100,16 +113,19 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def estimate(df: DataFrame, rules: list[Rule], sample_rows: int = 1000, seed: int = 7) -> dict[str, tuple[float, float]]:
-    """(rejection rate, seconds) of each rule on at most sample_rows rows of df.
+def estimate(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, lines: str | None = None) -> dict[str, tuple[float, float]]:
+    """(rejection rate, seconds) of each rule on about sample_rows rows of df, which has no counts yet.
 
-    The rows are taken partition by partition until there are enough, so a huge table is not
-    read for them; they influence only the order of evaluation.
+    The rows are chosen over the whole table, by a hash of text and place, in one scan of the
+    text that counts nothing. They are kept as a table of one partition, on whose executor the
+    rules are timed; only rates come to the driver. They influence only the order of evaluation.
+    lines: as in base_counts, if the rules use that column.
     """
-    taken = df.sample(0.25, seed).limit(sample_rows).collect() or df.limit(sample_rows).collect()
-    if not taken:
+    total = df.count()
+    if not total:
         return {r.name: (0.0, 1.0) for r in rules}
-    local = df.sparkSession.createDataFrame(taken, df.schema).coalesce(1)
+    drawn = F.pmod(F.xxhash64(F.col(text), F.monotonically_increasing_id()), F.lit(1 << 30)) < F.lit(-(-sample_rows * (1 << 30) // total))
+    local = durable(base_counts(durable(df.select(text).where(drawn)), text, lines).coalesce(1))
 
     def timed(reject: Column) -> tuple[float, float]:
         query = local.agg(F.avg(F.coalesce(reject, F.lit(False)).cast("double")))
@@ -146,13 +162,15 @@ def apply_rules(df: DataFrame, text: str = "text", sample_rows: int = 1000) -> D
     """Base counts, base_failed, rejected_by and kept for every row of df.
 
     Null text: no words, so base_failed. Empty table: no rows. Repeated rows are judged alike.
-    Input columns that carry the name of an output column are replaced.
+    Input columns that carry the name of an output column are replaced, all others pass through.
     """
-    counted = base_counts(drop_clashing(df, ["base_failed", "rejected_by", "kept"]), text)
-    rules = default_rules(text)
-    seen = estimate(counted.select(text, *BASE), rules, sample_rows)
-    judged = cascade(counted.withColumn("base_failed", base_failed()), ordered(rules, seen), before=F.col("base_failed"))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    df = drop_clashing(df, [*BASE, "base_failed", "rejected_by", "kept"])
+    lines = _free(df, "_lines")
+    rules = default_rules(text, F.col(lines))
+    seen = estimate(df, rules, text, sample_rows, lines)
+    counted = base_counts(df, text, lines).withColumn("base_failed", base_failed())
+    judged = cascade(counted, ordered(rules, seen), before=F.col("base_failed"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop(lines)
 
 
 def op1_quality_rules(spark, sf_dir):

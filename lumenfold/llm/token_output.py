@@ -185,12 +185,12 @@ def write_shards(docs: DataFrame, folder: str, stride: int = 256, shards: int |
 
     dealt = rows.mapInArrow(sequences, "shard int, place long, record binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "record")
     written = durable(dealt.mapInArrow(write, "shard int, path string, records long, digest string"))
-    before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row for each shard
-    return written.select("shard", "path", F.coalesce(before, F.lit(0)).alias("first_slot"), "records", "digest")
+    before = F.sum("records").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # one row of numbers for each shard
+    return durable(written.select("shard", "path", F.coalesce(before, F.lit(0)).alias("first_slot"), "records", "digest"))
 
 
 def read_shards(manifest: DataFrame, stride: int = 256, from_slot: int = 0, to_slot: int | None = None, chunk: int = 4096) -> DataFrame:
-    """(slot, doc_id, part, n_tokens, tokens) of the slots in [from_slot, to_slot), read by arithmetic from the shard files."""
+    """(slot, doc_id, part, n_tokens, tokens) of the slots in [from_slot, to_slot), read by arithmetic from the shard files, each in a task of its own."""
     kind = record_type(stride)
     high = (1 << 62) if to_slot is None else to_slot
 
@@ -212,6 +212,10 @@ def read_shards(manifest: DataFrame, stride: int = 256, from_slot: int = 0, to_s
                         at += n
 
     few = manifest.select("path", "first_slot", "records")
+    shards = few.count()
+    if shards > 1:  # a partition for each shard, by its place in the order of the slots
+        at = F.row_number().over(Window.orderBy("first_slot", "path"))
+        few = few.withColumn("_at", at - 1).repartitionById(shards, "_at").drop("_at")
     return few.mapInArrow(run, "slot long, doc_id long, part int, n_tokens int, tokens array<int>")
 
 

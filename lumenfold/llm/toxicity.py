@@ -22,7 +22,6 @@ from lumenfold.llm.features import EDGES, PREFIXES, Lexicon, WordTable, abuse_fe
 
 #: Bound of the fitting sample, by label value.
 SAMPLE = {0: 6000, 1: 3000}
-MOST_ENTRIES = 4096
 
 
 class Trees:
@@ -121,7 +120,7 @@ def induce(texts: list[str], y: np.ndarray, least_docs: int = 3, least_odds: flo
                 odds = math.log((a + 0.5) / (n1 + 1)) - math.log((count[0][w] + 0.5) / (n0 + 1))
                 if odds >= least_odds and math.sqrt(a) * odds >= 5:
                     found[w] = round(odds, 4)
-        return dict(sorted(found.items(), key=lambda x: (-x[1] * counts[1].get(x[0], 1), x[0]))[:MOST_ENTRIES])
+        return dict(sorted(found.items(), key=lambda x: (-x[1] * counts[1].get(x[0], 1), x[0])))
 
     return Lexicon(chosen(counts), chosen(heads))
 

@@ -105,3 +105,15 @@ def test_features_do_not_depend_on_batching_or_forgetting():
     parts = [small.look_up([d]) for d in docs]
     assert np.allclose(a, np.concatenate([abuse_features(*p) for p in parts]))
     assert np.allclose(s, np.concatenate([shape_features(i, passage_starts(st, 64)[0], w) for i, st, w in parts]))
+
+
+def test_sample_holds_an_id_once_and_is_bounded_in_text(spark):
+    from lumenfold.llm.common import labelled_sample
+
+    F = Q.F
+    docs = spark.range(100_000).selectExpr("1L doc_id", "concat('copy ', id) text").union(spark.createDataFrame([(2, "x" * 40), (3, None), (4, "y" * 40), (None, "z")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0), (5, 1), (None, 1), (6, None), (2, 0)], "doc_id long, quality int")
+    sample, totals = labelled_sample(docs, labels, "quality", F.lit(True), {0: 9, 1: 9})
+    assert sample == [("copy 0", 0), ("x" * 40, 1), ("", 1), ("y" * 40, 0)] and totals == {0: 2, 1: 3}
+    few, _ = labelled_sample(docs, labels, "quality", F.lit(True), {0: 9, 1: 9}, most_chars=50)
+    assert 0 < sum(len(t) for t, _ in few) <= 50 and set(few) <= set(sample)

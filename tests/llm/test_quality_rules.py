@@ -44,6 +44,21 @@ def test_only_jvm_expressions(spark):
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
 
 
+def test_user_columns_survive(spark):
+    names = ["_w", "_l", "_g", "_lines", "_words", "_windows", "_lines_"]
+    df = spark.createDataFrame([(1, "a b c a b c\nx", *names)], "doc_id int, text string, " + ", ".join(f"{n} string" for n in names))
+    out = Q.apply_rules(df).first()
+    assert [out[n] for n in names] == names and (out["n_words"], out["n_repeat_words"]) == (7, 6)
+    assert out.__fields__ == [*df.columns, *Q.BASE, "base_failed", "rejected_by", "kept"]
+
+
+def test_sample_is_of_the_whole_table(spark):
+    df = spark.range(0, 200_000, 1, 4).selectExpr("if(id >= 150000, 'bad !!!!!!', 'some plain words') text")
+    seen = Q.estimate(df, [Q.Rule("bangs", Q.F.col("text").contains("!"))], sample_rows=1000)
+    assert 0.15 < seen["bangs"][0] < 0.35
+    assert Q.estimate(spark.range(3000).selectExpr("'one copy' text"), [Q.Rule("all", Q.F.col("n_words") > 1)], sample_rows=50)["all"][0] == 1.0
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = Q.apply_rules(odd_docs).collect()
     assert len(out) == 10 and not any(r["kept"] for r in out if r["doc_id"] in (1, 2, 3, 4))

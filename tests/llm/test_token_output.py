@@ -48,3 +48,33 @@ def test_order_is_shuffled(spark, tmp_path):
     assert sorted(ids) == list(range(2000)) and abs(np.corrcoef(ids, range(2000))[0, 1]) < 0.1
 
 
+def test_slots_are_ranks_of_a_plain_permutation_and_read_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(7 * i, "some words " * (i % 50)) for i in range(300)], "doc_id long, text string").repartition(5)
+    m = O.write_shards(docs, str(tmp_path), stride=32, shards=6, key=99)
+    out = O.read_shards(m, 32)
+    assert out.rdd.getNumPartitions() == 6
+    sizes = sorted(n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+    assert sizes == sorted(r["records"] for r in m.collect())
+    n = (7 * 299 + 1) * O.PARTS
+    half = -(-(n - 1).bit_length() // 2)
+    order = O.Feistel(n, 99)
+    keys = [int(k) for k in order.keys]
+    low, word = (1 << half) - 1, (1 << 64) - 1
+
+    def mix(x, key):
+        x = (x ^ key) * 0x9E3779B97F4A7C15 & word
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & word
+        return (x ^ (x >> 32)) & low
+
+    def place(x):
+        while True:
+            left, right = x >> half, x & low
+            for k in keys:
+                left, right = right, left ^ mix(right, k)
+            x = (left << half) | right
+            if x < n:
+                return x
+
+    got = sorted((r["slot"], r["doc_id"], r["part"]) for r in out.collect())
+    ranked = sorted(((d, p) for _, d, p in got), key=lambda x: place(x[0] * O.PARTS + x[1]))
+    assert [(d, p) for _, d, p in got] == ranked
