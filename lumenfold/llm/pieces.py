@@ -2,13 +2,17 @@
 
 A text's lattice has an edge for every vocabulary piece that stands at a position. Forward Viterbi
 scores are the exact cost of the rest of a backward path, so a best-first (A*) search from the end
-meets complete segmentations in order of score. No piece spans certain borders (see
+meets complete segmentations in order of score. The score of a piece is the logarithm of its share by
+the Zipf-Mandelbrot law on its merge rank (see load), so a segmentation's score is a log
+probability and few frequent pieces win; it is not the library's greedy merging, and ids differ
+from the library's where merging takes another way. No piece spans certain borders (see
 chunk_pattern), so the lattice falls into independent chunks: chunks are solved once and kept, and the
 document's N best are the exact combinations of its chunks' alternatives.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -25,6 +29,8 @@ from lumenfold.llm.common import drop_clashing, read, rows_of, with_columns
 #: Where the public vocabulary file is, unless a caller says otherwise.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 LOW = float("-inf")
+#: Scores are multiples of this, so that sums of them are exact in any order.
+GRAIN = 1.0 / (1 << 20)
 
 
 @dataclass
@@ -60,13 +66,18 @@ class Vocabulary:
         return self._trie
 
 
-def load(model_file: str = MODEL_FILE) -> Vocabulary:
-    """The vocabulary of a model with byte fallback, whose pieces have the space mark at their beginning or throughout."""
+def load(model_file: str = MODEL_FILE, offset: float = 2.7) -> Vocabulary:
+    """The vocabulary of a model with byte fallback, whose pieces have the space mark at their beginning or throughout.
+
+    Such a model scores a piece by minus its merge rank, which orders merges but says nothing of a
+    sum. Merges come by falling frequency, so a piece of rank r takes the share 1 / (r + offset) of all
+    (normalised; Zipf-Mandelbrot), and its score is the logarithm of that. Nothing is trained.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     edges: dict[str, tuple[int, float]] = {}
-    spelled, byte_ids, scores = [], [0] * 256, []
+    spelled, byte_ids, ranks = [], [0] * 256, {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
@@ -82,10 +93,13 @@ def load(model_file: str = MODEL_FILE) -> Vocabulary:
             spelled.append(own.encode())
             for k in range(1, len(own)):
                 edges.setdefault(own[:k], (-1, 0.0))
-            edges[own] = (i, float(model.get_score(i)))
-            if edges[own][1] > -1e8:
-                scores.append(edges[own][1])
-    return Vocabulary(edges, max(map(len, edges)), min(scores) - 10.0, byte_ids, spelled, chunk_pattern([e for e, (k, _) in edges.items() if k >= 0]))
+            edges[own] = (i, 0.0)
+            ranks[own] = 1.0 - float(model.get_score(i))
+    whole = math.log(sum(1.0 / (r + offset) for r in ranks.values()))
+    for own, r in ranks.items():
+        edges[own] = (edges[own][0], GRAIN * round((-math.log(r + offset) - whole) / GRAIN))
+    unknown = min(w for k, w in edges.values() if k >= 0) - 10.0
+    return Vocabulary(edges, max(map(len, edges)), unknown, byte_ids, spelled, chunk_pattern([e for e, (k, _) in edges.items() if k >= 0]))
 
 
 def chunk_pattern(pieces: list[str]) -> str:
