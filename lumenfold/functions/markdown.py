@@ -4,171 +4,291 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.functions.text import HEADINGS, match_form_of
+from lumenfold.functions import text as t
+from lumenfold.functions.text import INLINE, SECTION, SECTIONS, match_form_of
 
-#: Headings that name no rule.
-GENERIC = frozenset(["description", "overview", "introduction", "details", "rule"])
+#: Headings that name no rule; sections; those that a rule should have.
+GENERIC = frozenset(["example", "examples", "example code", "optional", "notes", "references", "related resources", "see also"])
 FIELDS = ("problematic", "correct", "rationale", "exceptions")
+WANTED = ("problematic", "correct", "rationale")
 
-_OPEN = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`]*)$")
-_ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+#: An opening fence, a heading by number signs, the underline of a heading.
+_OPEN = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
+_ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+|$)(.*)$")
 _UNDER = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 
 
+class Unreadable(ValueError):
+    """Why a document can't be read; code names the kind."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
 @dataclass
 class Heading:
     line: int
     level: int
-    text: str
+    label: str  # as written
+    text: str  # as shown
     body: int  # first line after the heading
+    category: str | None = None
+    qualified: bool = False
 
 
 @dataclass
 class Parsed:
     title: str | None = None
+    title_level: int | None = None
     sections: dict[str, str] = field(default_factory=dict)
+    occurrences: dict[str, int] = field(default_factory=dict)
+    qualified: dict[str, int] = field(default_factory=dict)
+    fences: int = 0
+    languages: list[str] = field(default_factory=list)
     diagnostics: list[tuple[str, str | None, int | None, str]] = field(default_factory=list)  # code, field, line, message
+    code: str | None = None
     error: str | None = None
 
 
 def fences(lines: list[str]) -> list[tuple[int, int, str]]:
-    """(first line, last line, language) of each fence; one that never closes is an error."""
-    out, start, mark, language = [], None, "", ""
+    """(first line, last line, info) of each fence; one that never closes, or whose info has its own mark, can't be read."""
+    out, start, close, info = [], None, re.compile(""), ""
     for i, line in enumerate(lines):
-        if start is None:
-            if m := _OPEN.match(line):
-                start, mark, language = i, m[1], m[2].strip()
-        elif re.match(rf"^ {{0,3}}{re.escape(mark[0])}{{{len(mark)},}}[ \t]*$", line):
-            out.append((start, i, language))
-            start = None
+        if start is not None:
+            if close.match(line):
+                out.append((start, i, info))
+                start = None
+        elif m := _OPEN.match(line):
+            start, info = i, m[2].strip()
+            if m[1][0] == "`" and "`" in info:
+                raise Unreadable("ambiguous_fence", f"line {i + 1}: the info of a fence has backticks")
+            close = re.compile(rf"^ {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}[ \t]*$")
     if start is not None:
-        raise ValueError(f"the fence of line {start + 1} is never closed")
+        raise Unreadable("unmatched_fence", f"the fence of line {start + 1} is never closed")
     return out
 
 
 def visible(text: str) -> str:
     """What a heading shows."""
-    for pattern, to in ((r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", r"\1"), (r"`+([^`]*)`+", r"\1"), (r"(\*\*|__|~~)(.+?)\1", r"\2"), (r"([*_])(.+?)\1", r"\2"), (r"<[^>]+>", ""), (r"\\([^\w\s])", r"\1")):
-        text = re.sub(pattern, to, text)
+    for pattern, group in INLINE:
+        text = re.sub(pattern, rf"\{group}" if group else "", text)
     return " ".join(html.unescape(text).split())
 
 
+def category(text: str) -> tuple[str | None, bool]:
+    """(section that the heading opens or None, whether it says more than the name)."""
+    form = match_form_of(visible(text))
+    m = re.match(SECTION, form)
+    return (SECTIONS[m[1]], form[m.end() :].strip() not in ("", ":")) if m else (None, False)
+
+
 def headings(lines: list[str], fenced: list[tuple[int, int, str]]) -> list[Heading]:
-    """ATX and setext headings outside fences."""
+    """Headings outside fences, by number signs or underlined."""
     inside = {i for a, b, _ in fenced for i in range(a, b + 1)}
     out: list[Heading] = []
-    for i, line in enumerate(lines):
+    at = 0
+    while at < len(lines):
+        line, i = lines[at], at
+        at += 1
         if i in inside:
             continue
         if m := _ATX.match(line):
-            out.append(Heading(i, len(m[1]), visible(m[2] or ""), i + 1))
-        elif (m := _UNDER.match(line)) and i and i - 1 not in inside and lines[i - 1].strip() and not _ATX.match(lines[i - 1]) and not (out and out[-1].body > i - 1):
-            out.append(Heading(i - 1, 1 if m[1][0] == "=" else 2, visible(lines[i - 1].strip()), i + 1))
+            level, label = len(m[1]), re.sub(r"[ \t]+#+[ \t]*$", "", m[2]).strip()
+        elif at < len(lines) and at not in inside and line.strip() and not line.startswith(("    ", "\t")) and (m := _UNDER.match(lines[at])):
+            level, label = 1 if m[1][0] == "=" else 2, line.strip()
+            at += 1
+        else:
+            continue
+        if label:
+            out.append(Heading(i, level, label, visible(label), at, *category(label)))
     return out
 
 
-def category(text: str) -> tuple[str | None, str]:
-    """(section that the heading opens or None, what it says beyond the name)."""
-    form = match_form_of(text).rstrip(":.")
-    for name, words in HEADINGS.items():
-        for w in sorted(words, key=len, reverse=True):
-            if form == w:
-                return name, ""
-            if form.startswith(w) and not form[len(w)].isalnum():
-                return name, form[len(w) :].strip(" :-–—()")
-    return None, ""
+def title_of(found: list[Heading]) -> Heading:
+    """The title among the headings before the first section that are not generic: the only first-level one, else the first second-level one, else the first of the highest level. Two of the first level, or none at all, can't be read."""
+    before = found[: next((n for n, h in enumerate(found) if h.category), len(found))]
+    own = [h for h in before if match_form_of(h.text) not in GENERIC]
+    top = [h for h in own if h.level == 1]
+    if len(top) > 1:
+        raise Unreadable("several_titles", "titles at lines " + ", ".join(str(h.line + 1) for h in top))
+    if not own:
+        raise Unreadable("no_title", "no heading names the rule")
+    return next(iter(top or [h for h in own if h.level == 2] or sorted(own, key=lambda h: h.level)))
 
 
-def title_of(found: list[Heading]) -> tuple[str | None, str | None]:
-    """(title, diagnostic): the only first-level heading, else the first second-level one, else the first of the highest level; section and generic headings don't count."""
-    own = [h for h in found if h.text and category(h.text)[0] is None and match_form_of(h.text) not in GENERIC]
-    first = [h for h in own if h.level == 1]
-    if len(first) == 1:
-        return first[0].text, None
-    second = [h for h in own if h.level == 2]
-    pick = second or sorted(own, key=lambda h: (h.level, h.line))
-    return (pick[0].text if pick else None), "several_titles" if len(first) > 1 else "no_title" if not first else None
+def body_of(lines: list[str], start: int, end: int, fenced: list[tuple[int, int, str]]) -> str:
+    """A section's text: fence marks gone, code as it is, prose without blank lines at its ends, parts joined by a blank line."""
+    parts, at = [], start
 
+    def prose(upto: int) -> list[str]:
+        part = lines[at:upto]
+        used = [i for i, line in enumerate(part) if line.strip()]
+        return part[used[0] : used[-1] + 1] if used else []
+
+    for a, b, _ in fenced:
+        parts += [prose(a), lines[a + 1 : b]]
+        at = b + 1
+    parts.append(prose(end))
+    return "\n\n".join(p for p in ("\n".join(x) for x in parts) if p)
 
-def body_of(lines: list[str], start: int, end: int, fenced: list[tuple[int, int, str]]) -> str:
-    """A section's text: fence marks gone, code kept as it is, prose trimmed, parts joined by a blank line."""
-    parts, prose, i = [], [], start
-    opens = {a: b for a, b, _ in fenced}
-
-    def close() -> None:
-        if text := "\n".join(prose).strip():
-            parts.append(text)
-        prose.clear()
-
-    while i < end:
-        if i in opens:
-            close()
-            parts.append("\n".join(lines[i + 1 : opens[i]]))
-            i = opens[i] + 1
-        else:
-            prose.append(lines[i])
-            i += 1
-    close()
-    return "\n\n".join(p for p in parts if p)
 
+def parse(markdown: str | None, untitled: bool = False) -> Parsed:
+    """Title and sections of a rule document; null is the empty text.
 
-def parse(markdown: str | None) -> Parsed:
-    """Title and sections of a rule document. Repeated sections are joined in order; what a heading says beyond its name labels its part. Null is the empty text."""
+    A section's parts are joined in order; where there are several, or a heading says more than the
+    section's name, each stands under its heading. untitled: a document without a title can be read.
+    """
     out = Parsed()
     lines = re.sub(r"\r\n?", "\n", markdown or "").split("\n")
     try:
         fenced = fences(lines)
-    except ValueError as e:
-        out.error = str(e)
+        found = headings(lines, fenced)
+        try:
+            title = title_of(found)
+            out.title, out.title_level = title.text, title.level
+        except Unreadable as e:
+            if e.code != "no_title" or not untitled:
+                raise
+    except Unreadable as e:
+        out.code, out.error = e.code, str(e)
         return out
-    found = headings(lines, fenced)
-    out.title, told = title_of(found)
-    if told:
-        out.diagnostics.append((told, "title", None, "the title was chosen by level"))
-    parts: dict[str, list[str]] = {}
+    parts: dict[str, list[tuple[Heading, str]]] = {}
     for n, h in enumerate(found):
-        name, more = category(h.text)
-        if name is None:
+        if not h.category:
             continue
-        end = next((k.line for k in found[n + 1 :] if k.level <= h.level or category(k.text)[0]), len(lines))
-        body = body_of(lines, h.body, end, fenced)
-        if not body:
-            out.diagnostics.append(("empty_section", name, h.line + 1, f"nothing under {h.text!r}"))
-            continue
-        parts.setdefault(name, []).append(f"{more}:\n{body}" if more else body)
-    out.sections = {k: "\n\n".join(v) for k, v in parts.items()}
-    out.diagnostics += [("repeated_section", k, None, f"{len(v)} parts") for k, v in parts.items() if len(v) > 1]
-    out.diagnostics += [("missing_section", k, None, "no such section") for k in FIELDS if k not in parts]
+        end = next((k.line for k in found[n + 1 :] if k.category or k.level <= h.level), len(lines))
+        own = [f for f in fenced if h.body <= f[0] and f[1] < end]
+        parts.setdefault(h.category, []).append((h, body_of(lines, h.body, end, own)))
+        out.fences += len(own)
+        out.languages += [info.split(None, 1)[0] for _, _, info in own if info]
+    for name, each in parts.items():
+        out.occurrences[name], out.qualified[name] = len(each), sum(h.qualified for h, _ in each)
+        labelled = len(each) > 1 or out.qualified[name] > 0
+        if text := "\n\n".join(f"{h.label}\n{body}" if labelled else body for h, body in each if body):
+            out.sections[name] = text
+        out.diagnostics += [("empty_semantic_section", name, h.line + 1, f"nothing under {h.label!r}") for h, body in each if not body]
+    out.diagnostics += [("missing_semantic_field", k, None, "no text for it") for k in WANTED if k not in out.sections]
     return out
 
 
 _DIAGNOSTIC = T.StructType([T.StructField("code", T.StringType()), T.StructField("field", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())])
-SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in ("title", *FIELDS, "error")), T.StructField("diagnostics", T.ArrayType(_DIAGNOSTIC))])
+_COUNTS = T.MapType(T.StringType(), T.IntegerType())
+SCHEMA = T.StructType(
+    [
+        *(T.StructField(n, T.StringType()) for n in ("title", *FIELDS, "code", "error")), T.StructField("title_level", T.IntegerType()), T.StructField("occurrences", _COUNTS), T.StructField("qualified", _COUNTS),
+        T.StructField("fence_count", T.IntegerType()), T.StructField("fence_languages", T.ArrayType(T.StringType())), T.StructField("diagnostics", T.ArrayType(_DIAGNOSTIC)),
+    ]
+)
 
 
 @F.pandas_udf(SCHEMA)
-def parsed(markdown: pd.Series) -> pd.DataFrame:
-    rows = [parse(m) for m in markdown]
-    frame = pd.DataFrame({"title": [r.title for r in rows], **{f: [r.sections.get(f) for r in rows] for f in FIELDS}, "error": [r.error for r in rows]}, dtype=object)
+def parsed(markdown: pd.Series, untitled: pd.Series) -> pd.DataFrame:
+    rows = [parse(m, bool(u)) for m, u in zip(markdown, untitled, strict=True)]
+    columns = {"title": [r.title for r in rows], **{f: [r.sections.get(f) for r in rows] for f in FIELDS}, "code": [r.code for r in rows], "error": [r.error for r in rows]}
+    frame = pd.DataFrame(columns, dtype=object)
+    frame["title_level"] = pd.array([r.title_level for r in rows], "Int32")
+    frame["occurrences"], frame["qualified"] = [r.occurrences for r in rows], [r.qualified for r in rows]
+    frame["fence_count"], frame["fence_languages"] = [r.fences for r in rows], [r.languages for r in rows]
     frame["diagnostics"] = [[{"code": c, "field": f, "line": n, "message": m} for c, f, n, m in r.diagnostics] for r in rows]
     return frame
 
 
-def extract(documents: DataFrame, text: str = "markdown") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rules, diagnostics, quarantine): documents that parse, what was noticed in them, and those that don't with their error."""
-    p = documents.withColumn("_p", parsed(F.col(text)))
+class Extraction(NamedTuple):
+    """rules; diagnostics (what was noticed in them); quarantine (documents that can't be read, with code and error); measures (counts of each rule's sections and fences)."""
+
+    rules: DataFrame
+    diagnostics: DataFrame
+    quarantine: DataFrame
+    measures: DataFrame
+
+
+def extract(documents: DataFrame, text: str = "markdown", untitled: Column | None = None) -> Extraction:
+    """Parses every document. untitled: which of them may lack a title, as a curation gives it."""
+    p = documents.withColumn("_p", parsed(F.col(text), F.lit(False) if untitled is None else F.coalesce(untitled, F.lit(False))))
     keys = [c for c in documents.columns if c != text]
     good, bad = p.where("_p.error is null"), p.where("_p.error is not null")
-    rules = good.select(*keys, "_p.title", *[f"_p.{f}" for f in FIELDS], F.col(text).alias("raw_markdown"))
+    rules = good.select(*keys, "_p.title", *[f"_p.{f}" for f in FIELDS], t.newlines(F.col(text)).alias("raw_markdown"))
     told = good.select(*keys, F.explode("_p.diagnostics").alias("d")).select(*keys, "d.*")
-    return rules, told.orderBy(*keys, F.coalesce("line", F.lit(-1)), "code", "field"), bad.select(*keys, "_p.error")
+    measures = good.select(*keys, *[f"_p.{c}" for c in ("title_level", "occurrences", "qualified", "fence_count", "fence_languages")])
+    return Extraction(rules, told.orderBy(*keys, F.coalesce("line", F.lit(-1)), "code", F.coalesce("field", F.lit(""))), bad.select(*keys, "_p.code", "_p.error"), measures)
+
+
+def first_of_ids(documents: DataFrame, key: str = "id", order: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(the first document of each id in path order, problems of the others: key, code, error)."""
+    n = documents.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    told = n.where("_n > 1").select(key, F.lit("duplicate_normalized_id").alias("code"), F.concat(F.lit("repeated id: "), F.col(key)).alias("error"))
+    return n.where("_n = 1").drop("_n"), told
+
+
+def apply_curations(rules: DataFrame, curations: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rules with curated fields, problems of the curations: key, code, error).
+
+    curations: key, field, value, allow_replace_non_null. A curation of a filled field must be allowed to replace it,
+    one field of a rule has one curation, and each must meet a rule and a field that is there.
+    """
+    c = curations.groupBy(key, "field").agg(F.count("*").alias("n"), F.min("value").alias("value"), F.bool_and("allow_replace_non_null").alias("may"))
+    fields = [x for x in ("title", *FIELDS) if x in rules.columns]
+    wide = c.groupBy(key).pivot("field", fields).agg(F.first("value"))
+    j = rules.join(wide.select(key, *[F.col(f).alias(f"_c_{f}") for f in fields]), key, "left")
+    out = j.select(*[F.coalesce(f"_c_{x}", x).alias(x) if x in fields else F.col(x) for x in rules.columns])
+    each = rules.select(key, F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.coalesce(F.col(f), F.lit("")))])).alias("field", "_old"))
+    met = c.join(each, [key, "field"], "left")
+    code = F.when(F.col("n") > 1, "duplicate_curation").when(F.col("_old").isNull(), "unused_source_curation").when((F.col("_old") != "") & ~F.coalesce("may", F.lit(False)), "replaces_non_null")
+    return out, met.select(key, code.alias("code"), F.concat_ws(" ", F.lit("curation of"), "field").alias("error")).where("code is not null")
+
+
+def gate(*problems: DataFrame, what: str = "corpus", shown: int = 20) -> None:
+    """Raises if any of the tables (code, error, ...) has a row: all are counted by code, the first few are named."""
+    counts: Counter = Counter()
+    examples: list[str] = []
+    for p in problems:
+        for r in p.groupBy("code").agg(F.count("*").alias("n")).collect():  # a row for each kind of problem
+            counts[r["code"]] += r["n"]
+        if len(examples) < shown:
+            examples += [f"{r['code']}: {r['error']}" for r in p.select("code", "error").orderBy("code", "error").limit(shown - len(examples)).collect()]
+    if counts:
+        raise ValueError(f"{what} can't be published: {dict(sorted(counts.items()))}; " + "; ".join(examples))
+
+
+def publication_problems(resolved: DataFrame, allowed: tuple[str, ...] = ("A",)) -> DataFrame:
+    """(code, error) of the fields (see field_resolution) that hold up publication: unreviewed, stale, or reviewed in another class than the allowed ones."""
+    held = ~F.col("state").isin("filled", *[f"reviewed_{a}" for a in allowed])
+    return resolved.where(held).select(F.col("state").alias("code"), F.col("field").alias("error"))
+
+
+def corpus_rollup(found: Extraction) -> DataFrame:
+    """(measure, name, n): rules, filled fields, sections and qualified sections by field, rules that repeat a section, fences, fence languages, warnings and quarantined documents by code."""
+    m = found.measures
+
+    def rows(df: DataFrame, measure: str, name, n) -> DataFrame:
+        return df.select(F.lit(measure).alias("measure"), name.alias("name"), n.cast("long").alias("n"))
+
+    one, k, v = F.lit(1), F.col("k"), F.col("v")
+    parts = [
+        rows(found.rules, "rules", F.lit("total"), one),
+        *[rows(found.rules, "field_coverage", F.lit(f), (F.coalesce(f, F.lit("")) != "").cast("long")) for f in FIELDS],
+        rows(m.select(F.explode("occurrences").alias("k", "v")), "section_occurrences", k, v),
+        rows(m.select(F.explode("qualified").alias("k", "v")), "qualified_occurrences", k, v),
+        rows(m.select(F.explode("occurrences").alias("k", "v")), "rules_with_repeated_sections", k, (v > 1).cast("long")),
+        rows(m, "fences", F.lit("total"), F.col("fence_count")),
+        rows(m.select(F.explode("fence_languages").alias("k")), "fence_language", k, one),
+        rows(found.diagnostics, "warnings", F.col("code"), one),
+        rows(found.quarantine, "failures", F.col("code"), one),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    return every.groupBy("measure", "name").agg(F.sum("n").alias("n"))
 
 
 def verify_curations(curations: DataFrame, documents: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
@@ -180,7 +300,7 @@ def verify_curations(curations: DataFrame, documents: DataFrame, keys: list[str]
 
 
 def field_resolution(rules: DataFrame, reviews: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """(keys, field, state): filled, reviewed (its class follows), unreviewed; reviews of filled or unknown fields are stale. Publication waits until nothing is unreviewed or stale."""
+    """(keys, field, state): filled, reviewed (its class follows), unreviewed; reviews of filled or unknown fields are stale. See publication_problems."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.coalesce(F.col(f), F.lit("")) != "").alias("filled")) for f in fields]))
     have = rules.select(*keys, each.alias("x")).select(*keys, "x.*")
     j = have.join(reviews.select(*keys, "field", "classification", F.lit(True).alias("_r")), [*keys, "field"], "full")

@@ -90,31 +90,40 @@ def newlines(t: Column) -> Column:
     return F.regexp_replace(t, r"\r\n?", "\n")
 
 
-#: What Markdown inline marks leave behind, in order.
-INLINE = [(r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\[[^\]]*\]", "$1"), (r"`+([^`]*)`+", "$1"), (r"(\*\*|__)(.+?)\1", "$2"), (r"(\*|_)(.+?)\1", "$2"), (r"~~(.+?)~~", "$1"), (r"<[^>]+>", ""), (r"\\([\\`*_{}\[\]()#+\-.!])", "$1"), (r"\s+#+\s*$", "")]
+#: What Markdown inline marks leave behind (the group that stays, 0: nothing), in order. Single marks count only at the edge of a word.
+INLINE = [
+    (r"!\[([^\]]*)\]\([^)]+\)", 1),
+    (r"\[([^\]]+)\]\([^)]+\)", 1),
+    (r"(`+)(.*?)\1", 2),
+    (r"\*\*(.*?)\*\*", 1),
+    (r"__(.*?)__", 1),
+    (r"(?<!\w)\*([^*]+)\*(?!\w)", 1),
+    (r"(?<!\w)_([^_]+)_(?!\w)", 1),
+    (r"~~(.*?)~~", 1),
+    (r"\\([!-/:-@\[-`{-~])", 1),
+    (r"<[^>]+>", 0),
+]
 
 
 def visible_heading(t: Column) -> Column:
     """What a Markdown heading shows, but for character references (see unescape)."""
-    for pattern, to in INLINE:
-        t = F.regexp_replace(t, pattern, to)
+    for pattern, group in INLINE:
+        t = F.regexp_replace(t, "(?U)" + pattern, f"${group}" if group else "")
     return collapse(t)
 
 
-#: Heading names by section category.
-HEADINGS = {"problematic": ["problematic code", "problematic", "bad code"], "correct": ["correct code", "correct", "good code"], "rationale": ["rationale"], "exceptions": ["exceptions", "exception"]}
+#: How a heading that opens a section begins, what may follow the name, and the sections by name.
+SECTION = r"^(problematic code|correct code|rationale|exceptions?)(?=$|[\s:#(\[\-–—])"
+SECTIONS = {"problematic code": "problematic", "correct code": "correct", "rationale": "rationale", "exception": "exceptions", "exceptions": "exceptions"}
 
 
 def heading_category(t: Column) -> Column:
-    """struct(category, qualified): the section a heading opens, and whether it says more than the name; null category: none."""
-    form = F.regexp_replace(F.lower(collapse(t)), r"[\s_\-]+", " ")
-    case, more = None, None
-    for name, words in HEADINGS.items():
-        hit = form.rlike(rf"^(?:{'|'.join(words)})(?:$|[^\p{{L}}\p{{N}}])")
-        case = F.when(hit, name) if case is None else case.when(hit, name)
-        bare = form.rlike(rf"^(?:{'|'.join(words)})[:.]?$")
-        more = bare if more is None else more | bare
-    return F.struct(case.alias("category"), (case.isNotNull() & ~more).alias("qualified"))
+    """struct(category, qualified): the section that a shown heading opens, and whether it says more than the name; null category: none."""
+    form = strip(F.regexp_replace(F.lower(t), r"(?U)[\s_\-]+", " "))
+    name = F.regexp_extract(form, "(?U)" + SECTION, 1)
+    rest = strip(F.substring(form, F.length(name) + 1, F.length(form)))
+    known = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
+    return F.struct(F.try_element_at(known, name).alias("category"), ((name != "") & ~rest.isin("", ":")).alias("qualified"))
 
 
 #: Steps that turn wiki Markdown into plain sentences, in order.

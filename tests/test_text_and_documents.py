@@ -95,20 +95,61 @@ DOC = "# `Rule` *title*\r\n\r\n## Problematic code:\r\n\r\n```sh\r\n# not a head
 
 def test_markdown_sections():
     p = M.parse(DOC)
-    assert p.title == "Rule title" and p.error is None
-    assert p.sections == {"problematic": "# not a heading\n\nand `prose`", "correct": "x\n~~~", "rationale": "Why.\n\n### Detail\n\nMore.\n\nagain:\nStill."}
-    assert {(d[0], d[1]) for d in p.diagnostics} == {("repeated_section", "rationale"), ("missing_section", "exceptions")}
+    assert (p.title, p.title_level) == ("Rule title", 1) and p.error is None
+    assert p.sections == {"problematic": "# not a heading\n\nand `prose`", "correct": "x\n~~~", "rationale": "Rationale\nWhy.\n\n### Detail\n\nMore.\n\nRationale (again)\nStill."}
+    assert p.diagnostics == [] and p.occurrences == {"problematic": 1, "correct": 1, "rationale": 2} and p.qualified["rationale"] == 1
+    assert p.fences == 2 and p.languages == ["sh"]
 
 
-@pytest.mark.parametrize("text, title", [("# A\n# B\n## C", "C"), ("# Overview\n## Real", "Real"), ("### Low\n#### Lower", "Low"), ("Setext\n===", "Setext"), ("no heading", None), ("# Tail #", "Tail"), ("# A &amp; B", "A & B"), (None, None)])
+@pytest.mark.parametrize("text, title", [("# A\n# B\n## C", "several_titles"), ("## Example code\n### Rationale\nText.", "no_title"), ("# Examples\n## Real", "Real"), ("### Low\n#### Lower", "Low"), ("#### Lower\n### Low", "Low"), ("Setext\n===", "Setext"), ("no heading", "no_title"),
+                                         ("# Tail #", "Tail"), ("# A &amp; B", "A & B"), (None, "no_title"), ("# Semantic `title`\n\nText only.", "Semantic title"), ("## Rationale\nx\n# Late", "no_title"), ("# Quote foo_bar_baz to 2*3*4", "Quote foo_bar_baz to 2*3*4"),
+                                         ("# a _b_ *c* __d__ **e** ~~f~~ \\* <i>g</i> ![h](i) [j](k) [l][m]", "a b c d e f * g h j [l][m]"), ("# Correct usage of quotes\n## Correct code\nx", "Correct usage of quotes"), ("    indented\n---\n# T", "T"), ("#\n# T", "T")])
 def test_titles(text, title):
-    assert M.parse(text).title == title
-
-
-def test_open_fence_is_quarantined(spark):
-    df = spark.createDataFrame([("a", "# T\n```\nx"), ("b", "# T\n\n## Rationale\nr")], "id string, markdown string")
-    rules, told, bad = M.extract(df)
-    assert [r["id"] for r in rules.collect()] == ["b"] and "never closed" in bad.first()["error"] and told.count() == 3
+    p = M.parse(text)
+    assert (p.title or p.code) == title
+    assert M.parse(text, untitled=True).code in (None, "several_titles")
+
+
+def test_sections_under_their_headings():
+    p = M.parse("## Title\n\n### Problematic code #1\none\n\n### Problematic code #2\ntwo\n\n### Correct code (first)\nalpha\n\n### Correct code: (second)\nbeta\n")
+    assert p.sections == {"problematic": "Problematic code #1\none\n\nProblematic code #2\ntwo", "correct": "Correct code (first)\nalpha\n\nCorrect code: (second)\nbeta"}
+    assert p.occurrences["problematic"] == 2 and p.qualified["correct"] == 2
+    p = M.parse("## Title\n\n### Correct code\nBefore.\n\n````bash\n  echo one  \n```\n````\n\n~~~sh\nprintf two\n~~~\n\nAfter.\n")
+    assert p.sections["correct"] == "Before.\n\n  echo one  \n```\n\nprintf two\n\nAfter." and p.languages == ["bash", "sh"]
+    assert M.parse("## T\r\n\r\n### Rationale\r\nLine.  \r\n").sections["rationale"] == "Line.  "
+    assert M.parse("## T\n\n### Rationale\nBecause.\n\n### Related resources\nLink.\n").sections == {"rationale": "Because."}
+    p = M.parse("# T\n## Rationale\n\n## Exceptions:\n")
+    assert sorted((d[0], d[1], d[2]) for d in p.diagnostics if d[0] == "empty_semantic_section") == [("empty_semantic_section", "exceptions", 3 + 1), ("empty_semantic_section", "rationale", 2)]
+    assert M.parse("# T\n``` a`b\nx\n```").code == "ambiguous_fence"
+
+
+def test_headings_in_the_jvm_and_in_python_agree(spark):
+    forms = ["Problematic code", "**Correct** `Code`:", "Rationale - why", "Exceptions (rare)", "exception", "Related [rules](x)", "problematic_code", "Correctness", "Correct usage of quotes", "bad code", "snake_case_name", "2*3*4", "Correct code #2", "correct-code"]
+    df = spark.createDataFrame([(f,) for f in forms], "x string").select("x", X.visible_heading(F.col("x")).alias("shown")).withColumn("c", X.heading_category(F.col("shown")))
+    for r in df.collect():
+        assert r["shown"] == M.visible(r["x"]) and (r["c"]["category"], r["c"]["qualified"]) == M.category(r["x"]), r
+
+
+def test_unreadable_documents_are_quarantined_and_gated(spark):
+    df = spark.createDataFrame([("a", "# T\n```\nx"), ("b", "# T\n\n## Rationale\nr\n```sh\ny\n```"), ("c", "text"), ("d", "# A\n# B")], "id string, markdown string")
+    found = M.extract(df, untitled=F.col("id") == "c")
+    assert sorted(r["id"] for r in found.rules.collect()) == ["b", "c"] and found.diagnostics.count() == 5
+    assert {r["id"]: r["code"] for r in found.quarantine.collect()} == {"a": "unmatched_fence", "d": "several_titles"}
+    got = {(r["measure"], r["name"]): r["n"] for r in M.corpus_rollup(found).collect()}
+    assert got["rules", "total"] == 2 and got["fence_language", "sh"] == 1 and got["warnings", "missing_semantic_field"] == 5 and got["failures", "unmatched_fence"] == 1 and got["field_coverage", "rationale"] == 1
+    with pytest.raises(ValueError, match="several_titles.*never closed"):
+        M.gate(found.quarantine)
+    M.gate(found.quarantine.where("false"))
+    kept, told = M.first_of_ids(spark.createDataFrame([("a", "2"), ("a", "1"), ("b", "3")], "id string, path string"))
+    assert sorted((r["id"], r["path"]) for r in kept.collect()) == [("a", "1"), ("b", "3")] and [r["code"] for r in told.collect()] == ["duplicate_normalized_id"]
+
+
+def test_curations_fill_what_they_may(spark):
+    rules = spark.createDataFrame([("a", None, "p"), ("b", "B", None)], "id string, title string, problematic string")
+    cur = spark.createDataFrame([("a", "title", "A", False), ("b", "title", "C", True), ("b", "correct", "x", False), ("z", "title", "Z", False), ("a", "problematic", "q", False)], "id string, field string, value string, allow_replace_non_null boolean")
+    out, told = M.apply_curations(rules, cur)
+    assert {r["id"]: r["title"] for r in out.collect()} == {"a": "A", "b": "C"}
+    assert sorted((r["id"], r["code"]) for r in told.collect()) == [("a", "replaces_non_null"), ("b", "unused_source_curation"), ("z", "unused_source_curation")]
 
 
 def test_curations_and_resolutions(spark):
@@ -119,6 +160,8 @@ def test_curations_and_resolutions(spark):
     rules = spark.createDataFrame([("a", "t", None, "")], "id string, x string, y string, z string")
     rev = spark.createDataFrame([("a", "y", "A"), ("a", "x", "B"), ("q", "x", "A")], "id string, field string, classification string")
     assert {(r["id"], r["field"]): r["state"] for r in M.field_resolution(rules, rev, ["id"], ["x", "y", "z"]).collect()} == {("a", "x"): "stale", ("a", "y"): "reviewed_A", ("a", "z"): "unreviewed", ("q", "x"): "stale"}
+    held = M.publication_problems(M.field_resolution(rules, rev, ["id"], ["x", "y", "z"]))
+    assert sorted(r["code"] for r in held.collect()) == ["stale", "stale", "unreviewed"]
 
 
 RECORD = T.StructType([T.StructField("id", T.StringType()), T.StructField("title", T.StringType())])
