@@ -26,25 +26,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+def sound(vector: Column, dims: int | None = None) -> Column:
+    """Whether a vector takes part in a matching: not null, only finite components, of dims of them."""
+    ok = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(ok if dims is None else ok & (F.size(vector) == dims), F.lit(False))
+
+
+def dimension(targets: DataFrame, vector: str = "vector") -> int:
+    """The most frequent length of the targets' sound vectors, of equals the largest; 0 without any."""
+    n = targets.where(sound(F.col(vector))).groupBy(F.size(vector).alias("dims")).agg(F.count("*").alias("n"))
+    top = n.orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
+    return top[0]["dims"] if top else 0
+
+
 def score_pairs(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """(source_id, target_id, target_ord, raw_cosine) of every source with every target.
 
     sources: source_id, vector. targets: target_id, target_ord, vector. The target side is a
     dimension table: it is broadcast only if its size has been checked against
-    cfg.max_broadcast_values, and is otherwise dealt in blocks through a shuffle.
+    cfg.max_broadcast_values, and is otherwise dealt in blocks through a shuffle, where every
+    pair of a block and a slice of the sources is a key of its own. Vectors that are null, of
+    another length than most targets', or hold null or non-finite components take no part.
     """
-    t = targets.select("target_id", "target_ord", F.col("vector").alias("tv"))
-    size = t.agg(F.coalesce(F.sum(F.size("tv")), F.lit(0))).first()[0]
+    dims = dimension(targets)
+    t = targets.where(sound(F.col("vector"), dims)).select("target_id", "target_ord", F.col("vector").alias("tv"))
+    size = t.count() * dims
     score = dot(F.col("sv"), F.col("tv")) if cfg.assume_normalized else cosine(F.col("sv"), F.col("tv"))
-    s = sources.select("source_id", F.col("vector").alias("sv"))
+    s = sources.where(sound(F.col("vector"), dims)).select("source_id", F.col("vector").alias("sv"))
     if size <= cfg.max_broadcast_values:
         packed = t.agg(F.collect_list(F.struct("target_id", "target_ord", "tv")).alias("block"))
         pairs = s.join(F.broadcast(packed)).select("source_id", "sv", F.explode("block").alias("t"))
         pairs = pairs.select("source_id", "sv", "t.*")
     else:
-        blocks = -(-size // cfg.max_broadcast_values)
-        cells = F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))).alias("cell")
-        pairs = s.select("*", cells).join(t.withColumn("cell", F.pmod(F.xxhash64("target_id"), F.lit(blocks)).cast("int")), "cell")
+        blocks, slices = -(-size // cfg.max_broadcast_values), max(1, -(-s.count() // SLICE))
+        left = s.withColumn("_slice", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+        right = t.withColumn("_block", F.pmod(F.xxhash64("target_id"), F.lit(blocks))).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")))
+        pairs = left.join(right, ["_block", "_slice"])
     return pairs.select("source_id", "target_id", "target_ord", score.alias("raw_cosine"))
 
 
@@ -69,23 +86,37 @@ def select_matches(scored: DataFrame, cfg: MatchConfig, keys: tuple[str, ...] =
     return out if cfg.top_k is None else out.where(F.col("rank") <= cfg.top_k)
 
 
-def match_rows(sources: DataFrame, targets: DataFrame, cfg: MatchConfig) -> DataFrame:
+#: Sources that meet one block of targets in a task, where both are dealt.
+SLICE = 65_536
+
+
+def _selected(x: np.ndarray, matrix: np.ndarray, cfg: MatchConfig) -> tuple[np.ndarray, ...]:
+    """(row, column, raw, sharp, top of the row) of the scores of x's rows with the matrix that reach the threshold of the row's maximum, at most K a row, best first; columns are in target order."""
+    raw = (x if cfg.assume_normalized else _unit(x)) @ matrix.T
+    sharp = np.maximum(raw, 0.0) ** cfg.power
+    top = sharp.max(axis=1, initial=0.0, keepdims=True)
+    score = np.divide(sharp, top, out=np.zeros_like(sharp), where=top > 0)
+    row, col = np.nonzero((score >= cfg.threshold) & (score > 0))
+    order = np.lexsort((col, -score[row, col], row))
+    row, col = row[order], col[order]
+    if cfg.top_k is not None:
+        first = np.arange(len(row)) - np.searchsorted(row, row) < cfg.top_k
+        row, col = row[first], col[first]
+    return row, col, raw[row, col], sharp[row, col], top[row, 0]
+
+
+def match_rows(sources: DataFrame, targets: DataFrame, cfg: MatchConfig, dims: int) -> DataFrame:
     """The whole matching inside one pass over the sources, without a shuffle.
 
     The target matrix, whose size the caller has checked, is broadcast; every batch of sources is
     one matrix product, and since a source then has all its scores in one row, its maximum,
-    threshold and ranks need no other row. Sources without a vector, or with one of another
-    length, match nothing.
+    threshold and ranks need no other row. All vectors are sound and have dims components.
     """
-    spark = sources.sparkSession
     known = targets.select("target_id", "target_ord", "vector").orderBy("target_ord", "target_id").toArrow()
-    rows = [v for v in known.column("vector").to_pylist()]
-    dims = len(rows[0]) if rows and rows[0] is not None else 0
-    matrix = np.array(rows, dtype=np.float64).reshape(len(rows), dims)
+    matrix = np.array(known.column("vector").to_pylist(), dtype=np.float64).reshape(known.num_rows, dims)
     if not cfg.assume_normalized:
         matrix = _unit(matrix)
-    shared = spark.sparkContext.broadcast((matrix, known.column("target_id").combine_chunks(), known.column("target_ord").combine_chunks()))
-    keep = sources.select("source_id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == dims)
+    shared = sources.sparkSession.sparkContext.broadcast((matrix, known.column("target_id").combine_chunks(), known.column("target_ord").combine_chunks()))
 
     def run(batches):
         matrix, ids, ords = shared.value
@@ -94,22 +125,67 @@ def match_rows(sources: DataFrame, targets: DataFrame, cfg: MatchConfig) -> Data
             for at in range(0, whole.num_rows if len(matrix) else 0, step):
                 batch = whole.slice(at, step)
                 x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, dims)
-                raw = (x if cfg.assume_normalized else _unit(x)) @ matrix.T
-                sharp = np.maximum(raw, 0.0) ** cfg.power
-                top = sharp.max(axis=1, keepdims=True)
-                score = np.divide(sharp, top, out=np.zeros_like(sharp), where=top > 0)
-                row, col = np.nonzero((score >= cfg.threshold) & (score > 0))
-                order = np.lexsort((col, -score[row, col], row))  # the matrix is in target order
-                row, col = row[order], col[order]
+                row, col, raw, sharp, top = _selected(x, matrix, cfg)
                 rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-                if cfg.top_k is not None:
-                    first = rank <= cfg.top_k
-                    row, col, rank = row[first], col[first], rank[first]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids.take(pa.array(col)), ords.take(pa.array(col)), pa.array(raw[row, col]), pa.array(score[row, col]), pa.array(rank, pa.int32())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids.take(pa.array(col)), ords.take(pa.array(col)), pa.array(raw), pa.array(sharp / top), pa.array(rank, pa.int32())], names=NAMES)
 
+    return sources.select("source_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, _schema(sources, targets, NAMES))
+
+
+def match_blocks(sources: DataFrame, targets: DataFrame, cfg: MatchConfig, dims: int, size: int) -> DataFrame:
+    """The matching of more targets than may be broadcast.
+
+    Targets are dealt in blocks and sources in slices; a task holds one block's matrix and streams one slice past
+    it, a matrix product at a time. Of a source it passes on the block's maximum and the K best that
+    reach the threshold of that maximum, which the maximum over all blocks can only raise; the
+    blocks' few rows are merged by source.
+    """
+    blocks, slices = -(-size // cfg.max_broadcast_values), max(1, -(-sources.count() // SLICE))
+    ids, ords, keys = (df.schema[c].dataType for df, c in ((targets, "target_id"), (targets, "target_ord"), (sources, "source_id")))
+    none = {"target_id": F.lit(None).cast(ids), "target_ord": F.lit(None).cast(ords), "source_id": F.lit(None).cast(keys)}
+    v = F.col("vector").cast("array<double>").alias("vector")
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    t = targets.select(F.pmod(F.xxhash64("target_id", "target_ord"), F.lit(blocks)).alias("b"), every.alias("s"), none["source_id"].alias("source_id"), "target_id", "target_ord", v)
+    own = sources.withColumn("s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices)).cast("int"))
+    x = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("b"), "s", "source_id", none["target_id"].alias("target_id"), none["target_ord"].alias("target_ord"), v)
+    # Targets come before the sources of their unit.
+    dealt = t.withColumn("k", F.lit(False)).unionByName(x.withColumn("k", F.lit(True))).repartition("b", "s").sortWithinPartitions("b", "s", "k", "target_ord", "target_id")
+    names = ["source_id", "target_id", "target_ord", "raw_cosine", "_sharp", "_top"]
+
+    def run(batches):
+        unit, held, matrix = None, [], None
+        for whole in batches:
+            b, s, k = (whole.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 6))
+            cuts = np.flatnonzero((b[1:] != b[:-1]) | (s[1:] != s[:-1]) | (k[1:] != k[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, whole.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if (b[lo], s[lo]) != unit:
+                    unit, held, matrix = (b[lo], s[lo]), [], None
+                part = whole.slice(lo, hi - lo)
+                if not k[lo]:
+                    held.append(part.select([3, 4, 5]))
+                    continue
+                if matrix is None:
+                    known = pa.Table.from_batches(held, schema=part.select([3, 4, 5]).schema).combine_chunks()
+                    matrix = np.asarray(pa.chunked_array(known.column(2).chunks, type=known.schema.field(2).type).combine_chunks().flatten().to_numpy(zero_copy_only=False) if held else [], dtype=np.float64).reshape(-1, dims)
+                    matrix, held = matrix if cfg.assume_normalized else _unit(matrix), [known]
+                step = max(1, 4_000_000 // max(1, len(matrix)))
+                for at in range(0, part.num_rows if len(matrix) else 0, step):
+                    few = part.slice(at, step)
+                    rows = np.asarray(few.column(5).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(few.num_rows, dims)
+                    row, col, raw, sharp, top = _selected(rows, matrix, cfg)
+                    yield pa.RecordBatch.from_arrays([few.column(2).take(pa.array(row)), *(held[0].column(i).combine_chunks().take(pa.array(col)) for i in (0, 1)), pa.array(raw), pa.array(sharp), pa.array(top)], names=names)
+
+    found = dealt.mapInArrow(run, _schema(sources, targets, names))
+    top = F.max("_top").over(Window.partitionBy("source_id"))
+    scored = found.withColumn("relative_score", F.col("_sharp") / top)
+    return select_matches(scored, cfg).select(*NAMES)
+
+
+def _schema(sources: DataFrame, targets: DataFrame, names: list[str]) -> T.StructType:
     kind = {f.name: f.dataType for f in [*sources.schema.fields, *targets.schema.fields]}
-    schema = T.StructType([T.StructField(n, kind.get(n) or (T.IntegerType() if n == "rank" else T.DoubleType())) for n in NAMES])
-    return keep.mapInArrow(run, schema)
+    return T.StructType([T.StructField(n, kind.get(n) or (T.IntegerType() if n == "rank" else T.DoubleType())) for n in names])
 
 
 NAMES = ["source_id", "target_id", "target_ord", "raw_cosine", "relative_score", "rank"]
@@ -120,13 +196,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def match(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = MatchConfig(), engine: str = "arrow") -> DataFrame:
+def match(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = MatchConfig(), engine: str = "arrow", dims: int | None = None) -> DataFrame:
     """The matching pipeline: source_id, target_id, target_ord, raw_cosine, relative_score, rank.
 
-    engine "arrow": matrix products without a shuffle, while the targets are within
-    cfg.max_broadcast_values; beyond that, and with engine "sql", JVM expressions and one shuffle
-    on the source key.
+    engine "arrow": matrix products, without a shuffle while the targets are within
+    cfg.max_broadcast_values, beyond that in blocks; engine "sql": JVM expressions and one shuffle
+    on the source key. Source ids are distinct. Vectors that are null, of another length than
+    dims (None: that of most targets), or hold null or non-finite components take no part, as source or target, in either engine.
     """
-    if engine == "arrow" and targets.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] <= cfg.max_broadcast_values:
-        return match_rows(sources, targets, cfg)
-    return select_matches(relative_scores(score_pairs(sources, targets, cfg), cfg.power), cfg).select(*NAMES)
+    dims = dimension(targets) if dims is None else dims
+    s, t = (df.where(sound(F.col("vector"), dims)) for df in (sources, targets))
+    if engine == "arrow":
+        size = t.count() * dims
+        return match_rows(s, t, cfg, dims) if size <= cfg.max_broadcast_values else match_blocks(s, t, cfg, dims, size)
+    return select_matches(relative_scores(score_pairs(s, t, cfg), cfg.power), cfg).select(*NAMES)

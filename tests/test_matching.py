@@ -68,6 +68,21 @@ def test_both_engines_agree(spark):
     assert vector.match(s.withColumn("vector", F.lit(None).cast("array<float>")), t).count() == 0
 
 
+def test_engines_and_blocks_agree_on_bad_vectors(spark, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [1.0], [], [nan] * 4, [inf, 0.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], [0.0] * 4]
+    s, t = frames(spark, [[r.gauss(0, 1) for _ in range(4)] for _ in range(40)] + odd, odd + [[r.gauss(0, 1) for _ in range(4)] for _ in range(50)])
+    monkeypatch.setattr(vector, "SLICE", 10)
+    for cfg in (MatchConfig(assume_normalized=False), MatchConfig(1.0, 0.3, 4, False), MatchConfig(2.0, 0.2, None, False)):
+        small = MatchConfig(cfg.power, cfg.threshold, cfg.top_k, False, max_broadcast_values=30)
+        got = [sorted((x["source_id"], x["rank"], x["target_id"], round(x["raw_cosine"], 9), round(x["relative_score"], 9)) for x in vector.match(s, t, c, e).collect()) for c in (cfg, small) for e in ("arrow", "sql")]
+        assert got[0] and all(g == got[0] for g in got[1:])
+    assert vector.match(s, t.where("size(vector) <> 4"), dims=4).count() == 0
+
+
 @pytest.mark.parametrize("bad", [{"power": 0}, {"threshold": 1.5}, {"top_k": 0}])
 def test_bad_parameters(bad):
     with pytest.raises(ValueError):
