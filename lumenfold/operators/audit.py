@@ -24,6 +24,22 @@ def vector_problems(vector: str, dimension: int, tolerance: float = 1e-5) -> Col
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def vector_set_problems(vectors: DataFrame, expected: DataFrame, dims: int, tolerance: float = 1e-5, kind: str = "float", key: str = "id", vector: str = "vector", order: str = "ord") -> DataFrame:
+    """(code, error) of a vector set (key, order, vector) against the expected ids in their order: ids that are missing, extra, repeated or at another place, components of another type, and vectors that are missing, of another dimension, not finite or not of unit length."""
+    v = vectors.select(F.col(key).cast("string").alias("error"), F.col(order).alias("_at"), F.col(vector).alias("_v"))
+    e = expected.select(F.col(key).cast("string").alias("error"), F.col(order).alias("_place"))
+    found = v.groupBy("error").agg(F.count("*").alias("_n"), F.min("_at").alias("_at"))
+    j = found.join(e, "error", "full")
+    place = F.when(F.col("_n").isNull(), "missing_id").when(F.col("_place").isNull(), "extra_id").when(F.col("_n") > 1, "repeated_id").when(F.col("_at") != F.col("_place"), "order")
+    out = j.select(place.alias("code"), "error").where("code is not null")
+    bad = v.select(F.explode(vector_problems("_v", dims, tolerance)).alias("code"), "error")
+    own = vectors.schema[vector].dataType.elementType.simpleString()
+    told = [] if own == kind else [vectors.sparkSession.createDataFrame([("type", f"components are {own}, not {kind}")], "code string, error string")]
+    for part in (bad, *told):
+        out = out.unionAll(part)
+    return out
+
+
 def text_audit(df: DataFrame, built: Column, fields: Sequence[str]) -> DataFrame:
     """One row: records, distinct built texts, repeated ones, empty values of each field."""
     digest = t.sha256(built)

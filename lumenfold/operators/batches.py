@@ -11,19 +11,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.session import durable
+from lumenfold.operators.numbering import numbered
 
 
-def pair_manifest(pairs: DataFrame, order: Sequence[str], partitions: int = 32) -> DataFrame:
-    """pairs with their index, from 0, in a total order.
-
-    Ranges of the order are numbered apart and their sizes added up, so no task sorts everything.
-    The ranges are checkpointed: were they dealt again, they might be cut elsewhere.
-    """
-    by = durable(pairs.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id()))
-    n = by.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return by.withColumn("_i", own).join(F.broadcast(n.select("_p", "_before")), "_p").withColumn("index", (F.col("_i") + F.col("_before")).cast("long")).drop("_p", "_i", "_before")
+def pair_manifest(pairs: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """pairs with their index, from 0, in a total order; see numbered."""
+    return numbered(pairs, order, "index", partitions)
 
 
 def batch_manifest(manifest: DataFrame, size: int, member: str) -> DataFrame:
@@ -145,13 +138,44 @@ def pending(batches: DataFrame, done: DataFrame | None, run: str) -> DataFrame:
 
 
 def run_resumable(batches: DataFrame, path: str, run: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Appends the outcomes of the pending batches to the Parquet checkpoint at path and returns the latest good ones."""
+    """Appends the outcomes of the pending batches to the Parquet checkpoint at path, with the number of the attempt, and returns the good ones of the latest attempt of each batch."""
     spark = batches.sparkSession
     store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store)
     done = spark.read.parquet(path) if there else None
-    process(pending(batches, done, run)).withColumn("fingerprint", F.lit(run)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where("error is null").dropDuplicates(["batch_id"])
+    attempt = 1 + (done.agg(F.coalesce(F.max("attempt"), F.lit(0))).first()[0] if there else 0)
+    process(pending(batches, done, run)).withColumn("fingerprint", F.lit(run)).withColumn("attempt", F.lit(attempt).cast("long")).write.mode("append").parquet(path)
+    latest = F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("attempt")))
+    return spark.read.parquet(path).where("error is null").withColumn("_n", latest).where("_n = 1").drop("_n")
+
+
+def manifest_problems(pairs: DataFrame, batches: DataFrame, size: int, key: str = "pair_id") -> DataFrame:
+    """(code, error) of what is wrong with a pair manifest (key, index) and its batches: a repeated key, indices that aren't 0..n-1, batches that aren't full (but the last), don't follow each other, hold other members than the pairs say, or whose digest is another."""
+    n, b = pairs.count(), F.col("batch_index")
+    row = lambda df, code, what: df.select(F.lit(code).alias("code"), F.col(what).cast("string").alias("error"))
+    repeated = pairs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    gaps = pairs.groupBy("index").agg(F.count("*").alias("n")).where((F.col("n") > 1) | ~F.col("index").between(0, n - 1))
+    full = F.least(F.lit(size), n - b * size)
+    shape = batches.where((F.col("size") != full) | (F.col("start_index") != b * size) | (F.size("members") != F.col("size")))
+    count = batches.agg(F.count("*").alias("n")).where(F.col("n") != -(-n // size))
+    digest = batches.where(F.sha2(F.to_json("members"), 256) != F.col("membership_sha256"))
+    held = batches.select(F.posexplode("members").alias("_p", "_m"), "start_index").select((F.col("start_index") + F.col("_p")).alias("index"), "_m")
+    moved = pairs.select("index", F.col(key).cast("string").alias("_k")).join(held, "index", "full").where(~F.col("_k").eqNullSafe(F.col("_m")))
+    out = row(repeated, "pair_repeated", key)
+    for part in (row(gaps, "index", "index"), row(shape, "batch_shape", "batch_id"), row(count, "batch_count", "n"), row(digest, "batch_digest", "batch_id"), row(moved, "batch_member", "index")):
+        out = out.unionAll(part)
+    return out
+
+
+def content_digest(df: DataFrame, order: Sequence[str]) -> str:
+    """SHA-256 over the digests of all rows' canonical JSON in order; rows are digested where they lie, their digests in blocks of a numbering."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    numbered = pair_manifest(df.select(*order, row.alias("_d")), order).select((F.col("index") / 4096).cast("long").alias("_b"), "index", "_d")
+    blocks = numbered.groupBy("_b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "_d"))), lambda s: s["_d"]), ""), 256).alias("_d"))
+    whole = hashlib.sha256()
+    for r in blocks.orderBy("_b").toLocalIterator():
+        whole.update(r["_d"].encode())
+    return whole.hexdigest()
 
 
 def preflight(checks: dict[str, tuple[DataFrame, Column]]) -> list[str]:

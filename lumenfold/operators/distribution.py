@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import measures as m
-from lumenfold.functions.hierarchy import effective_parent
+from lumenfold.functions.hierarchy import effective_parent, effective_parent_by_type
+from lumenfold.operators.numbering import numbered
 
 #: Bins of candidate counts, of relative and of raw scores (name, low, high; low inclusive, high exclusive).
 COUNT_BINS = [("0", 0, 1), ("1-5", 1, 6), ("6-10", 6, 11), ("11-20", 11, 21), ("21-50", 21, 51), (">50", 51, None)]
@@ -91,13 +92,15 @@ def ranking(candidates: DataFrame, key: Column, groups: Sequence[str] = ("source
 def first_seen_ranking(df: DataFrame, key: str, order: str) -> DataFrame:
     """Keys by count; ties in the order in which they were first seen."""
     c = df.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
-    return c.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen")))
+    return numbered(c, [F.desc("n"), F.asc("first_seen")]).withColumn("position", (F.col("index") + 1).cast("int")).drop("index")
 
 
-def count_matrix(candidates: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every (source, target) with its count, 0 included; both dimensions are small and the targets are bounded by their table."""
+def count_matrix(candidates: DataFrame, sources: DataFrame, targets: DataFrame, most_sources: int = 1000) -> DataFrame:
+    """Every (source, target) with its count, 0 included. Sources are the names of a few datasets: more than most_sources of them are an error."""
     n = candidates.groupBy("source", "target_id").agg(F.count("*").alias("n"))
-    names = [r[0] for r in sources.select("source").distinct().collect()]
+    names = [r[0] for r in sources.select("source").distinct().limit(most_sources + 1).collect()]
+    if len(names) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     grid = targets.select("target_id", F.explode(F.array(*[F.lit(x) for x in sorted(names)])).alias("source"))
     return grid.join(n, ["source", "target_id"], "left").select("source", "target_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -124,3 +127,46 @@ def compare_sources(summary: DataFrame, names: Sequence[str], measures: Sequence
     """One row per measure with a column for each source."""
     long = summary.select("source", F.explode(F.array(*[F.struct(F.lit(x).alias("measure"), F.col(x).cast("double").alias("value")) for x in measures])).alias("m"))
     return long.select("source", "m.*").groupBy("measure").pivot("source", list(names)).agg(F.first("value"))
+
+
+def mapping_analysis(rules: DataFrame, candidates: DataFrame, top: int = 20) -> DataFrame:
+    """The whole analysis of a mapping as (source, section, name, position, n, value).
+
+    rules: source, source_id. Sections: counts (rules, with and without candidates, candidates);
+    statistics and percentiles of candidates_per_rule, distinct_parents_per_rule, relative_score and raw_cosine; target_type and
+    parent distributions; top_targets (ties in the order in which they were first seen),
+    top_rules and top_rules_by_parents (ties by id), the `top` first of each.
+    """
+    keys = ["source", "source_id"]
+    owner = effective_parent_by_type(F.col("target_type"), F.col("parent_sr"), F.col("target_id"))
+    own = candidates.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(owner).alias("parents"))
+    per = rules.select(*keys).distinct().join(own, keys, "left").na.fill(0, ["n", "parents"])
+    null = F.lit(None)
+
+    def rows(df, section, name, position=null, n=null, value=null):
+        return df.select("source", F.lit(section).alias("section"), name.cast("string").alias("name"), position.cast("int").alias("position"), n.cast("long").alias("n"), value.cast("double").alias("value"))
+
+    def unpivoted(df, measure):
+        return rows(df.select("source", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns if c != "source"]), F.array(*[F.col(c).cast("double") for c in df.columns if c != "source"]))).alias("k", "v")), measure, F.col("k"), value=F.col("v"))
+
+    def spread(df, x, measure):
+        found = {"mean": F.avg(x), "median": F.percentile(x, 0.5), "min": F.min(x), "max": F.max(x), "stdev": m.sample_stdev(x), **{f"p{int(q * 100)}": F.percentile(x, q) for q in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}}
+        return unpivoted(df.groupBy("source").agg(*[F.round(F.coalesce(v.cast("double"), F.lit(0.0)), 6).alias(k) for k, v in found.items()]), measure)
+
+    def first(df, section, name, order, n):
+        position = F.row_number().over(Window.partitionBy("source").orderBy(*order))
+        return rows(df.withColumn("_at", position).where(F.col("_at") <= top), section, F.col(name), F.col("_at"), F.col(n))
+
+    targets = candidates.groupBy("source", "target_id").agg(F.count("*").alias("n"), F.min(F.struct("source_id", "rank")).alias("seen"))
+    parts = [
+        unpivoted(per.groupBy("source").agg(F.count("*").alias("rules"), F.count_if(F.col("n") > 0).alias("with_candidates"), F.count_if(F.col("n") == 0).alias("without_candidates"), F.sum("n").alias("candidates")), "counts"),
+        spread(per, F.col("n"), "candidates_per_rule"), spread(per, F.col("parents"), "distinct_parents_per_rule"), spread(candidates, F.col("relative_score"), "relative_score"), spread(candidates, F.col("raw_cosine"), "raw_cosine"),
+        rows(candidates.groupBy("source", "target_type").agg(F.count("*").alias("n")), "target_type", F.col("target_type"), n=F.col("n")),
+        rows(candidates.where("parent_sr is not null").groupBy("source", "parent_sr").agg(F.count("*").alias("n")), "parent", F.col("parent_sr"), n=F.col("n")),
+        first(targets, "top_targets", "target_id", [F.desc("n"), F.asc("seen")], "n"),
+        first(per, "top_rules", "source_id", [F.desc("n"), F.asc("source_id")], "n"), first(per, "top_rules_by_parents", "source_id", [F.desc("parents"), F.asc("source_id")], "parents"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

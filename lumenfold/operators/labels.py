@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.functions import measures as m
 
@@ -94,17 +95,20 @@ def annotation_statistics(records: DataFrame, label: str, valid: Sequence[str])
     return g.withColumn("status", F.when(F.col("decided"), "completed").when(F.col("labelled") > 0, "in_progress").otherwise("unreviewed"))
 
 
-def stratified_sample(rules: DataFrame, stratum: str, size: int, key: str, seed: int = 42) -> DataFrame:
+def stratified_sample(rules: DataFrame, stratum: str, size: int, key: str, seed: int = 42, most_strata: int = 10_000) -> DataFrame:
     """A proportional sample of `size` rules: shares are rounded, then corrected one by one at the strata with most room (too few) or most rules (too many).
 
     Members are the rules of smallest seeded hash in each stratum, so a run repeats and strata are
-    ranked where they lie; only the stratum counts come to the driver.
+    ranked where they lie; only the counts of at most most_strata strata come to the driver (more are an error).
     """
-    counts = {r[stratum]: r["n"] for r in rules.groupBy(stratum).agg(F.count("*").alias("n")).collect()}
-    take = allocation(counts, size)
+    found = rules.groupBy(stratum).agg(F.count("*").alias("n")).limit(most_strata + 1).collect()
+    if len(found) > most_strata:
+        raise ValueError(f"more than {most_strata} strata")
+    take = allocation({r[stratum]: r["n"] for r in found}, size)
+    shares = rules.sparkSession.createDataFrame(list(take.items()), T.StructType([T.StructField("_stratum", rules.schema[stratum].dataType), T.StructField("_take", T.LongType())]))
     w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    case = F.coalesce(*[F.when(F.col(stratum).eqNullSafe(F.lit(s)), n) for s, n in sorted(take.items(), key=str)]) if take else F.lit(0)
-    return rules.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= case).drop("_n")
+    ranked = rules.withColumn("_n", F.row_number().over(w))
+    return ranked.join(F.broadcast(shares), ranked[stratum].eqNullSafe(shares["_stratum"])).where(F.col("_n") <= F.col("_take")).select(*rules.columns)
 
 
 def allocation(counts: dict, size: int) -> dict:

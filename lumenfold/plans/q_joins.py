@@ -164,8 +164,24 @@ def pending_batches(spark, sf_dir):
 def markdown_rules(spark, sf_dir):
     p = parts(spark, sf_dir)
     md = F.concat(F.lit("# "), "p_name", F.lit("\n\n## Problematic code\n\n```sh\n# not a heading\n"), "p_brand", F.lit("\n```\n\n## Rationale\n\nWhy "), "p_size", F.lit(".\n"), F.when(F.col("p_partkey") % 2 == 0, "\n### Rationale (more)\n\nSecond part.\n").otherwise(""))
-    out, _, _ = markdown.extract(p.select("p_partkey", md.alias("markdown")))
-    return out.select("p_partkey", "title", "problematic", "rationale")
+    return markdown.extract(p.select("p_partkey", md.alias("markdown"))).rules.select("p_partkey", "title", "problematic", "rationale")
+
+
+def markdown_corpus(spark, sf_dir):
+    """Rule documents of which some can't be read: open fences, two titles, none."""
+    k = F.col("p_partkey")
+    md = F.concat(
+        F.when(k % 7 == 0, "# One\n# Two\n").when(k % 11 == 0, "## Examples\n").otherwise("# Title\n"), F.lit("## Problematic code\n```"), F.when(k % 3 == 0, "sh x").when(k % 3 == 1, "").otherwise("docker"), F.lit("\nx\n"),
+        F.when(k % 13 == 0, "").otherwise("```\n"), F.when(k % 2 == 0, "## Correct code (a)\ny\n## Correct code\n~~~sh\nz\n~~~\n").otherwise("## Correct code\n\n"), F.when(k % 5 == 0, "## Exceptions\nnone\n").otherwise(""))
+    return markdown.extract(parts(spark, sf_dir).select("p_partkey", md.alias("markdown")))
+
+
+def markdown_rollup(spark, sf_dir):
+    return markdown.corpus_rollup(markdown_corpus(spark, sf_dir))
+
+
+def markdown_quarantine(spark, sf_dir):
+    return markdown_corpus(spark, sf_dir).quarantine.select("p_partkey", "code")
 
 
 def text_audit(spark, sf_dir):
@@ -182,7 +198,7 @@ QUERIES = {
     "duplicate_texts": lambda s, p: A.duplicates(table(s, p, "documents"), t.sha256(t.comparison_form(F.col("text"))), "digest"),
     "field_coverage": lambda s, p: A.field_coverage(table(s, p, "documents").withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang"))), ["text", "lang"], ["source"]),
     "text_audit": text_audit, "pair_manifest": lambda s, p: manifest(s, p).select("index", "pair_id"), "batch_manifest": batch_manifest, "prompt_digests": prompt_digests,
-    "response_problems": response_problems, "adaptive_requests": called, "pending_batches": pending_batches, "markdown_rules": markdown_rules,
+    "response_problems": response_problems, "adaptive_requests": called, "pending_batches": pending_batches, "markdown_rules": markdown_rules, "markdown_rollup": markdown_rollup, "markdown_quarantine": markdown_quarantine,
 }
 
 MANIFEST = CTE + """, m AS (SELECT row_number() OVER (ORDER BY source, source_id, rank) - 1 AS index, source || ':' || source_id || ':' || target_id pair_id, target_id FROM cand),
@@ -196,6 +212,8 @@ a AS (SELECT doc_id, source, round(list_sum(list_transform(v, lambda x: CASE x W
 array_to_string(list_filter([CASE WHEN clean <> 'pass' THEN 'clean:' || clean END, CASE WHEN long_enough <> 'pass' THEN 'long_enough:' || long_enough END, CASE WHEN modal <> 'pass' THEN 'modal:' || modal END, CASE WHEN no_license <> 'pass' THEN 'no_license:' || no_license END], lambda x: x IS NOT NULL), ',') issues,
 CASE WHEN list_contains(v, 'fail') THEN 'fail' WHEN clean = 'warn' THEN 'review' WHEN NOT list_contains(v, 'warn') THEN 'approved' ELSE 'warning' END status FROM l)
 """
+#: Reads off the document's number what becomes of it: an open fence comes first, then the titles.
+MARKDOWN = "WITH d AS (SELECT p_partkey, p_partkey % 2 = 0 two, p_partkey % 5 = 0 exc, CASE WHEN p_partkey % 13 = 0 THEN 'unmatched_fence' WHEN p_partkey % 7 = 0 THEN 'several_titles' WHEN p_partkey % 11 = 0 THEN 'no_title' END code FROM part)"
 ORACLE_SQL = {
     "missing_and_extra": CTE + "SELECT source_id, 'missing' side FROM rules WHERE source_id % 5 <> 0 AND source_id NOT IN (SELECT source_id FROM cand WHERE source_id % 3 <> 0) UNION ALL SELECT DISTINCT source_id, 'extra' FROM cand WHERE source_id % 3 <> 0 AND source_id % 5 = 0",
     "enriched_candidates": CTE + "SELECT source_id, target_id, rank, CASE WHEN target_id % 10 = 0 THEN -1 ELSE fr END fr, target_id % 10 = 0 unmatched FROM cand",
@@ -230,5 +248,17 @@ SELECT source_id, rule, count(*) n FROM v GROUP BY 1, 2""",
 SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, problem, count(*) n FROM r GROUP BY 1, 2""",
     "adaptive_requests": MANIFEST + "SELECT sum(CASE WHEN size > 3 THEN 3 ELSE 1 END)::BIGINT requests, count(*) FILTER (size > 3) failed, sum(CASE WHEN size > 3 THEN 2 * size ELSE size END)::BIGINT items FROM b",
     "pending_batches": MANIFEST + "SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, start_index FROM b WHERE NOT (start_index % 3 = 0 AND start_index % 2 <> 0)",
-    "markdown_rules": "SELECT p_partkey, p_name title, '# not a heading' || chr(10) || p_brand problematic, 'Why ' || p_size || '.' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || 'more:' || chr(10) || 'Second part.' ELSE '' END rationale FROM part",
+    "markdown_quarantine": MARKDOWN + "SELECT p_partkey, code FROM d WHERE code IS NOT NULL",
+    "markdown_rollup": MARKDOWN + """, g AS (SELECT * FROM d WHERE code IS NULL), r AS (
+SELECT 'rules' measure, 'total' AS name, count(*) n FROM g UNION ALL SELECT 'field_coverage', 'problematic', count(*) FROM g UNION ALL SELECT 'field_coverage', 'correct', count(*) FILTER (two) FROM g
+UNION ALL SELECT 'field_coverage', 'rationale', 0 UNION ALL SELECT 'field_coverage', 'exceptions', count(*) FILTER (exc) FROM g
+UNION ALL SELECT 'section_occurrences', 'problematic', count(*) FROM g UNION ALL SELECT 'section_occurrences', 'correct', sum(1 + two::INT) FROM g UNION ALL SELECT 'section_occurrences', 'exceptions', count(*) FILTER (exc) FROM g
+UNION ALL SELECT 'qualified_occurrences', 'problematic', 0 UNION ALL SELECT 'qualified_occurrences', 'correct', count(*) FILTER (two) FROM g UNION ALL SELECT 'qualified_occurrences', 'exceptions', 0
+UNION ALL SELECT 'rules_with_repeated_sections', 'problematic', 0 UNION ALL SELECT 'rules_with_repeated_sections', 'correct', count(*) FILTER (two) FROM g UNION ALL SELECT 'rules_with_repeated_sections', 'exceptions', 0
+UNION ALL SELECT 'fences', 'total', sum(1 + two::INT) FROM g
+UNION ALL SELECT 'fence_language', 'sh', count(*) FILTER (p_partkey % 3 = 0) + count(*) FILTER (two) FROM g UNION ALL SELECT 'fence_language', 'docker', count(*) FILTER (p_partkey % 3 = 2) FROM g
+UNION ALL SELECT 'warnings', 'missing_semantic_field', count(*) + count(*) FILTER (NOT two) FROM g UNION ALL SELECT 'warnings', 'empty_semantic_section', count(*) FILTER (NOT two) FROM g
+UNION ALL SELECT 'failures', code, count(*) FROM d WHERE code IS NOT NULL GROUP BY 2)
+SELECT measure, name, n::BIGINT n FROM r""",
+    "markdown_rules": "SELECT p_partkey, p_name title, '# not a heading' || chr(10) || p_brand problematic, CASE WHEN p_partkey % 2 = 0 THEN 'Rationale' || chr(10) ELSE '' END || 'Why ' || p_size || '.' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || 'Rationale (more)' || chr(10) || 'Second part.' ELSE '' END rationale FROM part",
 }

@@ -79,6 +79,10 @@ QUERIES = {
     "stratified_sample": lambda s, p: L.stratified_sample(table(s, p, "part").select("p_partkey", "p_brand"), "p_brand", 75, "p_partkey"),
 }
 ORACLE_SQL = {
+    "stratified_sample_counts": """WITH c AS (SELECT p_brand, count(*) n, sum(count(*)) OVER () total FROM part GROUP BY 1), t AS (SELECT *, CASE WHEN 75 >= total THEN n ELSE least(n, round_even(75 * n / total, 0))::BIGINT END take FROM c),
+d AS (SELECT 75 - sum(take) AS d FROM t WHERE total > 75), up AS (SELECT p_brand, n - take - unnest(range(n - take)) v FROM t), down AS (SELECT p_brand, take - unnest(range(take)) v FROM t),
+m AS (SELECT p_brand, 1 s FROM (SELECT *, row_number() OVER (ORDER BY v DESC, p_brand) r FROM up) WHERE r <= (SELECT d FROM d) UNION ALL SELECT p_brand, -1 FROM (SELECT *, row_number() OVER (ORDER BY v DESC, p_brand) r FROM down) WHERE r <= -(SELECT d FROM d))
+SELECT p_brand, (take + coalesce((SELECT sum(s) FROM m WHERE m.p_brand = t.p_brand), 0))::BIGINT n FROM t WHERE take + coalesce((SELECT sum(s) FROM m WHERE m.p_brand = t.p_brand), 0) > 0""",
     "rule_summary": CTE + """SELECT source, source_id, count(*) candidates, count(*) FILTER (verdict = 'YES') yes_count, count(*) FILTER (verdict = 'MAYBE') maybe_count, count(*) FILTER (verdict = 'NO') no_count, count(*) FILTER (verdict <> 'NO') positive_count,
 bool_or(verdict = 'YES') has_yes, bool_or(verdict = 'MAYBE') has_maybe, bool_and(verdict = 'NO') all_no, min_by(verdict, rank) top1_verdict, min_by(target_id, rank) top1_target_id, min_by(target_type, rank) top1_target_type FROM cand GROUP BY 1, 2""",
     "top_targets": CTE + "SELECT target_id, count(*) pairs, count(DISTINCT source || source_id) rules, count(*) FILTER (source = 'even') pairs_even, count(*) FILTER (source = 'odd') pairs_odd FROM cand WHERE verdict IN ('YES', 'MAYBE') GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 30",

@@ -9,6 +9,7 @@ from lumenfold.functions import hierarchy as h
 from lumenfold.functions import text as t
 from lumenfold.operators import consolidate as C
 from lumenfold.operators import joins as J
+from lumenfold.operators.numbering import numbered
 from lumenfold.plans.standins import CTE, candidates, rules, targets
 from lumenfold.session import table
 from lumenfold.sources import documents as D
@@ -29,8 +30,8 @@ def aliased(spark, sf_dir):
 def id_order(spark, sf_dir):
     k = F.col("p_partkey")
     ids = table(spark, sf_dir, "part").select(F.concat(F.lit("SR "), k % 7 + 1, F.lit("."), k % 13, F.when(k % 2 == 0, F.concat(F.lit(" RE "), k % 11 + 1)).otherwise("")).alias("id")).distinct()
-    numeric = Window.orderBy(*h.sort_key(F.col("id")))
-    return ids.select("id", F.row_number().over(numeric).alias("numeric"), F.row_number().over(Window.orderBy("id")).alias("plain"))
+    numeric, plain = numbered(ids, h.sort_key(F.col("id")), "numeric"), numbered(ids, ["id"], "plain")
+    return numeric.join(plain, "id").select("id", *[(F.col(c) + 1).cast("int").alias(c) for c in ("numeric", "plain")])
 
 
 def verdict_order(spark, sf_dir):
@@ -40,7 +41,7 @@ def verdict_order(spark, sf_dir):
 
 
 def headings(spark, sf_dir):
-    forms = ["Problematic code", "## **Correct** `Code`:", "Rationale - why", "Exceptions (rare)", "Related [rules](x)", "problematic_code", "Correctness"]
+    forms = ["Problematic code", "## **Correct** `Code`:", "Rationale - why", "Exceptions (rare)", "Related [rules](x)", "problematic_code", "Correctness", "Correct usage of quotes", "Quote foo_bar_baz to 2*3*4", "Bad code", "Correct code #2"]
     p = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("p_partkey") % len(forms) + 1).cast("int")).alias("x"))
     shown = t.visible_heading(F.regexp_replace("x", r"^#+\s*", ""))
     return p.select("p_partkey", shown.alias("shown"), t.heading_category(shown).alias("c")).select("p_partkey", "shown", F.coalesce("c.category", F.lit("")).alias("category"), "c.qualified")
@@ -71,8 +72,11 @@ def full_association(spark, sf_dir):
 
 
 def passages():
-    x = F.col("text")
-    return F.array(F.substring(x, 1, 40), F.substring(x, 1, 80), F.substring(x, 20, 30), F.substring(x, 60, 60), F.lit(""))
+    """Parts that cover the whole text: its first half, two thirds of it, the middle half, the rest, and nothing."""
+    x, n = F.col("text"), F.length("text")
+    cut = lambda a, k: F.substring(x, a.cast("int"), k.cast("int"))
+    one, half = F.lit(1), F.floor(n / 2)
+    return F.array(cut(one, half), cut(one, F.floor(2 * n / 3)), cut(F.floor(n / 4) + 1, half), cut(half + 1, n), F.lit(""))
 
 
 def drop_contained(spark, sf_dir):
@@ -122,6 +126,7 @@ QUERIES = {
 }
 
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+PASSAGES = "[substr(text, 1, len(text) // 2), substr(text, 1, 2 * len(text) // 3), substr(text, len(text) // 4 + 1, len(text) // 2), substr(text, len(text) // 2 + 1)]"
 ORACLE_SQL = {
     "page_previews": rf"SELECT conv_id, turn + 1 AS page_number, left(regexp_replace(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^ ', ''), ' $', ''), 70) preview FROM conversations WHERE turn BETWEEN 1 AND 3",
     "alias_coalescing": "SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN value WHEN event_id % 3 = 0 THEN -1 ELSE event_id END, 6) AS value FROM events",
@@ -129,15 +134,18 @@ ORACLE_SQL = {
 SELECT id, CAST(row_number() OVER (ORDER BY a, b, c) AS INT) AS numeric, CAST(row_number() OVER (ORDER BY id) AS INT) AS plain FROM j""",
     "verdict_order": CTE + "SELECT verdict, source_id, target_id, round(relative_score, 6) relative_score FROM cand ORDER BY CASE verdict WHEN 'MAYBE' THEN 0 WHEN 'YES' THEN 1 ELSE 2 END, cand.relative_score DESC, source_id, target_id LIMIT 40",
     "heading_categories": """SELECT p_partkey, v.shown, v.category, v.qualified FROM part JOIN (VALUES (0, 'Problematic code', 'problematic', false), (1, 'Correct Code:', 'correct', false), (2, 'Rationale - why', 'rationale', true), (3, 'Exceptions (rare)', 'exceptions', true),
-(4, 'Related rules', '', false), (5, 'problematic_code', 'problematic', false), (6, 'Correctness', '', false)) v(k, shown, category, qualified) ON v.k = p_partkey % 7""",
+(4, 'Related rules', '', false), (5, 'problematic_code', 'problematic', false), (6, 'Correctness', '', false), (7, 'Correct usage of quotes', '', false), (8, 'Quote foo_bar_baz to 2*3*4', '', false), (9, 'Bad code', '', false), (10, 'Correct code #2', 'correct', true))
+v(k, shown, category, qualified) ON v.k = p_partkey % 11""",
     "plain_texts": "SELECT p_partkey, p_name || ' see the page and code Brand | ' || p_brand || ' (Scored)' plain, p_brand || ' x' scored, p_brand || ' end' clean FROM part",
     "top_gaps": CTE + """, g AS (SELECT a.source, a.source_id, a.relative_score - b.relative_score gap FROM cand a LEFT JOIN cand b ON b.source_id = a.source_id AND b.rank = 2 WHERE a.rank = 1)
 SELECT source, source_id, round(coalesce(gap, -1), 6) gap, CASE WHEN gap IS NULL THEN 'no_gap' WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' ELSE 'high_gap' END sampler_bin,
 CASE WHEN gap IS NULL THEN '' WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' ELSE 'high_gap' END audit_bin FROM g""",
     "full_association": CTE + "SELECT c.source_id, c.target_id, c.rank, c.target_type, d.lang, sha256(CASE WHEN c.target_type = 'SR' THEN coalesce(b.text, '') ELSE '' END) rationale, c.target_type = 'SR' AND coalesce(b.text, '') <> '' available FROM cand c JOIN documents d ON d.doc_id = c.source_id LEFT JOIN benchmark b ON b.item_id = c.target_id",
-    "drop_contained": """WITH p AS (SELECT item_id, list_distinct(list_filter([substr(text, 1, 40), substr(text, 1, 80), substr(text, 20, 30), substr(text, 60, 60)], lambda x: x <> '')) d FROM benchmark)
-SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_filter(d, lambda t: len(list_filter(d, lambda o: len(o) > len(t) AND contains(o, t))) = 0), lambda t: {'n': -len(t), 't': t})), lambda s: s.t), '¦') kept FROM p""",
-    "merge_texts": """SELECT item_id, CASE WHEN len(d) > 0 THEN d END merged FROM (SELECT item_id, CASE WHEN contains(substr(text, 1, 40), substr(text, 60, 60)) OR len(substr(text, 60, 60)) <= len(substr(text, 1, 40)) THEN substr(text, 1, 40) ELSE substr(text, 60, 60) END d FROM benchmark)""",
+    "drop_contained": f"""WITH p AS (SELECT item_id, list_distinct(list_filter({PASSAGES}, lambda x: x <> '')) d FROM benchmark)
+SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_filter(d, lambda t: len(list_filter(d, lambda o: len(o) > len(t) AND contains(o, t))) = 0), lambda t: {{'n': -len(t), 't': t}})), lambda s: s.t), '¦') kept FROM p""",
+    "merge_texts": f"""WITH p AS (SELECT item_id, list_filter({PASSAGES}, lambda x: x <> '') d FROM benchmark),
+h AS (SELECT item_id, CASE WHEN len(d) > 0 THEN list_reduce(list_transform(d, lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda o: contains(o, b[1]) OR contains(b[1], o))) > 0 THEN a ELSE list_concat(a, b) END) END d FROM p)
+SELECT item_id, CASE WHEN len(d) > 0 THEN list_reduce(d, lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END) END merged FROM h""",
     "fenced_json": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'YES' ELSE 'NO' END verdict, (o_orderkey % 5 + 1)::INT confidence FROM orders",
     "source_split": CTE + "SELECT source, count(*) n, count(DISTINCT source_id) distinct_rules FROM rules GROUP BY 1",
     "union_columns": "SELECT n_name AS name, n_nationkey::VARCHAR nation, '' region FROM nation UNION ALL SELECT r_name, '', r_regionkey::VARCHAR FROM region",

@@ -48,7 +48,7 @@ def valid_rationales(spark, sf_dir):
 
 def rationales(spark, sf_dir):
     out = R.consolidate_rationales(rationale_rows(spark, sf_dir))
-    return out.select("id", F.size("blocks").alias("blocks"), F.array_join(F.transform("source_pages", lambda p: p.cast("string")), ",").alias("pages"), "mean_confidence", "occurrences", F.length("longest").alias("longest"))
+    return out.select("id", F.size("blocks").alias("blocks"), F.array_join(F.transform("source_pages", lambda p: p.cast("string")), ",").alias("pages"), "mean_confidence", "occurrences", F.length("longest").alias("longest"), F.sha2("text", 256).alias("digest"))
 
 
 def merged(spark, sf_dir):
@@ -78,7 +78,9 @@ ORACLE_SQL = {
 q AS (SELECT DISTINCT id, unnest(list_filter([CASE WHEN n > 1 THEN 'repeated' END, CASE WHEN type <> t2 THEN 'type' END, CASE WHEN type = 'RE' AND parent NOT IN (SELECT id FROM d WHERE t2 = 'SR') THEN 'parent' END], lambda i: i IS NOT NULL)) problem FROM e)
 SELECT problem, count(*) n FROM q GROUP BY 1""",
     "valid_rationales": RATIONALES + r", y AS (SELECT id, block_id, p, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM x) SELECT id, block_id, text, array_to_string(list_sort(list_distinct(list_filter(p, lambda i: i > 0))), ',') pages FROM y WHERE id BETWEEN 3 AND 15 AND len(text) >= 40 AND NOT contains(lower(text), 'the a')",
-    "consolidated_rationales": RATIONALES + "SELECT id, count(DISTINCT block_id)::INT blocks, array_to_string(list_sort(list_distinct(flatten(list(p)))), ',') pages, round(avg(confidence), 6) mean_confidence, count(*) occurrences, max(len(text))::INT longest FROM x GROUP BY 1",
+    # No text of benchmark goes on where another ends, so merging joins what is not contained in another text.
+    "consolidated_rationales": RATIONALES + r""", o AS (SELECT id, text, min(block_id) b FROM x GROUP BY 1, 2), k AS (SELECT id, sha256(string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ' ORDER BY b)) digest FROM o WHERE NOT EXISTS (SELECT 1 FROM o q WHERE q.id = o.id AND len(q.text) > len(o.text) AND contains(q.text, o.text)) GROUP BY 1)
+SELECT id, count(DISTINCT block_id)::INT blocks, array_to_string(list_sort(list_distinct(flatten(list(p)))), ',') pages, round(avg(confidence), 6) mean_confidence, count(*) occurrences, max(len(text))::INT longest, min(digest) digest FROM x JOIN k USING (id) GROUP BY 1""",
     "merged_results": "SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN 'YES' ELSE 'NO' END llm_verdict, (p_partkey % 5 + 1)::INT llm_confidence FROM part",
     "reverse_tie_ranking": """WITH p AS (SELECT s.vec_id source_id, t.vec_id target_id, greatest(list_dot_product(s.embedding::DOUBLE[], t.embedding::DOUBLE[]), 0) c FROM embeddings s, embeddings t WHERE s.vec_id >= 100 AND t.vec_id < 100),
 q AS (SELECT *, CASE WHEN max(c) OVER (PARTITION BY source_id) > 0 THEN c / max(c) OVER (PARTITION BY source_id) ELSE 0 END r FROM p)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import hierarchy as h
 from lumenfold.functions import text as t
 from lumenfold.operators import consolidate as c
+from lumenfold.operators.record_checks import CONTAMINATION as CONTAMINATION_PATTERNS
 from lumenfold.session import table
 
 #: Marks of page furniture that contaminate extracted text.
@@ -45,7 +46,7 @@ def ids(spark, sf_dir):
 
 
 def pair_ids(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     return l.select("l_orderkey", "l_linenumber", t.ranked_pair_id(F.col("l_orderkey"), F.col("l_linenumber")).alias("ranked"), t.pair_id(target_id=F.col("l_partkey").cast("string"), source=F.col("l_returnflag"), source_id=F.col("l_orderkey").cast("string")).alias("pair"))
 
 
@@ -102,6 +103,24 @@ def similar_lines(spark, sf_dir):
     return d.select("a", F.round(t.similarity_ratio(F.col("ta"), F.col("tb")), 6).alias("ratio"), t.prefix_variant(F.col("ta"), F.col("tb")).alias("prefix"))
 
 
+def prefix_variants(spark, sf_dir):
+    """Beginnings among neighbouring items: an item beside its own first half, and beside the next item."""
+    b = table(spark, sf_dir, "benchmark")
+    half = F.substring("text", 1, F.floor(F.length("text") / 2).cast("int"))
+    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return b.join(n, "item_id").select("item_id", t.prefix_variant(half, F.col("text")).alias("own"), t.prefix_variant(F.col("text"), F.col("next")).alias("next"))
+
+
+def contamination_patterns(spark, sf_dir):
+    """The requirement audit's nine patterns over texts of which some carry what they look for."""
+    marks = ["", " Rationale and  supplemental guidance", " requirement enhancement", " Security Levels", " copyright", " Not for resale", " provided BY x", " Licensee=y", " void", " --`,`,,`-- ", " avoid --"]
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pick = lambda i: F.element_at(F.array(*[F.lit(m) for m in marks]), (i % len(marks) + 1).cast("int"))
+    x = p.select("p_partkey", F.concat("p_name", pick(k), pick(F.floor(k / 3))).alias("text"))
+    return x.select("p_partkey", F.array_join(t.tags(F.col("text"), CONTAMINATION_PATTERNS), ",").alias("tags"))
+
+
 def match_forms(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(t.match_form(F.col("text")), 256).alias("form"))
 
@@ -126,7 +145,7 @@ COLLAPSE = rf"regexp_replace(regexp_replace(regexp_replace(text, '{WS}+', ' ', '
 QUERIES = {
     "text_normal_forms": normal_forms, "contamination_tags": contamination, "embedding_texts": embedding_texts, "canonical_ids": ids, "pair_ids": pair_ids, "gap_bins": gap_bins,
     "value_coercion": coercion, "consolidated_texts": consolidated, "grep_context": grep, "change_categories": change_categories, "error_classes": error_classes, "paired_tags": tag_pairs,
-    "grouped_texts": grouped_texts, "similarity_ratio": similar_lines, "match_forms": match_forms, "overlap_merge": overlap_merge,
+    "grouped_texts": grouped_texts, "similarity_ratio": similar_lines, "prefix_variants": prefix_variants, "contamination_patterns": contamination_patterns, "match_forms": match_forms, "overlap_merge": overlap_merge,
 }
 ORACLE_SQL = {
     "text_normal_forms": rf"""SELECT doc_id, sha256({COLLAPSE}) collapsed, sha256(translate(lower({COLLAPSE}), '’‘“”', '''''""')) comparison, CASE WHEN {COLLAPSE} = '' THEN 0 ELSE len(string_split({COLLAPSE}, ' ')) END::INT words,
@@ -136,7 +155,7 @@ left({COLLAPSE}, 70) preview, sha256(text) digest, CASE WHEN contains(lower(text
     "canonical_ids": """SELECT p_partkey, CASE k WHEN 0 THEN 'SR ' || a || '.' || b WHEN 1 THEN 'SR ' || a || '.' || b || ' RE ' || c ELSE '' END id, CASE k WHEN 0 THEN 'SR' WHEN 1 THEN 'RE' ELSE '' END AS type,
 CASE k WHEN 2 THEN -1 ELSE a END::INT fr, CASE k WHEN 2 THEN -1 ELSE b END::INT sr, CASE k WHEN 1 THEN c ELSE -1 END::INT re, CASE k WHEN 1 THEN 'SR ' || a || '.' || b ELSE '' END parent
 FROM (SELECT p_partkey, p_partkey % 3 k, p_partkey % 7 + 1 a, p_partkey % 13 b, p_partkey % 4 c FROM part)""",
-    "pair_ids": """SELECT l_orderkey, l_linenumber, l_orderkey || ':' || l_linenumber ranked, 'pair-v1:' || sha256('{"source":"' || l_returnflag || '","source_id":"' || l_orderkey || '","target_id":"' || l_partkey || '"}') pair FROM lineitem WHERE l_linenumber <= 2""",
+    "pair_ids": """SELECT l_orderkey, l_linenumber, l_orderkey || ':' || l_linenumber ranked, 'pair-v1:' || sha256('{"source":"' || l_returnflag || '","source_id":"' || l_orderkey || '","target_id":"' || l_partkey || '"}') pair FROM lineitem""",
     "gap_bins": """WITH g AS (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value % 1.3 - 0.1, 2) END gap FROM events)
 SELECT CASE WHEN gap IS NULL THEN 'no_gap' WHEN gap >= 0 AND gap < 0.05 THEN 'very_low_gap' WHEN gap >= 0.05 AND gap < 0.1 THEN 'low_gap' WHEN gap >= 0.1 AND gap < 0.2 THEN 'medium_gap' WHEN gap >= 0.2 AND gap <= 1 THEN 'high_gap' ELSE 'unknown' END sampler,
 CASE WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' WHEN gap >= 0.2 THEN 'high_gap' ELSE '(null)' END auditor, count(*) n FROM g GROUP BY 1, 2""",
@@ -146,5 +165,9 @@ CASE WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap
 SELECT doc_id, coalesce(f[1], '') AS primary, coalesce(array_to_string(f[2:], ','), '') others FROM f""",
     "error_classes": "SELECT CASE o_orderkey % 7 WHEN 0 THEN 'quota' WHEN 1 THEN 'auth' WHEN 2 THEN 'transient' WHEN 3 THEN 'config' WHEN 4 THEN 'transient' WHEN 5 THEN 'other' ELSE 'quota' END AS class, count(*) n FROM orders GROUP BY 1",
     "paired_tags": "SELECT p_partkey, array_to_string(list_transform(range(0, len(a), 2), lambda i: array_to_string(a[i + 1:i + 2], ' ')), '|') pairs FROM (SELECT p_partkey, string_split(replace(p_name, ' ', ','), ',') a FROM part)",
+    "prefix_variants": "SELECT a.item_id, starts_with(a.text, substr(a.text, 1, len(a.text) // 2)) OR starts_with(substr(a.text, 1, len(a.text) // 2), a.text) own, starts_with(a.text, b.text) OR starts_with(b.text, a.text) AS next FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1",
+    "contamination_patterns": """WITH m AS (SELECT * FROM (VALUES (0, NULL), (1, 'rationale_and_guidance'), (2, 'requirement_enhancements'), (3, 'security_levels'), (4, 'copyright_notice'), (5, 'not_for_resale'), (6, 'provided_by'), (7, 'licensee'), (8, 'void_artifact'), (9, 'pdf_artifact'), (10, NULL)) v(k, tag)),
+e AS (SELECT p_partkey, m.k, m.tag FROM part JOIN m ON m.k IN (p_partkey % 11, (p_partkey // 3) % 11))
+SELECT p_partkey, coalesce(string_agg(tag, ',' ORDER BY k), '') tags FROM (SELECT DISTINCT * FROM e) GROUP BY 1""",
     "grouped_texts": "WITH e AS (SELECT unnest([p_brand, string_split(p_type, ' ')[1]]) tag, p_name, p_partkey FROM part), f AS (SELECT tag, p_name, min(p_partkey) o FROM e GROUP BY 1, 2) SELECT tag, sha256(string_agg(p_name, ' ' ORDER BY o, p_name)) digest FROM f GROUP BY 1",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,10 +46,13 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
     return spark.read.schema(schema).format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").load(path)
 
 
-def text_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """(name, text) of the files below a folder whose name matches the pattern, in any order; sort by lower(name) where order matters."""
+def text_files(spark: SparkSession, folder: str, name: str, expected: int | None = None) -> DataFrame:
+    """(name, text) of the files below a folder whose name matches the pattern (in any case, with (?i)), in any order; sort by lower(name) where order matters. expected: how many there must be."""
     f = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
-    return f.where(F.col("name").rlike(name))
+    out = f.where(F.col("name").rlike(name))
+    if expected is not None and (n := out.count()) != expected:
+        raise ValueError(f"{n} files match {name!r}, {expected} are expected")
+    return out
 
 
 def decoded_pages(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[str]]) -> DataFrame:
@@ -65,6 +68,14 @@ def decoded_pages(spark: SparkSession, path: str, decode: Callable[[bytes], Iter
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page_index int, page_number int, text string")
 
 
+def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """df, if it has all required columns; a table without rows passes, one without a column is an error that names all that lack."""
+    missing = sorted(set(required) - set(df.columns))
+    if missing:
+        raise ValueError("missing columns: " + ", ".join(missing))
+    return df
+
+
 def page_range(pages: DataFrame, low: int, high: int) -> DataFrame:
     return pages.where(F.col("page_number").between(low, high))
 
