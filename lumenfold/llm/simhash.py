@@ -4,8 +4,12 @@ Distinct fingerprints are split into m bit blocks; two fingerprints at most r bi
 at least m - r blocks, so every link lies inside a bucket of fingerprints that share m - r blocks.
 Inside a bucket, fingerprints are sorted by population count and compared tile by tile with
 exclusive or and bit counts; tile pairs whose population counts differ by more than the radius are
-skipped. A bucket gives only the edges of a spanning forest, never all its pairs, and the
+skipped. A bucket of more rows than a task should hold is dealt into parts, and every pair of parts
+is a unit of work of its own. A bucket gives only the edges of a spanning forest, never all its pairs, and the
 components of those edges are found by distributed label exchange.
+
+Documents that are alike to a stated similarity (similar_documents) meet in buckets of equal
+minimal hashes instead, are compared there by wider fingerprints in the same way, and are then counted exactly.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from lumenfold.llm.common import durable, join_hot, read, rows_of, without_ids
 BITS = 64
 SEED = 42
 CHUNK = 1 << 15
+#: Most rows of a part of a bucket.
+TILE = 16384
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -138,7 +144,16 @@ def links(distinct: DataFrame, radius: int, blocks: int, small: int = 24) -> Dat
     """
     masks = block_masks(radius, blocks)
     keyed = distinct.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks])).alias("mask", "part"))
-    keyed = keyed.select("fp", "id", F.xxhash64("mask", "part").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    keyed = keyed.select("fp", "id", F.xxhash64("mask", "part").alias("bucket"))
+    big = durable(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    hot = big.count()
+    large = None
+    if hot:
+        few = F.broadcast(big) if hot <= 500_000 else big
+        units = tile_pairs(keyed.join(few, "bucket").select("bucket", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"), "id", "fp"), "bucket", "id")
+        large = forests(units, ["bucket", "i", "j"], "id", ["fp"], lambda unit: radius).select("a", "b")
+        keyed = keyed.join(few, "bucket", "left_anti").select("fp", "id", "bucket")
+    keyed = keyed.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
         fp, ids, bucket = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -168,7 +183,67 @@ def links(distinct: DataFrame, radius: int, blocks: int, small: int = 24) -> Dat
         if len(fp):
             yield from out(linked(fp, ids, bucket))
 
-    return keyed.mapInArrow(run, "a long, b long").where("a <> b")
+    found = keyed.mapInArrow(run, "a long, b long").where("a <> b")
+    return found if large is None else found.unionAll(large)
+
+
+def tile_pairs(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with i, j and side: each row once for every pair (i <= j) of the key's `tiles` parts that it stands in; side 1 is part j of an unequal pair."""
+    mine, other = F.pmod(F.xxhash64(by), F.col("tiles")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    dealt = rows.withColumn("_mine", mine).withColumn("_other", other)
+    i, j = F.least("_mine", "_other"), F.greatest("_mine", "_other")
+    return dealt.withColumn("i", i).withColumn("j", j).withColumn("side", (F.col("_mine") > F.col("_other")).cast("int")).drop("_mine", "_other", "tiles")
+
+
+def forests(dealt: DataFrame, unit: list[str], by: str, words: list[str], reach, extra: str | None = None) -> DataFrame:
+    """(a, b, tree) edges of the spanning forest of the links in every unit of dealt (unit, side, by, words); tree: a hash of the ids that the edge's component has there.
+
+    A sorted partition is streamed, and a task holds one unit at a time. reach: the radius for a unit, given the least value of its column `extra`.
+    """
+    names = [*unit, "side", by, *words, *([extra] if extra else [])]
+    at = len(unit)
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def close():
+            if not held:
+                return
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            side, ids, fp = columns[at], columns[at + 1], np.column_stack(columns[at + 2 : at + 2 + len(words)]).view(np.uint64)
+            first, radius = side == 0, reach(columns[-1].min() if extra else None)
+            if columns[at - 2][0] == columns[at - 1][0]:
+                u, v = link_tiles(fp, None, radius)
+            elif first.any() and not first.all():
+                ids = np.concatenate([ids[first], ids[~first]])
+                u, v = link_tiles(fp[first], fp[~first], radius)
+            else:
+                return
+            if len(u):
+                order = np.argsort(v, kind="stable")
+                u, v = u[order], v[order]
+                cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                trees = np.array([xxhash.xxh3_64_intdigest(np.sort(np.append(ids[u[x:y]], ids[v[x]])).tobytes()) for x, y in zip(cuts, [*cuts[1:], len(v)], strict=True)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(np.repeat(trees, np.diff([*cuts, len(v)])))], names=["a", "b", "tree"])
+
+        last = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = np.zeros(max(0, batch.num_rows - 1), bool)
+            for c in columns[:at]:
+                new |= c[1:] != c[:-1]
+            cuts = np.flatnonzero(new) + 1
+            for x, y in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if x < y:
+                    own = tuple(c[x] for c in columns[:at])
+                    if own != last:
+                        yield from close()
+                        last = own
+                    held.append([c[x:y] for c in columns])
+        yield from close()
+
+    return dealt.select(*names).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "a long, b long, tree long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -218,9 +293,11 @@ def op5_simhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: For similar texts: words of 64 bits in a fingerprint, most rows of a tile, ratio of the sizes that a bucket spans.
-WORDS, TILE, RATIO = 4, 16384, 1.25
-#: Shingles of a tile's sets in all.
+#: For similar texts: words of 64 bits in a fingerprint; bands of minimal hashes that a text has, and hashes in a band.
+WORDS, BANDS, ROWS = 4, 16, 3
+#: Multipliers that order a set's hashes anew for each minimal hash.
+ORDERS = np.array([xxhash.xxh64_intdigest(f"order {k}", SEED) | 1 for k in range(BANDS * ROWS)], np.uint64)
+#: Shingles of a unit's sets in all.
 MASS = 4_000_000
 
 
@@ -261,7 +338,19 @@ def wide_fingerprint(text: str, shingle: int) -> tuple[np.ndarray, int]:
     return majority(hashes), len(hashes)
 
 
-def radius_for(similarity: float, margin: float = 1.2) -> int:
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes; sets of Jaccard similarity s share one with probability 1 - (1 - s ** ROWS) ** BANDS, at 0.8 all but one in 10 ** 5. The empty set has keys as any other."""
+    low = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
+    for at in range(0, len(shingles), CHUNK):
+        low = np.minimum(low, (shingles[None, at : at + CHUNK] * ORDERS[:, None]).min(axis=1))
+    low = low.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * ORDERS[0]
+    for k in range(ROWS):
+        key = (key ^ (key >> np.uint64(29))) * ORDERS[1] + low[:, k]
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+def radius_for(similarity: float, margin: float = 4.0) -> int:
     """Differing bits expected at this Jaccard similarity of equally long texts (cosine 2s / (1 + s)), and `margin` standard deviations more, so that few similar pairs are lost to chance."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = WORDS * 64
@@ -284,7 +373,7 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 51
             if pop[p[0]] - pop[q[-1]] > radius:
                 continue
             d = np.zeros((len(p), len(q)), np.uint16)
-            for w in range(WORDS):
+            for w in range(whole.shape[1]):
                 d += np.bitwise_count(whole[p, w][:, None] ^ whole[q, w][None, :])
             u, v = np.nonzero(d <= radius)
             forest.join(p[u], q[v])
@@ -293,73 +382,22 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 51
     return own, roots[own]
 
 
-def candidate_groups(distinct: DataFrame, radius: int, few_radius: int, few: int = 8) -> DataFrame:
-    """(unit, a, b): per unit of work the spanning forest of the candidates among distinct's rows (id, shingles, f0..): fingerprints within the radius (few_radius where sets may have fewer than `few` shingles) whose sizes differ by less than two buckets.
+def candidate_trees(distinct: DataFrame, radius: int, few_radius: int, few: int = 8) -> DataFrame:
+    """(tree, fp): groups of distinct's rows (fp, shingles, f0.., b0..) that are linked by fingerprints within the radius (few_radius in a bucket with sets of fewer than `few` shingles) inside some bucket of a common band.
 
-    Sets of shingles as similar as RATIO asks for differ in size by at most that ratio, so they lie
-    in one bucket of sizes or in neighbouring ones. A bucket's rows are dealt into tiles, and every pair
-    of tiles of one bucket or of neighbours is a unit of work that some task holds alone. The more
-    shingles a bucket's sets have, the fewer rows its tiles hold, as the sets are compared later.
+    Rows meet by band as (band, fp) alone, and what is alone in its bucket goes no further; a hot
+    bucket's size comes to its rows. The rest fetch their fingerprints by fp. A bucket is dealt into
+    parts of at most TILE rows and about MASS shingles. Groups of the same members, as copies
+    have in most of their bands, are one.
     """
-    b = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / F.lit(float(np.log(RATIO)))).cast("int")
-    rows = distinct.select("id", *[f"f{w}" for w in range(WORDS)], b.alias("b"))
-    tiles = {r["b"]: -(-r["n"] // max(1, min(TILE, int(MASS / RATIO ** (r["b"] + 1))))) for r in rows.groupBy("b").agg(F.count("*").alias("n")).collect()}  # a row for each bucket: some hundred at most
-    names = ["unit", "side", "id", *(f"f{w}" for w in range(WORDS))]
-    last_few = int(np.log(few) / np.log(RATIO))
-
-    def deal(batches):
-        for batch in batches:
-            ids, bucket = batch.column(0).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
-            at, unit, side = [], [], []
-            for c in np.unique(bucket).tolist():
-                own = np.flatnonzero(bucket == c)
-                mine = (ids[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles[c]
-                for j in range(tiles[c]):
-                    at.append(own)
-                    unit.append(((2 * c) << 40) + (np.minimum(mine, j) << 20) + np.maximum(mine, j))
-                    side.append((mine > j).astype(np.int32))
-                for j in range(tiles.get(c + 1, 0)):
-                    at.append(own)
-                    unit.append(((2 * c + 1) << 40) + (mine << 20) + j)
-                    side.append(np.zeros(len(own), np.int32))
-                for j in range(tiles.get(c - 1, 0)):
-                    at.append(own)
-                    unit.append(((2 * c - 1) << 40) + (j << 20) + mine)
-                    side.append(np.ones(len(own), np.int32))
-            if at:
-                take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(unit)), pa.array(np.concatenate(side)), *(batch.column(k).take(take) for k in range(WORDS + 1))], names=names)
-
-    def run(batches):
-        held: list[list[np.ndarray]] = []
-
-        def linked(columns):
-            side, ids, fp = columns[1], columns[2], np.column_stack(columns[3:]).view(np.uint64)
-            first, reach = side == 0, few_radius if columns[0][0] >> 41 <= last_few else radius
-            if columns[0][0] >> 40 & 1 or columns[0][0] >> 20 & 0xFFFFF != columns[0][0] & 0xFFFFF:
-                u, v = link_tiles(fp[first], fp[~first], reach) if first.any() and not first.all() else (ids[:0], ids[:0])
-            else:
-                u, v = link_tiles(fp, None, reach)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), columns[0][0])), pa.array(ids[u]), pa.array(ids[v])], names=["unit", "a", "b"])
-
-        def close():
-            yield from linked([np.concatenate(c) for c in zip(*held, strict=True)])
-            held.clear()
-
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-            for a, z in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if a < z:
-                    if held and held[-1][0][0] != columns[0][a]:
-                        yield from close()
-                    held.append([c[a:z] for c in columns])
-        if held:
-            yield from close()
-
-    kinds = "unit long, side int, id long, " + ", ".join(f"f{w} long" for w in range(WORDS))
-    return rows.mapInArrow(deal, kinds).repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "unit long, a long, b long")
+    keyed = distinct.where("shingles > 0").select("fp", "shingles", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("shingles").alias("m")).where("n >= 2")
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("m") / MASS)).cast("long")
+    met = join_hot(keyed.select("key", "fp"), durable(counts.select("key", "n", tiles.alias("tiles"))), "key", BANDS * distinct.count())
+    words = [f"f{w}" for w in range(WORDS)]
+    units = tile_pairs(met.join(distinct.select("fp", "shingles", *words), "fp"), "key", "fp")
+    edges = durable(forests(units, ["key", "i", "j"], "fp", words, lambda least: few_radius if least < few else radius, "shingles"))
+    return edges.select("tree", F.col("a").alias("fp")).union(edges.select("tree", F.col("b").alias("fp"))).distinct()
 
 
 def verify(sets: list[np.ndarray], similarity: float, block: int = 256) -> tuple[list[int], list[int]]:
@@ -391,12 +429,12 @@ def verify(sets: list[np.ndarray], similarity: float, block: int = 256) -> tuple
     return out_a, out_b
 
 
-def verified_links(rows: DataFrame, distinct: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) edges between ids: of the candidates in groups (unit, a, b: fp of distinct's rows) those whose texts' shingle sets are really as similar.
+def verified_links(rows: DataFrame, distinct: DataFrame, trees: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) edges between ids: of the candidates in trees (tree, fp of distinct's rows) those whose texts' shingle sets are really as similar.
 
-    A unit's candidates are gathered by the components they have there, and only their texts are cut into shingles again.
+    Only the texts of candidates are cut into shingles again, and a tree's sets meet in one task.
     """
-    nodes = durable(groups.select("unit", F.col("b").alias("tree"), F.col("a").alias("fp")).union(groups.select("unit", F.col("b").alias("tree"), F.col("b").alias("fp"))).distinct())
+    nodes = durable(trees)
     wanted = durable(nodes.select("fp").distinct().join(distinct.select("fp", "id"), "fp"))
     ids = durable(wanted.select(F.col("id").alias("doc_id")).distinct())
     met = rows.join(F.broadcast(ids) if ids.count() <= 500_000 else ids, "doc_id", "left_semi")
@@ -421,60 +459,57 @@ def verified_links(rows: DataFrame, distinct: DataFrame, groups: DataFrame, shin
 
         for big in batches:
             for batch in rows_of(big):
-                for unit, tree, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (unit, tree) != key:
+                for tree, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if tree != key:
                         yield from close()
-                        key, ids, held = (unit, tree), [], []
+                        key, ids, held = tree, [], []
                     ids.append(i)
                     held.append(np.frombuffer(x, np.uint64))
         yield from close()
 
-    return nodes.join(sets, "fp").select("unit", "tree", "id", "set").repartition("unit", "tree").sortWithinPartitions("unit", "tree").mapInArrow(run, "a long, b long")
+    return nodes.join(sets, "fp").select("tree", "id", "set").repartition("tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", exact: bool = False) -> DataFrame:
-    """(doc_id, component_id) for every row of docs that has an id: the smallest id reachable over links of estimated shingle similarity or, if exact, of texts whose sets of shingles have at least this Jaccard similarity.
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) for every row of docs that has an id: the smallest id reachable over links of texts whose sets of word shingles have at least this Jaccard similarity.
 
     64 bits cannot tell 0.8 from chance at a radius that keeps such pairs, so fingerprints are
-    WORDS * 64 bits wide and the radius follows from the similarity (see radius_for). If exact,
-    they only name candidates, with a margin of 4 standard deviations, and each link is then
-    counted on the two sets. Finding candidates is quadratic in the distinct texts of like length, as the tiled method is. Cases as in
-    near_duplicates.
+    WORDS * 64 bits wide and the radius follows from the similarity, with a margin of 4 standard
+    deviations (see radius_for). Texts meet in buckets of common bands (see bands), fingerprints name the
+    candidates there, and each link is counted on the two sets. Cases as in near_duplicates; texts
+    without words are copies of each other.
     """
-    if not RATIO ** -1 <= similarity <= 1:
-        raise ValueError(f"the length buckets hold for similarities from {1 / RATIO}")
-    kinds = ", ".join(f"f{w} long" for w in range(WORDS))
+    if not 0.8 <= similarity <= 1:
+        raise ValueError("bands and radius are made for similarities from 0.8")
+    words, keys = [f"f{w}" for w in range(WORDS)], [f"b{k}" for k in range(BANDS)]
 
     def run(batches):
-        for batch in batches:
-            n, fp, sets = [], np.zeros((batch.num_rows, WORDS), np.uint64), []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                hashes = shingle_hashes(t or "", shingle)
-                n.append(len(hashes))
-                fp[i] = majority(hashes)
-                sets.append(xxhash.xxh3_64_intdigest(shingle_set(hashes).tobytes()))
-            fp = fp.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(n, pa.int64()), *(pa.array(fp[:, w]) for w in range(WORDS))], names=["doc_id", "fp", "shingles", *(f"f{w}" for w in range(WORDS))])
+        for big in batches:
+            for batch in rows_of(big):
+                n, fp, key, sets = [], np.zeros((batch.num_rows, WORDS), np.uint64), np.zeros((batch.num_rows, BANDS), np.int64), []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    hashes = shingle_hashes(t or "", shingle)
+                    own = shingle_set(hashes)
+                    n.append(len(hashes))
+                    fp[i], key[i] = majority(hashes), bands(own)
+                    sets.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                made = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(n, pa.int64()), *(pa.array(fp.view(np.int64)[:, w]) for w in range(WORDS)), *(pa.array(key[:, k]) for k in range(BANDS))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "fp", "shingles", *words, *keys])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    words = [f"f{w}" for w in range(WORDS)]
-    prints = durable(rows.mapInArrow(run, f"doc_id long, fp long, shingles long, {kinds}"))
-    # A row for each set of shingles (fp is its hash): equal fingerprints of other sets are other rows.
-    distinct = durable(prints.groupBy("fp", "shingles", *words).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    prints = durable(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", "shingles", *words, *keys))))
+    # A row for each set of shingles (fp is its hash); all but the id are the same in its copies.
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("shingles", *words, *keys)]))
     count = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if exact:
-        radius = radius_for(similarity, 4.0)
-        # The majority bits of a handful of shingles differ by more than the angle says: at most 3 in 16 on average, for 4 of 5.
-        few_radius = max(radius, int(WORDS * 64 * 3 / 16 + 4 * np.sqrt(WORDS * 64 * 39 / 256)))
-        groups = candidate_groups(distinct.select(F.col("fp").alias("id"), "shingles", *words), radius, few_radius)
-        edges = verified_links(rows, distinct, groups, shingle, similarity)
-    else:
-        edges = candidate_groups(distinct, radius_for(similarity), radius_for(similarity)).select("a", "b")
+    radius = radius_for(similarity)
+    # The majority bits of a handful of shingles differ by more than the angle says: at most 3 in 16 on average, for 4 of 5.
+    few_radius = max(radius, int(WORDS * 64 * 3 / 16 + 4 * np.sqrt(WORDS * 64 * 39 / 256)))
+    edges = verified_links(rows, distinct, candidate_trees(distinct, radius, few_radius), shingle, similarity)
     roots = components(edges)
     found = durable(distinct.join(roots, distinct["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")))
     return join_hot(prints.select("doc_id", "fp"), found, "fp", count).select("doc_id", "component_id")
 
 
 def keep_one(spark, docs, sf_dir):
-    """Pipeline stage: of each component of similar documents (five words, exact similarity of 0.8 or more) the one with the smallest id stays. Rows without an id stay, as nothing is known to equal them; rows that share an id stay or go together."""
-    return without_ids(docs, similar_documents(docs, exact=True).where("doc_id <> component_id").select("doc_id").distinct())
+    """Pipeline stage: of each component of similar documents (five words, Jaccard similarity of 0.8 or more) the one with the smallest id stays. Rows without an id stay, as nothing is known to equal them; rows that share an id stay or go together."""
+    return without_ids(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct())
