@@ -221,13 +221,26 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-#: Shares of the tokens that the pipeline's corpus may have: a classifier that cannot be sure keeps some mass in each domain, so none is 0.
-CORPUS = {"poor": 0.01, "good": 0.98, "toxic": 0.01}
+#: The largest shares of the tokens that the pipeline's corpus may have of each domain but MAIN, which gets the rest.
+LIMITS, MAIN = {"poor": 0.01, "toxic": 0.01}, "good"
+
+
+def limited(members: DataFrame, limits: dict[str, float] = LIMITS, main: str = MAIN) -> dict[str, float]:
+    """Target shares: a domain above its limit is brought down to it, one below keeps the share it has.
+
+    A domain that hardly occurs is not raised: its mass is what the classifier isn't sure of, spread over all
+    documents, and raising it would repeat a few of them thousands of times at the cost of the rest.
+    """
+    mass = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
+    whole = sum(mass) or 1.0
+    few = {d: min(limit, mass[d] / whole) for d, limit in limits.items()}
+    return {**few, main: 1.0 - sum(few.values())}
 
 
 def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
-    """Pipeline stage: the rows that the fitted rates take for CORPUS over one and a half epochs, each as often as its rate says.
+    """Pipeline stage: one and a half epochs of the rows, in the target shares of LIMITS, each row as often as its fitted rate says.
 
+    Where no domain is above its limit every rate is 1.5 and no row goes; else the rows of that domain are thinned.
     A row whose rate gives it no copy is left out, one that gets several is written as often, so
     the expected token totals are those that were fitted. The draw for a rate's broken part is by a
     hash of the row's id and text: rows that share an id are drawn apart unless they are equal.
@@ -239,7 +252,7 @@ def mix_stage(spark, docs, sf_dir, epochs: float = 1.5):
     # The stage's rows travel under names that no output of the model has.
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("_text"))
     members = durable(memberships(rows, model, "_text"))
-    rate, _ = fit_rates(members.select(*own), CORPUS, epochs)
+    rate, _ = fit_rates(members.select(*own), limited(members), epochs)
     names = {c.lower(): f"_c{i}" for i, c in enumerate(docs.columns)}
     times = members.withColumn("_n", copies(rate, F.struct(names["doc_id"], names["text"]))).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return times.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
