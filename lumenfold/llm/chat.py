@@ -146,14 +146,18 @@ def op10_chat_formatting(spark, sf_dir):
     return read_back(expand(table.unionByName(own)))
 
 
+def _escaped(text: str) -> str:
+    return rf"regexp_replace({text}, '([<\[])(\\*)({_REST.replace(chr(39), chr(39) * 2)})', '\1\\\2\3', 'g')"
+
+
 SQL = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
-f AS (SELECT *, len('{TURN}') + len(role) + 1 + len(regexp_replace(text, '([<\[])(\\*)({_REST.replace(chr(39), chr(39) * 2)})', '\1\\\2\3', 'g')) + len('{END}') AS n FROM t),
-c AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM f
-      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+f AS (SELECT *, len('{TURN}') + len({_escaped("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")}) + 1 + len({_escaped("text")}) + len('{END}') AS n FROM t),
+c AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back FROM f
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        coalesce(sum(upto) FILTER (role = 'assistant' OR back = 1), 0)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
