@@ -20,6 +20,11 @@ def same_set(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> bool:
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
+def subset(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every key of a is a key of b."""
+    return a.select(*keys).join(b.select(*keys).distinct(), list(keys), "left_anti").isEmpty()
+
+
 def require(df: DataFrame, bad: Column, message: str) -> DataFrame:
     """df itself; a row where bad holds stops the query with the message."""
     return df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))

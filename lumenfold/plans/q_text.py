@@ -165,6 +165,10 @@ CASE WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap
 SELECT doc_id, coalesce(f[1], '') AS primary, coalesce(array_to_string(f[2:], ','), '') others FROM f""",
     "error_classes": "SELECT CASE o_orderkey % 7 WHEN 0 THEN 'quota' WHEN 1 THEN 'auth' WHEN 2 THEN 'transient' WHEN 3 THEN 'config' WHEN 4 THEN 'transient' WHEN 5 THEN 'other' ELSE 'quota' END AS class, count(*) n FROM orders GROUP BY 1",
     "paired_tags": "SELECT p_partkey, array_to_string(list_transform(range(0, len(a), 2), lambda i: array_to_string(a[i + 1:i + 2], ' ')), '|') pairs FROM (SELECT p_partkey, string_split(replace(p_name, ' ', ','), ',') a FROM part)",
+    "consolidated_texts": """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+g AS (SELECT doc_id, min(source) source, list(txt ORDER BY line) d, list(left(txt, 20) ORDER BY line) t, count(*) n, list_sort(list_distinct(list_concat(list(line % 5), list(line % 3)))) p FROM l WHERE trim(txt) <> '' GROUP BY 1),
+h AS (SELECT *, list_reduce(list_transform(d, lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda o: contains(o, b[1]) OR contains(b[1], o))) > 0 THEN a ELSE list_concat(a, b) END) f FROM g)
+SELECT doc_id, source, list_reduce(t, lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END) title, list_reduce(f, lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END) AS text, n::INT blocks, array_to_string(p, ',') pages, n occurrences FROM h""",
     "prefix_variants": "SELECT a.item_id, starts_with(a.text, substr(a.text, 1, len(a.text) // 2)) OR starts_with(substr(a.text, 1, len(a.text) // 2), a.text) own, starts_with(a.text, b.text) OR starts_with(b.text, a.text) AS next FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1",
     "contamination_patterns": """WITH m AS (SELECT * FROM (VALUES (0, NULL), (1, 'rationale_and_guidance'), (2, 'requirement_enhancements'), (3, 'security_levels'), (4, 'copyright_notice'), (5, 'not_for_resale'), (6, 'provided_by'), (7, 'licensee'), (8, 'void_artifact'), (9, 'pdf_artifact'), (10, NULL)) v(k, tag)),
 e AS (SELECT p_partkey, m.k, m.tag FROM part JOIN m ON m.k IN (p_partkey % 11, (p_partkey // 3) % 11))

@@ -121,3 +121,40 @@ def test_required_columns_files_and_bounds(spark, tmp_path):
     with pytest.raises(ValueError, match="strata"):
         L.stratified_sample(df.withColumn("s", F.col("id")), "s", 2, "id", most_strata=2)
     assert L.stratified_sample(df.withColumn("s", F.when(F.col("id") > 0, "x")), "s", 2, "id").count() == 2
+
+
+def test_retried_batches_against_plain_python(spark):
+    from lumenfold.plans import q_sources as S
+    from lumenfold.plans.standins import candidates
+
+    sf = "/root/testdata/sf0.001"
+    items = [f"{r['source_id']}:{r['rank']}" for r in candidates(spark, sf).select("source_id", "rank").orderBy("source_id", "rank").collect()]
+
+    def run(part, policy):
+        """(requests, error) of a batch."""
+        first = int(part[0].split(":")[0])
+        error = "TimeoutError: always" if first % 7 == 3 else "InvalidAnswer: too many" if len(part) > 3 and first % 2 == 0 else ""
+        if not error:
+            return 1, ""
+        if len(part) < 2 or (policy == "invalid" and error.startswith("Timeout")):
+            return 1, error
+        n, e = run(part[: len(part) // 2], policy)
+        if e:
+            return 1 + n, e
+        more, e = run(part[len(part) // 2 :], policy)
+        return 1 + n + more, e
+
+    want = {(p, f"batch-{b:06d}"): run(items[8 * b : 8 * b + 8], p) for p in ("invalid", "any") for b in range(-(-len(items) // 8))}
+    got = {(r["policy"], r["batch_id"]): (r["requests"], r["error"]) for r in S.retried(spark, sf).collect()}
+    assert got == want and len({e for _, e in want.values()}) > 1
+
+
+def test_variant_audit_against_difflib(spark):
+    from difflib import SequenceMatcher
+
+    finals = spark.createDataFrame([("a", "The System  shall"), ("b", "x"), ("c", "alone")], "id string, text string")
+    variants = spark.createDataFrame([("a", "the system shall"), ("a", "The “System”"), ("a", "The system"), ("b", "y"), ("b", "y")], "id string, text string")
+    got = {r["id"]: r for r in A.variant_audit(finals, variants, "id", "text").collect()}
+    like = sorted(round(SequenceMatcher(None, "the system shall", v).ratio(), 6) for v in ("the system shall", 'the "system"', "the system"))
+    assert (got["a"]["variants"], got["a"]["min_similarity"], got["a"]["max_similarity"], got["a"]["prefixes"], got["a"]["equal"]) == (3, like[0], 1.0, 2, 1)
+    assert (got["b"]["variants"], got["b"]["max_similarity"], got["b"]["unlike"], got["c"]["variants"]) == (1, 0.0, 1, 0)
