@@ -82,5 +82,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     one = durable(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
     before = F.sum(F.length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most most_rows of each value
     fits = one.select("doc_id", before.alias("chars")).where(F.col("chars") <= most_chars).select("doc_id")
-    held = one.join(F.broadcast(fits), "doc_id").toArrow().sort_by("doc_id")
+    held = one.join(F.broadcast(fits), "doc_id").orderBy("doc_id").select("text", "y").toArrow()
     return list(zip(held["text"].to_pylist(), held["y"].to_pylist(), strict=True)), totals

@@ -318,5 +318,10 @@ def op6_sentencepiece(spark, sf_dir):
 
 
 def encode_stage(spark, docs, sf_dir):
-    """Pipeline stage: the piece ids of every document, and its two best scores. Executors have run other stages by now, so fewer chunks are kept."""
-    return encode_documents(docs, n_best=2, most_chunks=120_000).select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "ids", "score", "nbest_scores", "round_trip")
+    """Pipeline stage: the piece ids of every document, and its two best scores, in place of the text. Executors have run other stages by now, so fewer chunks are kept.
+
+    Null and empty texts have no ids; repeated rows and ids are encoded alike; other columns that carry an
+    output's name are replaced; an empty table gives no rows.
+    """
+    out = encode_documents(docs, n_best=2, most_chunks=120_000)
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "text"])

@@ -109,6 +109,6 @@ def op8_quality_classifier(spark, sf_dir):
 
 
 def keep_good(spark, docs, sf_dir, threshold: float = 0.3):
-    """Pipeline stage: drops what the classifier does not mark as good."""
+    """Pipeline stage: drops what the classifier does not mark as good. Rows are judged as in reject_toxic."""
     model = fit_tables(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return score_documents(docs, model, keep_if=lambda s: s >= threshold)

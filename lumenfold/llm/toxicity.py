@@ -201,6 +201,11 @@ def op9_toxicity(spark, sf_dir):
 
 
 def reject_toxic(spark, docs, sf_dir, threshold: float = 0.3):
-    """Pipeline stage: drops what the classifier marks toxic."""
+    """Pipeline stage: drops what the classifier marks toxic.
+
+    Every row is judged by its own text: null and empty texts as texts without words, rows that share
+    an id apart, repeated rows alike. Columns pass through whatever their names are; an empty table
+    gives no rows.
+    """
     model = fit_tables(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return score_documents(docs, model, keep_if=lambda s: s < threshold)
