@@ -32,11 +32,11 @@ def sound(vector: Column, dims: int | None = None) -> Column:
     return F.coalesce(ok if dims is None else ok & (F.size(vector) == dims), F.lit(False))
 
 
-def dimension(targets: DataFrame, vector: str = "vector") -> int:
-    """The most frequent length of the targets' sound vectors, of equals the largest; 0 without any."""
-    n = targets.where(sound(F.col(vector))).groupBy(F.size(vector).alias("dims")).agg(F.count("*").alias("n"))
+def dimension(targets: DataFrame, dims: int | None = None, vector: str = "vector") -> tuple[int, int]:
+    """(length, number) of the targets' sound vectors of dims components; None: of the most frequent length, of equals the largest (0 without any)."""
+    n = targets.where(sound(F.col(vector), dims)).groupBy(F.size(vector).alias("dims")).agg(F.count("*").alias("n"))
     top = n.orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
-    return top[0]["dims"] if top else 0
+    return (top[0]["dims"], top[0]["n"]) if top else (dims or 0, 0)
 
 
 def score_pairs(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
@@ -48,11 +48,15 @@ def score_pairs(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = Match
     pair of a block and a slice of the sources is a key of its own. Vectors that are null, of
     another length than most targets', or hold null or non-finite components take no part.
     """
-    dims = dimension(targets)
-    t = targets.where(sound(F.col("vector"), dims)).select("target_id", "target_ord", F.col("vector").alias("tv"))
-    size = t.count() * dims
+    dims, n = dimension(targets)
+    return _pairs(sources.where(sound(F.col("vector"), dims)), targets.where(sound(F.col("vector"), dims)), dims * n, cfg)
+
+
+def _pairs(sources: DataFrame, targets: DataFrame, size: int, cfg: MatchConfig) -> DataFrame:
+    """score_pairs of sound vectors; size: numbers in all target vectors."""
+    t = targets.select("target_id", "target_ord", F.col("vector").alias("tv"))
     score = dot(F.col("sv"), F.col("tv")) if cfg.assume_normalized else cosine(F.col("sv"), F.col("tv"))
-    s = sources.where(sound(F.col("vector"), dims)).select("source_id", F.col("vector").alias("sv"))
+    s = sources.select("source_id", F.col("vector").alias("sv"))
     if size <= cfg.max_broadcast_values:
         packed = t.agg(F.collect_list(F.struct("target_id", "target_ord", "tv")).alias("block"))
         pairs = s.join(F.broadcast(packed)).select("source_id", "sv", F.explode("block").alias("t"))
@@ -110,7 +114,8 @@ def match_rows(sources: DataFrame, targets: DataFrame, cfg: MatchConfig, dims: i
 
     The target matrix, whose size the caller has checked, is broadcast; every batch of sources is
     one matrix product, and since a source then has all its scores in one row, its maximum,
-    threshold and ranks need no other row. All vectors are sound and have dims components.
+    threshold and ranks need no other row. All vectors have dims components, those of the targets are
+    sound; sources that aren't are passed over in the batch.
     """
     known = targets.select("target_id", "target_ord", "vector").orderBy("target_ord", "target_id").toArrow()
     matrix = np.array(known.column("vector").to_pylist(), dtype=np.float64).reshape(known.num_rows, dims)
@@ -125,6 +130,9 @@ def match_rows(sources: DataFrame, targets: DataFrame, cfg: MatchConfig, dims: i
             for at in range(0, whole.num_rows if len(matrix) else 0, step):
                 batch = whole.slice(at, step)
                 x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, dims)
+                fine = np.isfinite(x).all(axis=1)  # null components have become NaN
+                if not fine.all():
+                    batch, x = batch.filter(pa.array(fine)), x[fine]
                 row, col, raw, sharp, top = _selected(x, matrix, cfg)
                 rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids.take(pa.array(col)), ords.take(pa.array(col)), pa.array(raw), pa.array(sharp / top), pa.array(rank, pa.int32())], names=NAMES)
@@ -204,9 +212,10 @@ def match(sources: DataFrame, targets: DataFrame, cfg: MatchConfig = MatchConfig
     on the source key. Source ids are distinct. Vectors that are null, of another length than
     dims (None: that of most targets), or hold null or non-finite components take no part, as source or target, in either engine.
     """
-    dims = dimension(targets) if dims is None else dims
+    dims, n = dimension(targets, dims)
     s, t = (df.where(sound(F.col("vector"), dims)) for df in (sources, targets))
+    if engine == "arrow" and dims * n <= cfg.max_broadcast_values:
+        return match_rows(sources.where(F.size("vector") == dims), t, cfg, dims)
     if engine == "arrow":
-        size = t.count() * dims
-        return match_rows(s, t, cfg, dims) if size <= cfg.max_broadcast_values else match_blocks(s, t, cfg, dims, size)
-    return select_matches(relative_scores(score_pairs(s, t, cfg), cfg.power), cfg).select(*NAMES)
+        return match_blocks(s, t, cfg, dims, dims * n)
+    return select_matches(relative_scores(_pairs(s, t, dims * n, cfg), cfg.power), cfg).select(*NAMES)
