@@ -75,8 +75,8 @@ def table_sink(spark, sf_dir):
     except Exception:  # noqa: BLE001 - Spark's own error of a path that is there
         refused = True
     first = spark.read.parquet(path).count()
-    told = K.sidecar(s, path + ".json", source="supplier")
-    same = told["content_digest"] == K.sidecar(spark.read.parquet(path), path + "-2.json")["content_digest"]
+    told = K.sidecar(s, path + ".json", {"supplier": s}, source="supplier")
+    same = told["content_digest"] == told["inputs"]["supplier"]["content_digest"] == K.sidecar(spark.read.parquet(path), path + "-2.json")["content_digest"]
     K.write_table(s.where("s_suppkey % 2 = 0"), path, overwrite=True)
     return spark.createDataFrame([(refused, first, told["rows"], same, spark.read.parquet(path).count())], "refused boolean, first long, told long, same boolean, second long")
 
@@ -119,8 +119,8 @@ def sets(spark, sf_dir):
 
 def names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    short = F.element_at(F.array(*[F.lit(x) for x in ("DL", " sc ", "hadolint", "ShellCheck")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return p.select("p_partkey", t.full_source_name(short, {"dl": "hadolint", "sc": "shellcheck"}).alias("name"))
+    short = F.element_at(F.array(*[F.lit(x) for x in ("FL", " sc ", "first", "Second")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return p.select("p_partkey", t.full_source_name(short, {"fl": "first", "sc": "second"}).alias("name"))
 
 
 def titles(spark, sf_dir):
@@ -176,7 +176,7 @@ UNION ALL SELECT id, '', CASE WHEN id % 15 = 0 THEN 'duplicate_curation' WHEN id
 s AS (SELECT CASE WHEN filled AND r IS NULL THEN 'filled' WHEN filled THEN 'stale' WHEN r IS NOT NULL THEN 'reviewed_' || r ELSE 'unreviewed' END state FROM f)
 SELECT state, count(*) n FROM s GROUP BY 1 UNION ALL SELECT 'held_' || state, count(*) FROM s WHERE state NOT IN ('filled', 'reviewed_A') GROUP BY 1""",
     "set_checks": "SELECT * FROM (VALUES ('same', true, true), ('fewer', false, true), ('more', false, false), ('twice', false, true)) v(name, same, subset)",
-    "full_source_names": "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 2) THEN 'hadolint' ELSE 'shellcheck' END AS name FROM part",
+    "full_source_names": "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 2) THEN 'first' ELSE 'second' END AS name FROM part",
     "rule_titles": CTE + "SELECT source_id, coalesce('t' || min(target_id) FILTER (rank = 2), '') title, count(*) FILTER (verdict <> 'NO') > 0 AS some, count(*) FILTER (verdict = 'YES') = 0 AS only FROM cand GROUP BY 1",
     "encoded_texts": """SELECT p_partkey, round(CASE WHEN p_partkey % 3 > 0 THEN len(p_name) / sqrt(len(p_name) * len(p_name) + 16) ELSE 0 END, 5) AS first, sha256('{"a":"é","b":2}') fingerprint, 'x.llm_verdict' forbidden FROM part""",
 }

@@ -72,11 +72,16 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def sidecar(df: DataFrame, path: str, **facts) -> dict:
-    """Writes and returns what is known of a result: schema, row count, content digest, the caller's facts, versions."""
+def content(df: DataFrame) -> dict:
+    """rows and content_digest (which the order of rows does not change) of a table."""
     h = F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) for c in sorted(df.columns)])
     row = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).first()
-    out = {"rows": row["rows"], "content_digest": hashlib.sha256(row["digest"].encode()).hexdigest(), "schema": json.loads(df.schema.json()), "facts": facts, "python": platform.python_version(), "spark": df.sparkSession.version}
+    return {"rows": row["rows"], "content_digest": hashlib.sha256(row["digest"].encode()).hexdigest()}
+
+
+def sidecar(df: DataFrame, path: str, inputs: dict[str, DataFrame] | None = None, **facts) -> dict:
+    """Writes and returns what is known of a result: schema, row count and content digest, those of its inputs, the caller's facts, versions."""
+    out = {**content(df), "inputs": {n: content(x) for n, x in (inputs or {}).items()}, "schema": json.loads(df.schema.json()), "facts": facts, "python": platform.python_version(), "spark": df.sparkSession.version}
     write_text(df.sparkSession, json.dumps(out, ensure_ascii=False, indent=2, sort_keys=True), path)
     return out
 
