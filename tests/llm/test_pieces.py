@@ -52,7 +52,7 @@ def test_library_decodes_our_ids(vocab):
 
 
 def test_pieces_against_the_library(vocab, spark):
-    """Log probabilities cut words much as the library's merging does; merge ranks as scores gave 2.87 pieces a word here, the library 2.51."""
+    """Log probabilities cut words much as the library's merging does; merge ranks as scores gave 14 % more pieces than the library."""
     model = sentencepiece.SentencePieceProcessor(model_file=P.MODEL_FILE)
     encoder = P.Encoder(vocab, 1)
     assert encoder.encode("Hello world, this is a test.")[0] == model.encode("Hello world, this is a test.")
