@@ -158,3 +158,41 @@ def test_variant_audit_against_difflib(spark):
     like = sorted(round(SequenceMatcher(None, "the system shall", v).ratio(), 6) for v in ("the system shall", 'the "system"', "the system"))
     assert (got["a"]["variants"], got["a"]["min_similarity"], got["a"]["max_similarity"], got["a"]["prefixes"], got["a"]["equal"]) == (3, like[0], 1.0, 2, 1)
     assert (got["b"]["variants"], got["b"]["max_similarity"], got["b"]["unlike"], got["c"]["variants"]) == (1, 0.0, 1, 0)
+
+
+def test_similarity_and_match_form_queries_against_plain_python(spark):
+    import re
+    from difflib import SequenceMatcher
+    from hashlib import sha256
+    from unicodedata import normalize
+
+    from lumenfold.plans import q_text as Q
+
+    sf = "/root/testdata/sf0.001"
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {i: (round(SequenceMatcher(None, t, items[i + 1]).ratio(), 6), t.startswith(items[i + 1]) or items[i + 1].startswith(t)) for i, t in items.items() if i + 1 in items}
+    assert {r["a"]: (r["ratio"], r["prefix"]) for r in Q.similar_lines(spark, sf).collect()} == want and want
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    forms = {d: sha256(re.sub(r"[\s_-]+", " ", normalize("NFKC", t).casefold()).strip().encode()).hexdigest() for d, t in docs.items()}
+    assert {r["doc_id"]: r["form"] for r in Q.match_forms(spark, sf).collect()} == forms
+
+
+def test_stratified_members_have_the_smallest_hashes(spark):
+    import struct
+
+    import xxhash
+
+    sf = "/root/testdata/sf0.001"
+    parts = [(r["p_partkey"], r["p_brand"]) for r in spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("long"), "p_brand").collect()]
+
+    def order(key):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 42), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        return (h - (1 << 64) if h >> 63 else h, key)
+
+    strata = {}
+    for k, b in parts:
+        strata.setdefault(b, []).append(k)
+    take = L.allocation({b: len(v) for b, v in strata.items()}, 75)
+    df = spark.createDataFrame(parts, "p_partkey long, p_brand string").repartition(3)
+    got = {r["p_partkey"] for r in L.stratified_sample(df, "p_brand", 75, "p_partkey").collect()}
+    assert got == {k for b, v in strata.items() for k in sorted(v, key=order)[: take[b]]} and len(got) == 75
