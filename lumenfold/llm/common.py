@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def rows_of(batch: pa.RecordBatch, most_rows: int = 512) -> Iterator[pa.RecordBa
         yield batch.slice(at, most_rows)
 
 
+def text_slices(batch: pa.RecordBatch, at: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about most_bytes of column `at` (text or binary); a longer value stands alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)))
+    done = 0
+    while done < batch.num_rows:
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most_bytes, "right")))
+        yield batch.slice(done, to - done)
+        done = to
+
+
 def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *extra.values()], names=[*batch.schema.names, *extra])
 

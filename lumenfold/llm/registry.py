@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import chat, html_extract, mixing, pieces, quality_model, quality_rules, simhash, token_output, topk, toxicity
+from lumenfold.llm import alignment, chat, html_extract, mixing, pieces, quality_model, quality_rules, simhash, token_output, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_model.op8_quality_classifier,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_alignment": alignment.op11_alignment,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import uuid
 from urllib.parse import urlparse
 
@@ -79,16 +80,32 @@ def tokenizer(ranks_file: str = RANKS_FILE):
     return tiktoken.Encoding("lumenfold", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space (as Unicode has it) that are too long for the library's pattern search.
+_LONG_GAP = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
+def ordinary(encoding, text: str) -> list[int]:
+    """encoding's ids of the whole text. A long run of white space, but for the one before a word, is one piece by the pattern; such pieces are encoded by themselves."""
+    ids, done = [], 0
+    if len(text) >= 10_000:
+        for gap in _LONG_GAP.finditer(text):
+            end = gap.end() if gap.end() == len(text) else gap.end() - 1
+            ids += encoding.encode_ordinary(text[done : gap.start()])
+            ids += encoding._encode_single_piece(text[gap.start() : end])
+            done = end
+    return ids + encoding.encode_ordinary(text[done:]) if done else encoding.encode_ordinary(text)
+
+
 def token_ids(encoding, text: str, piece: int = 1 << 20) -> np.ndarray:
     """Token ids of a whole text and END_ID. A very long text is encoded in pieces that end before a space after a letter or digit, where the pattern always starts anew."""
     if len(text) <= piece:
-        return np.array([*encoding.encode_ordinary(text), END_ID], np.uint16)
+        return np.array([*ordinary(encoding, text), END_ID], np.uint16)
     out, at = [], 0
     while at < len(text):
         end = at + piece
         while end < len(text) and not (text[end] == " " and text[end - 1].isalnum()):
             end += 1
-        out.append(np.array(encoding.encode_ordinary(text[at:end]), np.uint16))
+        out.append(np.array(ordinary(encoding, text[at:end]), np.uint16))
         at = end
     return np.concatenate([*out, np.array([END_ID], np.uint16)])
 
