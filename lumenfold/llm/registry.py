@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import alignment, chat, fim, html_extract, mixing, pieces, quality_model, quality_rules, simhash, token_output, topk, toxicity
+from lumenfold.llm import alignment, chat, fim, html_extract, mixing, pieces, pii, quality_model, quality_rules, simhash, token_output, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op11_alignment": alignment.op11_alignment,
+    "op12_pii": pii.op12_pii,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLE_SQL = {
