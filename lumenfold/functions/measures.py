@@ -12,10 +12,18 @@ def percent(part: Column, whole: Column, digits: int | None = None) -> Column:
     return value if digits is None else F.round(value, digits)
 
 
-def describe(x: Column, prefix: str, empty: float | None = 0.0) -> list[Column]:
-    """min, mean, median, p90, p95 and max; `empty` stands for each over no value (None: null)."""
+#: Percentiles of describe and quartiles, by name.
+DESCRIBED, QUARTERS = {"median": 0.5, "p90": 0.9, "p95": 0.95}, {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+def describe(x: Column, prefix: str, empty: float | None = 0.0, ranks: bool = True) -> list[Column]:
+    """min, mean, median, p90, p95 and max; `empty` stands for each over no value (None: null).
+
+    Spark's `percentile` keeps a group's distinct values in one task. That suits small counts; ranks=False leaves the
+    percentiles to operators.percentiles, which doesn't.
+    """
     p = {"min": F.min(x), "mean": F.avg(x), "median": F.percentile(x, 0.5), "p90": F.percentile(x, 0.9), "p95": F.percentile(x, 0.95), "max": F.max(x)}
-    return [(F.coalesce(v.cast("double"), F.lit(empty)) if empty is not None else v.cast("double")).alias(f"{prefix}_{k}") for k, v in p.items()]
+    return [(F.coalesce(v.cast("double"), F.lit(empty)) if empty is not None else v.cast("double")).alias(f"{prefix}_{k}") for k, v in p.items() if ranks or k not in DESCRIBED]
 
 
 def sample_stdev(x: Column) -> Column:
@@ -23,10 +31,10 @@ def sample_stdev(x: Column) -> Column:
     return F.when(F.count(x) == 1, F.lit(0.0)).otherwise(F.stddev_samp(x))
 
 
-def quartiles(x: Column, prefix: str, digits: int = 6) -> list[Column]:
-    """n, min, q25, median, mean, q75, max, std, rounded; null over no value."""
+def quartiles(x: Column, prefix: str, digits: int = 6, ranks: bool = True) -> list[Column]:
+    """n, min, q25, median, mean, q75, max, std, rounded; null over no value. ranks: as in describe."""
     p = {"min": F.min(x), "q25": F.percentile(x, 0.25), "median": F.percentile(x, 0.5), "mean": F.avg(x), "q75": F.percentile(x, 0.75), "max": F.max(x), "std": F.stddev_samp(x)}
-    return [F.count(x).alias(f"{prefix}_n"), *(F.round(v.cast("double"), digits).alias(f"{prefix}_{k}") for k, v in p.items())]
+    return [F.count(x).alias(f"{prefix}_n"), *(F.round(v.cast("double"), digits).alias(f"{prefix}_{k}") for k, v in p.items() if ranks or k not in QUARTERS)]
 
 
 def share(n: Column, total: Column) -> Column:

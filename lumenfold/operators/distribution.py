@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import measures as m
 from lumenfold.functions.hierarchy import effective_parent, effective_parent_by_type
 from lumenfold.operators.numbering import numbered
+from lumenfold.operators.percentiles import with_percentiles
 
 #: Bins of candidate counts, of relative and of raw scores (name, low, high; low inclusive, high exclusive).
 COUNT_BINS = [("0", 0, 1), ("1-5", 1, 6), ("6-10", 6, 11), ("11-20", 11, 21), ("21-50", 21, 51), (">50", 51, None)]
@@ -150,8 +151,11 @@ def mapping_analysis(rules: DataFrame, candidates: DataFrame, top: int = 20) ->
         return rows(df.select("source", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns if c != "source"]), F.array(*[F.col(c).cast("double") for c in df.columns if c != "source"]))).alias("k", "v")), measure, F.col("k"), value=F.col("v"))
 
     def spread(df, x, measure):
-        found = {"mean": F.avg(x), "median": F.percentile(x, 0.5), "min": F.min(x), "max": F.max(x), "stdev": m.sample_stdev(x), **{f"p{int(q * 100)}": F.percentile(x, q) for q in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}}
-        return unpivoted(df.groupBy("source").agg(*[F.round(F.coalesce(v.cast("double"), F.lit(0.0)), 6).alias(k) for k, v in found.items()]), measure)
+        own = {"mean": F.avg(x), "min": F.min(x), "max": F.max(x), "stdev": m.sample_stdev(x)}
+        qs = {"median": 0.5, **{f"p{int(q * 100)}": q for q in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}}
+        found = with_percentiles(df, ["source"], [v.alias(k) for k, v in own.items()], {"q": (x, qs)})
+        named = {**{k: F.col(k) for k in own}, **{k: F.col(f"q_{k}") for k in qs}}
+        return unpivoted(found.select("source", *[F.round(F.coalesce(v.cast("double"), F.lit(0.0)), 6).alias(k) for k, v in named.items()]), measure)
 
     def first(df, section, name, order, n):
         position = F.row_number().over(Window.partitionBy("source").orderBy(*order))

@@ -10,6 +10,7 @@ from lumenfold.functions import measures as m
 from lumenfold.functions.hierarchy import effective_parent, effective_parent_by_type
 from lumenfold.operators import distribution as d
 from lumenfold.operators import sweep, vector
+from lumenfold.operators.percentiles import with_percentiles
 from lumenfold.plans.q_matching import vectors
 from lumenfold.plans.standins import CTE, candidates, rules, targets
 from lumenfold.session import table
@@ -57,8 +58,14 @@ def per_rule(spark, sf_dir):
 
 
 def score_stats(spark, sf_dir):
-    c = candidates(spark, sf_dir).groupBy("source")
-    return rounded(c.agg(*m.describe(F.col("relative_score"), "rel"), *m.quartiles(F.col("raw_cosine"), "raw"), m.sample_stdev(F.col("raw_cosine")).alias("raw_stdev")))
+    rel, raw = F.col("relative_score"), F.col("raw_cosine")
+    own = [*m.describe(rel, "rel", ranks=False), *m.quartiles(raw, "raw", ranks=False), m.sample_stdev(raw).alias("raw_stdev")]
+    return rounded(with_percentiles(candidates(spark, sf_dir), ["source"], own, {"rel": (rel, m.DESCRIBED), "raw": (raw, m.QUARTERS)}))
+
+
+def order_price_quartiles(spark, sf_dir):
+    x = F.col("o_totalprice")
+    return rounded(with_percentiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], m.quartiles(x, "price", 2, ranks=False), {"price": (x, m.QUARTERS)}, 2), 2)
 
 
 def scores_by_verdict(spark, sf_dir):
@@ -126,7 +133,7 @@ QUERIES = {
     "source_quality": lambda s, p: rounded(d.source_quality(rules(s, p), d.rule_quality(candidates(s, p)))),
     "source_comparison": lambda s, p: rounded(d.compare_sources(d.source_quality(rules(s, p), d.rule_quality(candidates(s, p))), ["even", "odd"], ["rules", "covered", "coverage", "candidates_mean", "gap_mean"])),
     "target_type_counts": lambda s, p: candidates(s, p).groupBy("source", "target_type").agg(F.count("*").alias("n"), F.round(m.percent(F.count("*"), F.sum(F.count("*")).over(Window.partitionBy("source"))), 6).alias("pct")),
-    "order_price_quartiles": lambda s, p: rounded(table(s, p, "orders").groupBy("o_orderpriority").agg(*m.quartiles(F.col("o_totalprice"), "price", 2)), 2),
+    "order_price_quartiles": order_price_quartiles,
 }
 
 SWEEP_SQL = CTE + f""", rk AS (SELECT p.*, r.source, t.parent_sr, row_number() OVER (PARTITION BY p.source_id ORDER BY relative_score DESC, target_id) AS rank FROM relative p JOIN rules r USING (source_id) JOIN targets t USING (target_id)),
