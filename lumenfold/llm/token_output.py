@@ -5,7 +5,7 @@ cycle-walking maps each sequence's number (document, part) to a place in the sam
 places are uniform, so equal ranges of them are partitions of equal size, and a sequence's global
 slot is the rank of its place. Each range is one shard file whose record i belongs to slot
 first + i. A reader in training order is therefore sequential and resumes at any slot by
-arithmetic. The order depends on ids and key alone, not on how the input was split.
+arithmetic. The order depends on ids, texts and key alone, not on how the input was split.
 """
 
 from __future__ import annotations
@@ -133,25 +133,51 @@ def _rename(old: str, new: str) -> None:
         store.move(fs.FileSystem.from_uri(old)[1], name)
 
 
-#: Parts of a document, and ids, that have numbers of their own; beyond them numbers are shared and the record decides.
+#: Numbers of a document's parts and of documents; beyond them numbers are shared and the record decides.
 PARTS, IDS = 1 << 20, 1 << 42
 
 
+def numbered(rows: DataFrame, block: int = 1 << 12) -> tuple[DataFrame, int]:
+    """(rows (doc_id, text) with a number, how many numbers there are); a number follows from id and text, however the rows are split.
+
+    A row whose id is its own is numbered by it. Rows without an id (-1) or that share one get a digest of id, text and copy
+    as number: rows that are equal throughout are counted with partial sums, as many copies are made of one of them, and
+    these are numbered from 0, over all tasks by blocks of numbers. So none of them share a place, and no id is hot. Where
+    all ids differ this costs one shuffle of ids.
+    """
+    total, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    by_id = F.pmod(F.col("doc_id") - F.lit(low), F.lit(IDS)).alias("number")
+    again = durable(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id = -1"))
+    few = again.count()
+    if not few:
+        return rows.select("doc_id", "text", by_id), min(high - low + 1, IDS)
+    hot = again if few <= 500_000 else again.where(F.col("n") * 1000 >= total)  # at most a thousand ids have a thousandth of the rows each
+    met = rows.join(F.broadcast(hot), "doc_id", "left")
+    once, shared = met.where("n is null").select("doc_id", "text"), met.where("n is not null").select("doc_id", "text")
+    if few > 500_000:
+        cold = once.join(again.where(F.col("n") * 1000 < total), "doc_id", "left")
+        once, shared = cold.where("n is null").select("doc_id", "text"), shared.unionByName(cold.where("n is not null").select("doc_id", "text"))
+    equal = shared.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    blocks = equal.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))).alias("at")).repartition("doc_id", "text", "at")
+    copies = blocks.select("doc_id", "text", F.explode(F.sequence(F.col("at") * block, F.least(F.col("n"), (F.col("at") + 1) * block) - 1)).alias("_copy"))
+    return once.select("doc_id", "text", by_id).unionByName(copies.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", "_copy"), F.lit(IDS)).alias("number"))), IDS
+
+
 def write_shards(docs: DataFrame, folder: str, stride: int = 256, shards: int | None = None, key: int = 20240, ranks_file: str = RANKS_FILE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Writes the shards to folder, which every executor must reach; returns the manifest (shard, path, first_slot, records, digest).
 
     Each document gives its tokens and END_ID in records of `stride` tokens; null and empty texts
-    give one record with END_ID alone, and rows without an id carry id -1. Sequences of equal
-    number (repeated ids) follow each other by record. An empty table gives an empty manifest.
+    give one record with END_ID alone, and rows without an id carry id -1. Rows without an id, rows that
+    share one and rows that are equal have places of their own (see numbered). An empty table gives an empty manifest.
     shards: how many (None: one for each input partition). A text is tokenized once, and its
     records cross one shuffle. A shard is written under a temporary name and renamed, so a
     repeated task leaves one whole file.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    domain = min(high - low + 1, IDS) * PARTS
     shards = shards or max(1, rows.rdd.getNumPartitions())
+    rows, ids = numbered(rows)
+    domain = ids * PARTS
     width = -(-domain // shards)
     kind = record_type(stride)
 
@@ -160,7 +186,7 @@ def write_shards(docs: DataFrame, folder: str, stride: int = 256, shards: int |
         for big in batches:
             for batch in rows_of(big, 256):
                 records, numbers = [], []
-                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc, t, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     ids = token_ids(encoding, t)
                     n = -(-len(ids) // stride)
                     own = np.zeros(n, kind)
@@ -169,7 +195,7 @@ def write_shards(docs: DataFrame, folder: str, stride: int = 256, shards: int |
                     flat[: len(ids)] = ids
                     own["tokens"] = flat.reshape(n, stride)
                     records.append(own)
-                    numbers.append((doc - low) % IDS * PARTS + np.arange(n) % PARTS)
+                    numbers.append(number * PARTS + np.arange(n) % PARTS)
                 if not records:
                     continue
                 records = np.concatenate(records)

@@ -78,3 +78,28 @@ def test_slots_are_ranks_of_a_plain_permutation_and_read_apart(spark, tmp_path):
     got = sorted((r["slot"], r["doc_id"], r["part"]) for r in out.collect())
     ranked = sorted(((d, p) for _, d, p in got), key=lambda x: place(x[0] * O.PARTS + x[1]))
     assert [(d, p) for _, d, p in got] == ranked
+
+
+def test_rows_without_an_id_are_spread(spark, tmp_path):
+    """A third of the rows lack an id, half of those are equal throughout, and some ids are shared."""
+    rows = [(i, f"text {i} of many") for i in range(2000)] + [(None, f"no id {i}") for i in range(500)] + [(None, "the same")] * 500 + [(5, "other"), (5, "other"), (5, "another")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = O.write_shards(docs.repartition(3), str(tmp_path / "a"), stride=2, shards=4)
+    sizes = [r["records"] for r in m.collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.1 * min(sizes)
+    again = O.write_shards(docs.repartition(7), str(tmp_path / "b"), stride=2, shards=4)
+    assert sorted(r["digest"] for r in m.collect()) == sorted(r["digest"] for r in again.collect())
+    got = [(r["doc_id"], r["part"], tuple(r["tokens"])) for r in O.read_shards(m, 2).collect()]
+    e = O.tokenizer()
+    want = []
+    for i, t in rows:
+        ids = [*e.encode_ordinary(t), O.END_ID]
+        want += [(-1 if i is None else i, k // 2, tuple(ids[k : k + 2])) for k in range(0, len(ids), 2)]
+    assert sorted(got) == sorted(want)
+
+
+def test_long_gaps_are_encoded():
+    e = O.tokenizer()
+    for text in (" " * 20_000 + "word", "a" + "\n" * 15_000, "x \u3000" + "\u3000" * 12_000 + " y"):
+        ids = O.ordinary(e, text)
+        assert e.decode(ids) == text and O.ordinary(e, text[-50:]) == e.encode_ordinary(text[-50:])
