@@ -13,6 +13,7 @@ shuffle, where no pair is hot, since each has fewer links than the least broadca
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,16 +57,19 @@ class Pair:
         return self._open
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """(ids of space + text, ids of text) of each text; none for a text that is empty or that either side's bytes don't give again."""
+        """(ids of space + text, ids of text) of each text; none for a text that is empty or that either side's bytes don't give again. A side whose entries hold every byte always does: it merges the text's own bytes."""
         a, b = self.encoders()
         out = []
         for text, pieces in zip(texts, b.encode(texts, num_threads=1), strict=True):
-            own = ordinary(a, " " + text) if text else []
-            raw = (" " + text).encode()
-            same = bool(text) and all(b"".join(map(table.__getitem__, ids)) == raw for table, ids in ((self.a_bytes, own), (self.b_bytes, pieces)))
-            out.append((own, pieces) if same else ([], []))
+            if text and b"".join(map(self.b_bytes.__getitem__, pieces)) == b" " + text.encode():
+                out.append((ordinary(a, " " + text), pieces))
+            else:
+                out.append(([], []))
         return out
 
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
+
 
 def load(a_file: str = A_FILE, b_file: str = B_FILE) -> Pair:
     """A byte-level BPE from its JSON file, whose ids rise with its merges (so a merge's rank is the id that it makes), and a piece model."""
@@ -83,6 +87,8 @@ def load(a_file: str = A_FILE, b_file: str = B_FILE) -> Pair:
     if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])):
         raise ValueError("ids don't rise with merges")
     ranks = {bytes(spelled[c] for c in k): v for k, v in vocab.items()}
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("not every byte has an entry")
     a_bytes = [b""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
         a_bytes[v] = k
@@ -103,7 +109,7 @@ def tokens(docs: DataFrame, pair: Pair, text: str = "text", row: str = "_row") -
         for big in batches:
             for batch in text_slices(big, 0):
                 found = pair.encode([t or "" for t in batch.column(0).to_pylist()])
-                packed = [pa.array([np.array(f[side], pair.kind).tobytes() for f in found], pa.binary()) for side in (0, 1)]
+                packed = [pa.array([pair.packed(f[side]) for f in found], pa.binary()) for side in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *packed], names=[*batch.schema.names[1:], "a_ids", "b_ids"])
 
     schema = T.StructType([*docs.schema.fields[1:], T.StructField("a_ids", T.BinaryType()), T.StructField("b_ids", T.BinaryType())])
@@ -114,7 +120,7 @@ def tokens(docs: DataFrame, pair: Pair, text: str = "text", row: str = "_row") -
 
 @dataclass
 class Overlaps:
-    """The links of a run of documents, one behind the other. *_at: where each document's tokens, links and groups begin, and where the last one's end."""
+    """The links of a run of documents, one behind the other. last_a, last_b: the last token of each group. *_at: where each document's tokens, links and groups begin, and where the last one's end."""
 
     a: np.ndarray
     b: np.ndarray
@@ -122,7 +128,8 @@ class Overlaps:
     b_ends: np.ndarray
     owner_a: np.ndarray
     owner_b: np.ndarray
-    shared: np.ndarray
+    last_a: np.ndarray
+    last_b: np.ndarray
     a_at: np.ndarray
     b_at: np.ndarray
     links_at: np.ndarray
@@ -133,19 +140,30 @@ class Overlaps:
         return self.a[self.owner_a] << 32 | self.b[self.owner_b]
 
     def groups_of(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's group, on either side."""
-        return np.searchsorted(self.shared, self.a_ends), np.searchsorted(self.shared, self.b_ends)
+        """Each token's group, on either side: how many groups' last tokens come before it."""
+        out = []
+        for ids, last in ((self.a, self.last_a), (self.b, self.last_b)):
+            ends = np.zeros(len(ids), np.int64)
+            ends[last] = 1
+            out.append(np.cumsum(ends) - ends)
+        return out[0], out[1]
+
+
+def union_of_sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.union1d of two sorted arrays; a stable sort merges the two runs in linear time, where union1d would sort anew."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Overlaps:
     """a, b: ids of consecutive documents, whose counts of tokens are given; sizes: bytes by id. Both sides of a document have equally many bytes."""
     a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
-    cuts = np.union1d(a_ends, b_ends)
+    cuts = union_of_sorted(a_ends, b_ends)
     owner_a, owner_b = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
-    shared = cuts[(a_ends[owner_a] == cuts) & (b_ends[owner_b] == cuts)] if len(cuts) else cuts
+    closes = np.flatnonzero((a_ends[owner_a] == cuts) & (b_ends[owner_b] == cuts))
     a_at, b_at = np.concatenate([[0], np.cumsum(a_counts)]), np.concatenate([[0], np.cumsum(b_counts)])
     edges = np.concatenate([[0], a_ends])[a_at]
-    return Overlaps(a, b, a_ends, b_ends, owner_a, owner_b, shared, a_at, b_at, np.searchsorted(cuts, edges, "right"), np.searchsorted(shared, edges, "right"))
+    return Overlaps(a, b, a_ends, b_ends, owner_a, owner_b, owner_a[closes], owner_b[closes], a_at, b_at, np.searchsorted(cuts, edges, "right"), np.searchsorted(cuts[closes], edges, "right"))
 
 
 def group_table(pair: Pair) -> list[str]:
@@ -157,11 +175,13 @@ def group_texts(o: Overlaps, pair: Pair, table: list[str]) -> list[str]:
     """Each document's groups as `a1,a2|b1;a3|b2,b3`."""
     n_a, n_b = len(pair.a_bytes), len(pair.b_bytes)
     ga, gb = o.groups_of()
-    last_a, last_b = np.searchsorted(o.a_ends, o.shared), np.searchsorted(o.b_ends, o.shared)
     codes = np.empty(len(o.a) + len(o.b), np.int64)
-    before = np.concatenate([[-1], last_b]) + 1  # tokens of B in earlier groups
-    codes[np.arange(len(o.a)) + before[ga]] = o.a + np.where(np.arange(len(o.a)) == last_a[ga], n_a, 0)
-    codes[np.arange(len(o.b)) + last_a[gb] + 1] = o.b + 2 * n_a + np.where(np.arange(len(o.b)) == last_b[gb], n_b, 0)
+    before = np.concatenate([[-1], o.last_b]) + 1  # tokens of B in earlier groups
+    a, b = o.a.copy(), o.b + 2 * n_a
+    a[o.last_a] += n_a
+    b[o.last_b] += n_b
+    codes[np.arange(len(a)) + before[ga]] = a
+    codes[np.arange(len(b)) + o.last_a[gb] + 1] = b
     at = (o.a_at + o.b_at).tolist()
     return ["".join(map(table.__getitem__, codes[i:j].tolist()))[:-1] for i, j in zip(at, at[1:], strict=False)]
 
@@ -255,9 +275,8 @@ def align(docs: DataFrame, pair: Pair | None = None, text: str = "text", most_pa
         for big in batches:
             for batch in text_slices(big, big.schema.get_field_index("a_ids")):
                 o = _unpacked(batch, pair, sizes)
-                ids, at = np.unique(o.pairs(), return_inverse=True)
-                n, best, _ = look_up(ids)
-                best_to, sum_to = (np.concatenate([[0], np.cumsum(x[at])]) for x in (best.astype(np.int64), n))
+                n, best, _ = look_up(o.pairs())
+                best_to, sum_to = (np.concatenate([[0], np.cumsum(x)]) for x in (best.astype(np.int64), n))
                 columns = [np.diff(o.a_at), np.diff(o.b_at), np.diff(o.groups_at), np.diff(o.links_at), np.diff(best_to[o.links_at]), np.diff(sum_to[o.links_at])]
                 kept = [(name, c) for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in ("a_ids", "b_ids")]
                 yield pa.RecordBatch.from_arrays([*[c for _, c in kept], *[pa.array(c, pa.int64()) for c in columns], pa.array(group_texts(o, pair, names), pa.string())], names=[*[k for k, _ in kept], *COUNTS, "groups"])
@@ -292,7 +311,7 @@ def links(table: DataFrame, pair: Pair, products: bool = False, most_rows: int =
                 yield o.owner_a[i : i + most_rows], o.owner_b[i : i + most_rows]
             return
         ga, gb = o.groups_of()
-        first, size = np.searchsorted(gb, np.arange(len(o.shared))), np.bincount(gb, minlength=len(o.shared))
+        first, size = np.searchsorted(gb, np.arange(len(o.last_b))), np.bincount(gb, minlength=len(o.last_b))
         done = 0
         total = np.cumsum(size[ga])
         while done < len(ga):  # a token of A at least, however large its group

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,10 @@ def test_query_over_whole_table(spark, pair):
     assert sorted(got) == ids
     for i, w in zip(ids, want, strict=True):
         assert (*[got[i][c] for c in A.COUNTS], got[i]["groups_sha256"]) == (*w[:-1], hashlib.sha256(w[-1].encode()).hexdigest() if w[0] else "")
+
+
+def test_union_of_sorted_is_union1d():
+    r = np.random.default_rng(1)
+    for n, m in ((0, 0), (0, 3), (5, 0), (400, 300)):
+        a, b = np.unique(r.integers(0, 900, n)), np.unique(r.integers(0, 900, m))
+        assert (A.union_of_sorted(a, b) == np.union1d(a, b)).all()
