@@ -18,8 +18,8 @@ from lumenfold.functions.text import INLINE, SECTION, SECTIONS, match_form_of
 
 #: Headings that name no rule; sections; those that a rule should have.
 GENERIC = frozenset(["example", "examples", "example code", "optional", "notes", "references", "related resources", "see also"])
-FIELDS = ("problematic", "correct", "rationale", "exceptions")
-WANTED = ("problematic", "correct", "rationale")
+FIELDS = ("problematic_code", "correct_code", "rationale", "exceptions")
+WANTED = ("problematic_code", "correct_code", "rationale")
 
 #: An opening fence, a heading by number signs, the underline of a heading.
 _OPEN = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
@@ -203,6 +203,52 @@ def parsed(markdown: pd.Series, untitled: pd.Series) -> pd.DataFrame:
     return frame
 
 
+#: Rows of a document: a fence or a heading with its lines (from 1; a heading's last line is the one before its body), the end of the document, or why it can't be read.
+MARK = "kind string, line int, last_line int, level int, label string, shown string, category string, qualified boolean, info string"
+
+
+@F.udtf(returnType=MARK, useArrow=True)
+class Marks:
+    """The fences and headings of one document, as rows; see marks."""
+
+    def eval(self, markdown: str):
+        lines = re.sub(r"\r\n?", "\n", markdown or "").split("\n")
+        try:
+            fenced = fences(lines)
+        except Unreadable as e:
+            yield "unreadable", 0, 0, None, None, None, e.code, None, str(e)
+            return
+        for a, b, info in fenced:
+            yield "fence", a + 1, b + 1, None, None, None, None, None, info
+        for h in headings(lines, fenced):
+            yield "heading", h.line + 1, h.body, h.level, h.label, h.text, h.category, h.qualified, None
+        yield "end", len(lines) + 1, len(lines) + 1, None, None, None, None, None, None
+
+
+def marks(documents: DataFrame, text: str = "markdown") -> DataFrame:
+    """A row (MARK) for each fence and heading of every document, beside the document's other columns: a lateral join with a table function, so what follows is relational. Null is the empty text, which has its end alone."""
+    keys = [c for c in documents.columns if c != text]
+    return documents.lateralJoin(Marks(F.col(text).outer())).select(*keys, *[c.split()[0] for c in MARK.split(", ")])
+
+
+def sections(found: DataFrame, documents: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
+    """(keys, category, qualified, label, line, first_line, last_line, fences, body) of each section of marks() `found`: its body runs to the line before the next heading that opens a section or is of its level or a higher one.
+
+    The next heading comes from windows over a document's marks, one for each level; a section's fences are those
+    between its lines. body: the lines as they are, fences included; null where there are none.
+    """
+    at = Window.partitionBy(*keys).orderBy("line", "kind")
+    after = at.rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.min(F.when((F.col("kind") == "end") | F.col("category").isNotNull() | ((F.col("kind") == "heading") & (F.col("level") <= n)), F.col("line"))).over(after) for n in range(1, 7)]
+    m = found.where("kind <> 'unreadable'").select("*", F.array(*ends).alias("_ends"))
+    s = m.where("kind = 'heading' and category is not null").select(*keys, "category", "qualified", "label", "line", (F.col("last_line") + 1).alias("first_line"), (F.element_at("_ends", F.col("level")) - 1).alias("last_line"))
+    inside = m.where("kind = 'fence'").select(*keys, F.col("line").alias("_fence"))
+    counted = s.join(inside, keys, "left").groupBy(*s.columns).agg(F.count_if((F.col("_fence") >= F.col("first_line")) & (F.col("_fence") <= F.col("last_line"))).alias("fences"))
+    lines = F.split(t.newlines(F.col(text)), "\n")
+    body = F.when(F.col("last_line") >= F.col("first_line"), F.array_join(F.slice(lines, F.col("first_line"), F.col("last_line") - F.col("first_line") + 1), "\n"))
+    return counted.join(documents.select(*keys, text), keys).select(*s.columns, "fences", body.alias("body"))
+
+
 class Extraction(NamedTuple):
     """rules; diagnostics (what was noticed in them); quarantine (documents that can't be read, with code and error); measures (counts of each rule's sections and fences)."""
 

@@ -76,9 +76,9 @@ def tags(t: Column, patterns: dict[str, str]) -> Column:
 
 
 def modal_status(t: Column, word: str = "shall") -> Column:
-    """pass: has the word between spaces; warn: has it otherwise; fail: not at all."""
-    low = F.lower(t)
-    return F.when(F.contains(low, F.lit(f" {word} ")), "pass").when(F.contains(low, F.lit(word)), "warn").otherwise("fail")
+    """pass: has the word, as a word between spaces or at an end; fail: is empty; warning: anything else."""
+    c = F.lower(collapse(t))
+    return F.when(F.contains(F.concat(F.lit(" "), c, F.lit(" ")), F.lit(f" {word} ")), "pass").when(filled(c), "warning").otherwise("fail")
 
 
 def word_count(t: Column) -> Column:
@@ -114,7 +114,7 @@ def visible_heading(t: Column) -> Column:
 
 #: How a heading that opens a section begins, what may follow the name, and the sections by name.
 SECTION = r"^(problematic code|correct code|rationale|exceptions?)(?=$|[\s:#(\[\-–—])"
-SECTIONS = {"problematic code": "problematic", "correct code": "correct", "rationale": "rationale", "exception": "exceptions", "exceptions": "exceptions"}
+SECTIONS = {"problematic code": "problematic_code", "correct code": "correct_code", "rationale": "rationale", "exception": "exceptions", "exceptions": "exceptions"}
 
 
 def heading_category(t: Column) -> Column:
@@ -126,11 +126,20 @@ def heading_category(t: Column) -> Column:
     return F.struct(F.try_element_at(known, name).alias("category"), ((name != "") & ~rest.isin("", ":")).alias("qualified"))
 
 
-#: Steps that turn wiki Markdown into plain sentences, in order.
-WIKI = [(r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"\*\*|__", ""), (r"https?://\S+", ""), (r"<[^>]+>", "")]
+#: Steps that turn wiki Markdown into dense text, in order: code blocks, section names, rule tags, number signs, links, addresses and what leads to them, marks.
+WIKI = [
+    (r"(?s)```.*?```", ""),
+    (r"(?iU)#*\s*(?:Problematic code|Correct code|Rationale|Exceptions)[:]*", ""),
+    (r"(?imdU)^#+\s*(?:DL|SC)\d+\s*$", ""),
+    (r"#+", ""),
+    (r"(?d)\[(.*?)\]\(.*?\)", "$1"),
+    (r"(?iU)(?:see(?:\s+also)?|read(?:\s+more)?|reference[s]?|for\s+more\s+(?:info|details))?[\s:]*http[s]?://\S+", ""),
+    (r"[*`_~>|-]", ""),
+]
 
 
 def wiki_plain(t: Column) -> Column:
+    """Dense text of a wiki page: words and plain punctuation in one line."""
     for pattern, to in WIKI:
         t = F.regexp_replace(t, pattern, to)
     return collapse(t)
@@ -155,8 +164,8 @@ def ordered_ids_digest(ids: Column) -> Column:
     return F.sha2(F.concat(F.array_join(ids, "\n"), F.when(F.size(ids) > 0, "\n").otherwise("")), 256)
 
 
-def ranked_pair_id(*parts: Column) -> Column:
-    return F.concat_ws(":", *[p.cast("string") for p in parts])
+def ranked_pair_id(source: Column, source_id: Column, rank: Column, target_id: Column) -> Column:
+    return F.concat_ws(":", source, source_id.cast("string"), F.concat(F.lit("rank_"), rank.cast("string")), target_id.cast("string"))
 
 
 def pair_id(**fields: Column) -> Column:
@@ -170,15 +179,20 @@ def strip_code_fence(t: Column) -> Column:
     return F.regexp_replace(F.trim(t), r"(?s)^```[a-zA-Z]*\s*\n?(.*?)\s*```$", "$1")
 
 
-#: What an error message means, in order of precedence.
-ERRORS = [("quota", r"quota|resource.?exhausted|rate.?limit|\b429\b"), ("auth", r"api.?key|permission|unauthori[sz]ed|forbidden|\b401\b|\b403\b"), ("transient", r"timeout|timed out|deadline|unavailable|connection|internal error|\b500\b|\b502\b|\b503\b|\b504\b"), ("config", r"invalid argument|not found|unsupported|\b400\b|\b404\b")]
+#: What an error message that has one of these phrases means, in order of precedence.
+ERRORS = {
+    "quota": ["429", "quota", "rate limit", "resource exhausted"],
+    "authentication": ["401", "403", "unauthorized", "authentication", "api key", "permission denied"],
+    "transient": ["503", "service unavailable", "temporarily unavailable", "deadline exceeded", "timeout", "connection reset", "internal server error", "unavailable"],
+    "configuration": ["400", "invalid argument", "model not found", "configuration"],
+}
 
 
 def error_class(t: Column) -> Column:
-    low, case = F.lower(t), None
-    for name, pattern in ERRORS:
-        case = F.when(low.rlike(pattern), name) if case is None else case.when(low.rlike(pattern), name)
-    return case.otherwise("other")
+    """The first class with a phrase that the message has, in any case; else api."""
+    low = F.lower(t)
+    found = [F.when(low.rlike("|".join(map(re.escape, phrases))), name) for name, phrases in ERRORS.items()]
+    return F.coalesce(*found, F.lit("api"))
 
 
 def first_category(**tests: Column) -> Column:
@@ -228,17 +242,44 @@ def match_form(t: pd.Series) -> pd.Series:
     return t.map(lambda x: match_form_of(x) if x is not None else None)
 
 
+def overlap(first: list[str], second: list[str]) -> int:
+    """How many words at most both end first and begin second. Linear: prefix function of second, carried over the end of first."""
+    fall = [0] * len(second)
+
+    def step(k: int, word: str) -> int:
+        while k and (k == len(second) or second[k] != word):
+            k = fall[k - 1]
+        return k + 1 if k < len(second) and second[k] == word else k
+
+    for i in range(1, len(second)):
+        fall[i] = step(fall[i - 1], second[i])
+    k = 0
+    for word in first[max(0, len(first) - len(second)) :]:
+        k = step(k, word)
+    return k
+
+
+def merge_two(first: str, second: str, least: int = 80) -> str:
+    """Both texts as one, in any case: of two of which one contains the other the container (the first, if both do); else joined, without the longest beginning of second, of whole words and at least `least` characters, that ends first."""
+    if not first or not second:
+        return first or second
+    low, other = first.lower(), second.lower()
+    if other in low:
+        return first
+    if low in other:
+        return second
+    words, more = first.split(), second.split()
+    k = overlap([w.lower() for w in words], [w.lower() for w in more])
+    same = k > 0 and len(" ".join(words[-k:])) >= least
+    return " ".join([first, *more[k if same else 0 :]])
+
+
 def merge_overlapping(texts: list[str], least: int = 80) -> str:
-    """Joins texts in order, dropping from each the longest beginning, of whole words and at least `least` characters, that ends what is there."""
-    out: list[str] = []
+    """merge_two over the texts in order, runs of white space being one space."""
+    held = ""
     for t in texts:
-        words = (t or "").split()
-        for k in range(min(len(out), len(words)), 0, -1):
-            if out[-k:] == words[:k] and len(" ".join(words[:k])) >= least:
-                words = words[k:]
-                break
-        out += words
-    return " ".join(out)
+        held = merge_two(held, " ".join((t or "").split()), least)
+    return held
 
 
 @F.pandas_udf(T.StringType())

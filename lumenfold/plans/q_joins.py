@@ -83,7 +83,7 @@ def vector_checks(spark, sf_dir):
 def record_audit(spark, sf_dir):
     x = F.col("text")
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    checks = {"long_enough": F.length(x) >= 200, "clean": F.when(x.rlike(r"\|"), "warn").when(x.rlike("!!"), "fail").otherwise("pass"), "modal": t.modal_status(x, "the"), "no_license": ~x.rlike("(?i)licensed under")}
+    checks = {"long_enough": F.length(x) >= 200, "clean": F.when(x.rlike(r"\|"), "warn").when(x.rlike("!!"), "fail").otherwise("pass"), "modal": F.replace(t.modal_status(x, "the"), F.lit("warning"), F.lit("warn")), "no_license": ~x.rlike("(?i)licensed under")}
     return A.record_audit(d, checks, review=["clean"])
 
 
@@ -113,7 +113,7 @@ def monotone(spark, sf_dir):
 def manifest(spark, sf_dir):
     c = candidates(spark, sf_dir).select("source", "source_id", "rank", "target_id")
     m = B.pair_manifest(c, ["source", "source_id", "rank"])
-    return m.withColumn("pair_id", t.ranked_pair_id(F.col("source"), F.col("source_id"), F.col("target_id")))
+    return m.withColumn("pair_id", t.ranked_pair_id(F.col("source"), F.col("source_id"), F.col("rank"), F.col("target_id")))
 
 
 def batch_manifest(spark, sf_dir):
@@ -164,7 +164,7 @@ def pending_batches(spark, sf_dir):
 def markdown_rules(spark, sf_dir):
     p = parts(spark, sf_dir)
     md = F.concat(F.lit("# "), "p_name", F.lit("\n\n## Problematic code\n\n```sh\n# not a heading\n"), "p_brand", F.lit("\n```\n\n## Rationale\n\nWhy "), "p_size", F.lit(".\n"), F.when(F.col("p_partkey") % 2 == 0, "\n### Rationale (more)\n\nSecond part.\n").otherwise(""))
-    return markdown.extract(p.select("p_partkey", md.alias("markdown"))).rules.select("p_partkey", "title", "problematic", "rationale")
+    return markdown.extract(p.select("p_partkey", md.alias("markdown"))).rules.select("p_partkey", "title", "problematic_code", "rationale")
 
 
 def markdown_corpus(spark, sf_dir):
@@ -176,6 +176,24 @@ def markdown_corpus(spark, sf_dir):
     return markdown.extract(parts(spark, sf_dir).select("p_partkey", md.alias("markdown")))
 
 
+def lined(spark, sf_dir):
+    """Documents with a fence that hides a heading, an underlined heading, nested levels and sections of several levels."""
+    k = F.col("p_partkey")
+    md = F.concat(
+        F.lit("# "), "p_name", F.lit("\n\nProblematic code\n---\n```sh\n# hidden\n```\n"), F.when(k % 2 == 0, "### Detail\n\ntext\n").otherwise(""), F.lit("## Rationale (why)\nOne\n"),
+        F.when(k % 3 == 0, "#### Correct code\n~~~\nx\n~~~\n~~~\ny\n~~~\n").otherwise(""), F.lit("## Other\nlast"))
+    return parts(spark, sf_dir).select("p_partkey", md.alias("markdown"))
+
+
+def markdown_headings(spark, sf_dir):
+    return markdown.marks(lined(spark, sf_dir)).where("kind = 'heading'").select("p_partkey", "line", "level", "shown", F.coalesce("category", F.lit("")).alias("category"), "qualified")
+
+
+def markdown_sections(spark, sf_dir):
+    d = lined(spark, sf_dir)
+    return markdown.sections(markdown.marks(d), d, ["p_partkey"]).select("p_partkey", "category", "first_line", "last_line", "fences", F.sha2("body", 256).alias("body"))
+
+
 def markdown_rollup(spark, sf_dir):
     return markdown.corpus_rollup(markdown_corpus(spark, sf_dir))
 
@@ -198,15 +216,15 @@ QUERIES = {
     "duplicate_texts": lambda s, p: A.duplicates(table(s, p, "documents"), t.sha256(t.comparison_form(F.col("text"))), "digest"),
     "field_coverage": lambda s, p: A.field_coverage(table(s, p, "documents").withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang"))), ["text", "lang"], ["source"]),
     "text_audit": text_audit, "pair_manifest": lambda s, p: manifest(s, p).select("index", "pair_id"), "batch_manifest": batch_manifest, "prompt_digests": prompt_digests,
-    "response_problems": response_problems, "adaptive_requests": called, "pending_batches": pending_batches, "markdown_rules": markdown_rules, "markdown_rollup": markdown_rollup, "markdown_quarantine": markdown_quarantine,
+    "response_problems": response_problems, "adaptive_requests": called, "pending_batches": pending_batches, "markdown_rules": markdown_rules, "markdown_headings": markdown_headings, "markdown_sections": markdown_sections, "markdown_rollup": markdown_rollup, "markdown_quarantine": markdown_quarantine,
 }
 
-MANIFEST = CTE + """, m AS (SELECT row_number() OVER (ORDER BY source, source_id, rank) - 1 AS index, source || ':' || source_id || ':' || target_id pair_id, target_id FROM cand),
+MANIFEST = CTE + """, m AS (SELECT row_number() OVER (ORDER BY source, source_id, rank) - 1 AS index, source || ':' || source_id || ':rank_' || rank || ':' || target_id pair_id, target_id FROM cand),
 b AS (SELECT index // 5 b, min(index) start_index, count(*) size, list(pair_id ORDER BY index) members FROM m GROUP BY 1)
 """
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 AUDIT = r"""WITH g AS (SELECT doc_id, source, CASE WHEN len(text) >= 200 THEN 'pass' ELSE 'fail' END long_enough, CASE WHEN contains(text, '|') THEN 'warn' WHEN contains(text, '!!') THEN 'fail' ELSE 'pass' END clean,
-CASE WHEN contains(lower(text), ' the ') THEN 'pass' WHEN contains(lower(text), 'the') THEN 'warn' ELSE 'fail' END modal, CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 'fail' ELSE 'pass' END no_license FROM documents),
+CASE WHEN contains(' ' || regexp_replace(lower(text), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g') || ' ', ' the ') THEN 'pass' WHEN trim(text) <> '' THEN 'warn' ELSE 'fail' END modal, CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 'fail' ELSE 'pass' END no_license FROM documents),
 l AS (SELECT *, [long_enough, clean, modal, no_license] v FROM g),
 a AS (SELECT doc_id, source, round(list_sum(list_transform(v, lambda x: CASE x WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0 END)) / 4.0, 6)::DOUBLE score,
 array_to_string(list_filter([CASE WHEN clean <> 'pass' THEN 'clean:' || clean END, CASE WHEN long_enough <> 'pass' THEN 'long_enough:' || long_enough END, CASE WHEN modal <> 'pass' THEN 'modal:' || modal END, CASE WHEN no_license <> 'pass' THEN 'no_license:' || no_license END], lambda x: x IS NOT NULL), ',') issues,
@@ -248,17 +266,25 @@ SELECT source_id, rule, count(*) n FROM v GROUP BY 1, 2""",
 SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, problem, count(*) n FROM r GROUP BY 1, 2""",
     "adaptive_requests": MANIFEST + "SELECT sum(CASE WHEN size > 3 THEN 3 ELSE 1 END)::BIGINT requests, count(*) FILTER (size > 3) failed, sum(CASE WHEN size > 3 THEN 2 * size ELSE size END)::BIGINT items FROM b",
     "pending_batches": MANIFEST + "SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, start_index FROM b WHERE NOT (start_index % 3 = 0 AND start_index % 2 <> 0)",
+    "markdown_headings": """WITH d AS (SELECT p_partkey, p_name, p_partkey % 2 = 0 two, p_partkey % 3 = 0 three FROM part), e AS (SELECT *, CASE WHEN two THEN 3 ELSE 0 END o, CASE WHEN three THEN 7 ELSE 0 END q FROM d)
+SELECT p_partkey, 1 AS line, 1 AS level, p_name shown, '' category, false qualified FROM e UNION ALL SELECT p_partkey, 3, 2, 'Problematic code', 'problematic_code', false FROM e
+UNION ALL SELECT p_partkey, 8, 3, 'Detail', '', false FROM e WHERE two UNION ALL SELECT p_partkey, 8 + o, 2, 'Rationale (why)', 'rationale', true FROM e
+UNION ALL SELECT p_partkey, 10 + o, 4, 'Correct code', 'correct_code', false FROM e WHERE three UNION ALL SELECT p_partkey, 10 + o + q, 2, 'Other', '', false FROM e""",
+    "markdown_sections": """WITH e AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END o, p_partkey % 2 = 0 two, p_partkey % 3 = 0 three FROM part)
+SELECT p_partkey, 'problematic_code' category, 5 first_line, 7 + o last_line, 1::BIGINT fences, sha256('```sh' || chr(10) || '# hidden' || chr(10) || '```' || CASE WHEN two THEN chr(10) || '### Detail' || chr(10) || chr(10) || 'text' ELSE '' END) body FROM e
+UNION ALL SELECT p_partkey, 'rationale', 9 + o, 9 + o, 0, sha256('One') FROM e
+UNION ALL SELECT p_partkey, 'correct_code', 11 + o, 16 + o, 2, sha256('~~~' || chr(10) || 'x' || chr(10) || '~~~' || chr(10) || '~~~' || chr(10) || 'y' || chr(10) || '~~~') FROM e WHERE three""",
     "markdown_quarantine": MARKDOWN + "SELECT p_partkey, code FROM d WHERE code IS NOT NULL",
     "markdown_rollup": MARKDOWN + """, g AS (SELECT * FROM d WHERE code IS NULL), r AS (
-SELECT 'rules' measure, 'total' AS name, count(*) n FROM g UNION ALL SELECT 'field_coverage', 'problematic', count(*) FROM g UNION ALL SELECT 'field_coverage', 'correct', count(*) FILTER (two) FROM g
+SELECT 'rules' measure, 'total' AS name, count(*) n FROM g UNION ALL SELECT 'field_coverage', 'problematic_code', count(*) FROM g UNION ALL SELECT 'field_coverage', 'correct_code', count(*) FILTER (two) FROM g
 UNION ALL SELECT 'field_coverage', 'rationale', 0 UNION ALL SELECT 'field_coverage', 'exceptions', count(*) FILTER (exc) FROM g
-UNION ALL SELECT 'section_occurrences', 'problematic', count(*) FROM g UNION ALL SELECT 'section_occurrences', 'correct', sum(1 + two::INT) FROM g UNION ALL SELECT 'section_occurrences', 'exceptions', count(*) FILTER (exc) FROM g
-UNION ALL SELECT 'qualified_occurrences', 'problematic', 0 UNION ALL SELECT 'qualified_occurrences', 'correct', count(*) FILTER (two) FROM g UNION ALL SELECT 'qualified_occurrences', 'exceptions', 0
-UNION ALL SELECT 'rules_with_repeated_sections', 'problematic', 0 UNION ALL SELECT 'rules_with_repeated_sections', 'correct', count(*) FILTER (two) FROM g UNION ALL SELECT 'rules_with_repeated_sections', 'exceptions', 0
+UNION ALL SELECT 'section_occurrences', 'problematic_code', count(*) FROM g UNION ALL SELECT 'section_occurrences', 'correct_code', sum(1 + two::INT) FROM g UNION ALL SELECT 'section_occurrences', 'exceptions', count(*) FILTER (exc) FROM g
+UNION ALL SELECT 'qualified_occurrences', 'problematic_code', 0 UNION ALL SELECT 'qualified_occurrences', 'correct_code', count(*) FILTER (two) FROM g UNION ALL SELECT 'qualified_occurrences', 'exceptions', 0
+UNION ALL SELECT 'rules_with_repeated_sections', 'problematic_code', 0 UNION ALL SELECT 'rules_with_repeated_sections', 'correct_code', count(*) FILTER (two) FROM g UNION ALL SELECT 'rules_with_repeated_sections', 'exceptions', 0
 UNION ALL SELECT 'fences', 'total', sum(1 + two::INT) FROM g
 UNION ALL SELECT 'fence_language', 'sh', count(*) FILTER (p_partkey % 3 = 0) + count(*) FILTER (two) FROM g UNION ALL SELECT 'fence_language', 'docker', count(*) FILTER (p_partkey % 3 = 2) FROM g
 UNION ALL SELECT 'warnings', 'missing_semantic_field', count(*) + count(*) FILTER (NOT two) FROM g UNION ALL SELECT 'warnings', 'empty_semantic_section', count(*) FILTER (NOT two) FROM g
 UNION ALL SELECT 'failures', code, count(*) FROM d WHERE code IS NOT NULL GROUP BY 2)
 SELECT measure, name, n::BIGINT n FROM r""",
-    "markdown_rules": "SELECT p_partkey, p_name title, '# not a heading' || chr(10) || p_brand problematic, CASE WHEN p_partkey % 2 = 0 THEN 'Rationale' || chr(10) ELSE '' END || 'Why ' || p_size || '.' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || 'Rationale (more)' || chr(10) || 'Second part.' ELSE '' END rationale FROM part",
+    "markdown_rules": "SELECT p_partkey, p_name title, '# not a heading' || chr(10) || p_brand problematic_code, CASE WHEN p_partkey % 2 = 0 THEN 'Rationale' || chr(10) ELSE '' END || 'Why ' || p_size || '.' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || 'Rationale (more)' || chr(10) || 'Second part.' ELSE '' END rationale FROM part",
 }

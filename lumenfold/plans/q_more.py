@@ -35,9 +35,9 @@ def id_order(spark, sf_dir):
 
 
 def verdict_order(spark, sf_dir):
-    """MAYBE, YES, NO, then score: the first forty."""
+    """MAYBE, YES, NO, then score: all candidates in this order, with their place in it (by ranges, without one task for all)."""
     order = F.when(F.col("verdict") == "MAYBE", 0).when(F.col("verdict") == "YES", 1).otherwise(2)
-    return candidates(spark, sf_dir).orderBy(order, F.desc("relative_score"), "source_id", "target_id").limit(40).select("verdict", "source_id", "target_id", F.round("relative_score", 6).alias("relative_score"))
+    return numbered(candidates(spark, sf_dir), [order, F.desc("relative_score"), "source_id", "target_id"], "place").select("place", "verdict", "source_id", "target_id", F.round("relative_score", 6).alias("relative_score"))
 
 
 def headings(spark, sf_dir):
@@ -49,7 +49,7 @@ def headings(spark, sf_dir):
 
 def plain_texts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    md = F.concat(F.lit("# "), "p_name", F.lit("\r\n\r\n* see [the page](http://x/y) and `code`\r\n```\r\nfenced\r\n```\r\n**Brand** | "), "p_brand", F.lit(" (Scored)"))
+    md = F.concat(F.lit("# "), "p_name", F.lit("\r\n\r\n* see [the page](http://x/y) and `code`\r\n```\r\nfenced\r\n```\r\n**Brand** | "), "p_brand", F.lit(" (Scored)\r\n## Rationale:\r\nSee also: https://x.y/z\r\n# DL3001\r\nend-of_text"))
     return p.select("p_partkey", t.wiki_plain(t.newlines(md)).alias("plain"), t.strip_scored(F.concat("p_brand", F.lit(" | (Not Scored) x"))).alias("scored"), t.remove_artefacts(F.concat("p_brand", F.lit(" VOID end void"))).alias("clean"))
 
 
@@ -132,11 +132,11 @@ ORACLE_SQL = {
     "alias_coalescing": "SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN value WHEN event_id % 3 = 0 THEN -1 ELSE event_id END, 6) AS value FROM events",
     "id_order": """WITH i AS (SELECT DISTINCT p_partkey % 7 + 1 a, p_partkey % 13 b, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 11 + 1 ELSE 0 END c FROM part), j AS (SELECT *, 'SR ' || a || '.' || b || CASE WHEN c > 0 THEN ' RE ' || c ELSE '' END id FROM i)
 SELECT id, CAST(row_number() OVER (ORDER BY a, b, c) AS INT) AS numeric, CAST(row_number() OVER (ORDER BY id) AS INT) AS plain FROM j""",
-    "verdict_order": CTE + "SELECT verdict, source_id, target_id, round(relative_score, 6) relative_score FROM cand ORDER BY CASE verdict WHEN 'MAYBE' THEN 0 WHEN 'YES' THEN 1 ELSE 2 END, cand.relative_score DESC, source_id, target_id LIMIT 40",
-    "heading_categories": """SELECT p_partkey, v.shown, v.category, v.qualified FROM part JOIN (VALUES (0, 'Problematic code', 'problematic', false), (1, 'Correct Code:', 'correct', false), (2, 'Rationale - why', 'rationale', true), (3, 'Exceptions (rare)', 'exceptions', true),
-(4, 'Related rules', '', false), (5, 'problematic_code', 'problematic', false), (6, 'Correctness', '', false), (7, 'Correct usage of quotes', '', false), (8, 'Quote foo_bar_baz to 2*3*4', '', false), (9, 'Bad code', '', false), (10, 'Correct code #2', 'correct', true))
+    "verdict_order": CTE + "SELECT row_number() OVER (ORDER BY CASE verdict WHEN 'MAYBE' THEN 0 WHEN 'YES' THEN 1 ELSE 2 END, cand.relative_score DESC, source_id, target_id) - 1 AS place, verdict, source_id, target_id, round(relative_score, 6) relative_score FROM cand",
+    "heading_categories": """SELECT p_partkey, v.shown, v.category, v.qualified FROM part JOIN (VALUES (0, 'Problematic code', 'problematic_code', false), (1, 'Correct Code:', 'correct_code', false), (2, 'Rationale - why', 'rationale', true), (3, 'Exceptions (rare)', 'exceptions', true),
+(4, 'Related rules', '', false), (5, 'problematic_code', 'problematic_code', false), (6, 'Correctness', '', false), (7, 'Correct usage of quotes', '', false), (8, 'Quote foo_bar_baz to 2*3*4', '', false), (9, 'Bad code', '', false), (10, 'Correct code #2', 'correct_code', true))
 v(k, shown, category, qualified) ON v.k = p_partkey % 11""",
-    "plain_texts": "SELECT p_partkey, p_name || ' see the page and code Brand | ' || p_brand || ' (Scored)' plain, p_brand || ' x' scored, p_brand || ' end' clean FROM part",
+    "plain_texts": "SELECT p_partkey, p_name || ' see the page and code Brand ' || replace(p_brand, '#', '') || ' (Scored) endoftext' plain, p_brand || ' x' scored, p_brand || ' end' clean FROM part",
     "top_gaps": CTE + """, g AS (SELECT a.source, a.source_id, a.relative_score - b.relative_score gap FROM cand a LEFT JOIN cand b ON b.source_id = a.source_id AND b.rank = 2 WHERE a.rank = 1)
 SELECT source, source_id, round(coalesce(gap, -1), 6) gap, CASE WHEN gap IS NULL THEN 'no_gap' WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' ELSE 'high_gap' END sampler_bin,
 CASE WHEN gap IS NULL THEN '' WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' ELSE 'high_gap' END audit_bin FROM g""",

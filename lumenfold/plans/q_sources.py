@@ -103,9 +103,9 @@ def curation_problems(spark, sf_dir):
 def resolution(spark, sf_dir):
     k = F.col("p_partkey")
     p = table(spark, sf_dir, "part")
-    r = p.select(F.col("p_partkey").alias("id"), F.when(k % 2 == 0, "a").alias("problematic"), F.when(k % 3 == 0, "").otherwise("b").alias("correct"))
-    reviews = p.where("p_partkey % 5 < 2").select(F.col("p_partkey").alias("id"), F.lit("problematic").alias("field"), F.when(k % 5 == 0, "A").otherwise("B").alias("classification"))
-    found = M.field_resolution(r, reviews, ["id"], ["problematic", "correct"])
+    r = p.select(F.col("p_partkey").alias("id"), F.when(k % 2 == 0, "a").alias("problematic_code"), F.when(k % 3 == 0, "").otherwise("b").alias("correct_code"))
+    reviews = p.where("p_partkey % 5 < 2").select(F.col("p_partkey").alias("id"), F.lit("problematic_code").alias("field"), F.when(k % 5 == 0, "A").otherwise("B").alias("classification"))
+    found = M.field_resolution(r, reviews, ["id"], ["problematic_code", "correct_code"])
     held = M.publication_problems(found).groupBy(F.concat(F.lit("held_"), "code").alias("state")).agg(F.count("*").alias("n"))
     return found.groupBy("state").agg(F.count("*").alias("n")).unionAll(held)
 
@@ -172,7 +172,7 @@ ORACLE_SQL = {
     "curation_problems": """WITH c AS (SELECT p_partkey id, p_brand v FROM part WHERE p_partkey % 3 = 0)
 SELECT p_partkey id, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END title, '' code FROM part WHERE p_partkey % 11 <> 0
 UNION ALL SELECT id, '', CASE WHEN id % 15 = 0 THEN 'duplicate_curation' WHEN id % 11 = 0 THEN 'unused_source_curation' ELSE 'replaces_non_null' END FROM c WHERE id % 15 = 0 OR id % 11 = 0 OR (id % 2 = 0 AND id % 4 <> 0)""",
-    "field_resolution": """WITH f AS (SELECT p_partkey k, 'problematic' f, p_partkey % 2 = 0 filled, CASE WHEN p_partkey % 5 = 0 THEN 'A' WHEN p_partkey % 5 = 1 THEN 'B' END r FROM part UNION ALL SELECT p_partkey, 'correct', p_partkey % 3 <> 0, NULL FROM part),
+    "field_resolution": """WITH f AS (SELECT p_partkey k, 'problematic_code' f, p_partkey % 2 = 0 filled, CASE WHEN p_partkey % 5 = 0 THEN 'A' WHEN p_partkey % 5 = 1 THEN 'B' END r FROM part UNION ALL SELECT p_partkey, 'correct_code', p_partkey % 3 <> 0, NULL FROM part),
 s AS (SELECT CASE WHEN filled AND r IS NULL THEN 'filled' WHEN filled THEN 'stale' WHEN r IS NOT NULL THEN 'reviewed_' || r ELSE 'unreviewed' END state FROM f)
 SELECT state, count(*) n FROM s GROUP BY 1 UNION ALL SELECT 'held_' || state, count(*) FROM s WHERE state NOT IN ('filled', 'reviewed_A') GROUP BY 1""",
     "set_checks": "SELECT * FROM (VALUES ('same', true, true), ('fewer', false, true), ('more', false, false), ('twice', false, true)) v(name, same, subset)",

@@ -47,7 +47,7 @@ def ids(spark, sf_dir):
 
 def pair_ids(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    return l.select("l_orderkey", "l_linenumber", t.ranked_pair_id(F.col("l_orderkey"), F.col("l_linenumber")).alias("ranked"), t.pair_id(target_id=F.col("l_partkey").cast("string"), source=F.col("l_returnflag"), source_id=F.col("l_orderkey").cast("string")).alias("pair"))
+    return l.select("l_orderkey", "l_linenumber", t.ranked_pair_id(F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("ranked"), t.pair_id(target_id=F.col("l_partkey").cast("string"), source=F.col("l_returnflag"), source_id=F.col("l_orderkey").cast("string")).alias("pair"))
 
 
 def gap_bins(spark, sf_dir):
@@ -82,7 +82,7 @@ def change_categories(spark, sf_dir):
 
 
 def error_classes(spark, sf_dir):
-    messages = ["429 RESOURCE_EXHAUSTED quota", "invalid API key", "deadline exceeded: timed out", "model not found", "HTTP 503 unavailable", "odd failure", "rate limit; connection reset"]
+    messages = ["429 RESOURCE_EXHAUSTED quota", "invalid API key", "deadline exceeded: timed out", "model not found", "HTTP 503 unavailable", "odd failure", "rate limit; connection reset", "connection refused", "Permission denied", "not found", "Connection reset by peer"]
     o = table(spark, sf_dir, "orders").select(F.element_at(F.array(*[F.lit(x) for x in messages]), (F.col("o_orderkey") % len(messages) + 1).cast("int")).alias("m"))
     return o.groupBy(t.error_class(F.col("m")).alias("class")).agg(F.count("*").alias("n"))
 
@@ -149,13 +149,13 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "text_normal_forms": rf"""SELECT doc_id, sha256({COLLAPSE}) collapsed, sha256(translate(lower({COLLAPSE}), '’‘“”', '''''""')) comparison, CASE WHEN {COLLAPSE} = '' THEN 0 ELSE len(string_split({COLLAPSE}, ' ')) END::INT words,
-left({COLLAPSE}, 70) preview, sha256(text) digest, CASE WHEN contains(lower(text), ' the ') THEN 'pass' WHEN contains(lower(text), 'the') THEN 'warn' ELSE 'fail' END modal, len(text) >= 20 AND NOT regexp_matches(lower(text), 'licensed|!!') valid FROM documents""",
+left({COLLAPSE}, 70) preview, sha256(text) digest, CASE WHEN contains(' ' || lower({COLLAPSE}) || ' ', ' the ') THEN 'pass' WHEN {COLLAPSE} <> '' THEN 'warning' ELSE 'fail' END modal, len(text) >= 20 AND NOT regexp_matches(lower(text), 'licensed|!!') valid FROM documents""",
     "contamination_tags": f"SELECT doc_id, {sql_tags('text')} tags FROM documents",
     "embedding_texts": "SELECT p_partkey, concat_ws(chr(10) || chr(10), p_partkey::VARCHAR, nullif(p_name, ''), CASE WHEN p_size > 10 AND p_brand <> '' THEN 'Brand:' || chr(10) || p_brand END, CASE WHEN p_type <> '' THEN 'Type:' || chr(10) || p_type END) AS text FROM part",
     "canonical_ids": """SELECT p_partkey, CASE k WHEN 0 THEN 'SR ' || a || '.' || b WHEN 1 THEN 'SR ' || a || '.' || b || ' RE ' || c ELSE '' END id, CASE k WHEN 0 THEN 'SR' WHEN 1 THEN 'RE' ELSE '' END AS type,
 CASE k WHEN 2 THEN -1 ELSE a END::INT fr, CASE k WHEN 2 THEN -1 ELSE b END::INT sr, CASE k WHEN 1 THEN c ELSE -1 END::INT re, CASE k WHEN 1 THEN 'SR ' || a || '.' || b ELSE '' END parent
 FROM (SELECT p_partkey, p_partkey % 3 k, p_partkey % 7 + 1 a, p_partkey % 13 b, p_partkey % 4 c FROM part)""",
-    "pair_ids": """SELECT l_orderkey, l_linenumber, l_orderkey || ':' || l_linenumber ranked, 'pair-v1:' || sha256('{"source":"' || l_returnflag || '","source_id":"' || l_orderkey || '","target_id":"' || l_partkey || '"}') pair FROM lineitem""",
+    "pair_ids": """SELECT l_orderkey, l_linenumber, l_returnflag || ':' || l_orderkey || ':rank_' || l_linenumber || ':' || l_partkey ranked, 'pair-v1:' || sha256('{"source":"' || l_returnflag || '","source_id":"' || l_orderkey || '","target_id":"' || l_partkey || '"}') pair FROM lineitem""",
     "gap_bins": """WITH g AS (SELECT CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value % 1.3 - 0.1, 2) END gap FROM events)
 SELECT CASE WHEN gap IS NULL THEN 'no_gap' WHEN gap >= 0 AND gap < 0.05 THEN 'very_low_gap' WHEN gap >= 0.05 AND gap < 0.1 THEN 'low_gap' WHEN gap >= 0.1 AND gap < 0.2 THEN 'medium_gap' WHEN gap >= 0.2 AND gap <= 1 THEN 'high_gap' ELSE 'unknown' END sampler,
 CASE WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap < 0.2 THEN 'medium_gap' WHEN gap >= 0.2 THEN 'high_gap' ELSE '(null)' END auditor, count(*) n FROM g GROUP BY 1, 2""",
@@ -163,7 +163,7 @@ CASE WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap
     "grep_context": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), h AS (SELECT doc_id, line FROM l WHERE regexp_matches(txt, '(?i)license')) SELECT DISTINCT l.doc_id, l.line::INT line, l.txt AS text, EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.line = l.line) hit FROM l JOIN h ON l.doc_id = h.doc_id AND l.line BETWEEN h.line - 5 AND h.line + 10",
     "change_categories": """WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' END, CASE WHEN contains(text, '@') THEN 'email' END, CASE WHEN contains(text, '|') THEN 'pipes' END, CASE WHEN len(text) > 3000 THEN 'long' END], lambda x: x IS NOT NULL) f FROM documents)
 SELECT doc_id, coalesce(f[1], '') AS primary, coalesce(array_to_string(f[2:], ','), '') others FROM f""",
-    "error_classes": "SELECT CASE o_orderkey % 7 WHEN 0 THEN 'quota' WHEN 1 THEN 'auth' WHEN 2 THEN 'transient' WHEN 3 THEN 'config' WHEN 4 THEN 'transient' WHEN 5 THEN 'other' ELSE 'quota' END AS class, count(*) n FROM orders GROUP BY 1",
+    "error_classes": "SELECT CASE o_orderkey % 11 WHEN 0 THEN 'quota' WHEN 1 THEN 'authentication' WHEN 2 THEN 'transient' WHEN 3 THEN 'configuration' WHEN 4 THEN 'transient' WHEN 5 THEN 'api' WHEN 6 THEN 'quota' WHEN 7 THEN 'api' WHEN 8 THEN 'authentication' WHEN 9 THEN 'api' ELSE 'transient' END AS class, count(*) n FROM orders GROUP BY 1",
     "paired_tags": "SELECT p_partkey, array_to_string(list_transform(range(0, len(a), 2), lambda i: array_to_string(a[i + 1:i + 2], ' ')), '|') pairs FROM (SELECT p_partkey, string_split(replace(p_name, ' ', ','), ',') a FROM part)",
     "consolidated_texts": """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 g AS (SELECT doc_id, min(source) source, list(txt ORDER BY line) d, list(left(txt, 20) ORDER BY line) t, count(*) n, list_sort(list_distinct(list_concat(list(line % 5), list(line % 3)))) p FROM l WHERE trim(txt) <> '' GROUP BY 1),

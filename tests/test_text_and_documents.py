@@ -1,3 +1,4 @@
+import time
 import difflib
 import hashlib
 import json
@@ -96,8 +97,8 @@ DOC = "# `Rule` *title*\r\n\r\n## Problematic code:\r\n\r\n```sh\r\n# not a head
 def test_markdown_sections():
     p = M.parse(DOC)
     assert (p.title, p.title_level) == ("Rule title", 1) and p.error is None
-    assert p.sections == {"problematic": "# not a heading\n\nand `prose`", "correct": "x\n~~~", "rationale": "Rationale\nWhy.\n\n### Detail\n\nMore.\n\nRationale (again)\nStill."}
-    assert p.diagnostics == [] and p.occurrences == {"problematic": 1, "correct": 1, "rationale": 2} and p.qualified["rationale"] == 1
+    assert p.sections == {"problematic_code": "# not a heading\n\nand `prose`", "correct_code": "x\n~~~", "rationale": "Rationale\nWhy.\n\n### Detail\n\nMore.\n\nRationale (again)\nStill."}
+    assert p.diagnostics == [] and p.occurrences == {"problematic_code": 1, "correct_code": 1, "rationale": 2} and p.qualified["rationale"] == 1
     assert p.fences == 2 and p.languages == ["sh"]
 
 
@@ -112,10 +113,10 @@ def test_titles(text, title):
 
 def test_sections_under_their_headings():
     p = M.parse("## Title\n\n### Problematic code #1\none\n\n### Problematic code #2\ntwo\n\n### Correct code (first)\nalpha\n\n### Correct code: (second)\nbeta\n")
-    assert p.sections == {"problematic": "Problematic code #1\none\n\nProblematic code #2\ntwo", "correct": "Correct code (first)\nalpha\n\nCorrect code: (second)\nbeta"}
-    assert p.occurrences["problematic"] == 2 and p.qualified["correct"] == 2
+    assert p.sections == {"problematic_code": "Problematic code #1\none\n\nProblematic code #2\ntwo", "correct_code": "Correct code (first)\nalpha\n\nCorrect code: (second)\nbeta"}
+    assert p.occurrences["problematic_code"] == 2 and p.qualified["correct_code"] == 2
     p = M.parse("## Title\n\n### Correct code\nBefore.\n\n````bash\n  echo one  \n```\n````\n\n~~~sh\nprintf two\n~~~\n\nAfter.\n")
-    assert p.sections["correct"] == "Before.\n\n  echo one  \n```\n\nprintf two\n\nAfter." and p.languages == ["bash", "sh"]
+    assert p.sections["correct_code"] == "Before.\n\n  echo one  \n```\n\nprintf two\n\nAfter." and p.languages == ["bash", "sh"]
     assert M.parse("## T\r\n\r\n### Rationale\r\nLine.  \r\n").sections["rationale"] == "Line.  "
     assert M.parse("## T\n\n### Rationale\nBecause.\n\n### Related resources\nLink.\n").sections == {"rationale": "Because."}
     p = M.parse("# T\n## Rationale\n\n## Exceptions:\n")
@@ -145,8 +146,8 @@ def test_unreadable_documents_are_quarantined_and_gated(spark):
 
 
 def test_curations_fill_what_they_may(spark):
-    rules = spark.createDataFrame([("a", None, "p"), ("b", "B", None)], "id string, title string, problematic string")
-    cur = spark.createDataFrame([("a", "title", "A", False), ("b", "title", "C", True), ("b", "correct", "x", False), ("z", "title", "Z", False), ("a", "problematic", "q", False)], "id string, field string, value string, allow_replace_non_null boolean")
+    rules = spark.createDataFrame([("a", None, "p"), ("b", "B", None)], "id string, title string, problematic_code string")
+    cur = spark.createDataFrame([("a", "title", "A", False), ("b", "title", "C", True), ("b", "correct_code", "x", False), ("z", "title", "Z", False), ("a", "problematic_code", "q", False)], "id string, field string, value string, allow_replace_non_null boolean")
     out, told = M.apply_curations(rules, cur)
     assert {r["id"]: r["title"] for r in out.collect()} == {"a": "A", "b": "C"}
     assert sorted((r["id"], r["code"]) for r in told.collect()) == [("a", "replaces_non_null"), ("b", "unused_source_curation"), ("z", "unused_source_curation")]
@@ -213,3 +214,50 @@ def test_aliases(spark):
     df = spark.createDataFrame([(None, "2.5"), ("x", "3")], "score string, cosine string")
     assert [r[0] for r in df.select(D.first_of("missing", "score", "cosine", kind="double")(df).alias("v")).collect()] == [2.5, 3.0]
     assert df.select(D.first_of("nope")(df)).first()[0] is None
+
+
+def test_overlap_is_the_longest_and_ignores_case():
+    import random
+
+    r = random.Random(4)
+    for _ in range(400):
+        a, b = ([r.choice("xy") for _ in range(r.randint(0, 12))] for _ in range(2))
+        plain = next((k for k in range(min(len(a), len(b)), 0, -1) if a[-k:] == b[:k]), 0)
+        assert X.overlap(a, b) == plain
+    long = "The control system shall provide the capability to identify and authenticate all human users at"
+    assert X.merge_overlapping([long, long.upper()[4:] + " all interfaces"]) == long + " all interfaces"
+    assert X.merge_overlapping(["Short", "a text that has SHORT in it"]) == "a text that has SHORT in it"
+    assert X.merge_overlapping(["A text  that has short in it", "Short", None, ""]) == "A text that has short in it"
+    began = time.time()
+    words = [str(i % 97) for i in range(60_000)]
+    assert X.merge_overlapping([" ".join(words), " ".join(words[30_000:] + ["end"])]).endswith(" end") and time.time() - began < 5
+
+
+def test_rules_by_given_pairs(spark):
+    wiki = {
+        "# DL3001\nText here": "Text here",
+        "see also: http://a.b/c then": "then",
+        "Keep [name](http://x) and ![pic](y)": "Keep name and !pic",
+        "```sh\nx\n```### Correct code:\na_b *c* `d` ~e > f - g | h": "ab c d e f g h",
+        "Read more https://x.y": "",
+    }
+    for given, want in wiki.items():
+        assert one(spark, X.wiki_plain(F.col("t")), t=given) == want
+    for given, want in {"It shall.": "warning", "shall it": "pass", "it SHALL": "pass", "a\nshall\tb": "pass", "shallow": "warning", "  ": "fail", "": "fail"}.items():
+        assert one(spark, X.modal_status(F.col("t")), t=given) == want
+    for given, want in {"connection reset": "transient", "connection lost": "api", "model not found": "configuration", "not found": "api", "permission denied": "authentication", "permission": "api", "429 timeout": "quota", "Forbidden": "api", "HTTP 403": "authentication", "unsupported": "api"}.items():
+        assert one(spark, X.error_class(F.col("t")), t=given) == want
+
+
+def test_marks_and_sections_of_odd_documents(spark):
+    from lumenfold.functions import markdown as M
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "```\nopen"), (4, "## Rationale"), (5, "# T\r\n## Rationale\r\na\r\n### x\r\nb\r\n## Exceptions\r\n## Rationale: more\r\nc")], "id int, markdown string")
+    found = M.marks(docs)
+    kinds = {}
+    for r in found.collect():
+        kinds.setdefault(r["id"], []).append(r["kind"])
+    assert kinds[1] == kinds[2] == ["end"] and kinds[3] == ["unreadable"] and sorted(kinds[4]) == ["end", "heading"]
+    got = sorted((r["id"], r["line"], r["category"], r["qualified"], r["body"], r["fences"]) for r in M.sections(found, docs, ["id"]).collect())
+    assert got == [(4, 1, "rationale", False, None, 0), (5, 2, "rationale", False, "a\n### x\nb", 0), (5, 6, "exceptions", False, None, 0), (5, 7, "rationale", True, "c", 0)]
+    assert M.marks(docs.where("false")).count() == 0
