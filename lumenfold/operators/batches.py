@@ -32,24 +32,28 @@ def prompts(records: DataFrame, batch: str, order: str, fields: Sequence[str], t
     return records.groupBy(batch).agg(F.replace(F.lit(template), F.lit(slot), F.to_json(rows, {"ignoreNullFields": "false"})).alias("prompt"))
 
 
-RESPONSE = "array<struct<pair_id string, verdict string, relation_type string, directness string, confidence int, security_objective string, justification string, caveat string>>"
+#: The texts that every result must have; it must also have a whole number as its confidence.
+RESPONSE_TEXTS = ("pair_id", "verdict", "relation_type", "directness", "security_objective", "justification", "caveat")
 VERDICTS = ("YES", "MAYBE", "NO")
 
 
 def parse_responses(answers: DataFrame, batch: str = "batch_id", answer: str = "answer") -> DataFrame:
-    """One row per result of each answer, a code fence around it taken off; an answer that isn't a list of results gives one row with a null result."""
+    """One row per result of each answer, a code fence around it taken off: its texts, confidence, and malformed, the names of what is absent or of another type. An answer that isn't a list gives one row of nulls."""
     from lumenfold.functions.text import strip_code_fence
 
-    a = answers.withColumn("_r", F.from_json(strip_code_fence(F.col(answer)), RESPONSE, {"mode": "PERMISSIVE"}))
-    return a.select(batch, F.explode_outer("_r").alias("r")).select(batch, "r.*")
+    r = answers.select(batch, F.explode_outer(F.from_json(strip_code_fence(F.col(answer)), "array<variant>")).alias("v"))
+    own = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    wrong = [F.when(~F.schema_of_variant(own(n, "variant")).eqNullSafe(k), n) for n, k in (*((n, "STRING") for n in RESPONSE_TEXTS), ("confidence", "BIGINT"))]
+    malformed = F.when(F.col("v").isNotNull(), F.filter(F.array(*wrong), lambda x: x.isNotNull()))
+    return r.select(batch, *[own(n, "string").alias(n) for n in RESPONSE_TEXTS], own("confidence", "int").alias("confidence"), malformed.alias("malformed"))
 
 
 def response_problems(results: DataFrame, manifest: DataFrame, batch: str = "batch_id", key: str = "pair_id") -> DataFrame:
-    """(batch, problem, n): ids missing, extra or repeated, verdicts and confidences out of range."""
+    """(batch, problem, n): ids missing, extra or repeated, verdicts and confidences out of range, results with malformed fields."""
     r = results.where(F.col(key).isNotNull())
-    seen = r.groupBy(batch, key).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False))).alias("bad_verdict"), F.count_if(~F.coalesce(F.col("confidence").between(1, 5), F.lit(False))).alias("bad_confidence"))
+    seen = r.groupBy(batch, key).agg(F.count("*").alias("n"), F.count_if(F.size("malformed") > 0).alias("bad_fields"), F.count_if(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False))).alias("bad_verdict"), F.count_if(~F.coalesce(F.col("confidence").between(1, 5), F.lit(False))).alias("bad_confidence"))
     j = manifest.select(batch, key).withColumn("_m", F.lit(True)).join(seen, [batch, key], "full")
-    tests = {"missing": F.col("n").isNull(), "extra": F.col("_m").isNull(), "repeated": F.col("n") > 1, "verdict": F.col("bad_verdict") > 0, "confidence": F.col("bad_confidence") > 0}
+    tests = {"missing": F.col("n").isNull(), "extra": F.col("_m").isNull(), "repeated": F.col("n") > 1, "verdict": F.col("bad_verdict") > 0, "confidence": F.col("bad_confidence") > 0, "fields": F.col("bad_fields") > 0}
     hit = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in tests.items()]), lambda x: x.isNotNull())
     return j.select(batch, F.explode(hit).alias("problem")).groupBy(batch, "problem").agg(F.count("*").alias("n"))
 

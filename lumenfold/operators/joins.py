@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.session import durable
+
 
 def missing_and_extra(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, side): ids expected but not found, and found but not expected."""
@@ -108,3 +110,30 @@ def page_blocks(pages: DataFrame, document: str, page: str, text: str, central:
     g = dealt.groupBy(document, "block_id").agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), role.alias("r"), part.alias("t")))).alias("x"))
     pick = lambda r: F.transform(F.filter("x", lambda s: s["r"] == r), lambda s: s["p"])
     return g.select(document, F.col("block_id").cast("int").alias("block_id"), pick("CENTRAL").alias("central_pages"), pick("CONTEXT").alias("context_pages"), F.array_join(F.transform("x", lambda s: s["t"]), "\n\n").alias("text"))
+
+
+def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, first: str, last: str, hot: int = 100_000) -> DataFrame:
+    """points joined to the ranges of their keys that hold them: first <= at <= last, whole numbers, both ends included.
+
+    A range is put into the one or two bins that hold it among bins of the least power of two that is as wide as it is;
+    a point looks into one bin for each width that occurs (64 at most), so neither long ranges nor many widths
+    multiply rows. Bins with more than `hot` points are dealt in parts, to which their ranges are copied. Nulls, and ranges
+    that end before they begin, meet nothing; repeated rows meet as often as they stand there.
+    """
+    bins = ["_width", "_bin"]
+    r = ranges.where(F.col(last) >= F.col(first)).withColumn("_width", F.length(F.bin(F.col(last).cast("long") - F.col(first).cast("long"))).cast("int"))
+    low, high = F.col(first).cast("long"), F.col(last).cast("long")
+    r = r.withColumn("_bin", F.explode(F.array_distinct(F.array(F.call_function("shiftright", low, F.col("_width")), F.call_function("shiftright", high, F.col("_width"))))))
+    widths = sorted(x["_width"] for x in r.select("_width").distinct().collect())
+    p = points.where(F.col(at).isNotNull()).withColumn("_width", F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<int>")))
+    p = p.withColumn("_bin", F.call_function("shiftright", F.col(at).cast("long"), F.col("_width")))
+    crowded = p.groupBy(*keys, *bins).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)  # one for each `hot` points at most
+    crowded = durable(crowded.select(*keys, *bins, F.ceil(F.col("_n") / hot).alias("_parts")))
+    if crowded.isEmpty():
+        p, r, by = p, r, [*keys, *bins]
+    else:
+        by = [*keys, *bins, "_part"]
+        p = p.join(crowded, [*keys, *bins], "left").withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+        r = r.join(crowded, [*keys, *bins], "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    held = F.col(at).between(F.col(first), F.col(last))
+    return p.join(r, by).where(held).drop(*bins, "_part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,8 +118,13 @@ def allocation(counts: dict, size: int) -> dict:
     if size >= total:
         return dict(counts)
     take = {s: min(n, round(size * n / total)) for s, n in counts.items()}
-    while sum(take.values()) < size:
-        take[max(sorted(counts, key=str), key=lambda s: counts[s] - take[s])] += 1
-    while sum(take.values()) > size:
-        take[max(sorted(counts, key=str), key=lambda s: take[s])] -= 1
+    over = sum(take.values()) - size
+    step = -1 if over > 0 else 1
+    room = (lambda s: take[s]) if over > 0 else (lambda s: counts[s] - take[s])
+    heap = [(-room(s), i, s) for i, s in enumerate(sorted(counts, key=str))]  # of equals the first by name
+    heapq.heapify(heap)
+    for _ in range(abs(over)):
+        _, i, s = heap[0]
+        take[s] += step
+        heapq.heapreplace(heap, (-room(s), i, s))
     return take

@@ -74,6 +74,14 @@ def blocks(spark, sf_dir):
     return out.select("conv_id", "block_id", line("central_pages").alias("central"), line("context_pages").alias("context"), F.sha2("text", 256).alias("digest"))
 
 
+def page_range_join(spark, sf_dir):
+    """Parts as pages, met by blocks of stated first and last pages, some of them long, empty or turned round."""
+    p = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), F.col("p_size")
+    ranges = p.select(k.alias("block"), (k % 3).alias("document"), (k - n).alias("first"), F.when(k % 50 == 0, k + 40 * n).when(k % 11 == 0, k - n - 1).otherwise(k + n % 7).alias("last"))
+    return J.range_join(p.select((k % 3).alias("document"), k.alias("page")), ranges, ["document"], "page", "first", "last", hot=50).select("document", "block", "page")
+
+
 def vector_checks(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     v = F.when(F.col("vec_id") % 10 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 10 == 1, F.transform("embedding", lambda x: x * 2)).when(F.col("vec_id") % 10 == 2, F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x).cast("float"))).otherwise(F.col("embedding"))
@@ -131,9 +139,9 @@ def answers(spark, sf_dir):
     m = manifest(spark, sf_dir).withColumn("batch_id", F.format_string("batch-%06d", F.floor(F.col("index") / 5)))
     i = F.col("index")
     verdict = F.when(i % 37 == 0, "PERHAPS").otherwise("YES")
-    r = m.where(i % 41 != 0).select("batch_id", "index", F.col("pair_id"), verdict.alias("verdict"), F.when(i % 53 == 0, 9).otherwise(3).alias("confidence"))
+    r = m.where(i % 41 != 0).select("batch_id", "index", F.col("pair_id"), verdict.alias("verdict"), F.when(i % 53 == 0, 9).otherwise(3).alias("confidence"), *[F.when((i % 47 != 0) | F.lit(n != "justification"), "x").alias(n) for n in B.RESPONSE_TEXTS[2:]])
     r = r.unionByName(r.where(i % 43 == 0))
-    one = F.array_sort(F.collect_list(F.struct("index", F.struct("pair_id", "verdict", "confidence").alias("r"))))
+    one = F.array_sort(F.collect_list(F.struct("index", F.struct(*B.RESPONSE_TEXTS, "confidence").alias("r"))))
     out = r.groupBy("batch_id").agg(F.concat(F.lit("```json\n"), F.to_json(F.transform(one, lambda s: s["r"])), F.lit("\n```")).alias("answer"))
     return m, out
 
@@ -209,7 +217,7 @@ def text_audit(spark, sf_dir):
 
 QUERIES = {
     "missing_and_extra": missing_extra, "enriched_candidates": enriched, "conditional_rationales": rationales, "nested_round_trip": nested_round_trip, "field_overrides": overrides, "field_changes": changes,
-    "change_counts": change_counts, "orphan_targets": orphan_targets, "dataset_parity": parity, "page_blocks": blocks, "vector_checks": vector_checks,
+    "change_counts": change_counts, "orphan_targets": orphan_targets, "dataset_parity": parity, "page_blocks": blocks, "page_range_join": page_range_join, "vector_checks": vector_checks,
     "record_audit": lambda s, p: record_audit(s, p).select("doc_id", "score", F.array_join("issues", ",").alias("issues"), "status"),
     "audit_rollup": lambda s, p: A.status_rollup(record_audit(s, p), ["source"]).na.fill("ALL", ["source"]),
     "variant_audit": variant_audit, "fr_distribution": fr_expected, "matching_violations": violations, "monotone_violations": monotone,
@@ -242,6 +250,8 @@ ORACLE_SQL = {
     "change_counts": "SELECT 'p_brand' field, count(*) changes, count(*) records FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'p_size', count(*), count(*) FROM part WHERE p_partkey % 6 = 0",
     "orphan_targets": CTE + "SELECT target_id, parent_sr FROM targets WHERE target_id % 6 <> 0 AND parent_sr % 6 = 0",
     "dataset_parity": "SELECT p_partkey ord, CASE WHEN p_partkey % 77 = 0 THEN 'p_name,p_brand' ELSE 'p_name' END differs FROM part WHERE p_partkey % 77 = 0 OR p_partkey % 50 = 0",
+    "page_range_join": """WITH r AS (SELECT p_partkey AS block, p_partkey % 3 AS document, p_partkey - p_size AS first, CASE WHEN p_partkey % 50 = 0 THEN p_partkey + 40 * p_size WHEN p_partkey % 11 = 0 THEN p_partkey - p_size - 1 ELSE p_partkey + p_size % 7 END AS last FROM part)
+SELECT r.document, r.block, p.p_partkey AS page FROM r JOIN part p ON p.p_partkey % 3 = r.document AND p.p_partkey BETWEEN r.first AND r.last""",
     "page_blocks": """WITH n AS (SELECT conv_id, max(turn) // 2 last FROM conversations GROUP BY 1), k AS (SELECT conv_id, unnest(range(0, last + 1)) b FROM n),
 j AS (SELECT k.conv_id, k.b, c.turn, c.text, CASE WHEN c.turn // 2 = k.b THEN 'CENTRAL' ELSE 'CONTEXT' END r FROM k JOIN conversations c ON c.conv_id = k.conv_id AND c.turn BETWEEN 2 * k.b - 1 AND 2 * k.b + 2)
 SELECT conv_id, b::INT block_id, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (r = 'CENTRAL'), '') central, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (r = 'CONTEXT'), '') context,
@@ -262,7 +272,7 @@ SELECT source_id, rule, count(*) n FROM v GROUP BY 1, 2""",
     "pair_manifest": MANIFEST + "SELECT index, pair_id FROM m",
     "batch_manifest": MANIFEST + "SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, start_index, size, sha256('[\"' || array_to_string(members, '\",\"') || '\"]') membership_sha256 FROM b",
     "prompt_digests": MANIFEST + "SELECT index // 5 AS batch, sha256('Judge: [' || string_agg('{\"pair_id\":\"' || pair_id || '\",\"target_id\":' || target_id || '}', ',' ORDER BY index) || ']') digest FROM m GROUP BY 1",
-    "response_problems": MANIFEST + """, r AS (SELECT index // 5 b, unnest(list_filter([CASE WHEN index % 41 = 0 THEN 'missing' END, CASE WHEN index % 41 <> 0 AND index % 43 = 0 THEN 'repeated' END, CASE WHEN index % 41 <> 0 AND index % 37 = 0 THEN 'verdict' END, CASE WHEN index % 41 <> 0 AND index % 53 = 0 THEN 'confidence' END], lambda i: i IS NOT NULL)) problem FROM m)
+    "response_problems": MANIFEST + """, r AS (SELECT index // 5 b, unnest(list_filter([CASE WHEN index % 41 = 0 THEN 'missing' END, CASE WHEN index % 41 <> 0 AND index % 43 = 0 THEN 'repeated' END, CASE WHEN index % 41 <> 0 AND index % 37 = 0 THEN 'verdict' END, CASE WHEN index % 41 <> 0 AND index % 53 = 0 THEN 'confidence' END, CASE WHEN index % 41 <> 0 AND index % 47 = 0 THEN 'fields' END], lambda i: i IS NOT NULL)) problem FROM m)
 SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, problem, count(*) n FROM r GROUP BY 1, 2""",
     "adaptive_requests": MANIFEST + "SELECT sum(CASE WHEN size > 3 THEN 3 ELSE 1 END)::BIGINT requests, count(*) FILTER (size > 3) failed, sum(CASE WHEN size > 3 THEN 2 * size ELSE size END)::BIGINT items FROM b",
     "pending_batches": MANIFEST + "SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, start_index FROM b WHERE NOT (start_index % 3 = 0 AND start_index % 2 <> 0)",

@@ -43,9 +43,12 @@ def durable(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint: computed once, lineage cut, kept where every executor can read it.
 
     The folder is the session's spark.checkpoint.dir; only where none is set (tests on one
-    machine) a temporary one is made.
+    machine) a temporary one is made; a cluster without the setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenfold-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors reach")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenfold-"))
     return df.checkpoint(eager=True)

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,55 @@ def test_rationales_are_joined_over_their_overlaps(spark):
     rows = spark.createDataFrame([("x", b, 2, [3, 2], 0.5), ("x", a, 1, [2, 1], 1.0), ("x", " ".join(words[5:15]), 3, [9], 0.0)], "id string, text string, block_id int, source_pages array<int>, confidence double")
     r = R.consolidate_rationales(rows).first()
     assert r["text"] == " ".join(words) and r["source_pages"] == [1, 2, 3, 9] and r["mean_confidence"] == 0.5 and r["occurrences"] == 3
+
+
+def test_range_join_against_all_pairs(spark):
+    import random
+
+    from lumenfold.operators import joins as J
+
+    r = random.Random(2)
+    points = [(r.choice("ab"), r.randint(-300, 300)) for _ in range(300)] + [("a", 7)] * 40 + [("a", None), (None, 7)]
+    ranges = [(r.choice("ab"), n, x, x + r.choice((-1, 0, 1, 5, 63, 64, 1000))) for n in range(80) for x in [r.randint(-400, 300)]] + [("a", 90, None, 5), ("a", 91, 5, None), ("b", 92, -(10**12), 10**12)]
+    p, q = spark.createDataFrame(points, "k string, at long"), spark.createDataFrame(ranges, "k string, n int, first long, last long")
+    want = sorted((k, at, n) for k, at in points for j, n, x, y in ranges if k is not None and k == j and None not in (at, x, y) and x <= at <= y)
+    for hot in (10, 100_000):
+        got = J.range_join(p, q, ["k"], "at", "first", "last", hot)
+        assert got.columns == ["k", "at", "n", "first", "last"]
+        assert sorted((x["k"], x["at"], x["n"]) for x in got.collect()) == want
+    assert J.range_join(p, q.where("false"), ["k"], "at", "first", "last").count() == 0
+    assert J.range_join(p.where("false"), q, ["k"], "at", "first", "last").count() == 0
+
+
+def test_allocation_as_one_by_one():
+    import random
+    import time
+
+    from lumenfold.operators.labels import allocation
+
+    def plain(counts, size):
+        take = {s: min(n, round(size * n / sum(counts.values()))) for s, n in counts.items()}
+        while sum(take.values()) < size:
+            take[max(sorted(counts, key=str), key=lambda s: counts[s] - take[s])] += 1
+        while sum(take.values()) > size:
+            take[max(sorted(counts, key=str), key=lambda s: take[s])] -= 1
+        return take
+
+    r = random.Random(3)
+    for _ in range(200):
+        counts = {f"s{i}": r.randint(1, 20) for i in range(r.randint(1, 12))}
+        size = r.randint(0, sum(counts.values()) - 1)
+        assert allocation(counts, size) == plain(counts, size)
+    began = time.time()
+    assert sum(allocation({i: 1 + i % 3 for i in range(10_000)}, 4_321).values()) == 4_321 and time.time() - began < 1
+
+
+def test_malformed_results_are_named(spark):
+    from lumenfold.operators import batches as B
+
+    good = {n: "YES" for n in B.RESPONSE_TEXTS} | {"confidence": 3}
+    bad = [{**good, "caveat": 5}, {k: v for k, v in good.items() if k != "directness"}, {**good, "confidence": True}, {**good, "confidence": "3"}, {**good, "justification": None}, good, 7]
+    df = spark.createDataFrame([(1, json.dumps(bad)), (2, "no list"), (3, None)], "batch_id int, answer string")
+    got = B.parse_responses(df).collect()
+    assert [r["malformed"] for r in got if r["batch_id"] == 1] == [["caveat"], ["directness"], ["confidence"], ["confidence"], ["justification"], [], [*B.RESPONSE_TEXTS, "confidence"]]
+    assert [r["malformed"] for r in got if r["batch_id"] > 1] == [None, None]
