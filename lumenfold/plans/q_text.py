@@ -97,6 +97,14 @@ def grouped_texts(spark, sf_dir):
     return c.group_texts(p, F.array("p_brand", F.split("p_type", " ")[0]), "p_name", "p_partkey").select("tag", F.sha2("p_name", 256).alias("digest"))
 
 
+def uncontained_texts(spark, sf_dir):
+    """By brand: part names, their beginnings and their second words, without those that a longer one contains."""
+    p = table(spark, sf_dir, "part")
+    w = F.split("p_name", " ")
+    texts = p.select("p_brand", F.explode(F.array("p_name", F.concat_ws(" ", F.slice(w, 1, 2)), F.element_at(w, 2), F.concat(F.element_at(w, 1), F.lit(" "), F.element_at(w, -1)))).alias("text"))
+    return c.uncontained(texts, "p_brand", "text")
+
+
 def similar_lines(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     d = b.select(F.col("item_id").alias("a"), F.col("text").alias("ta")).join(b.select((F.col("item_id") - 1).alias("a"), F.col("text").alias("tb")), "a")
@@ -144,7 +152,7 @@ COLLAPSE = rf"regexp_replace(regexp_replace(regexp_replace(text, '{WS}+', ' ', '
 
 QUERIES = {
     "text_normal_forms": normal_forms, "contamination_tags": contamination, "embedding_texts": embedding_texts, "canonical_ids": ids, "pair_ids": pair_ids, "gap_bins": gap_bins,
-    "value_coercion": coercion, "consolidated_texts": consolidated, "grep_context": grep, "change_categories": change_categories, "error_classes": error_classes, "paired_tags": tag_pairs,
+    "value_coercion": coercion, "uncontained_texts": uncontained_texts, "consolidated_texts": consolidated, "grep_context": grep, "change_categories": change_categories, "error_classes": error_classes, "paired_tags": tag_pairs,
     "grouped_texts": grouped_texts, "similarity_ratio": similar_lines, "prefix_variants": prefix_variants, "contamination_patterns": contamination_patterns, "match_forms": match_forms, "overlap_merge": overlap_merge,
 }
 ORACLE_SQL = {
@@ -163,6 +171,8 @@ CASE WHEN gap < 0.05 THEN 'very_low_gap' WHEN gap < 0.1 THEN 'low_gap' WHEN gap
     "grep_context": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), h AS (SELECT doc_id, line FROM l WHERE regexp_matches(txt, '(?i)license')) SELECT DISTINCT l.doc_id, l.line::INT line, l.txt AS text, EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.line = l.line) hit FROM l JOIN h ON l.doc_id = h.doc_id AND l.line BETWEEN h.line - 5 AND h.line + 10",
     "change_categories": """WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)license') THEN 'license' END, CASE WHEN contains(text, '@') THEN 'email' END, CASE WHEN contains(text, '|') THEN 'pipes' END, CASE WHEN len(text) > 3000 THEN 'long' END], lambda x: x IS NOT NULL) f FROM documents)
 SELECT doc_id, coalesce(f[1], '') AS primary, coalesce(array_to_string(f[2:], ','), '') others FROM f""",
+    "uncontained_texts": """WITH w AS (SELECT p_brand, p_name, string_split(p_name, ' ') w FROM part), t AS (SELECT DISTINCT p_brand, unnest([p_name, array_to_string(w[1:2], ' '), w[2], w[1] || ' ' || w[-1]]) AS text FROM w)
+SELECT p_brand, text FROM t WHERE NOT EXISTS (SELECT 1 FROM t o WHERE o.p_brand = t.p_brand AND len(o.text) > len(t.text) AND contains(o.text, t.text))""",
     "error_classes": "SELECT CASE o_orderkey % 11 WHEN 0 THEN 'quota' WHEN 1 THEN 'authentication' WHEN 2 THEN 'transient' WHEN 3 THEN 'configuration' WHEN 4 THEN 'transient' WHEN 5 THEN 'api' WHEN 6 THEN 'quota' WHEN 7 THEN 'api' WHEN 8 THEN 'authentication' WHEN 9 THEN 'api' ELSE 'transient' END AS class, count(*) n FROM orders GROUP BY 1",
     "paired_tags": "SELECT p_partkey, array_to_string(list_transform(range(0, len(a), 2), lambda i: array_to_string(a[i + 1:i + 2], ' ')), '|') pairs FROM (SELECT p_partkey, string_split(replace(p_name, ' ', ','), ',') a FROM part)",
     "consolidated_texts": """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),

@@ -216,3 +216,32 @@ def test_malformed_results_are_named(spark):
     got = B.parse_responses(df).collect()
     assert [r["malformed"] for r in got if r["batch_id"] == 1] == [["caveat"], ["directness"], ["confidence"], ["confidence"], ["justification"], [], [*B.RESPONSE_TEXTS, "confidence"]]
     assert [r["malformed"] for r in got if r["batch_id"] > 1] == [None, None]
+
+
+def test_containment_against_all_pairs(spark):
+    import random
+
+    from lumenfold.operators import consolidate as C
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab -é") for _ in range(r.randint(1, 9))) for _ in range(250)] + [" ".join(r.choice(["the", "cat", "sat", "on", "x"]) for _ in range(r.randint(1, 9))) for _ in range(250)] + ["😀", "a😀b", "", None]
+    rows = [(r.choice(["k", "l", None]), t) for t in texts] * 2
+    df = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    own = {(k, t) for k, t in rows if t}
+    want = {(k, t, o) for k, t in own for j, o in own if k == j and len(o) > len(t) and t in o}
+    got = [tuple(x) for x in C.contained_in(df, "k", "t").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    left = [tuple(x) for x in C.uncontained(df, "k", "t").collect()]
+    assert sorted(left, key=repr) == sorted({(k, t) for k, t in own if not any(x[:2] == (k, t) for x in want)}, key=repr)
+    assert C.uncontained(df.where("false"), "k", "t").count() == 0
+
+
+def test_containment_within_one_hot_key(spark):
+    """20,000 texts of one key, as many parts of them: the parts go, and no array of the key is made."""
+    from lumenfold.operators import consolidate as C
+
+    whole = spark.range(20_000).select(F.concat_ws(" ", F.lit("all have this"), F.hash("id"), F.lit("and that"), F.xxhash64("id"), F.lit("too")).alias("t"))
+    df = whole.union(whole.select(F.expr("substring(t, 5, length(t) - 8)"))).withColumn("k", F.lit(1))
+    out = C.uncontained(df, "k", "t")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert sorted(r["t"] for r in out.collect()) == sorted(r["t"] for r in whole.collect())
