@@ -114,7 +114,7 @@ def ordered_digest(spark, sf_dir):
 
 
 def display(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("rank <= 2").groupBy("source_id").agg(F.max("relative_score").alias("top"), F.array_sort(F.collect_list(F.col("target_id").cast("int"))).alias("targets"))
+    c = candidates(spark, sf_dir).groupBy("source_id").agg(F.max("relative_score").alias("top"), F.array_sort(F.collect_list(F.col("target_id").cast("int"))).alias("targets"))
     return K.display(c)
 
 
@@ -151,6 +151,6 @@ SELECT item_id, CASE WHEN len(d) > 0 THEN list_reduce(d, lambda a, b: CASE WHEN
     "union_columns": "SELECT n_name AS name, n_nationkey::VARCHAR nation, '' region FROM nation UNION ALL SELECT r_name, '', r_regionkey::VARCHAR FROM region",
     "rule_overlap": CTE + "SELECT source_id, CASE WHEN source_id % 3 = 0 THEN 'both' ELSE 'first' END side FROM rules WHERE source_id % 2 = 0",
     "ordered_digest": CTE + "SELECT source_id, sha256(string_agg(target_id || chr(10), '' ORDER BY rank)) digest FROM cand GROUP BY 1",
-    "display_rows": CTE + "SELECT source_id, printf('%.6f', max(relative_score)) top, string_agg(target_id::VARCHAR, ', ' ORDER BY target_id) targets FROM cand WHERE rank <= 2 GROUP BY 1",
+    "display_rows": CTE + "SELECT source_id, printf('%.6f', max(relative_score)) top, string_agg(target_id::VARCHAR, ', ' ORDER BY target_id) targets FROM cand GROUP BY 1",
     "canonical_json": """SELECT n_nationkey, '{"a":null,"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
 }
