@@ -9,7 +9,7 @@ from lumenfold.operators import batches as B
 from lumenfold.operators import distribution as D
 from lumenfold.operators import record_checks as R
 from lumenfold.plans.q_distribution import rounded
-from lumenfold.plans.standins import CTE, candidates, rules
+from lumenfold.plans.standins import CTE, UNMATCHED, candidates, rules, with_unmatched
 from lumenfold.session import table
 
 def records(spark, sf_dir):
@@ -64,7 +64,7 @@ def manifest_problems(spark, sf_dir):
 
 
 def mapping(spark, sf_dir):
-    return rounded(D.mapping_analysis(rules(spark, sf_dir), candidates(spark, sf_dir).where("source_id % 7 <> 0")))
+    return rounded(D.mapping_analysis(with_unmatched(rules(spark, sf_dir)), candidates(spark, sf_dir)))
 
 
 QUERIES = {"requirement_audit": requirement_audit, "requirement_dataset": requirement_dataset, "requirement_groups": requirement_groups, "vector_set": vector_set, "manifest_problems": manifest_problems, "mapping_analysis": mapping}
@@ -98,8 +98,8 @@ SELECT code, id::VARCHAR AS error FROM (SELECT id, code, unnest(range(c)) FROM b
 SELECT code, id::VARCHAR FROM (SELECT id, CASE WHEN id % 50 = 3 AND id % 90 <> 5 THEN 'missing_id' WHEN id % 50 = 3 THEN NULL WHEN id % 90 = 5 THEN 'extra_id' WHEN id % 60 = 1 THEN 'repeated_id' WHEN id % 70 = 2 THEN 'order' END code FROM e) WHERE code IS NOT NULL""",
     "manifest_problems": CTE + """, m AS (SELECT (row_number() OVER (ORDER BY source_id, rank) - 1) // 7 b FROM cand), x AS (SELECT b, count(*) n FROM m GROUP BY 1)
 SELECT code, n::BIGINT n FROM (SELECT 'batch_digest' code, count(*) n FROM x WHERE b % 10 = 3 AND b % 20 <> 5 UNION ALL SELECT 'batch_member', sum(n) FROM x WHERE b % 20 = 5 UNION ALL SELECT 'batch_count', 1) WHERE n > 0""",
-    "mapping_analysis": CTE + """, c AS (SELECT * FROM cand WHERE source_id % 7 <> 0), o AS (SELECT source, source_id, count(*) n, count(DISTINCT CASE WHEN target_type = 'SR' THEN target_id ELSE parent_sr END) parents FROM c GROUP BY 1, 2),
-per AS (SELECT r.source, r.source_id, coalesce(n, 0) n, coalesce(parents, 0) parents FROM rules r LEFT JOIN o USING (source, source_id)),
+    "mapping_analysis": CTE + """, c AS (SELECT * FROM cand), o AS (SELECT source, source_id, count(*) n, count(DISTINCT CASE WHEN target_type = 'SR' THEN target_id ELSE parent_sr END) parents FROM c GROUP BY 1, 2),
+per AS (SELECT r.source, r.source_id, coalesce(n, 0) n, coalesce(parents, 0) parents FROM """ + UNMATCHED + """ r LEFT JOIN o USING (source, source_id)),
 x AS (SELECT source, 'candidates_per_rule' section, n::DOUBLE v FROM per UNION ALL SELECT source, 'distinct_parents_per_rule', parents FROM per UNION ALL SELECT source, 'relative_score', relative_score FROM c UNION ALL SELECT source, 'raw_cosine', raw_cosine FROM c),
 s AS (SELECT source, section, {'mean': avg(v), 'median': median(v), 'min': min(v), 'max': max(v), 'stdev': CASE WHEN count(v) = 1 THEN 0 ELSE stddev_samp(v) END, 'p25': quantile_cont(v, 0.25), 'p50': quantile_cont(v, 0.5), 'p75': quantile_cont(v, 0.75), 'p90': quantile_cont(v, 0.9), 'p95': quantile_cont(v, 0.95), 'p99': quantile_cont(v, 0.99)} q FROM x GROUP BY 1, 2),
 u AS (SELECT source, section, unnest(map_entries(MAP {'mean': q.mean, 'median': q.median, 'min': q.min, 'max': q.max, 'stdev': q.stdev, 'p25': q.p25, 'p50': q.p50, 'p75': q.p75, 'p90': q.p90, 'p95': q.p95, 'p99': q.p99})) e FROM s),

@@ -6,22 +6,18 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import labels as L
 from lumenfold.plans.q_distribution import rounded
-from lumenfold.plans.standins import CTE, candidates, rules, targets
+from lumenfold.plans.standins import CTE, UNMATCHED, candidates, rules, targets, with_unmatched
 from lumenfold.session import table
 
 CLASSES = ["security_related", "non_security", "uncertain"]
 
 
 def classes(spark, sf_dir):
-    """Rule classes from the label table: quality and toxic marks by id, unmatched ids are uncertain; some rules have no candidates."""
+    """Rule classes from the label table: quality and toxic marks by id, unmatched ids are uncertain; every second rule has no candidates."""
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_id"), "quality", "toxic")
     label = F.when(F.col("toxic") == 1, "security_related").when(F.col("quality") == 1, "non_security").otherwise("uncertain")
-    return rules(spark, sf_dir).join(lab, "source_id", "left").select("source", "source_id", label.alias("label"))
-
-
-def pairs(spark, sf_dir):
-    """Candidates without those of every seventh rule, which thus has none."""
-    return candidates(spark, sf_dir).where("source_id % 7 <> 0")
+    own = with_unmatched(rules(spark, sf_dir)).withColumn("_id", F.abs("source_id"))
+    return own.join(lab.withColumnRenamed("source_id", "_id"), "_id", "left").select("source", "source_id", label.alias("label"))
 
 
 def annotations(spark, sf_dir):
@@ -38,7 +34,7 @@ def transferred(spark, sf_dir):
 
 
 def rollup(spark, sf_dir):
-    return L.rule_rollup(classes(spark, sf_dir), pairs(spark, sf_dir))
+    return L.rule_rollup(classes(spark, sf_dir), candidates(spark, sf_dir))
 
 
 def groups(spark, sf_dir):
@@ -50,8 +46,8 @@ def sample_counts(spark, sf_dir):
     return out.groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
-CLASS_SQL = CTE + """, cls AS (SELECT r.source, r.source_id, CASE WHEN toxic = 1 THEN 'security_related' WHEN quality = 1 THEN 'non_security' ELSE 'uncertain' END AS label FROM rules r LEFT JOIN labels l ON l.doc_id = r.source_id),
-pr AS (SELECT * FROM cand WHERE source_id % 7 <> 0),
+CLASS_SQL = CTE + """, cls AS (SELECT r.source, r.source_id, CASE WHEN toxic = 1 THEN 'security_related' WHEN quality = 1 THEN 'non_security' ELSE 'uncertain' END AS label FROM """ + UNMATCHED + """ r LEFT JOIN labels l ON l.doc_id = abs(r.source_id)),
+pr AS (SELECT * FROM cand),
 ru AS (SELECT c.source, c.source_id, c.label, count(p.rank) candidates, count(*) FILTER (verdict = 'YES') yes_count, count(*) FILTER (verdict = 'MAYBE') maybe_count, count(*) FILTER (verdict = 'NO') no_count,
        count(*) FILTER (verdict IN ('YES', 'MAYBE')) positive_count, CASE WHEN count(p.rank) = 0 THEN 0 ELSE round(count(*) FILTER (verdict IN ('YES', 'MAYBE')) / count(p.rank), 6) END positive_rate
        FROM cls c LEFT JOIN pr p USING (source, source_id) GROUP BY 1, 2, 3),
@@ -70,8 +66,8 @@ QUERIES = {
     "rule_rollup": lambda s, p: rounded(rollup(s, p)),
     "class_groups": lambda s, p: rounded(groups(s, p)),
     "group_ratios": lambda s, p: rounded(L.group_ratios(groups(s, p), "security_related", "non_security")),
-    "relevance_by_verdict": lambda s, p: L.cross_analysis(pairs(s, p), classes(s, p)),
-    "classified_pairs": lambda s, p: pairs(s, p).join(classes(s, p).where("label = 'security_related'"), ["source", "source_id"], "left_semi").select("source", "source_id", "target_id", "verdict"),
+    "relevance_by_verdict": lambda s, p: L.cross_analysis(candidates(s, p), classes(s, p)),
+    "classified_pairs": lambda s, p: candidates(s, p).join(classes(s, p).where("label = 'security_related'"), ["source", "source_id"], "left_semi").select("source", "source_id", "target_id", "verdict"),
     "annotation_transfer": transferred,
     "annotation_statistics": lambda s, p: L.annotation_statistics(transferred(s, p), "human_label", ["YES", "MAYBE", "NO"]),
     "targets_with_parents": lambda s, p: targets(s, p).alias("t").join(targets(s, p).alias("q"), F.col("t.parent_sr") == F.col("q.target_id"), "left").select("t.target_id", F.coalesce(F.col("q.fr"), F.lit(0)).alias("parent_fr")),

@@ -29,6 +29,11 @@ def rules(spark, sf_dir) -> DataFrame:
     return vectors(spark, sf_dir)[0].select("source", "source_id")
 
 
+def with_unmatched(rules: DataFrame) -> DataFrame:
+    """The rules and as many without candidates, under negative ids."""
+    return rules.unionAll(rules.select("source", -F.col("source_id")))
+
+
 def candidates(spark, sf_dir, cfg: MatchConfig = WIDE) -> DataFrame:
     """Matches joined to both dimensions: source, source_id, rank, target_id, its attributes, scores and a verdict."""
     s, t = vectors(spark, sf_dir)
@@ -38,6 +43,8 @@ def candidates(spark, sf_dir, cfg: MatchConfig = WIDE) -> DataFrame:
     return out.withColumn("verdict", F.when(verdict == 0, "YES").when(verdict <= 2, "MAYBE").otherwise("NO"))
 
 
+#: with_unmatched in DuckDB.
+UNMATCHED = "(SELECT source, source_id FROM rules UNION ALL SELECT source, -source_id FROM rules)"
 #: WITH clauses that give the same tables in DuckDB: rules, targets, cand.
 CTE = """WITH rules AS (SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END source, vec_id source_id FROM embeddings WHERE vec_id >= 100),
 targets AS (SELECT vec_id target_id, CASE WHEN vec_id % 2 = 0 THEN 'SR' ELSE 'RE' END target_type, (vec_id % 7 + 1)::INT fr,
