@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,14 +49,20 @@ def forbidden_fields(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [p for p in field_paths(df.schema) if p.rsplit(".", 1)[-1] in bad]
 
 
-def forbidden_keys(text: str, names: Iterable[str]) -> list[str]:
-    """Forbidden keys anywhere in a JSON document."""
-    bad, found, work = set(names), [], [json.loads(text)]
-    while work:
-        x = work.pop()
-        if isinstance(x, dict):
-            found += [k for k in x if k in bad]
-            work += x.values()
-        elif isinstance(x, list):
-            work += x
-    return sorted(found)
+def keys_of_json(text: Column) -> Column:
+    """All keys of a JSON document, at any depth, in order and with repeats; of a null none (null).
+
+    Escaped backslashes and quotes are set aside (control characters cannot stand in JSON text), so every string is
+    a run between two quotes, and a key is one that a colon follows. Nothing is nested in the pattern, so depth and length do not matter.
+    """
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    strings = F.regexp_extract_all(plain, F.lit(r'("[^"]*+"(?:\s*+:)?)'), F.lit(1))
+    keys = F.transform(F.filter(strings, lambda s: F.right(s, F.lit(1)) == ":"), lambda s: F.regexp_extract(s, r'^("[^"]*+")', 1))
+    whole = F.replace(F.replace(F.concat(F.lit("["), F.array_join(keys, ","), F.lit("]")), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.from_json(whole, "array<string>")
+
+
+def forbidden_keys(text: Column, names: Iterable[str]) -> Column:
+    """The forbidden ones among a JSON document's keys, sorted, with repeats."""
+    bad = F.array(*[F.lit(n) for n in sorted(set(names))]) if names else F.array().cast("array<string>")
+    return F.array_sort(F.filter(keys_of_json(text), lambda k: F.array_contains(bad, k)))

@@ -151,6 +151,21 @@ def response_problems(spark, sf_dir):
     return B.response_problems(B.parse_responses(a), m.select("batch_id", "pair_id"))
 
 
+def usage(spark, sf_dir):
+    """Attempts and tokens of every batch and of the requests below it: answers for more than three items are refused, twice, before they are halved."""
+
+    def stub(items):
+        return B.Reply([{"pair_id": i} for i in items], ",".join(items), {"tokens": sum(map(len, items))})
+
+    def check(items, results):
+        if len(results) > 3:
+            raise B.InvalidAnswer("too many")
+
+    b = B.batch_manifest(manifest(spark, sf_dir), 5, "pair_id")
+    tried = B.attempts(B.call_batches(b, stub, check=check, invalid_attempts=2, sleep=lambda s: None))
+    return B.usage_tree(tried).select("batch_id", "path", "requests", F.col("usage")["tokens"].alias("tokens"))
+
+
 def called(spark, sf_dir):
     """Every batch through the adaptive caller, with a stub that refuses more than three items at once."""
 
@@ -224,7 +239,7 @@ QUERIES = {
     "duplicate_texts": lambda s, p: A.duplicates(table(s, p, "documents"), t.sha256(t.comparison_form(F.col("text"))), "digest"),
     "field_coverage": lambda s, p: A.field_coverage(table(s, p, "documents").withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang"))), ["text", "lang"], ["source"]),
     "text_audit": text_audit, "pair_manifest": lambda s, p: manifest(s, p).select("index", "pair_id"), "batch_manifest": batch_manifest, "prompt_digests": prompt_digests,
-    "response_problems": response_problems, "adaptive_requests": called, "pending_batches": pending_batches, "markdown_rules": markdown_rules, "markdown_headings": markdown_headings, "markdown_sections": markdown_sections, "markdown_rollup": markdown_rollup, "markdown_quarantine": markdown_quarantine,
+    "response_problems": response_problems, "adaptive_requests": called, "request_usage": usage, "pending_batches": pending_batches, "markdown_rules": markdown_rules, "markdown_headings": markdown_headings, "markdown_sections": markdown_sections, "markdown_rollup": markdown_rollup, "markdown_quarantine": markdown_quarantine,
 }
 
 MANIFEST = CTE + """, m AS (SELECT row_number() OVER (ORDER BY source, source_id, rank) - 1 AS index, source || ':' || source_id || ':rank_' || rank || ':' || target_id pair_id, target_id FROM cand),
@@ -274,6 +289,9 @@ SELECT source_id, rule, count(*) n FROM v GROUP BY 1, 2""",
     "prompt_digests": MANIFEST + "SELECT index // 5 AS batch, sha256('Judge: [' || string_agg('{\"pair_id\":\"' || pair_id || '\",\"target_id\":' || target_id || '}', ',' ORDER BY index) || ']') digest FROM m GROUP BY 1",
     "response_problems": MANIFEST + """, r AS (SELECT index // 5 b, unnest(list_filter([CASE WHEN index % 41 = 0 THEN 'missing' END, CASE WHEN index % 41 <> 0 AND index % 43 = 0 THEN 'repeated' END, CASE WHEN index % 41 <> 0 AND index % 37 = 0 THEN 'verdict' END, CASE WHEN index % 41 <> 0 AND index % 53 = 0 THEN 'confidence' END, CASE WHEN index % 41 <> 0 AND index % 47 = 0 THEN 'fields' END], lambda i: i IS NOT NULL)) problem FROM m)
 SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, problem, count(*) n FROM r GROUP BY 1, 2""",
+    "request_usage": MANIFEST + """, i AS (SELECT b, size, index - start_index place, len(pair_id) n FROM m JOIN b ON index // 5 = b),
+p AS (SELECT b, 'root' path, CASE WHEN size > 3 THEN 4 ELSE 1 END requests, CASE WHEN size > 3 THEN 3 ELSE 1 END times, n FROM i UNION ALL SELECT b, CASE WHEN place < size // 2 THEN 'root.L' ELSE 'root.R' END, 1, 1, n FROM i WHERE size > 3)
+SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, path, max(requests)::BIGINT requests, sum(times * n)::BIGINT tokens FROM p GROUP BY b, path""",
     "adaptive_requests": MANIFEST + "SELECT sum(CASE WHEN size > 3 THEN 3 ELSE 1 END)::BIGINT requests, count(*) FILTER (size > 3) failed, sum(CASE WHEN size > 3 THEN 2 * size ELSE size END)::BIGINT items FROM b",
     "pending_batches": MANIFEST + "SELECT 'batch-' || lpad(b::VARCHAR, 6, '0') batch_id, start_index FROM b WHERE NOT (start_index % 3 = 0 AND start_index % 2 <> 0)",
     "markdown_headings": """WITH d AS (SELECT p_partkey, p_name, p_partkey % 2 = 0 two, p_partkey % 3 = 0 three FROM part), e AS (SELECT *, CASE WHEN two THEN 3 ELSE 0 END o, CASE WHEN three THEN 7 ELSE 0 END q FROM d)

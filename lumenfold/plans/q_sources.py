@@ -157,9 +157,17 @@ def encoded(spark, sf_dir):
     return e.select("p_partkey", F.round(e["embedding"][0].cast("double"), 5).alias("first"), F.lit(B.fingerprint(b=2, a="é")).alias("fingerprint"), F.lit(",".join(bad)).alias("forbidden"))
 
 
+def json_keys(spark, sf_dir):
+    """Forbidden keys of JSON documents made of turns; texts that spell a key are not keys."""
+    text = F.concat(F.lit('"assistant": \\'), F.coalesce("text", F.lit("")), F.lit('"'))
+    doc = F.to_json(F.struct(text.alias("text"), F.array(F.create_map(F.col("role"), F.struct(F.col("turn").alias("human_label")))).alias("turns")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", doc.alias("doc"))
+    return c.select("conv_id", "turn", F.array_join(E.forbidden_keys(F.col("doc"), ["human_label", "assistant"]), ",").alias("forbidden"))
+
+
 QUERIES = {
     "json_object_scan": json_object, "json_list_scan": json_list, "csv_windows_scan": csv_windows, "xml_scan": xml_rows, "text_file_scan": text_files, "table_sink": table_sink, "curation_evidence": curated, "curation_problems": curation_problems,
-    "field_resolution": resolution, "set_checks": sets, "full_source_names": names, "rule_titles": titles, "retried_batches": retried, "encoded_texts": encoded,
+    "field_resolution": resolution, "set_checks": sets, "full_source_names": names, "rule_titles": titles, "retried_batches": retried, "encoded_texts": encoded, "forbidden_json_keys": json_keys,
 }
 ORACLE_SQL = {
     "json_object_scan": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT ord, 'n' || n_nationkey id, n_name AS name, n_regionkey::BIGINT region FROM nation",
@@ -178,5 +186,6 @@ SELECT state, count(*) n FROM s GROUP BY 1 UNION ALL SELECT 'held_' || state, co
     "set_checks": "SELECT * FROM (VALUES ('same', true, true), ('fewer', false, true), ('more', false, false), ('twice', false, true)) v(name, same, subset)",
     "full_source_names": "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 2) THEN 'first' ELSE 'second' END AS name FROM part",
     "rule_titles": CTE + "SELECT source_id, coalesce('t' || min(target_id) FILTER (rank = 2), '') title, count(*) FILTER (verdict <> 'NO') > 0 AS some, count(*) FILTER (verdict = 'YES') = 0 AS only FROM cand GROUP BY 1",
+    "forbidden_json_keys": "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant,' ELSE '' END || 'human_label' forbidden FROM conversations",
     "encoded_texts": """SELECT p_partkey, round(CASE WHEN p_partkey % 3 > 0 THEN len(p_name) / sqrt(len(p_name) * len(p_name) + 16) ELSE 0 END, 5) AS first, sha256('{"a":"é","b":2}') fingerprint, 'x.llm_verdict' forbidden FROM part""",
 }

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenfold.operators import audit as A
@@ -129,7 +131,10 @@ def test_manifest_is_dense_and_ordered(spark):
 
 def test_preflight_and_sets(spark):
     df = spark.range(3)
-    assert B.preflight({"low": (df, F.col("id") > 1), "fine": (df, F.col("id") > 5)}) == ["low"]
+    assert B.preflight({"low": (df, F.col("id") > 1), "fine": (df, F.col("id") > 5), "null": (spark.range(2), F.lit(None).cast("boolean")), "zero": (df, F.col("id") == 0), "empty": (df.limit(0), F.lit(True))}) == ["low", "zero"]
+    assert B.preflight({}) == []
+    seen, verdict = B.watched(df, {"low": F.col("id") > 1, "fine": F.col("id") > 5})
+    assert seen.count() == 3 and verdict() == ["low"]
     assert J.same_set(df, spark.range(3), ["id"]) and not J.same_set(df, spark.range(4), ["id"])
 
 
@@ -143,7 +148,79 @@ def test_encoder_hook_and_forbidden_names(spark):
     assert got[2] == [0, 0, 0] and got[1] == pytest.approx([0.5**0.5, 0, 0.5**0.5])
     nested = spark.sql("select named_struct('a', array(named_struct('human_label', 1))) x, map('k', named_struct('b', 2)) m")
     assert E.forbidden_fields(nested, ["human_label", "b"]) == ["x.a.human_label", "m.b"]
-    assert E.forbidden_keys('{"a": [{"b": {"c": 1}}], "c": 2}', ["c"]) == ["c", "c"]
+
+
+def plain_keys(x):
+    if isinstance(x, dict):
+        return [k for key, v in x.items() for k in (key, *plain_keys(v))]
+    return [k for v in x for k in plain_keys(v)] if isinstance(x, list) else []
+
+
+JSON = st.recursive(st.none() | st.integers() | st.text(alphabet='ab":\\\\,{}\n\té ', max_size=6), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(alphabet='ab":\\\\ \u0001é', max_size=3), c, max_size=3), max_leaves=12)
+
+
+@given(st.lists(st.tuples(JSON, st.booleans(), st.sampled_from([None, 1])), min_size=1, max_size=8))
+@settings(max_examples=15, deadline=None)
+def test_keys_of_json_against_a_plain_walk(spark, docs):
+    from lumenfold.operators import encode as E
+
+    df = spark.createDataFrame([(i, json.dumps(d, ensure_ascii=a, indent=n)) for i, (d, a, n) in enumerate(docs)], "i int, t string")
+    rows = df.select("i", E.keys_of_json(F.col("t")).alias("k"), E.forbidden_keys(F.col("t"), ["a", '"', "b"]).alias("f")).collect()
+    for r in rows:
+        want = plain_keys(docs[r["i"]][0])
+        assert r["k"] == want and r["f"] == sorted(k for k in want if k in ("a", '"', "b"))
+
+
+def test_keys_of_deep_and_long_json(spark):
+    from lumenfold.operators import encode as E
+
+    deep, long = '{"a":[' * 20000 + "1" + "]}" * 20000, json.dumps({"a": '"b": \\' * 300000, "c": 1})
+    rows = spark.createDataFrame([(deep,), (long,), (None,), ("",)], "t string").select(E.keys_of_json(F.col("t")).alias("k")).collect()
+    assert [r["k"] and len(r["k"]) for r in rows] == [20000, 2, None, []] and rows[1]["k"] == ["a", "c"]
+
+
+def test_attempts_have_budgets_of_their_own_and_usage_sums_up_the_tree(spark):
+    tries = []
+
+    def call(items):
+        tries.append(len(items))
+        if len(tries) == 1:
+            raise TimeoutError("busy")
+        return B.Reply(items, f"answer {len(tries)}", {"tokens": 10 * len(items), "other": None})
+
+    def check(items, results):
+        if len(tries) < 4:
+            raise B.InvalidAnswer("wrong")
+
+    log = []
+    assert B.with_retry(call, [1, 2], sleep=lambda s: None, invalid_attempts=3, check=check, log=log) == [1, 2]
+    assert [(a["attempt"], a["status"], a["usage"], a["waited"]) for a in log] == [(1, "transient", {}, 10.0), (2, "invalid", {"tokens": 20}, 10.0), (3, "invalid", {"tokens": 20}, 20.0), (4, "completed", {"tokens": 20}, 0.0)]
+    assert len({a["prompt_sha256"] for a in log}) == 1 and [a["answer_sha256"] is None for a in log] == [True, False, False, False]
+    tries.clear()
+    with pytest.raises(B.InvalidAnswer):
+        B.with_retry(call, [1], sleep=lambda s: None, invalid_attempts=2, check=check)
+    assert len(tries) == 3
+
+    def sized(items):
+        if items[0] == "bad":
+            raise KeyError("lost")
+        return B.Reply(items, json.dumps(items), {"tokens": len(items)})
+
+    def three(items, results):
+        if len(items) > 3:
+            raise B.InvalidAnswer("too many")
+
+    batches = spark.createDataFrame([("x", [str(i) for i in range(11)]), ("y", ["bad"]), ("z", ["1"])], "batch_id string, members array<string>")
+    out = B.call_batches(batches, sized, check=three, invalid_attempts=2, sleep=lambda s: None)
+    tried = B.attempts(out).collect()
+    below = lambda p, q: q == p or q.startswith(p + ".")
+    want = {}
+    for b, p in {(r["batch_id"], r["path"]) for r in tried}:
+        under = [r for r in tried if r["batch_id"] == b and below(p, r["path"])]
+        want[b, p] = (len(under), sum((r["usage"] or {}).get("tokens", 0) for r in under))
+    got = {(r["batch_id"], r["path"]): (r["requests"], (r["usage"] or {}).get("tokens", 0)) for r in B.usage_tree(B.attempts(out)).collect()}
+    assert got == want and got["x", "root"] == (2 * 3 + 4, 2 * 11 + 2 * 5 + 2 * 6 + 11) and got["y", "root"] == (1, 0)
+    assert [r["status"] for r in tried if r["batch_id"] == "y"] == ["failed"]
 
 
 def test_results_match_one_to_one(spark):
