@@ -27,11 +27,26 @@ def nations(spark, sf_dir):
 
 
 def json_object(spark, sf_dir):
-    path = scratch(spark, "object") + ".json"
+    path = scratch(spark, "object")
     K.write_json_object(nations(spark, sf_dir), path, "id", "k")
     return D.json_object(spark, path, NATION)
 
 
+def large_object(spark, sf_dir):
+    """All customers through one JSON object, written and read in parts."""
+    path = scratch(spark, "customers")
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("region"), F.col("c_custkey").alias("k"))
+    K.write_json_object(c, path, "id", "k")
+    return D.json_object(spark, path, NATION)
+
+
+def cached_vectors(spark, sf_dir):
+    """All embeddings through a vector cache, held against its sidecar."""
+    path = scratch(spark, "vectors")
+    K.write_vector_cache(table(spark, sf_dir, "embeddings"), path, "vec_id", "embedding", "vec_id", model="given")
+    return D.vector_cache(spark, path, model="given").select("id", "ord", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 def json_list(spark, sf_dir):
     path = scratch(spark, "list") + ".json"
     rows = [r.asDict() for r in nations(spark, sf_dir).orderBy("k").drop("k").collect()]  # 25 nations
@@ -166,11 +181,13 @@ def json_keys(spark, sf_dir):
 
 
 QUERIES = {
-    "json_object_scan": json_object, "json_list_scan": json_list, "csv_windows_scan": csv_windows, "xml_scan": xml_rows, "text_file_scan": text_files, "table_sink": table_sink, "curation_evidence": curated, "curation_problems": curation_problems,
+    "json_object_scan": json_object, "json_object_parts": large_object, "vector_cache_scan": cached_vectors, "json_list_scan": json_list, "csv_windows_scan": csv_windows, "xml_scan": xml_rows, "text_file_scan": text_files, "table_sink": table_sink, "curation_evidence": curated, "curation_problems": curation_problems,
     "field_resolution": resolution, "set_checks": sets, "full_source_names": names, "rule_titles": titles, "retried_batches": retried, "encoded_texts": encoded, "forbidden_json_keys": json_keys,
 }
 ORACLE_SQL = {
-    "json_object_scan": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT ord, 'n' || n_nationkey id, n_name AS name, n_regionkey::BIGINT region FROM nation",
+    "json_object_parts": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 ord, 'c' || c_custkey id, c_name AS name, c_nationkey::BIGINT region FROM customer",
+    "vector_cache_scan": "SELECT vec_id::VARCHAR id, vec_id::BIGINT ord, len(embedding)::INT dimension, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) total FROM embeddings",
+    "json_object_scan": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 ord, 'n' || n_nationkey id, n_name AS name, n_regionkey::BIGINT region FROM nation",
     "json_list_scan": "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT ord, 'n' || n_nationkey id, n_name AS name, n_regionkey::BIGINT region FROM nation",
     "csv_windows_scan": "SELECT p_partkey, p_name || ' € é; x' AS name FROM part",
     "xml_scan": "SELECT s_suppkey, s_name FROM supplier",

@@ -25,10 +25,24 @@ def canonical_json(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def write_json_object(df: DataFrame, path: str, key: str, order: str) -> None:
-    """One JSON object keyed by id, in order; for datasets of rule size, which the driver can hold."""
-    rows = [r for r in df.orderBy(order).drop(order).toJSON().collect()]
-    whole = {json.loads(r)[key]: json.loads(r) for r in rows}
-    write_text(df.sparkSession, json.dumps(whole, ensure_ascii=False, indent=2), path)
+    """One JSON object keyed by id, in the order of `order` and then key: a folder of text parts, a record a line, whose bytes in the order of their names are the object.
+
+    Parts are ranges of the order, written and committed by Spark's own protocol: no task and not the driver
+    holds it all, a failed job leaves nothing readable, and what is there already stays (an error). A key that is
+    null or there twice is an error before anything is written. An empty table gives {}.
+    """
+    places = df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    ends = places.agg(F.count("*").alias("keys"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count_if(F.col("k").isNull()).alias("nulls"), F.min(F.struct("o", "k"))["k"].alias("first"), F.max(F.struct("o", "k"))["k"].alias("last")).first()
+    if ends["nulls"] or ends["most"] > 1:
+        raise ValueError(f"{key} is null or repeated: not an object's key")
+    if not ends["keys"]:
+        df.sparkSession.createDataFrame([("{}",)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+        return
+    k = F.col(key).cast("string")
+    name = F.to_json(F.array(k))
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != order]), {"ignoreNullFields": "false"})
+    line = F.concat(F.when(k == ends["first"], "{").otherwise(""), F.substr(name, F.lit(2), F.length(name) - 2), F.lit(":"), record, F.when(k == ends["last"], "}").otherwise(","))
+    df.select(F.col(order).alias("_o"), k.alias("_k"), line.alias("value")).orderBy("_o", "_k").select("value").write.mode("errorifexists").text(path)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
@@ -86,6 +100,21 @@ def sidecar(df: DataFrame, path: str, inputs: dict[str, DataFrame] | None = None
     return out
 
 
+def write_vector_cache(df: DataFrame, path: str, key: str, vector: str, order: str, **facts) -> dict:
+    """(key, order, vector) as Parquet at path, sorted, and beside it path.json: what vector_cache holds the table to: rows, digests of the content and of the ids in order, dimension, component type, the caller's facts."""
+    v = df.select(F.col(key).cast("string").alias("id"), F.col(order).cast("long").alias("ord"), F.col(vector).alias("vector"))
+    write_table(v.orderBy("ord"), path)
+    return sidecar(df.sparkSession.read.parquet(path), path + ".json", **vector_facts(df.sparkSession.read.parquet(path)), **facts)
+
+
+def vector_facts(v: DataFrame) -> dict:
+    """dimension (null if vectors differ in it), component type and the digest of the ids in order of a vector table (id, ord, vector)."""
+    from lumenfold.operators.batches import content_digest
+
+    size = v.agg(F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
+    return {"dimension": size["low"] if size["low"] == size["high"] else None, "dtype": v.schema["vector"].dataType.elementType.simpleString(), "ordered_ids_sha256": content_digest(v.select("ord", "id"), ["ord"])}
+
+
 def markdown_report(title: str, tables: dict[str, DataFrame], most_rows: int = 50) -> str:
     """A short report of small aggregate tables."""
     out = [f"# {title}"]

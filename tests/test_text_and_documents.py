@@ -172,7 +172,7 @@ def test_json_scans_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "b", "é"), (0, "z", None)], "ord int, id string, title string")
     K.write_json_object(rows, f"{tmp_path}/o.json", "id", "ord")
     assert [tuple(r) for r in D.json_object(spark, f"{tmp_path}/o.json", RECORD).orderBy("ord").collect()] == [(0, "z", None), (1, "b", "é")]
-    with pytest.raises(FileExistsError):
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         K.write_json_object(rows, f"{tmp_path}/o.json", "id", "ord")
     (tmp_path / "bad.json").write_text('{"a": {"id": "b"}}')
     with pytest.raises(Exception, match="key and id differ"):
@@ -183,6 +183,88 @@ def test_json_scans_and_sinks(spark, tmp_path):
         D.json_object(spark, f"{tmp_path}/list.json", RECORD).collect()
 
 
+def folder_bytes(path):
+    return b"".join(p.read_bytes() for p in sorted(path.glob("part-*")))
+
+
+def test_object_sink_writes_the_object_in_parts(spark, tmp_path):
+    n = 3000
+    rows = spark.range(n).repartition(7).select(F.concat(F.lit('k"\\é'), F.col("id")).alias("id"), (n - F.col("id")).alias("ord"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("line\n},\n"), "id")).alias("title"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts of small data
+    try:
+        K.write_json_object(rows, f"{tmp_path}/o", "id", "ord")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [(i, {"id": f'k"\\é{i}', "title": f"line\n}},\n{i}" if i % 3 else None}) for i in range(n - 1, -1, -1)]
+    text = "{" + ",\n".join(json.dumps(r["id"], ensure_ascii=False) + ":" + json.dumps(r, ensure_ascii=False, separators=(",", ":")) for _, r in want) + "}\n"
+    assert len(list((tmp_path / "o").glob("part-*"))) > 1 and folder_bytes(tmp_path / "o").decode() == text
+    back = D.json_object(spark, f"{tmp_path}/o", RECORD).orderBy("ord").collect()
+    assert [(r["ord"], r["id"], r["title"]) for r in back] == [(at, r["id"], r["title"]) for at, (_, r) in enumerate(want)]
+    before = folder_bytes(tmp_path / "o")
+    for bad in (rows.unionAll(rows.limit(1)), rows.select(F.when(F.col("ord") > 5, F.col("id")).alias("id"), "ord", "title")):
+        with pytest.raises(ValueError, match="null or repeated"):
+            K.write_json_object(bad, f"{tmp_path}/p", "id", "ord")
+    broken = rows.withColumn("title", F.when(F.col("ord") == 7, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="lost"):
+        K.write_json_object(broken, f"{tmp_path}/p", "id", "ord")
+    assert not (tmp_path / "p" / "_SUCCESS").exists() and not list(tmp_path.glob("p/part-*")) and folder_bytes(tmp_path / "o") == before
+    K.write_json_object(rows.limit(0), f"{tmp_path}/none", "id", "ord")
+    assert folder_bytes(tmp_path / "none") == b"{}\n" and D.json_object(spark, f"{tmp_path}/none", RECORD).count() == 0
+
+
+@pytest.mark.parametrize("indent, end", [(2, "\n"), (4, "\n"), ("\t", "\n"), (1, "\r\n"), (None, "\n"), ("lines", "\n")])
+def test_object_scan_cuts_one_file_at_record_borders(spark, tmp_path, indent, end):
+    record = T.StructType([*RECORD.fields, T.StructField("x", T.ArrayType(T.StructType([T.StructField("y", T.LongType())])))])
+    rows = {f"id{i}": {"id": f"id{i}", "title": f"}},\n  }},\n\"{i}é" * (i % 5), "x": [{"y": i}, {"y": -i}] * (i % 3)} for i in range(2000)}
+    if indent == "lines":
+        text = "{" + ",\n".join(json.dumps(k) + ": " + json.dumps(v) for k, v in rows.items()) + "}"
+    else:
+        text = json.dumps(rows, ensure_ascii=False, indent=indent)
+    (tmp_path / "o.json").write_bytes(text.replace("\n", end).encode())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        cut = D.split_records(spark, f"{tmp_path}/o.json", record)
+        assert (cut is None) == (indent is None)
+        got = D.json_object(spark, f"{tmp_path}/o.json", record)
+        if cut is not None:
+            assert spark.read.text(f"{tmp_path}/o.json").rdd.getNumPartitions() > 3
+        assert [(r["ord"], r["id"], r["title"], [y["y"] for y in r["x"]]) for r in got.orderBy("ord").collect()] == [(at, k, v["title"], [y["y"] for y in v["x"]]) for at, (k, v) in enumerate(rows.items())]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_object_scan_of_other_layouts(spark, tmp_path):
+    one = {"a": {"id": "a", "title": "x"}}
+    for name, text in {"one": json.dumps(one, indent=2), "mixed": '{\n  "a": {"id": "a"}, "b": {\n    "id": "b"\n  },\n  "c": {"id": "c"}\n}', "none": "{}"}.items():
+        (tmp_path / name).write_text(text)
+        assert [(r["ord"], r["id"]) for r in D.json_object(spark, f"{tmp_path}/{name}", RECORD).orderBy("ord").collect()] == list(enumerate(json.loads(text)))
+    (tmp_path / "list").write_text(json.dumps({"metadata": {}, "requirements": [{"id": "x"}]}, indent=2))
+    with pytest.raises(Exception, match="a list of requirements"):
+        D.json_object(spark, f"{tmp_path}/list", RECORD).collect()
+    (tmp_path / "bad").write_text(json.dumps({"a": {"id": "a"}, "b": {"id": "c"}}, indent=2))
+    with pytest.raises(Exception, match="key and id differ"):
+        D.json_object(spark, f"{tmp_path}/bad", RECORD).collect()
+
+
+def test_vector_cache_is_what_its_sidecar_says(spark, tmp_path):
+    v = spark.range(300).select(F.concat(F.lit("v"), "id").alias("name"), (300 - F.col("id")).alias("at"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("e"))
+    told = K.write_vector_cache(v, f"{tmp_path}/c", "name", "e", "at", model="m")
+    assert (told["rows"], told["facts"]["dimension"], told["facts"]["dtype"]) == (300, 2, "float")
+    got = D.vector_cache(spark, f"{tmp_path}/c", model="m", dimension=2, ordered_ids_sha256=told["facts"]["ordered_ids_sha256"]).orderBy("ord").collect()
+    assert [r["id"] for r in got] == [f"v{i}" for i in range(299, -1, -1)] and list(got[0]["vector"]) == [299.0, 1.0]
+    with pytest.raises(ValueError, match="differ in dimension, model, revision"):
+        D.vector_cache(spark, f"{tmp_path}/c", model="n", dimension=3, revision="r")
+    K.write_table(spark.read.parquet(f"{tmp_path}/c").withColumn("id", F.when(F.col("ord") == 5, "other").otherwise(F.col("id"))), f"{tmp_path}/d")
+    (tmp_path / "d.json").write_text((tmp_path / "c.json").read_text())
+    with pytest.raises(ValueError, match="differ in content_digest, ordered_ids_sha256"):
+        D.vector_cache(spark, f"{tmp_path}/d")
+    K.write_table(spark.read.parquet(f"{tmp_path}/c").where("ord > 5"), f"{tmp_path}/f")
+    (tmp_path / "f.json").write_text((tmp_path / "c.json").read_text())
+    with pytest.raises(ValueError, match="content_digest, ordered_ids_sha256, rows"):
+        D.vector_cache(spark, f"{tmp_path}/f")
+
+
 def test_csv_xml_text_and_binary_scans(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes("id;text\n1;h\xe9 €\n".encode("windows-1252"))
     assert D.csv_windows(spark, f"{tmp_path}/c.csv", "id int, text string").first()["text"] == "hé €"
