@@ -7,6 +7,7 @@ which rows are kept does not depend on it.
 
 from __future__ import annotations
 
+import statistics
 import time
 from dataclasses import dataclass
 
@@ -113,30 +114,36 @@ def default_rules(text: str = "text", lines: Column | None = None) -> list[Rule]
     ]
 
 
-def estimate(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, lines: str | None = None) -> dict[str, tuple[float, float]]:
+def estimate(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, lines: str | None = None, before: Column | None = None, repeats: int = 3) -> dict[str, tuple[float, float]]:
     """(rejection rate, seconds) of each rule on about sample_rows rows of df, which has no counts yet.
 
     The rows are chosen over the whole table, by a hash of text and place, in one scan of the
-    text that counts nothing. They are kept as a table of one partition, on whose executor the
-    rules are timed; only rates come to the driver. They influence only the order of evaluation.
-    lines: as in base_counts, if the rules use that column.
+    text that counts nothing. Those for which `before` holds never reach a rule (see cascade) and are
+    left out; where none is left every rate is 0. The rest is a table of one partition, on whose
+    executor the rules are timed, each `repeats` times in turn; the median counts, less that of a query
+    without a rule, and what lies within that query's own spread is no difference: such rules
+    share a cost. Only rates come to the driver. They influence only the order of evaluation. lines: as in base_counts, if the rules use that column.
     """
     total = df.count()
     if not total:
         return {r.name: (0.0, 1.0) for r in rules}
     drawn = F.pmod(F.xxhash64(F.col(text), F.monotonically_increasing_id()), F.lit(1 << 30)) < F.lit(-(-sample_rows * (1 << 30) // total))
-    local = durable(base_counts(durable(df.select(text).where(drawn)), text, lines).coalesce(1))
-
-    def timed(reject: Column) -> tuple[float, float]:
-        query = local.agg(F.avg(F.coalesce(reject, F.lit(False)).cast("double")))
-        query.collect()  # compiled before it is timed
-        began = time.perf_counter()
-        rate = query.collect()[0][0]
-        return float(rate or 0.0), time.perf_counter() - began
-
-    _, job = timed(F.col("n_words") < 0)  # what a query costs by itself
-    found = {r.name: timed(r.reject) for r in rules}
-    return {name: (rate, max(seconds - job, 1e-4)) for name, (rate, seconds) in found.items()}
+    counted = base_counts(durable(df.select(text).where(drawn)), text, lines)
+    if before is not None:
+        counted = counted.where(~F.coalesce(before, F.lit(False)))
+    local = durable(counted.coalesce(1))
+    idle = "\0"  # no rule's name
+    queries = {n: local.agg(F.avg(F.coalesce(c, F.lit(False)).cast("double"))) for n, c in [(idle, F.col("n_words") < 0), *((r.name, r.reject) for r in rules)]}
+    rate = {n: float(q.collect()[0][0] or 0.0) for n, q in queries.items()}  # also compiles what is timed
+    took: dict[str, list[float]] = {n: [] for n in queries}
+    for _ in range(repeats):
+        for n, q in queries.items():
+            began = time.perf_counter()
+            q.collect()
+            took[n].append(time.perf_counter() - began)
+    job = statistics.median(took[idle])
+    least = max(max(took[idle]) - min(took[idle]), 1e-4)
+    return {r.name: (rate[r.name], max(statistics.median(took[r.name]) - job, least)) for r in rules}
 
 
 def ordered(rules: list[Rule], seen: dict[str, tuple[float, float]]) -> list[Rule]:
@@ -167,7 +174,7 @@ def apply_rules(df: DataFrame, text: str = "text", sample_rows: int = 1000) -> D
     df = drop_clashing(df, [*BASE, "base_failed", "rejected_by", "kept"])
     lines = _free(df, "_lines")
     rules = default_rules(text, F.col(lines))
-    seen = estimate(df, rules, text, sample_rows, lines)
+    seen = estimate(df, rules, text, sample_rows, lines, before=base_failed())
     counted = base_counts(df, text, lines).withColumn("base_failed", base_failed())
     judged = cascade(counted, ordered(rules, seen), before=F.col("base_failed"))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop(lines)

@@ -59,6 +59,18 @@ def test_sample_is_of_the_whole_table(spark):
     assert Q.estimate(spark.range(3000).selectExpr("'one copy' text"), [Q.Rule("all", Q.F.col("n_words") > 1)], sample_rows=50)["all"][0] == 1.0
 
 
+def test_rules_are_measured_on_rows_that_reach_them(spark):
+    """Short texts fail the base and shout; of those that pass, a quarter has brackets and none shouts."""
+    long = "' {x}' || array_join(transform(sequence(1, 60), i -> concat('w', i, '-', id)), ' ')"
+    df = spark.range(2000).selectExpr(f"case when id % 2 = 0 then 'short !' when id % 8 = 1 then {long.format(x='[ ')} else {long.format(x='')} end text")
+    rules = [Q.Rule("shouts", Q.F.col("text").contains("!")), Q.Rule("brackets", Q.F.col("text").contains("["))]
+    seen = Q.estimate(df, rules, sample_rows=800, before=Q.base_failed())
+    assert seen["shouts"][0] == 0 and 0.15 < seen["brackets"][0] < 0.35 and all(s > 0 for _, s in seen.values())
+    assert Q.ordered(rules, seen)[0].name == "brackets" and 0.4 < Q.estimate(df, rules, sample_rows=800)["shouts"][0] < 0.6
+    none = Q.estimate(spark.range(50).selectExpr("'short !' text"), rules, sample_rows=50, before=Q.base_failed())
+    assert [r for r, _ in none.values()] == [0.0, 0.0]
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = Q.apply_rules(odd_docs).collect()
     assert len(out) == 10 and not any(r["kept"] for r in out if r["doc_id"] in (1, 2, 3, 4))
