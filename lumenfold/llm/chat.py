@@ -60,7 +60,8 @@ def expand(conversations: DataFrame, most_chars: int = 1 << 22) -> DataFrame:
     Rows are ordered by turn, then role and text; null turns come first, null roles and texts are
     empty, rows without a conv_id form one conversation of their own. Repeated rows are turns like
     any other. Conversations are dealt by id and streamed in order: a task holds one formatted
-    prefix and about most_chars of output, never a list of conversations.
+    prefix and about most_chars of output, never a list of conversations. Other columns of the
+    input are left out, whatever their names. An empty table gives no examples.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -288,7 +288,7 @@ def encode_documents(docs: DataFrame, vocab: Vocabulary | None = None, n_best: i
 
     Whole texts; null and empty texts have no pieces, score 0 and one segmentation, the empty one.
     Columns that carry one of these names are replaced, others pass through. Repeated rows are
-    encoded alike.
+    encoded alike; very long texts are encoded whole, chunk by chunk. An empty table gives no rows.
     """
     vocab = vocab or load()
     names = ["ids", "score", "nbest_scores", "round_trip"]

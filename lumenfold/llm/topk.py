@@ -98,7 +98,7 @@ def search_all(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id"
     and rows without an id, take no part; vectors of another length than the query's are not
     compared with it. Repeated candidate rows each count; an id repeated among the queries asks
     once, with its least vector, and no row with its own id is an answer. Fewer than k candidates:
-    all of them. Scores beyond a long are held at its ends.
+    all of them. Scores beyond a long are held at its ends. An empty table gives no rows.
     """
     x = F.col(embedding)
     sound = F.col(vec_id).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))

@@ -169,7 +169,8 @@ def score_documents(docs: DataFrame, model, text: str = "text", score: str = "sc
     """docs with the score of every whole text appended; null and empty texts are scored as texts without words.
 
     keep_if(scores): rows to keep, for a filter that returns the input columns only. Columns that
-    carry the name of the score are replaced; every other column passes through untouched.
+    carry the name of the score are replaced; every other column passes through untouched. Repeated
+    rows get the same score; an empty table gives no rows.
     """
     docs = docs if keep_if else drop_clashing(docs, [score])
     at = docs.columns.index(text)
