@@ -250,7 +250,7 @@ def _found(checks: dict[str, Column]) -> list[Column]:
 
 
 def preflight(checks: dict[str, tuple[DataFrame, Column]]) -> list[str]:
-    """Names of the checks of which a row is bad, in order; each table is read once for all its checks, and all tables in one job."""
+    """Names of the checks of which a row is bad, in order; each table is read once for all its checks, and all tables in one action."""
     tables: dict[int, tuple[DataFrame, dict[str, Column]]] = {}
     for name, (df, bad) in checks.items():
         tables.setdefault(id(df), (df, {}))[1][name] = bad
