@@ -113,3 +113,30 @@ def test_overlapping_posteriors_meet_targets(spark, soft, least):
 def test_a_miss_is_reported(members):
     with pytest.warns(RuntimeWarning, match="targets are not met"):
         M.fit_rates(members, {"poor": 1.0})
+
+
+def test_accelerated_steps_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([0.3, 1.0, 0.3], 3000) * 0.25 + 0.75 * np.array([0.2, 0.6, 0.2])
+    t = rng.integers(1, 500, 3000)
+    df = spark.createDataFrame([(i, int(n), *map(float, q)) for i, (n, q) in enumerate(zip(t, p, strict=True))], "doc_id long, tokens long, p_poor double, p_good double, p_toxic double").coalesce(2).cache()
+    want = t.sum() * np.array([0.162, 0.676, 0.162])
+    rate, got = M._accelerated(df, want.tolist(), (t @ p).tolist(), 1e-4 * t.sum())
+    metric = np.linalg.inv((p * t[:, None]).T @ p)
+    assert abs(np.linalg.eigvalsh(np.linalg.cholesky(metric).T @ ((p * t[:, None]).T @ p) @ np.linalg.cholesky(metric)).max() - 1) < 1e-6
+    w, before, momentum, last = np.ones(3000), np.ones(3000), 1.0, np.inf
+    while np.abs((w * t) @ p - want).max() > 1e-4 * t.sum():
+        grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = w + (momentum - 1) / grown * (w - before)
+        before, w = w, np.maximum(0, ahead - p @ metric @ ((ahead * t) @ p - want))
+        miss = (w * t) @ p - want
+        momentum, last = (grown if miss @ metric @ miss <= last else 1.0), miss @ metric @ miss
+    out = df.select("doc_id", rate.alias("w")).orderBy("doc_id").toPandas().w.to_numpy()
+    assert np.allclose(out, w) and np.allclose((out * t) @ p, got) and (out >= 0).all()
+
+
+def test_accelerated_steps_leave_a_domain_without_mass_alone(spark):
+    df = spark.createDataFrame([(i, 10, 0.2 + 0.001 * i, 0.8 - 0.001 * i, 0.0) for i in range(100)], "doc_id long, tokens long, p_poor double, p_good double, p_toxic double")
+    mass = [10 * sum(0.2 + 0.001 * i for i in range(100)), 10 * sum(0.8 - 0.001 * i for i in range(100)), 0.0]
+    _, got = M._accelerated(df, [240.0, 760.0, 5.0], mass, 0.1)
+    assert np.allclose(got, [240.0, 760.0, 0.0], atol=0.2)
