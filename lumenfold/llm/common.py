@@ -79,7 +79,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     docs lacks gives no row, and one that it has repeatedly gives its least text, found where the
     rows are. Only ids and labels are ranked; the chosen ids are bounded by most_rows, which is
     what allows them to be broadcast, and their texts are collected in the order of the hash
-    until the next would pass most_chars.
+    until the next would pass most_chars. Texts of over a sixty-fourth of most_chars come after all
+    others, and one of over most_chars is set aside alone, so no single text empties the sample.
     """
     known = labels.where(train).select("doc_id", F.expr(label).cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -92,7 +93,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     small = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, y int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
     one = durable(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
-    before = F.sum(F.length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most most_rows of each value
-    fits = one.select("doc_id", before.alias("chars")).where(F.col("chars") <= most_chars).select("doc_id")
+    sizes = one.select("doc_id", F.length("text").cast("long").alias("n")).where(F.col("n") <= most_chars)
+    before = F.sum("n").over(Window.orderBy(F.col("n") * 64 > most_chars, F.xxhash64("doc_id"), "doc_id"))  # at most most_rows of each value
+    fits = sizes.select("doc_id", before.alias("chars")).where(F.col("chars") <= most_chars).select("doc_id")
     held = one.join(F.broadcast(fits), "doc_id").orderBy("doc_id").select("text", "y").toArrow()
     return list(zip(held["text"].to_pylist(), held["y"].to_pylist(), strict=True)), totals

@@ -117,3 +117,16 @@ def test_sample_holds_an_id_once_and_is_bounded_in_text(spark):
     assert sample == [("copy 0", 0), ("x" * 40, 1), ("", 1), ("y" * 40, 0)] and totals == {0: 2, 1: 3}
     few, _ = labelled_sample(docs, labels, "quality", F.lit(True), {0: 9, 1: 9}, most_chars=50)
     assert 0 < sum(len(t) for t, _ in few) <= 50 and set(few) <= set(sample)
+
+
+def test_an_overlong_text_leaves_the_others_in_the_sample(spark):
+    from lumenfold.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (900 if i % 3 == 0 else 40 if i % 3 == 1 else 5)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    sample, totals = labelled_sample(docs, labels, "quality", Q.F.lit(True), {0: 15, 1: 15}, most_chars=640)
+    # Longer than all that is asked for: set aside; longer than a sixty-fourth of it: after the short ones, until the next would pass.
+    sizes = [len(t) for t, _ in sample]
+    assert totals == {0: 15, 1: 15} and sizes.count(5) == 10 and sizes.count(900) == 0 and sizes.count(40) == 10
+    few, _ = labelled_sample(docs, labels, "quality", Q.F.lit(True), {0: 15, 1: 15}, most_chars=330)
+    assert sorted(len(t) for t, _ in few) == [5] * 10 + [40] * 7
