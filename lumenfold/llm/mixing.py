@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import durable, labelled_sample, read, rows_of
+from lumenfold.llm.common import collected, durable, labelled_rows, read, rows_of
 from lumenfold.llm.features import Lexicon, WordTable, abuse_features, shape_features
-from lumenfold.llm.toxicity import induce
+from lumenfold.llm.toxicity import cross_read, induce, induced
 
 #: The domains and what the label table says of them; the bound of the fitting sample by domain.
 DOMAINS = ["poor", "good", "toxic"]
@@ -48,21 +48,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_domains(sample: list[tuple[str, int]], totals: dict[int, int], steps: int = 400, rate: float = 0.05) -> DomainModel:
-    """Softmax regression on dense features, weighted back to the label shares; domains without a labelled row have posterior near 0, and no labels at all give equal posteriors."""
+#: Numbers of a text.
+WIDTH = 32
+
+
+def fit_domains(sample: list[tuple[str, int]], totals: dict[int, int], **shape) -> DomainModel:
+    """fit_features over texts that are held here."""
     texts, y = [t for t, _ in sample], np.array([v for _, v in sample], np.int64)
-    k = len(DOMAINS)
-    width = 32
-    if not texts:
+    half, toxic = np.arange(len(y)) % 2, (y == 2).astype(float)
+    lexicons = [induce([texts[i] for i in np.flatnonzero(half != k)], toxic[half != k]) for k in (0, 1)]
+    x, _ = cross_read(lexicons, _features)(np.arange(len(y)), texts)
+    return fit_features(x, y, totals, induce(texts, toxic), **shape)
+
+
+def fit_features(x: np.ndarray, y: np.ndarray, totals: dict[int, int], lexicon: Lexicon, steps: int = 400, rate: float = 0.05) -> DomainModel:
+    """Softmax regression on dense, cross-fitted features, weighted back to the label shares; domains without a labelled row have posterior near 0, and no labels at all give equal posteriors."""
+    k, width = len(DOMAINS), WIDTH
+    if not len(y):
         return DomainModel(Lexicon(), np.zeros(width), np.ones(width), np.zeros((width + 1, k)))
-    half = np.arange(len(y)) % 2
-    x = np.zeros((len(y), width))
-    for own in (0, 1):
-        held = np.flatnonzero(half == own)
-        table = WordTable(induce([texts[i] for i in np.flatnonzero(half != own)], (y[half != own] == 2).astype(float)))
-        for at in range(0, len(held), 256):
-            part = held[at : at + 256]
-            x[part] = _features(*table.look_up([texts[i] for i in part]))
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     x = np.column_stack([np.clip((x - mean) / spread, -8, 8), np.ones(len(y))])
     weight = np.zeros(len(y))
@@ -77,11 +80,15 @@ def fit_domains(sample: list[tuple[str, int]], totals: dict[int, int], steps: in
         g = x.T @ (weight[:, None] * (_softmax(x @ w) - target)) + 1e-5 * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-10)
-    return DomainModel(induce(texts, (y == 2).astype(float)), mean, spread, w)
+    return DomainModel(lexicon, mean, spread, w)
 
 
 def fit_tables(documents: DataFrame, labels: DataFrame) -> DomainModel:
-    return fit_domains(*labelled_sample(documents, labels, DOMAIN_SQL, F.lit(True), SAMPLE))
+    """Fits on a bounded sample (SAMPLE). Texts are read where they are; words of the lexicon and features come here."""
+    rows, totals = labelled_rows(documents, labels, DOMAIN_SQL, F.lit(True), SAMPLE)
+    *halves, lexicon = induced(rows, 2)
+    x, _, y = collected(rows, cross_read(halves, _features), WIDTH)
+    return fit_features(x, y, totals, lexicon)
 
 
 def memberships(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:

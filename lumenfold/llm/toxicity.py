@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import drop_clashing, fold, labelled_sample, read, rows_of, with_columns
+from lumenfold.llm.common import collected, drop_clashing, fold, labelled_rows, read, rows_of, with_columns
 from lumenfold.llm.features import EDGES, PREFIXES, Lexicon, WordTable, abuse_features
 
 #: Bound of the fitting sample, by label value.
@@ -102,27 +102,83 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return xs, np.array([b[0] for b in blocks for _ in (0, 1)])
 
 
-def induce(texts: list[str], y: np.ndarray, least_docs: int = 3, least_odds: float = 2.0) -> Lexicon:
+#: Fewest texts of label 1, and least log odds ratio, of what the lexicon takes in.
+LEAST_DOCS, LEAST_ODDS = 3, 2.0
+
+
+def _cores(text: str) -> tuple[set[str], set[str]]:
+    """(distinct words, distinct word beginnings) of a text."""
+    cores = {w.strip(EDGES) for w in text.lower().split()}
+    cores.discard("")
+    return cores, {c[:k] for c in cores if c.islower() for k in PREFIXES if len(c) >= k}
+
+
+def _marking(counts, n1: int, n0: int) -> dict[str, float]:
+    """{word: weight} of what is far likelier in texts of label 1 among counts, (word, texts of label 1, texts of label 0) each."""
+    found = {}
+    for w, a, b in counts:
+        if a >= LEAST_DOCS:
+            odds = math.log((a + 0.5) / (max(1, n1) + 1)) - math.log((b + 0.5) / (max(1, n0) + 1))
+            if odds >= LEAST_ODDS and math.sqrt(a) * odds >= 5:
+                found[w] = round(odds, 4)
+    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0])))
+
+
+def induce(texts: list[str], y: np.ndarray) -> Lexicon:
     """Words and word beginnings far likelier in texts of label 1; weight: smoothed log odds ratio of their document rates."""
-    counts = [Counter(), Counter()]
-    heads = [Counter(), Counter()]
+    counts = [[Counter(), Counter()] for _ in range(2)]  # words, beginnings
     for t, label in zip(texts, y, strict=True):
-        cores = {w.strip(EDGES) for w in t.lower().split()}
-        cores.discard("")
-        counts[int(label)].update(cores)
-        heads[int(label)].update({c[:k] for c in cores if c.islower() for k in PREFIXES if len(c) >= k})
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+        for count, own in zip(counts, _cores(t), strict=True):
+            count[int(label)].update(own)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    return Lexicon(*(_marking(((w, a, c[0][w]) for w, a in c[1].items()), n1, n0) for c in counts))
+
 
-    def chosen(count: list[Counter]) -> dict[str, float]:
-        found = {}
-        for w, a in count[1].items():
-            if a >= least_docs:
-                odds = math.log((a + 0.5) / (n1 + 1)) - math.log((count[0][w] + 0.5) / (n0 + 1))
-                if odds >= least_odds and math.sqrt(a) * odds >= 5:
-                    found[w] = round(odds, 4)
-        return dict(sorted(found.items(), key=lambda x: (-x[1] * counts[1].get(x[0], 1), x[0])))
+def induced(rows: DataFrame, marked: int = 1) -> tuple[Lexicon, Lexicon, Lexicon]:
+    """induce over the rows of odd places, over those of even places, and over all, of labelled_rows, label 1 being y = marked: the first two are for reading even and odd places. Texts are counted where they are; only words that may be taken in come here."""
 
-    return Lexicon(chosen(counts), chosen(heads))
+    def count(batches):
+        counts: dict[tuple, Counter] = {}
+        for big in batches:
+            for batch in rows_of(big, 256):
+                for place, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for kind, own in enumerate(_cores(text)):
+                        counts.setdefault((kind, place % 2, int(y == marked)), Counter()).update(own)
+            for (kind, half, label), found in counts.items():
+                same = [pa.array([v] * len(found), pa.int32()) for v in (kind, half, label)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "half", "label", "word", "n"])
+            counts.clear()
+
+    of = lambda half, label: F.sum(F.when((F.col("half") == half) & (F.col("label") == label), F.col("n")).otherwise(0)).alias(f"n{half}{label}")
+    every = rows.select("place", "text", "y").mapInArrow(count, "kind int, half int, label int, word string, n long").groupBy("kind", "word").agg(*[of(h, l) for h in (0, 1) for l in (0, 1)])
+    sizes = {(r["h"], r["l"]): r["n"] for r in rows.groupBy((F.col("place") % 2).alias("h"), (F.col("y") == marked).cast("int").alias("l")).agg(F.count("*").alias("n")).collect()}
+    n = [[sizes.get((h, l), 0) for l in (0, 1)] for h in (0, 1)]
+    n.append([n[0][l] + n[1][l] for l in (0, 1)])
+    both = [(F.col("n00"), F.col("n01")), (F.col("n10"), F.col("n11")), (F.col("n00") + F.col("n10"), F.col("n01") + F.col("n11"))]
+    odds = [F.log((a + 0.5) / (max(1, n1) + 1)) - F.log((b + 0.5) / (max(1, n0) + 1)) for (b, a), (n0, n1) in zip(both, n, strict=True)]
+    may = [(a >= LEAST_DOCS) & (o >= LEAST_ODDS - 1e-6) for (_, a), o in zip(both, odds, strict=True)]
+    found = every.where(may[0] | may[1] | may[2]).collect()
+
+    def lexicon(halves: tuple[int, ...]) -> Lexicon:
+        n1, n0 = (sum(n[h][l] for h in halves) for l in (1, 0))
+        return Lexicon(*(_marking(((r["word"], *(sum(r[f"n{h}{l}"] for h in halves) for l in (1, 0))) for r in found if r["kind"] == kind), n1, n0) for kind in (0, 1)))
+
+    return lexicon((1,)), lexicon((0,)), lexicon((0, 1))
+
+
+def cross_read(lexicons: tuple[Lexicon, ...], features):
+    """For common.collected: features(ids, starts, rows) of each text by the lexicon of the half it is not in."""
+
+    def read_texts(places: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out: list = [None] * len(texts)
+        for half in (0, 1):
+            held = np.flatnonzero(places % 2 == half)
+            if len(held):
+                for i, x in zip(held, features(*WordTable(lexicons[half]).look_up([texts[i] for i in held])), strict=True):
+                    out[i] = x
+        return np.array(out), np.arange(len(texts) + 1)
+
+    return read_texts
 
 
 @dataclass
@@ -140,16 +196,8 @@ class ToxicityModel:
 
 
 def fit(sample: list[tuple[str, int]], totals: dict[int, int]) -> ToxicityModel:
-    """The model from labelled texts; totals restore the label shares of the whole training rows. Without both labels every score is the share of label 1."""
+    """fit_features over texts that are held here."""
     texts, y = [t for t, _ in sample], np.array([v for _, v in sample], np.float64)
-    if len(set(y)) < 2:
-        share = float(y[0]) if len(y) else 0.0
-        trees = Trees(rounds=0)
-        trees.edges = [np.zeros(1)] * 16
-        return ToxicityModel(Lexicon(), trees, (np.zeros(2), np.full(2, share)))
-    count = {k: (y == k).sum() for k in (0, 1)}
-    weight = np.where(y == 1, totals[1] / count[1], totals[0] / count[0])
-    weight /= weight.mean()
     half = np.arange(len(y)) % 2
     x = np.zeros((len(y), 16))
     for k in (0, 1):
@@ -158,11 +206,25 @@ def fit(sample: list[tuple[str, int]], totals: dict[int, int]) -> ToxicityModel:
         for at in range(0, len(held), 256):
             part = held[at : at + 256]
             x[part] = abuse_features(*table.look_up([texts[i] for i in part]))
+    return fit_features(x, y, totals, induce(texts, y))
+
+
+def fit_features(x: np.ndarray, y: np.ndarray, totals: dict[int, int], lexicon: Lexicon) -> ToxicityModel:
+    """The model from cross-fitted features; totals restore the label shares of the whole training rows. Without both labels every score is the share of label 1."""
+    y = y.astype(np.float64)
+    if len(set(y)) < 2:
+        share = float(y[0]) if len(y) else 0.0
+        trees = Trees(rounds=0)
+        trees.edges = [np.zeros(1)] * 16
+        return ToxicityModel(Lexicon(), trees, (np.zeros(2), np.full(2, share)))
+    count = {k: (y == k).sum() for k in (0, 1)}
+    weight = np.where(y == 1, totals[1] / count[1], totals[0] / count[0])
+    weight /= weight.mean()
     margin = np.zeros(len(y))
     for k in range(4):
         out = (np.arange(len(y)) // 2) % 4 == k
         margin[out] = Trees().fit(x[~out], y[~out], weight[~out]).margin(x[out])
-    return ToxicityModel(induce(texts, y), Trees().fit(x, y, weight), isotonic(margin, y, weight))
+    return ToxicityModel(lexicon, Trees().fit(x, y, weight), isotonic(margin, y, weight))
 
 
 def score_documents(docs: DataFrame, model, text: str = "text", score: str = "score", keep_if=None) -> DataFrame:
@@ -190,8 +252,11 @@ def score_documents(docs: DataFrame, model, text: str = "text", score: str = "sc
 
 
 def fit_tables(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fits on a bounded sample (SAMPLE) of the rows whose fold of four is not 2."""
-    return fit(*labelled_sample(documents, labels, "toxic", fold("doc_id", 4) != 2, SAMPLE))
+    """Fits on a bounded sample (SAMPLE) of the rows whose fold of four is not 2. Texts are read where they are; words of the lexicon and features come here."""
+    rows, totals = labelled_rows(documents, labels, "toxic", fold("doc_id", 4) != 2, SAMPLE)
+    *halves, lexicon = induced(rows)
+    x, _, y = collected(rows, cross_read(halves, abuse_features), 16)
+    return fit_features(x, y, totals, lexicon)
 
 
 def op9_toxicity(spark, sf_dir):

@@ -130,3 +130,42 @@ def test_an_overlong_text_leaves_the_others_in_the_sample(spark):
     assert totals == {0: 15, 1: 15} and sizes.count(5) == 10 and sizes.count(900) == 0 and sizes.count(40) == 10
     few, _ = labelled_sample(docs, labels, "quality", Q.F.lit(True), {0: 15, 1: 15}, most_chars=330)
     assert sorted(len(t) for t, _ in few) == [5] * 10 + [40] * 7
+
+
+def test_models_are_fitted_where_the_texts_are(spark, tmp_path, monkeypatch):
+    """Models of the tables equal those of texts held in one place, of which none comes to the driver."""
+    from lumenfold.llm import common, mixing
+    from lumenfold.llm.common import labelled_sample
+
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join([*rng.choice(words, 90), *(["scumbag", "you", "scumbag"] * (i % 4 == 1)), *(["$$$$", "####"] * 20 * (i % 3 == 0))])) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 1)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    every, texts = Q.F.lit(True), [t for _, t in rows]
+    want = X.fit(*labelled_sample(docs, labels, "toxic", X.fold("doc_id", 4) != 2, X.SAMPLE))
+    good = Q.fit(*labelled_sample(docs, labels, "quality", Q.fold("doc_id", 5) != 0, Q.SAMPLE))
+    domains = mixing.fit_domains(*labelled_sample(docs, labels, mixing.DOMAIN_SQL, every, mixing.SAMPLE))
+    monkeypatch.setattr(common, "labelled_sample", None)
+    sent: list[str] = []
+    collect = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(self.schema.simpleString()) or collect(self))
+    got = X.fit_tables(docs, labels)
+    assert got.lexicon.words == want.lexicon.words and "scumbag" in got.lexicon.words and got.lexicon.prefixes == want.lexicon.prefixes
+    np.testing.assert_array_equal(got.score(WordTable(got.lexicon), texts), want.score(WordTable(want.lexicon), texts))
+    np.testing.assert_array_equal(Q.fit_tables(docs, labels).score(WordTable(), texts), good.score(WordTable(), texts))
+    found = mixing.fit_tables(docs, labels)
+    np.testing.assert_array_equal(found.posteriors(WordTable(found.lexicon), texts)[1], domains.posteriors(WordTable(domains.lexicon), texts)[1])
+    assert len(sent) == 3 and all("text" not in s for s in sent)
+
+
+def test_gradients_of_chunks_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 9, 60)
+    x, y = rng.normal(size=(sizes.sum(), 16)), (np.arange(60) % 2).astype(float)
+    one = Q.fit_features(x, sizes, y, {0: 30, 1: 30}, steps=20)
+    monkeypatch.setattr(Q, "CHUNK", 10)
+    assert len(Q._chunks(sizes)) > 10
+    many = Q.fit_features(x, sizes, y, {0: 30, 1: 30}, steps=20)
+    for k, w in one.weights.items():
+        np.testing.assert_allclose(many.weights[k], w, rtol=1e-6, atol=1e-9)
