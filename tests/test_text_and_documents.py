@@ -2,6 +2,7 @@ import time
 import difflib
 import hashlib
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -343,3 +344,33 @@ def test_marks_and_sections_of_odd_documents(spark):
     got = sorted((r["id"], r["line"], r["category"], r["qualified"], r["body"], r["fences"]) for r in M.sections(found, docs, ["id"]).collect())
     assert got == [(4, 1, "rationale", False, None, 0), (5, 2, "rationale", False, "a\n### x\nb", 0), (5, 6, "exceptions", False, None, 0), (5, 7, "rationale", True, "c", 0)]
     assert M.marks(docs.where("false")).count() == 0
+
+
+def test_markdown_of_one_split_is_scanned_by_many_tasks_and_once(spark):
+    """A small file is one split, whose documents one task would scan; the rollup read every document once for each of its measures."""
+    docs = spark.createDataFrame([(i, f"# T{i}\n## Rationale\nr\n```\nx\n```\n### Deep\n```\ny\n```\n## Exceptions\ne") for i in range(64)], "id long, markdown string").coalesce(1)
+    found = M.extract(docs)
+    assert all(df.select(F.spark_partition_id()).distinct().count() > 1 for df in (M.marks(docs), found.rules))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "PythonUDTF" not in plan(M.marks(docs)) and plan(found.quarantine).count("MapInArrow") == 1
+    once = M.extract(docs, once=True)
+    assert "MapInArrow" not in plan(M.corpus_rollup(once)) and M.corpus_rollup(once).collect() and sorted(M.corpus_rollup(once).collect()) == sorted(M.corpus_rollup(found).collect())
+    s = M.sections(M.marks(docs), docs, ["id"])
+    assert plan(s).count("MapInArrow") == 1 and {(r["category"], r["first_line"], r["last_line"], r["fences"]) for r in s.collect()} == {("rationale", 3, 10, 2), ("exceptions", 12, 12, 0)}
+
+
+def test_merging_keeps_up_with_long_texts_and_is_the_fold_of_merge_two(monkeypatch):
+    """merge_overlapping against merge_two one by one; a text of 6,000 words took as many steps as the square of its parts, each over all that was held."""
+    rng = random.Random(8)
+    for n in range(1500):
+        words = rng.choice([["a", "B", "aa", "b"], ["Σ", "ΑΣ", "σας", "İ", "ß"], ["one", "two", "three", "four", "five", "six", "seven"]])
+        text = [rng.choice(words) for _ in range(rng.randrange(40))]
+        cuts = [(rng.randrange(40), rng.randrange(1, 16)) for _ in range(rng.randrange(9))]
+        parts = [rng.choice(["", " ", None, None])] * (n % 5 == 0) + [" ".join(text[a : a + k]) + rng.choice(["", "  ", "a"]) for a, k in cuts]
+        least, held = rng.choice([1, 5, 80]), ""
+        for p in parts:
+            held = X.merge_two(held, " ".join((p or "").split()), least)
+        assert X.merge_overlapping(parts, least) == held, parts
+    words, looked, low = [f"w{i}" for i in range(6000)], [], X._Held.low
+    monkeypatch.setattr(X._Held, "low", lambda self: looked.append(self.size) or low(self))
+    assert X.merge_overlapping([" ".join(words[i : i + 60]) for i in range(0, 5970, 30)]) == " ".join(words) and sum(looked) < 1000
