@@ -8,7 +8,7 @@ from lumenfold.functions import hierarchy as h
 from lumenfold.functions import text as t
 from lumenfold.operators import consolidate as c
 from lumenfold.operators.record_checks import CONTAMINATION as CONTAMINATION_PATTERNS
-from lumenfold.session import table
+from lumenfold.session import spread, table
 
 #: Marks of page furniture that contaminate extracted text.
 CONTAMINATION = {"license": r"(?i)licensed under", "copyright": r"(?i)copyright|©", "email": r"[\w.+-]+@[\w-]+\.[\w.]+", "pipes": r"\|", "shouting": r"!!", "symbols": r"[#$%&*]{3}", "long_number": r"\d{9,}", "url": r"https?://", "hyphen_break": r"\w-\n\w"}
@@ -137,7 +137,7 @@ def overlap_merge(spark, sf_dir):
     """Each whole text in parts of 60 words, a part every 30, and merged again."""
     w = F.split(t.collapse(F.col("text")), " ")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 30), F.lit(30))
-    parts = docs(spark, sf_dir).select("doc_id", w.alias("w")).select("doc_id", F.transform(starts, lambda i: F.array_join(F.slice("w", i, 60), " ")).alias("parts"))
+    parts = spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", w.alias("w")).select("doc_id", F.transform(starts, lambda i: F.array_join(F.slice("w", i, 60), " ")).alias("parts"))
     return parts.select("doc_id", F.length(t.merge_overlaps(F.col("parts"))).alias("n"))
 
 
