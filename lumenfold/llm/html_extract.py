@@ -1,10 +1,10 @@
 """Main-text extraction by wrapper induction.
 
-Pages of a host are parsed to trees of slots: like siblings share one. A bounded sample of the
-host's distinct pages, chosen by the smallest text signatures over all its pages, is aligned by
-simple tree matching into a template, and texts are counted at every node over all pages. What is
-the same on nearly every page that has its node is the template's; the slots that hold the varying
-running text are content, and the least element around them is the region. Each page is aligned
+Pages of a host are parsed to trees of slots: like siblings share one. The trees of all the
+host's distinct pages are aligned by simple tree matching into a template, each different tree once;
+then pages and characters are counted at every slot, and texts at every node, over all distinct
+pages. What is the same on nearly every page that has its node is the template's; the slots that hold
+the varying running text are content, and the least element around them is the region. Each page is aligned
 with its host's template: the region is read, with running text and first headings that stand
 beside it; containers outside it (menus, adverts, footers, sidebars), link lists that recur on the
 pages, and template text are not. Element and class names only break ties: a recurring container
@@ -14,7 +14,6 @@ by names.
 
 from __future__ import annotations
 
-import heapq
 import html
 import json
 import re
@@ -23,11 +22,11 @@ from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import drop_clashing, durable, read, rows_of, with_columns
+from lumenfold.llm.common import drop_clashing, durable, join_hot, read, rows_of, with_columns
 
 #: Elements that are never text of a page; of those, the ones that break blocks.
 NEVER = frozenset("head script style noscript template iframe svg button select option textarea input canvas object embed audio video map label fieldset title dialog".split())
@@ -217,7 +216,7 @@ def joined(part: list[str]) -> str:
 
 
 def blocks(root: Node, keep=None) -> list[tuple[int, str, str, bool]]:
-    """(path, element, text, whether mostly of links) of each block in page order. keep(node, above): the mark of a node whose parent has the mark `above`; see induce."""
+    """(path, element, text, whether mostly of links) of each block in page order. keep(node, above): the mark of a node whose parent has the mark `above`; see decide."""
     out: list[tuple[int, str, str, bool]] = []
     part: list[str] = []
 
@@ -260,15 +259,16 @@ def signature(found: list[tuple[int, str, str, bool]]) -> int:
 class Slot:
     """Like siblings, on one page or on all pages of a template.
 
-    texts: {digest: [pages that have it, length]}; link, length: characters of own text; mark: see induce.
+    texts: {digest: [pages that have it, length]}; link, length: characters of own text; varying,
+    kinds: characters of own text that is not the template's, by pages, and its different texts; mark: see decide.
     """
 
-    __slots__ = ("label", "tag", "names", "holds", "nodes", "texts", "length", "link", "children", "pages", "mark", "mixed", "shape")
+    __slots__ = ("label", "tag", "names", "holds", "nodes", "texts", "length", "link", "children", "pages", "varying", "kinds", "mark", "mixed")
 
     def __init__(self, label: str, names: frozenset, holds: int):
         self.label, self.tag, self.names, self.holds = label, label.split("|", 1)[0], names, holds
         self.nodes, self.texts, self.length, self.link, self.children = [], {}, 0, 0, []
-        self.pages, self.mark, self.mixed, self.shape = 1, IN, True, None
+        self.pages, self.varying, self.kinds, self.mark, self.mixed = 1, 0, 0, IN, True
 
 
 def _kind(node: Node):
@@ -332,13 +332,19 @@ class Deep:
 LEVELS = 100_000
 
 
-def packed(slot: Slot) -> str:
-    """A page's slots in page order, as JSON."""
-    out, work = [], [(slot, 0)]
+def ordered(root: Slot) -> list[tuple[Slot, int]]:
+    """(slot, level) in page order."""
+    out, work = [], [(root, 0)]
     while work:
         s, level = work.pop()
-        out.append([level, s.label, sorted(s.names), s.holds, [[k, v[1]] for k, v in s.texts.items()], s.length, s.link])
+        out.append((s, level))
         work.extend((c, level + 1) for c in reversed(s.children))
+    return out
+
+
+def packed(slot: Slot, texts: bool = True) -> str:
+    """A page's slots in page order, as JSON; without texts: what pages of one shape share."""
+    out = [[level, s.label, sorted(s.names), s.holds, *([[[k, v[1]] for k, v in s.texts.items()], s.length, s.link] if texts else [[], 0, 0])] for s, level in ordered(slot)]
     return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
 
 
@@ -448,8 +454,30 @@ def add(template: Slot, page: Slot) -> None:
         join(template, page)
 
 
-#: Distinct pages aligned for each host; a text on SAME of the pages that have its node is the template's, if LEAST pages, or all of a host with fewer, and two at least, have the node.
-PAGES, LEAST, SAME = 64, 8, 0.9
+def places(template: Slot, page: Slot) -> list[int]:
+    """For each slot of a page, in page order, the place of the template's slot it is aligned with.
+
+    The template holds the page's slots, so all have partners, but for long lists matched by shape:
+    what has none there is counted at the slot above, and its place is given as -1 - that place.
+    """
+    at = {id(s): i for i, (s, _) in enumerate(ordered(template))}
+    found: dict[int, int] = {}
+    known: dict = {}
+    work: list[tuple[Slot | None, Slot, int]] = [(template, page, 0)]
+    with Deep():
+        while work:
+            t, p, above = work.pop()
+            if t is None:
+                found[id(p)] = -1 - above
+                work.extend((None, c, above) for c in p.children)
+                continue
+            found[id(p)] = own = at[id(t)]
+            work.extend((a, b, own) for a, b in aligned(t.children, p.children, known) if b)
+    return [found[id(s)] for s, _ in ordered(page)]
+
+
+#: A text on SAME of the pages that have its node is the template's, if LEAST pages, or all of a host with fewer, and two at least, have the node.
+LEAST, SAME = 8, 0.9
 #: Fewest pages whose text masses tell a region; a slot of running text with MAJOR of the varying text, and a container with LOOSE of it in its own text, is content; a container or list is of links from LINKED of its text on, and recurs if it is on OFTEN of the pages that have its parent.
 COMPARED, MAJOR, LOOSE, LINKED, OFTEN = 3, 0.1, 0.3, 0.8, 0.5
 #: Containers named as furniture go, unless one holds this many times the varying text that would be left.
@@ -468,23 +496,31 @@ def named(s: Slot | Node) -> bool:
 
 
 def induce(pages: list[Slot], constant: set[int] | None = None, names: bool = True) -> dict:
-    """{"slots": [[level, label, mark, whether marks below differ]]} of the aligned pages of a host, in page order.
-
-    constant: digests of the template's texts, if counted over more pages than these. names: whether
-    tags and names may break ties.
-    """
+    """What decide makes of these pages of a host, aligned. constant: digests of the template's texts, if counted over more pages than these."""
     root = pages[0]
     for p in pages[1:]:
         add(root, p)
-    fixed = set(constant or ())
+    every, fixed = [s for s, _ in ordered(root)], set(constant or ())
+    for s in every:
+        if constant is None and s.pages >= max(2, min(LEAST, root.pages)):
+            fixed |= {t for t, (n, _) in s.texts.items() if n >= SAME * s.pages}
+    for s in every:
+        s.varying = sum(n * size for t, (n, size) in s.texts.items() if t not in fixed)
+        s.kinds = sum(t not in fixed for t in s.texts)
+    return decide(root, names)
+
+
+def decide(root: Slot, names: bool = True) -> dict:
+    """{"slots": [[level, label, mark, whether marks below differ]]} of the slots of a host's pages, in page order, by what was counted at them.
+
+    names: whether tags and names may break ties.
+    """
     every: list[tuple[Slot, Slot | None]] = []  # with its parent, parents first
     work: list[tuple[Slot, Slot | None]] = [(root, None)]
     while work:
         s, parent = work.pop()
         every.append((s, parent))
         work.extend((c, s) for c in reversed(s.children))
-        if constant is None and s.pages >= max(2, min(LEAST, root.pages)):
-            fixed |= {t for t, (n, _) in s.texts.items() if n >= SAME * s.pages}
     up = {id(s): parent for s, parent in every}
     inside: set[int] = set()  # in an article or main element
     gone: set[int] = set()
@@ -511,8 +547,7 @@ def induce(pages: list[Slot], constant: set[int] | None = None, names: bool = Tr
     def masses(with_links: bool) -> tuple[dict, dict]:
         own, whole = {}, {}
         for s, _ in reversed(every):
-            varying = sum(n * size for t, (n, size) in s.texts.items() if t not in fixed)
-            own[id(s)] = 0.0 if id(s) in gone else varying * (1.0 if with_links or not s.length else 1 - s.link / s.length)
+            own[id(s)] = 0.0 if id(s) in gone else s.varying * (1.0 if with_links or not s.length else 1 - s.link / s.length)
             whole[id(s)] = own[id(s)] + sum(whole[id(c)] for c in s.children)
         return own, whole
 
@@ -577,22 +612,17 @@ def induce(pages: list[Slot], constant: set[int] | None = None, names: bool = Tr
         else:
             s.mark = OUT
     for s, _ in every:
-        if s.tag == "h1" and s.mark == OUT and id(s) not in gone and 2 * sum(t not in fixed for t in s.texts) >= s.pages:
+        if s.tag == "h1" and s.mark == OUT and id(s) not in gone and s.pages and 2 * s.kinds >= s.pages:
             for a in around(s)[:-1]:
                 a.mark = THROUGH if a.mark == OUT else a.mark
             s.mark = IN
     for s, _ in reversed(every):
         s.mixed = any(c.mixed or c.mark != s.mark for c in s.children)
-    out, work = [], [(root, 0)]
-    while work:
-        s, level = work.pop()
-        out.append([level, s.label, s.mark, s.mixed])
-        work.extend((c, level + 1) for c in reversed(s.children))
-    return {"slots": out}
+    return {"slots": [[level, s.label, s.mark, s.mixed] for s, level in ordered(root)]}
 
 
 def template_of(found: dict) -> Slot:
-    """The slots of what induce returned."""
+    """The slots of what decide returned."""
     above: list[Slot] = []
     for level, label, mark, mixed in found["slots"]:
         s = Slot(label, NOTHING, 0)
@@ -662,92 +692,145 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def constants(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(h, node, text): digests of the texts that are constant at a node (path) of a host (h, its hash), counted over all its distinct pages.
+def scanned(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """One row for each distinct page of a host, and one with a tree for each shape of its pages; each page is parsed once.
 
-    A page counts once for each of its (node, text), once for each of its nodes (text 0) and once
-    for its host (node 0); pages of the same running text count once. What stands on one page alone is
-    dropped after the count.
+    Of a page: signature; shape; nodes and texts, its (node, text) once each, each of its nodes with text
+    0, and (0, 0); slots, own and sizes, the place in the shape, digest and length of each text of a
+    slot; lengths and links, characters of each slot. Pages of the same running text count once. A page of
+    more than LEVELS levels has no shape.
     """
 
     def seen(batches):
+        sent: set[int] = set()
         for big in batches:
             for batch in rows_of(big, 64):
-                signatures, pairs, cuts = [], [], [0]
-                for body in batch.column(1).to_pylist():
-                    found = blocks(parse(body or ""))
-                    signatures.append(signature(found))
-                    pairs += sorted({(p, digest(t)) for p, _, t, _ in found} | {(p, 0) for p, _, _, _ in found} | {(0, 0)})
-                    cuts.append(len(pairs))
-                nodes, texts = (pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array([x[k] for x in pairs], pa.int64())) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, pa.int64()), nodes, texts], names=["host", "signature", "nodes", "texts"])
-
-    each = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(seen, "host string, signature long, nodes array<long>, texts array<long>")
-    one = each.groupBy("host", "signature").agg(F.min(F.struct("nodes", "texts")).alias("x"))
-    flat = one.select(F.xxhash64("host").alias("h"), F.explode(F.arrays_zip("x.nodes", "x.texts")).alias("x")).select("h", F.col("x.nodes").alias("node"), F.col("x.texts").alias("text"))
+                rows = []
+                for host, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    tree = parse(body or "")
+                    found = blocks(tree)
+                    pairs = sorted({(p, digest(t)) for p, _, t, _ in found} | {(p, 0) for p, _, _, _ in found} | {(0, 0)})
+                    shape, own = None, []
+                    if tree.levels <= LEVELS:
+                        root = slots(tree)
+                        own = [s for s, _ in ordered(root)]
+                        form = packed(root, False)
+                        shape = digest(f"{host} {form}")
+                        if shape not in sent:
+                            if len(sent) > 50_000:
+                                sent.clear()
+                            sent.add(shape)
+                            rows.append((host, shape, form, shape, [], [], [], [], [], [], []))
+                    texts = [(i, t, n) for i, s in enumerate(own) for t, (_, n) in s.texts.items()]
+                    rows.append((host, signature(found), None, shape, *(list(c) for c in zip(*pairs, strict=True)), *([list(c) for c in zip(*texts, strict=True)] or [[], [], []]), [s.length for s in own], [s.link for s in own]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
+
+    columns = ["host", "signature", "tree", "shape", "nodes", "texts", "slots", "own", "sizes", "lengths", "links"]
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), longs, longs, ints, longs, ints, ints, ints]
+    schema = "host string, signature long, tree string, shape long, nodes array<long>, texts array<long>, slots array<int>, own array<long>, sizes array<int>, lengths array<int>, links array<int>"
+    each = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(seen, schema)
+    one = each.groupBy("host", F.col("tree").isNull().alias("paged"), "signature").agg(F.min(F.struct("nodes", "texts", "tree", "shape", "slots", "own", "sizes", "lengths", "links")).alias("x"))
+    return durable(one.select(F.xxhash64("host").alias("h"), "host", "paged", "signature", "x.*"))
+
+
+def constants(seen: DataFrame) -> DataFrame:
+    """(h, node, text): digests of the texts that are constant at a node (path) of a host (h, its hash), counted over all its distinct pages.
+
+    A page counts once for each of its (node, text), once for each of its nodes (text 0) and once
+    for its host (node 0). What stands on one page alone is dropped after the count.
+    """
+    flat = seen.where("paged").select("h", F.explode(F.arrays_zip("nodes", "texts")).alias("x")).select("h", F.col("x.nodes").alias("node"), F.col("x.texts").alias("text"))
     counts = durable(flat.groupBy("h", "node", "text").agg(F.count("*").alias("n")).where("n >= 2"))
     node = counts.where("text = 0 and node <> 0").select("h", "node", F.col("n").alias("pages"))
     host = counts.where("text = 0 and node = 0").select("h", F.col("n").alias("whole"))
     found = counts.where("text <> 0").join(node, ["h", "node"]).where(F.col("n") >= F.lit(SAME) * F.col("pages")).join(host, "h")
-    return found.where(F.col("pages") >= F.least(F.lit(LEAST), "whole")).select("h", "node", "text")
+    return durable(found.where(F.col("pages") >= F.least(F.lit(LEAST), "whole")).select("h", "node", "text"))
 
 
-def templates(pages: DataFrame, url: str = "url", page: str = "html", most_chars: int = 32_000_000, names: bool = True) -> DataFrame:
-    """(host, template) of every host: what is constant is counted over all its pages; the slots are of the PAGES distinct pages of smallest signature among them.
+#: Shapes that a task aligns at a time, and about the most characters of them; a host with more is aligned in parts, and those in turn.
+FOLD, FOLD_CHARS = 512, 32_000_000
 
-    A task holds at most about most_chars characters of slots before it passes them on.
-    """
 
-    def sample(batches):
-        kept: dict[str, dict] = {}
-        held = 0
+def shapes_of(seen: DataFrame) -> DataFrame:
+    """(h, host, shape, tree, n, first, part): the shapes of distinct pages, how many pages have each, the smallest signature of those, and the part of the host it is aligned in."""
+    counts = seen.where("paged and shape is not null").groupBy("shape").agg(F.count("*").alias("n"), F.min("signature").alias("first"))
+    return durable(dealt(seen.where("not paged").select("h", "host", "shape", "tree").join(counts, "shape").withColumn("part", F.col("shape"))))
 
-        def flush():
-            rows = [(h, s, k) for h, d in kept.items() for s, k in d["rows"].items()]
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["host", "signature", "page"])
 
-        for big in batches:
-            for batch in rows_of(big, 64):
-                for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    tree = parse(text or "")
-                    if tree.levels > LEVELS:
-                        continue
-                    own = signature(blocks(tree))
-                    mine = kept.setdefault(host, {"heap": [], "rows": {}})
-                    if own in mine["rows"] or (len(mine["heap"]) == PAGES and own > -mine["heap"][0]):
-                        continue
-                    mine["rows"][own] = packed(slots(tree))
-                    held += len(mine["rows"][own])
-                    heapq.heappush(mine["heap"], -own)
-                    if len(mine["heap"]) > PAGES:
-                        held -= len(mine["rows"].pop(-heapq.heappop(mine["heap"])))
-                    if held > most_chars:
-                        yield flush()
-                        held = 0
-        if kept:
-            yield flush()
-
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(sample, "host string, signature long, page string")
-    # A hot host has a sample in every partition: those meet in 32 groups first.
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page", "signature"), F.lit(32)))
-    first = Window.partitionBy("host", "salt").orderBy("signature", "page")
-    last = Window.partitionBy("host").orderBy("signature", "page")
-    few = salted.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PAGES).select("host", "signature", "page").groupBy("host", "signature").agg(F.min("page").alias("page"))
-    few = few.withColumn("n", F.row_number().over(last)).where(F.col("n") <= PAGES)
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows with part brought down to 0 for hosts that one task can align, and for others to as many parts as it takes, fewer than they have rows."""
+    size = F.greatest(F.col("n") / F.lit(FOLD), F.col("chars") / F.lit(FOLD_CHARS))
+    sums = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.length("tree")).alias("chars"))
+    many = sums.where((F.col("n") > 1) & (size > 1)).select("h", F.least(F.ceil(size), F.ceil(F.col("n") / 2)).cast("long").alias("parts"))
+    return rows.join(F.broadcast(many), "h", "left").withColumn("part", F.pmod(F.col("part"), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
+def aligned_shapes(shapes: DataFrame) -> DataFrame:
+    """(h, host, tree) of every host: all its shapes, aligned in the order of their smallest signatures within a part, then part by part."""
+
+    def fold(pdf):
+        pdf = pdf.sort_values(["first", "part"])
+        trees = iter(pdf["tree"])
+        root = unpacked(next(trees))
+        for t in trees:
+            add(root, unpacked(t))
+        return pdf.iloc[:1][["h", "host", "first", "part"]].assign(tree=packed(root, False))
+
+    made = shapes.select("h", "host", "first", "part", "tree")
+    while True:
+        made = durable(made.groupBy("h", "part").applyInPandas(fold, "h long, host string, first long, part long, tree string"))
+        if made.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return made.select("h", "host", "tree")
+        made = dealt(made)
+
+
+def counted(seen: DataFrame, shapes: DataFrame, made: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(h, slots): what decide needs of every slot of a host's template, counted over all its distinct pages."""
+
+    def lay(left, right):
+        template = unpacked(right["tree"].iloc[0])
+        return left[["shape", "n"]].assign(places=[places(template, unpacked(t)) for t in left["tree"]])
+
+    own = made.join(shapes.select("h", "part").distinct(), "h").select(F.col("h").alias("own_h"), F.col("part").alias("own_part"), "tree")
+    laid = durable(shapes.select("h", "part", "shape", "n", "tree").groupBy("h", "part").cogroup(own.groupBy("own_h", "own_part")).applyInPandas(lay, "shape long, n long, places array<int>"))
+    paged = seen.where("paged and shape is not null").select("h", "shape", "slots", "own", "sizes", "lengths", "links")
+    total = shapes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = join_hot(paged, laid, "shape", total)
+    place = lambda p: F.when(p < 0, -1 - p).otherwise(p)
+    flat = met.select("h", F.explode(F.arrays_zip("places", "lengths", "links")).alias("x")).select("h", "x.*")
+    sums = flat.groupBy("h", place(F.col("places")).alias("slot")).agg(F.sum((F.col("places") >= 0).cast("long")).alias("pages"), F.sum(F.col("lengths").cast("long")).alias("length"), F.sum(F.col("links").cast("long")).alias("link"))
+    flat = met.select("h", F.explode(F.arrays_zip(F.transform("slots", lambda i: F.get("places", i)).alias("places"), "own", "sizes")).alias("x")).select("h", "x.*")
+    texts = flat.groupBy("h", place(F.col("places")).alias("slot"), F.col("own").alias("text")).agg(F.sum(F.col("sizes").cast("long")).alias("size"))
+    varying = texts.join(fixed.select("h", "text").distinct(), ["h", "text"], "left_anti").groupBy("h", "slot").agg(F.sum("size").alias("varying"), F.count("*").alias("kinds"))
+    both = sums.join(varying, ["h", "slot"], "left").fillna(0, ["varying", "kinds"])
+    return both.groupBy("h").agg(F.collect_list(F.struct("slot", "pages", "length", "link", "varying", "kinds")).alias("slots"))
+
+
+def templates(pages: DataFrame, url: str = "url", page: str = "html", names: bool = True) -> DataFrame:
+    """(host, template) of every host: the slots of all its distinct pages, judged by what was counted at them over all of those."""
+    seen = scanned(pages, url, page)
+    fixed = constants(seen)
+    shapes = shapes_of(seen)
+    made = aligned_shapes(shapes)
 
     def fit(pdf, fixed):
         if not len(pdf):
             return pdf.assign(template="")[["host", "template"]]
-        trees = [unpacked(p) for p in pdf.sort_values("signature")["page"]]
+        root = unpacked(pdf["tree"].iloc[0])
+        every = [s for s, _ in ordered(root)]
+        for s in every:
+            s.pages = 0
+        for x in pdf["slots"].iloc[0]:
+            s = every[x["slot"]]
+            s.pages, s.length, s.link, s.varying, s.kinds = (x[k] for k in ("pages", "length", "link", "varying", "kinds"))
         same: dict[int, list[int]] = {}
         for node, text in sorted(zip(fixed["node"].tolist(), fixed["text"].tolist(), strict=True)):
             same.setdefault(node, []).append(text)
-        found = induce(trees, {t for own in same.values() for t in own}, names)
-        return pdf.iloc[:1][["host"]].assign(template=json.dumps({**found, "same": same}, ensure_ascii=False, separators=(",", ":")))
+        return pdf[["host"]].assign(template=json.dumps({**decide(root, names), "same": same}, ensure_ascii=False, separators=(",", ":")))
 
-    sampled = few.select(F.xxhash64("host").alias("h"), "host", "signature", "page").groupBy("h")
-    return sampled.cogroup(constants(pages, url, page).groupBy("h")).applyInPandas(fit, "host string, template string")
+    whole = made.join(counted(seen, shapes, made, fixed), "h")
+    return whole.groupBy("h").cogroup(fixed.groupBy("h")).applyInPandas(fit, "host string, template string")
 
 
 #: Beyond the bound of the broadcast, a host is dealt in as many parts as it has this share of the pages.

@@ -232,3 +232,46 @@ def test_a_template_goes_once_before_each_part_of_its_host(spark, monkeypatch, p
     both = H.beside_templates(keyed, H.templates(df), "h", "t").withColumn("at", H.F.spark_partition_id())
     heads = both.where("t is not null").groupBy("h").agg(H.F.count("*").alias("n")).collect()
     assert both.where("t is null").count() == 120 and {r["h"]: r["n"] for r in heads}["hot.example"] == min(-(-80 * parts // 120), 10_000)
+
+
+def test_every_page_of_a_host_shapes_its_template(spark):
+    """The pages of smallest signature all lack a second container of running text, which most others have: it is content."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("aeinrstlo") for _ in range(r.randint(3, 8)))
+    short, full = [], []
+    while len(short) < 70 or len(full) < 130:
+        a, b = (" ".join(word() for _ in range(40)) for _ in range(2))
+        for more, held, most in ((False, short, 70), (True, full, 130)):
+            body = f"<body><div class=top>Top {word()}</div><div class=left><p>{a}</p></div>" + (f"<div class=right><p>{b}</p></div>" if more else "") + f"<div class=low>Low {word()}</div></body>"
+            if (H.signature(H.blocks(H.parse(body))) > 0) == more and len(held) < most:
+                held.append((body, [a, b] if more else [a]))
+                break
+    made = short + full
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, (p, _) in enumerate(made)], "page_id int, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"].split("\n") for r in H.extract_pages(df).collect()}
+    assert all(set(b) <= set(got[i]) for i, (_, b) in enumerate(made))
+
+
+@pytest.mark.parametrize("fold, cells", [(512, 10_000), (2, 10_000), (3, 1)])
+def test_slots_are_counted_over_all_distinct_pages(spark, monkeypatch, fold, cells):
+    """However shapes are dealt, and also where long lists leave slots without a partner, nothing is lost."""
+    monkeypatch.setattr(H, "FOLD", fold)
+    monkeypatch.setattr(H, "CELLS", cells)
+    r = random.Random(11)
+    part = lambda i: r.choice([f"<p>text {i} {r.random()}</p>", "<div class=k>same<b>x</b></div>", f"<div><ul><li>item {i}</ul></div>", f"<div><p>in {i}</p><a href=/>link {i}</a></div>", f"<section><h2>{i}</h2></section>"])
+    made = [(f"http://h{i % 2}/", "<body>" + "".join(part(i) for _ in range(r.randint(1, 7))) + "</body>") for i in range(120)]
+    df = spark.createDataFrame(made + made[:30], "url string, html string").repartition(3)
+    seen = H.scanned(df)
+    fixed, shapes = H.constants(seen), H.shapes_of(seen)
+    assert shapes.count() > 60 and shapes.agg(H.F.sum("n")).first()[0] == seen.where("paged").count() <= 120
+    template = H.aligned_shapes(shapes)
+    rows = {x["h"]: x["slots"] for x in H.counted(seen, shapes, template, fixed).collect()}
+    assert template.count() == len(rows) == 2
+    want = {h: [0, 0, 0] for h in rows}
+    known = {h: {x["text"] for x in fixed.where(f"h = {h}").collect()} for h in rows}
+    for x in seen.where("paged").collect():
+        varying = sum(n for t, n in zip(x["own"], x["sizes"], strict=True) if t not in known[x["h"]])
+        want[x["h"]] = [a + b for a, b in zip(want[x["h"]], (sum(x["lengths"]), sum(x["links"]), varying), strict=True)]
+    assert {h: [sum(s[k] for s in own) for k in ("length", "link", "varying")] for h, own in rows.items()} == want
+    assert all(s["pages"] <= 60 for own in rows.values() for s in own)
+    assert {h: next(s["pages"] for s in own if s["slot"] == 0) for h, own in rows.items()} == {x["h"]: x["n"] for x in seen.where("paged").groupBy("h").agg(H.F.count("*").alias("n")).collect()}
