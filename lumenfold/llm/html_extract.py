@@ -260,15 +260,16 @@ class Slot:
     """Like siblings, on one page or on all pages of a template.
 
     texts: {digest: [pages that have it, length]}; link, length: characters of own text; varying,
-    kinds: characters of own text that is not the template's, by pages, and its different texts; mark: see decide.
+    kinds: characters of own text that is not the template's, by pages, and its different texts; mark: see decide; known: the
+    labels of a template with generalised ones, at its root.
     """
 
-    __slots__ = ("label", "tag", "names", "holds", "nodes", "texts", "length", "link", "children", "pages", "varying", "kinds", "mark", "mixed")
+    __slots__ = ("label", "tag", "names", "holds", "nodes", "texts", "length", "link", "children", "pages", "varying", "kinds", "mark", "mixed", "known")
 
     def __init__(self, label: str, names: frozenset, holds: int):
         self.label, self.tag, self.names, self.holds = label, label.split("|", 1)[0], names, holds
         self.nodes, self.texts, self.length, self.link, self.children = [], {}, 0, 0, []
-        self.pages, self.varying, self.kinds, self.mark, self.mixed = 1, 0, 0, IN, True
+        self.pages, self.varying, self.kinds, self.mark, self.mixed, self.known = 1, 0, 0, IN, True, None
 
 
 def _kind(node: Node):
@@ -373,6 +374,8 @@ def matched(a: Slot, b: Slot, known: dict) -> int:
         total = 1
         x, y = a.children, b.children
         if x and y:
+            shared = {q.label for q in y}
+            x = [p for p in x if p.label in shared]
             if len(x) * len(y) > CELLS:
                 for p, q in _by_shape(x, y):
                     if p and q:
@@ -410,12 +413,18 @@ def aligned(x: list[Slot], y: list[Slot], known: dict) -> list[tuple[Slot | None
     """The children of two matched slots in one order: pairs, and those that have no partner."""
     if [p.label for p in x] == [q.label for q in y]:
         return list(zip(x, y, strict=True))
-    if len(x) * len(y) > CELLS:
+    shared = {q.label for q in y}
+    if sum(p.label in shared for p in x) * len(y) > CELLS:
         return _by_shape(x, y)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(p, q, known))
+    best = [[0] * (len(y) + 1)]
+    for p in x:
+        above = best[-1]
+        if p.label in shared:
+            row = [0]
+            for j, q in enumerate(y):
+                row.append(max(above[j + 1], row[j], above[j] + matched(p, q, known)))
+            above = row
+        best.append(above)
     out, i, j = [], len(x), len(y)
     while i or j:
         w = matched(x[i - 1], y[j - 1], known) if i and j else 0
@@ -476,6 +485,17 @@ def places(template: Slot, page: Slot) -> list[int]:
     return [found[id(s)] for s, _ in ordered(page)]
 
 
+#: On hosts with more distinct pages than this, an element whose label is on fewer than one in so many of them is aligned by tag and furniture names alone: names of one page's own (its tags, its title) match no other page.
+RARE = 1000
+
+
+def generalise(root: Slot, known) -> None:
+    """Slots whose label is not known get their element's general label."""
+    for s, _ in ordered(root):
+        if s.label not in known:
+            s.label = f"{s.tag}|*{' '.join(sorted(s.names))}"
+
+
 #: A text on SAME of the pages that have its node is the template's, if LEAST pages, or all of a host with fewer, and two at least, have the node.
 LEAST, SAME = 8, 0.9
 #: Fewest pages whose text masses tell a region; a slot of running text with MAJOR of the varying text, and a container with LOOSE of it in its own text, is content; a container or list is of links from LINKED of its text on, and recurs if it is on OFTEN of the pages that have its parent.
@@ -631,6 +651,8 @@ def template_of(found: dict) -> Slot:
         if above:
             above[-1].children.append(s)
         above.append(s)
+    if any("|*" in label for _, label, *_ in found["slots"]):
+        above[0].known = frozenset(label for _, label, *_ in found["slots"])
     return above[0]
 
 
@@ -672,9 +694,11 @@ def extract(page: str, template: Slot | dict | None, same: dict[int, set[int]] |
         marks = {id(root): IN}
     else:
         own = slots(root)
+        if template.known:
+            generalise(own, template.known)
         marks, has = read_through(own, template)
         if not has:
-            marks, _ = read_through(slots(root), template_of(induce([own], set(), names)))
+            marks, _ = read_through(slots(root), template_of(induce([slots(root)], set(), names)))
 
     def keep(node: Node, above):
         mark = marks.get(id(node), above)
@@ -753,9 +777,31 @@ FOLD, FOLD_CHARS = 512, 32_000_000
 
 
 def shapes_of(seen: DataFrame) -> DataFrame:
-    """(h, host, shape, tree, n, first, part): the shapes of distinct pages, how many pages have each, the smallest signature of those, and the part of the host it is aligned in."""
+    """(h, host, shape, tree, n, first, part): the shapes of distinct pages, how many pages have each, the smallest signature of those, and the part of the host it is aligned in.
+
+    Labels are counted over all distinct pages, and rare ones are general in the trees.
+    """
+
+    def labels(batches):
+        for batch in batches:
+            rows = [(h, label, n) for h, tree, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for label in {x[1] for x in json.loads(tree)}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [(), (), ()], (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["h", "label", "n"])
+
+    def general(left, right):
+        if len(right) and len(left):
+            common = set(right["label"])
+            trees = [unpacked(t) for t in left["tree"]]
+            for t in trees:
+                generalise(t, common)
+            left = left.assign(tree=[packed(t, False) for t in trees])
+        return left
+
     counts = seen.where("paged and shape is not null").groupBy("shape").agg(F.count("*").alias("n"), F.min("signature").alias("first"))
-    return durable(dealt(seen.where("not paged").select("h", "host", "shape", "tree").join(counts, "shape").withColumn("part", F.col("shape"))))
+    rows = durable(dealt(seen.where("not paged").select("h", "host", "shape", "tree").join(counts, "shape").withColumn("part", F.col("shape"))))
+    large = rows.groupBy("h").agg(F.sum("n").alias("pages")).where(F.col("pages") > RARE)
+    common = rows.join(large, "h", "left_semi").select("h", "tree", "n").mapInArrow(labels, "h long, label string, n long").groupBy("h", "label").agg(F.sum("n").alias("n"))
+    common = common.join(large, "h").where(F.col("n") * RARE >= F.col("pages")).join(rows.select("h", "part").distinct(), "h").select(F.col("h").alias("own_h"), F.col("part").alias("own_part"), "label")
+    return durable(rows.groupBy("h", "part").cogroup(common.groupBy("own_h", "own_part")).applyInPandas(general, rows.schema))
 
 
 def dealt(rows: DataFrame) -> DataFrame:

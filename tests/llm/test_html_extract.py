@@ -275,3 +275,17 @@ def test_slots_are_counted_over_all_distinct_pages(spark, monkeypatch, fold, cel
     assert {h: [sum(s[k] for s in own) for k in ("length", "link", "varying")] for h, own in rows.items()} == want
     assert all(s["pages"] <= 60 for own in rows.values() for s in own)
     assert {h: next(s["pages"] for s in own if s["slot"] == 0) for h, own in rows.items()} == {x["h"]: x["n"] for x in seen.where("paged").groupBy("h").agg(H.F.count("*").alias("n")).collect()}
+
+
+def test_names_of_one_page_alone_do_not_split_a_template(spark, monkeypatch):
+    """Classes that only one page has: with as many kinds of container as pages there is one slot for them, and one for those named as furniture."""
+    monkeypatch.setattr(H, "RARE", 20)
+    r = random.Random(13)
+    word = lambda n: " ".join("".join(r.choice("aeinrstlo") for _ in range(7)) for _ in range(n))
+    stories = [word(40) for _ in range(60)]
+    made = [f'<body><div class="top">{word(3)}</div><div class="post {word(1)}q"><p>{t}</p></div><div class="ad {word(1)}q"><p>{word(9)}</p></div><div>{word(4)}</div></body>' for t in stories]
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(made)], "page_id int, url string, html string").repartition(3)
+    found = H.templates(df).first()["template"]
+    assert len(H.json.loads(found)["slots"]) < 12
+    assert {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()} == dict(enumerate(stories))
+    assert {r["page_id"]: r["text"] for r in H.extract_pages(df, broadcast_chars=0).collect()} == dict(enumerate(stories))
